@@ -17,6 +17,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "evid
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "localhost")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -52,3 +53,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/evidentia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def task_count(df: DataFrame) -> int:
+    """Tasks for work that is heavy per row though small in bytes.
+
+    A repartition by name alone would be merged to one task by adaptive
+    execution, which goes by bytes.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
