@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["risk"]
+PARTS = ["risk", "research"]
 
 
 def load() -> tuple[dict, dict]:

@@ -38,8 +38,21 @@ def _horner(coefficients: list[float], x: Column) -> Column:
     return out
 
 
+def bind(x: Column, fn) -> Column:
+    """``fn`` of a value evaluated once.
+
+    Repeating a long expression inside another multiplies the plan's size; a
+    lambda variable keeps it linear. Meant for aggregated rows.
+    """
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def norm_cdf(x: Column) -> Column:
     """P(Z <= x); null stays null."""
+    return bind(x, _cdf)
+
+
+def _cdf(x: Column) -> Column:
     a = F.abs(x)
     e = F.exp(-a * a / 2)
     near = e * _horner(CDF_NUM, a) / _horner(CDF_DEN, a)
@@ -53,18 +66,22 @@ def norm_cdf(x: Column) -> Column:
 
 def norm_ppf(p: Column) -> Column:
     """Quantile of the standard normal for p strictly between 0 and 1, else null."""
+    return bind(p, lambda v: bind(_ppf_start(v), lambda z: (
+        z - (norm_cdf(z) - v) * F.lit(SQRT_2PI) * F.exp(z * z / 2))))
+
+
+def _ppf_start(p: Column) -> Column:
     q = p - 0.5
     r = q * q
     mid = q * _horner(PPF_A, r) / _horner(PPF_B, r)
     lo = F.sqrt(-2 * F.ln(p))
     hi = F.sqrt(-2 * F.ln(1 - p))
-    start = (
+    return (
         F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
         .when(p < PPF_LOW, _horner(PPF_C, lo) / _horner(PPF_D, lo))
         .when(p > 1 - PPF_LOW, -_horner(PPF_C, hi) / _horner(PPF_D, hi))
         .otherwise(mid)
     )
-    return start - (norm_cdf(start) - p) * F.lit(SQRT_2PI) * F.exp(start * start / 2)
 
 
 def z_value(p: float) -> float:

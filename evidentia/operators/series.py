@@ -27,16 +27,15 @@ def align(series: DataFrame, name: str = "name", date: str = "d", value: str = "
           order: str | None = None) -> DataFrame:
     """Keep the dates that every series has.
 
-    A date repeated within a series keeps its last value by ``order``. One
-    shuffle on the date counts the series present; the number of series comes
-    from a one-row aggregate.
+    A date repeated within a series keeps its last value by ``order``. Rows are
+    first reduced to one per date and series, then one shuffle on the date
+    counts the series present; their number comes from a one-row aggregate.
     """
     agg = F.max_by(value, order) if order else F.max(value)
-    one = series.groupBy(date, name).agg(agg.alias(value))
     total = series.agg(F.count_distinct(name).alias("_n"))
-    held = one.groupBy(date).agg(F.count(F.lit(1)).alias("_k"))
-    common = held.join(F.broadcast(total)).filter("_k = _n").select(date)
-    return one.join(common, date, "left_semi").select(name, date, value)
+    one = series.groupBy(date, name).agg(agg.alias(value))
+    counted = one.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(date)))
+    return counted.join(F.broadcast(total)).filter("_k = _n").select(name, date, value)
 
 
 def common_dates(series: DataFrame, name: str = "name", date: str = "d") -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidentia.session import task_count
+
 # The metric names a filing may report, in order of preference.
 METRICS = ["total revenue", "cost of revenue", "operating income",
            "research and development expense", "total operating expenses"]
@@ -76,6 +78,7 @@ def supplier_positions(spark: SparkSession, sf_dir: str, by: str = "supplier") -
         li = li.groupBy("l_suppkey", "ticker").agg(F.sum("v").alias("v")).join(
             sup, F.col("l_suppkey") == F.col("s_suppkey"))
     held = li.groupBy("portfolio_id", "ticker").agg(F.sum("v").alias("v"))
+    held = held.repartition(task_count(held), "portfolio_id")
     total = F.sum("v").over(Window.partitionBy("portfolio_id"))
     return held.select(
         "portfolio_id", "ticker", (F.col("v").cast("double") / total.cast("double")).alias("weight"),
