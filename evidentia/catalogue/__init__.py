@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["risk", "research"]
+PARTS = ["risk", "research", "ledger"]
 
 
 def load() -> tuple[dict, dict]:
