@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["risk", "research", "ledger"]
+PARTS = ["risk", "research", "ledger", "filings"]
 
 
 def load() -> tuple[dict, dict]:

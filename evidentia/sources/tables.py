@@ -18,6 +18,7 @@ METRICS = ["total revenue", "cost of revenue", "operating income",
 # Order priorities stand for the reported tags, one to one with METRICS.
 PRIORITY_TAGS = {"1-URGENT": "Revenues", "2-HIGH": "CostOfRevenue", "3-MEDIUM": "OperatingIncomeLoss",
                  "4-NOT SPECIFIED": "ResearchAndDevelopmentExpense", "5-LOW": "OperatingExpenses"}
+AMENDED_TAGS = {"1-URGENT": "RevenueFromContractWithCustomerExcludingAssessedTax", "2-HIGH": "CostOfGoodsAndServicesSold"}
 STATUS_FORMS = {"F": "10-K", "P": "10-K/A", "O": "10-Q"}
 
 
@@ -131,12 +132,14 @@ def name_universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported figures: one per company, tag, fiscal year and form.
 
-    A company is a customer, a tag an order priority, a form an order status.
+    A company is a customer, a tag an order priority, a form an order status;
+    amended filings use the newer tag for revenue and cost.
     Amounts are scaled up so that they still have digits in millions.
     """
     o = table(spark, sf_dir, "orders").select(
         F.format_string("C%09d", "o_custkey").alias("ticker"),
-        mapped("o_orderpriority", PRIORITY_TAGS).alias("tag"),
+        F.coalesce(F.when(F.col("o_orderstatus") == "P", mapped("o_orderpriority", AMENDED_TAGS)),
+                   mapped("o_orderpriority", PRIORITY_TAGS)).alias("tag"),
         F.year("o_orderdate").alias("fy"),
         mapped("o_orderstatus", STATUS_FORMS).alias("form"),
         F.to_date("o_orderdate").alias("filed"),
@@ -177,3 +180,18 @@ def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(back, F.col("price")).otherwise(zero).alias("deposit"),
         F.when(F.col("l_linestatus") == "O", F.col("p_brand")).otherwise(F.lit("")).alias("account"),
     )
+
+
+def concept_documents(facts: DataFrame) -> DataFrame:
+    """(ticker, tag, doc_id, text): the JSON a filing service would answer with, per company and tag.
+
+    A document lists at most one fact per fiscal year and form.
+    """
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    fact = F.concat(
+        F.lit('{"start":"'), day("start"), F.lit('","end":"'), day("end"), F.lit('","val":'), F.col("val").cast("string"),
+        F.lit(',"accn":"'), F.col("accn"), F.lit('","fy":'), F.col("fy").cast("string"), F.lit(',"fp":"FY","form":"'),
+        F.col("form"), F.lit('","filed":"'), day("filed"), F.lit('"}'))
+    listed = facts.groupBy("ticker", "tag").agg(F.sort_array(F.collect_list(F.struct("fy", "form", fact.alias("j")))).alias("fs"))
+    return listed.select("ticker", "tag", F.concat_ws(":", "ticker", "tag").alias("doc_id"), F.concat(
+        F.lit('{"tag":"'), F.col("tag"), F.lit('","units":{"USD":['), F.array_join(F.col("fs.j"), ","), F.lit("]}}")).alias("text"))
