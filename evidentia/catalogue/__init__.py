@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["risk", "research", "ledger", "filings"]
+PARTS = ["risk", "research", "ledger", "filings", "lineage"]
 
 
 def load() -> tuple[dict, dict]:
