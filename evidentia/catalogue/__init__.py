@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["risk", "research", "ledger", "filings", "lineage"]
+PARTS = ["risk", "research", "ledger", "filings", "lineage", "chat"]
 
 
 def load() -> tuple[dict, dict]:

@@ -195,3 +195,47 @@ def concept_documents(facts: DataFrame) -> DataFrame:
     listed = facts.groupBy("ticker", "tag").agg(F.sort_array(F.collect_list(F.struct("fy", "form", fact.alias("j")))).alias("fs"))
     return listed.select("ticker", "tag", F.concat_ws(":", "ticker", "tag").alias("doc_id"), F.concat(
         F.lit('{"tag":"'), F.col("tag"), F.lit('","units":{"USD":['), F.array_join(F.col("fs.j"), ","), F.lit("]}}")).alias("text"))
+
+
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(msg_id, conv_id, turn, role, create_time, content, ids, group fields) from conversations.
+
+    Odd conversations are group rooms; every fifth turn calls the bot by name,
+    every seventh quotes an earlier message.
+    """
+    c = table(spark, sf_dir, "conversations")
+    content = (
+        F.when(F.col("turn") % 5 == 0, F.concat(F.lit("bot "), "text"))
+        .when(F.col("turn") % 5 == 3, F.concat(F.lit("@helper "), "text"))
+        .when(F.col("turn") % 7 == 6, F.concat(F.lit("「"), "text", F.lit("」\n- - - - - - -\nok"))).otherwise(F.col("text")))
+    return c.select(
+        F.format_string("%d-%d", "conv_id", "turn").alias("msg_id"), "conv_id", "turn", "role",
+        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 613 + F.col("turn") * 37).alias("create_time"),
+        content.alias("content"), F.when(F.col("role") == "assistant", "BOT").otherwise(F.format_string("U%03d", F.col("conv_id") % 50)).alias("from_user_id"),
+        F.format_string("P%03d", F.col("conv_id") % 50).alias("other_user_id"), F.format_string("U%03d", F.col("conv_id") % 50).alias("actual_user_id"),
+        (F.col("conv_id") % 2 == 1).alias("is_group"), F.format_string("room %d", F.col("conv_id") % 7).alias("group_name"),
+        F.format_string("G%d", F.col("conv_id") % 7).alias("group_id"), (F.col("turn") % 3 == 0).alias("is_at"))
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(paper_id, topic, title, authors, summary, link): bibliographic records read off the documents."""
+    d = table(spark, sf_dir, "documents").withColumn("w", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "))
+    word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit("x"))
+    authors = (F.when(F.col("n_chars") % 3 == 0, F.array(F.concat_ws(" ", word(0), word(1), word(2))))
+               .when(F.col("n_chars") % 3 == 1, F.array(F.concat_ws(" ", word(0), word(1)), word(2)))
+               .otherwise(F.array(F.concat_ws(" ", word(0), word(1)), word(2), F.concat_ws(" ", word(3), word(4)))))
+    year = F.when(F.col("lang") != "es", F.concat(F.lit(", "), (F.lit(1990) + F.col("n_chars") % 30).cast("string"))).otherwise(F.lit(""))
+    return d.select(
+        F.col("doc_id").alias("paper_id"), F.concat_ws("-", "source", "lang").alias("topic"),
+        F.concat(word(5), F.lit(" "), word(6), F.lit(": "), F.lower(word(7)), F.lit(" "), word(8)).alias("title"), authors.alias("authors"),
+        F.when(F.col("lang") == "de", F.concat(word(9), year)).otherwise(F.concat(word(9), F.lit(" - "), "source", year, F.lit(" - web"))).alias("summary"),
+        F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("link"), "text")
+
+
+def reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, prompt, chosen, rejected): a user turn, the reply after it, and the turn two later."""
+    c = table(spark, sf_dir, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.when(F.col("role") == "assistant", F.col("text")).alias("chosen"))
+    far = c.select("conv_id", (F.col("turn") - 3).alias("turn"), F.when(F.col("role") == "assistant", F.col("text")).alias("rejected"))
+    return c.filter("role = 'user'").join(nxt, ["conv_id", "turn"], "left").join(far, ["conv_id", "turn"], "left").select(
+        F.format_string("%d-%d", "conv_id", "turn").alias("pair_id"), F.col("text").alias("prompt"), "chosen", "rejected")
