@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["risk", "research", "ledger", "filings", "lineage", "chat"]
+PARTS = ["risk", "research", "ledger", "filings", "lineage", "chat", "streams"]
 
 
 def load() -> tuple[dict, dict]:

@@ -198,12 +198,15 @@ def concept_documents(facts: DataFrame) -> DataFrame:
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_of(table(spark, sf_dir, "conversations"))
+
+
+def messages_of(c: DataFrame) -> DataFrame:
     """(msg_id, conv_id, turn, role, create_time, content, ids, group fields) from conversations.
 
     Odd conversations are group rooms; every fifth turn calls the bot by name,
     every seventh quotes an earlier message.
     """
-    c = table(spark, sf_dir, "conversations")
     content = (
         F.when(F.col("turn") % 5 == 0, F.concat(F.lit("bot "), "text"))
         .when(F.col("turn") % 5 == 3, F.concat(F.lit("@helper "), "text"))
