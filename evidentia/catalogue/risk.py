@@ -18,12 +18,20 @@ Z95, Z05 = z_value(0.95), z_value(1 - 0.95)
 
 
 def panel(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFrame:
-    """Asset returns on common dates; the fact table is read once and its small aggregate staged."""
-    return T.align(stage(V.asset_returns(spark, sf_dir, grain), "returns"), name="ticker", value="r")
+    """Asset returns on common dates.
+
+    The fact table is read once; its small aggregate is staged before and after
+    the alignment, so that Spark knows its size when it plans the joins.
+    """
+    return stage(T.align(stage(V.asset_returns(spark, sf_dir, grain), "returns"), name="ticker", value="r"), "panel")
+
+
+def _positions(spark, sf_dir, by="supplier"):
+    return stage(V.supplier_positions(spark, sf_dir, by), "positions")
 
 
 def _nation_series(spark, sf_dir):
-    return R.portfolio_returns(V.supplier_positions(spark, sf_dir, "nation"), panel(spark, sf_dir))
+    return R.portfolio_returns(_positions(spark, sf_dir, "nation"), panel(spark, sf_dir))
 
 
 def validate(spark, sf_dir):
@@ -46,19 +54,20 @@ def aligned_positions(spark, sf_dir):
 
 
 def portfolio_daily(spark, sf_dir):
-    s = R.portfolio_returns(V.supplier_positions(spark, sf_dir), panel(spark, sf_dir))
+    s = R.portfolio_returns(_positions(spark, sf_dir), panel(spark, sf_dir))
     return s.select("portfolio_id", "d", F.round("r", 9).alias("r"))
 
 
 def var_methods(spark, sf_dir):
-    s = R.portfolio_returns(V.supplier_positions(spark, sf_dir), panel(spark, sf_dir))
-    m = s.groupBy("portfolio_id").agg(
-        F.round(M.historical_var("r"), 6).alias("var_historical"),
-        F.round(M.gaussian_var("r"), 6).alias("var_gaussian"),
-        F.round(M.cornish_fisher_var("r"), 6).alias("var_cornish_fisher"),
-        F.round(M.volatility("r"), 6).alias("volatility"),
-        F.count("r").alias("observations"))
-    return m
+    s = R.portfolio_returns(_positions(spark, sf_dir), panel(spark, sf_dir))
+    return R.value_at_risk(s)
+
+
+def var_aggregates(spark, sf_dir):
+    """The aggregate forms, per asset."""
+    return panel(spark, sf_dir).groupBy("ticker").agg(
+        F.round(M.historical_var("r"), 6).alias("var_historical"), F.round(M.gaussian_var("r"), 6).alias("var_gaussian"),
+        F.round(M.cornish_fisher_var("r"), 6).alias("var_cornish_fisher"), F.round(M.volatility("r"), 6).alias("volatility"))
 
 
 def shortfall(spark, sf_dir):
@@ -73,7 +82,7 @@ def drawdown(spark, sf_dir):
 
 def contributions(spark, sf_dir):
     p = panel(spark, sf_dir)
-    pos = V.supplier_positions(spark, sf_dir)
+    pos = _positions(spark, sf_dir)
     return R.risk_contributions(pos, p, R.portfolio_returns(pos, p)).select(
         "portfolio_id", "ticker", "weight", "risk_contribution", "risk_share")
 
@@ -95,7 +104,7 @@ def concentration(spark, sf_dir):
 
 def stress(spark, sf_dir):
     p = panel(spark, sf_dir)
-    held = R.align_portfolios(V.supplier_positions(spark, sf_dir), p, R.betas(p, V.market_returns(spark, sf_dir)))
+    held = R.align_portfolios(_positions(spark, sf_dir), p, R.betas(p, V.market_returns(spark, sf_dir)))
     return R.stress(held)
 
 
@@ -109,7 +118,7 @@ def tilt(spark, sf_dir):
 def report(spark, sf_dir, grain="day"):
     p = panel(spark, sf_dir, grain)
     bt = R.betas(p, V.market_returns(spark, sf_dir))
-    out = P.risk_report(V.supplier_positions(spark, sf_dir), p, bt)
+    out = P.risk_report(_positions(spark, sf_dir), p, bt)
     return out.select(
         "portfolio_id", "n_positions", "observations", "annualised_volatility", "var_historical", "var_gaussian",
         "var_cornish_fisher", "expected_shortfall", "max_drawdown", "worst_run_loss", "hhi", "effective_positions",
@@ -144,6 +153,7 @@ QUERIES = {
     "portfolio_aligned": aligned_positions,
     "portfolio_returns": portfolio_daily,
     "risk_var_methods": var_methods,
+    "risk_var_aggregates": var_aggregates,
     "risk_expected_shortfall": shortfall,
     "risk_drawdown": drawdown,
     "risk_contributions": contributions,
@@ -280,6 +290,10 @@ m AS (SELECT *, CAST({Z05!r} AS DOUBLE) AS z FROM {S.moment_table('series', 'por
 SELECT portfolio_id, {S.rnd('-q', 6)} AS var_historical, {S.rnd(f'-(mean - {Z95!r} * sd)', 6)} AS var_gaussian,
        {S.rnd(_CF, 6)} AS var_cornish_fisher, {S.rnd('sd * sqrt(252)', 6)} AS volatility, n AS observations
 FROM m JOIN cut USING (portfolio_id)""",
+    "risk_var_aggregates": f"""WITH {S.PANEL}, cut AS (SELECT ticker, quantile_cont(r, 0.05) AS q FROM panel GROUP BY ticker),
+m AS (SELECT *, CAST({Z05!r} AS DOUBLE) AS z FROM {S.moment_table('panel', 'ticker')})
+SELECT ticker, {S.rnd('-q', 6)} AS var_historical, {S.rnd(f'-(mean - {Z95!r} * sd)', 6)} AS var_gaussian,
+       {S.rnd(_CF, 6)} AS var_cornish_fisher, {S.rnd('sd * sqrt(252)', 6)} AS volatility FROM m JOIN cut USING (ticker)""",
     "risk_expected_shortfall": f"""WITH {S.NATION_POSITIONS}, {S.PANEL}, {S.SERIES}, {_CUT}, {_TAIL}
 SELECT portfolio_id, {S.rnd('-q', 6)} AS var_historical, {S.rnd('es', 6)} AS expected_shortfall
 FROM cut JOIN tail USING (portfolio_id)""",

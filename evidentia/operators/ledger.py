@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.session import broadcast_if_small, stage
+
 UNCATEGORIZED = "Uncategorized"
 
 # Category keywords, in the order they are tried.
@@ -32,15 +36,15 @@ CATEGORY_KEYWORDS = {
 
 
 def keyword_category(description: Column, rules: dict[str, list[str]] = CATEGORY_KEYWORDS) -> Column:
-    """First category, in declared order, one of whose keywords the text contains."""
+    """First category, in declared order, one of whose keywords the text contains.
+
+    One alternation per category keeps the expression small enough to be
+    compiled.
+    """
     low = F.lower(description)
     out = F.when(description.isNull() | (description == ""), UNCATEGORIZED)
     for category, words in rules.items():
-        hit = None
-        for w in words:
-            c = F.contains(low, F.lit(w))
-            hit = c if hit is None else hit | c
-        out = out.when(hit, category)
+        out = out.when(F.rlike(low, F.lit("|".join(re.escape(w) for w in words))), category)
     return out.otherwise(UNCATEGORIZED)
 
 
@@ -48,16 +52,17 @@ def classify(entries: DataFrame, rules: dict[str, list[str]] = CATEGORY_KEYWORDS
              labels: DataFrame | None = None) -> DataFrame:
     """Add ``category``: a recorded label for the description if there is one, else the keyword rule.
 
-    ``labels`` is (description, category). The keyword rule is a codegen'd CASE
-    on the row, cheaper than the shuffle that classifying distinct descriptions
-    and joining them back would take.
+    ``labels`` is (description, category). Descriptions repeat a great deal, so
+    the rules run once per distinct description; that table is staged, and its
+    measured size decides how it is joined back.
     """
-    by_rule = keyword_category(F.col("description"), rules)
-    if labels is None:
-        return entries.withColumn("category", by_rule)
-    known = labels.groupBy("description").agg(F.min("category").alias("_label"))
-    return entries.join(known, "description", "left").withColumn(
-        "category", F.coalesce("_label", by_rule)).drop("_label")
+    kinds = entries.select("description").distinct().withColumn("category", keyword_category(F.col("description"), rules))
+    if labels is not None:
+        known = labels.groupBy("description").agg(F.min("category").alias("_label"))
+        kinds = kinds.join(known, "description", "left").select(
+            "description", F.coalesce("_label", "category").alias("category"))
+    kinds = broadcast_if_small(stage(kinds.withColumnRenamed("description", "_text"), "descriptions"))
+    return entries.join(kinds, F.col("description").eqNullSafe(F.col("_text")), "left").drop("_text")
 
 
 def entry_type_amount(entries: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import measures as M
 from evidentia.operators import series as T
+from evidentia.session import stage, task_count
 
 MIN_PAIRS = 8
 FLAT_SD = 1e-12
@@ -188,7 +189,8 @@ def crossover_returns(prices: DataFrame, fast: tuple[int, ...] = tuple(range(2,
     """(by, fast, slow, r) for every moving-average rule with fast < slow.
 
     Each distinct width's average is worked out once per row, from differences
-    of a running sum; the rules are then stacked from those columns. Warm-up
+    of a running sum, and staged; the rules are then stacked from plain columns
+    and spread over all tasks, as their sums need no order. Warm-up
     rows stay, with a return of zero, since a missing average never exceeds
     another.
     """
@@ -198,13 +200,15 @@ def crossover_returns(prices: DataFrame, fast: tuple[int, ...] = tuple(range(2,
     widths = sorted(set(fast) | set(slow))
     means = [F.when(F.col("_i") >= k, (F.col("_c") - F.coalesce(F.lag("_c", k).over(w), F.lit(0.0))) / k).alias(f"_m{k}")
              for k in widths]
-    wide = total.select(*by, "_next", px, *means).filter(F.col("_next").isNotNull()).withColumn(
-        "_r", F.col("_next") / F.col(px) - 1)
-    rules = [F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"),
-                      F.when(F.coalesce(F.col(f"_m{f}") > F.col(f"_m{s}"), F.lit(False)), F.col("_r"))
-                      .otherwise(F.lit(0.0)).alias("r"))
-             for f in fast for s in slow if f < s]
-    return wide.select(*by, F.explode(F.array(*rules)).alias("q")).select(*by, "q.fast", "q.slow", "q.r")
+    wide = total.select(*by, "_next", px, *means).filter(F.col("_next").isNotNull()).select(
+        *by, (F.col("_next") / F.col(px) - 1).alias("_r"), *[f"_m{k}" for k in widths])
+    wide = stage(wide, "means").repartition(task_count(prices))
+    held = lambda ks: F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_m{k}").alias("m")) for k in ks])
+    one = wide.select(*by, "_r", F.explode(held(fast)).alias("_a"), held(slow).alias("_bs"))
+    pairs = one.select(*by, "_r", "_a", F.explode("_bs").alias("_b")).filter(F.col("_a.k") < F.col("_b.k"))
+    rising = F.coalesce(F.col("_a.m") > F.col("_b.m"), F.lit(False))
+    return pairs.select(*by, F.col("_a.k").alias("fast"), F.col("_b.k").alias("slow"),
+                        F.when(rising, F.col("_r")).otherwise(F.lit(0.0)).alias("r"))
 
 
 def score_rules(rule_returns: DataFrame, by: list[str] = ["ticker"], min_obs: int = 250) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import measures as M
 from evidentia.functions.normal import bernoulli_ll, chi2_sf
-from evidentia.session import task_count
+from evidentia.session import broadcast_if_small, task_count
 
 DEFAULT_ALPHA = 0.95
 
@@ -73,7 +73,7 @@ def portfolio_returns(positions: DataFrame, returns: DataFrame) -> DataFrame:
     """(portfolio_id, d, r): weighted sum of asset returns per date."""
     return (
         positions.select("portfolio_id", "ticker", "weight").repartition(task_count(positions), "portfolio_id")
-        .join(returns.select("ticker", "d", F.col("r").alias("asset_r")), "ticker")
+        .join(broadcast_if_small(returns.select("ticker", "d", F.col("r").alias("asset_r"))), "ticker")
         .groupBy("portfolio_id", "d")
         .agg(F.sum(F.col("weight") * F.col("asset_r")).alias("r"))
     )
@@ -94,7 +94,7 @@ def return_measures(series: DataFrame, alpha: float = DEFAULT_ALPHA, run: int =
         .withColumn("cut", F.percentile("r", F.lit(1 - alpha)).over(whole))
         .withColumn("curve", F.product(growth).over(so_far))
         .withColumn("i", F.row_number().over(by_date) - 1)
-        .withColumn("run_return", F.when(F.count("r").over(ahead) == run, F.product(growth).over(ahead) - 1))
+        .withColumn("run_return", F.when(F.lead("d", run - 1).over(by_date).isNotNull(), F.product(growth).over(ahead) - 1))
         .withColumn("peak", F.max("curve").over(so_far))
     )
     worst = F.min(F.when(F.col("run_return").isNotNull(), F.struct("run_return", "i")))
@@ -119,19 +119,41 @@ def return_measures(series: DataFrame, alpha: float = DEFAULT_ALPHA, run: int =
     )
 
 
+def value_at_risk(series: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:
+    """The three value-at-risk forms and volatility per portfolio.
+
+    The exact quantile is taken over the window of a portfolio, which its
+    clustering already provides, rather than in an aggregate that would carry
+    every distinct return in its buffer.
+    """
+    cut = F.percentile("r", F.lit(1 - alpha)).over(Window.partitionBy("portfolio_id"))
+    m = series.withColumn("cut", cut).groupBy("portfolio_id").agg(*M.moments("r"), F.max("cut").alias("cut"))
+    mean, sd = F.col("mean"), F.col("sd")
+    return m.select(
+        "portfolio_id", F.round(-F.col("cut"), 6).alias("var_historical"),
+        F.round(-(mean - M.z_value(alpha) * sd), 6).alias("var_gaussian"),
+        F.round(M.cornish_fisher_var_of(mean, sd, F.col("skew"), F.col("kurt"), alpha), 6).alias("var_cornish_fisher"),
+        F.round(sd * (M.PERIODS ** 0.5), 6).alias("volatility"), F.col("n").alias("observations"))
+
+
 def risk_contributions(positions: DataFrame, returns: DataFrame, series: DataFrame) -> DataFrame:
     """Euler split of portfolio volatility: w * cov(asset, portfolio) / sd(portfolio).
 
     Adds up to the volatility. Uses the covariance of each held asset with its
-    portfolio, so no asset-by-asset matrix is formed.
+    portfolio, so no asset-by-asset matrix is formed. Assets and portfolios
+    share their dates, so each path becomes one array bounded by the calendar;
+    a position's two paths meet in its row and are reduced to a covariance
+    before anything is shuffled per day.
     """
+    path = lambda df, key: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("d", "r"))).alias("p")).select(
+        key, F.col("p.r").alias(f"{key}_path"))
     held = (
         positions.select("portfolio_id", "ticker", "weight").repartition(task_count(positions), "portfolio_id")
-        .join(returns.select("ticker", "d", F.col("r").alias("asset_r")), "ticker")
-        .join(series, ["portfolio_id", "d"])
+        .join(path(series, "portfolio_id"), "portfolio_id").join(broadcast_if_small(path(returns, "ticker")), "ticker")
     )
-    parts = held.groupBy("portfolio_id", "ticker").agg(
-        F.max("weight").alias("weight"), F.covar_samp("asset_r", "r").alias("cov"))
+    days = held.select("portfolio_id", "ticker", "weight", F.explode(F.arrays_zip("portfolio_id_path", "ticker_path")).alias("x"))
+    parts = days.groupBy("portfolio_id", "ticker").agg(
+        F.max("weight").alias("weight"), F.covar_samp("x.ticker_path", "x.portfolio_id_path").alias("cov"))
     whole = Window.partitionBy("portfolio_id")
     total = F.sqrt(F.greatest(F.lit(1e-30), F.sum(F.col("weight") * F.col("cov")).over(whole)))
     raw = parts.withColumn("total", total).withColumn("c", F.col("weight") * F.col("cov") / F.col("total"))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.operators import risk as R
+from evidentia.session import stage
 
 
 def risk_report(positions: DataFrame, returns: DataFrame, betas: DataFrame, alpha: float = 0.95) -> DataFrame:
     """One row per portfolio: measures, concentration and stress, rounded for presentation."""
-    held = R.align_portfolios(positions, returns, betas)
+    held = stage(R.align_portfolios(positions, returns, betas), "held")
     measures = R.return_measures(R.portfolio_returns(held, returns), alpha).drop("mean", "sd", "skew", "kurt")
     moves = held.groupBy("portfolio_id").agg(
         F.round(F.sum(F.col("weight") * F.col("beta")) * -0.10, 6).alias("shock_10"),
@@ -27,7 +28,7 @@ def full_report(positions: DataFrame, returns: DataFrame, betas: DataFrame, alph
     The nested lists are bounded by the positions of a portfolio and by the
     five rules.
     """
-    held = R.align_portfolios(positions, returns, betas)
+    held = stage(R.align_portfolios(positions, returns, betas), "held")
     series = R.portfolio_returns(held, returns)
     report = risk_report(positions, returns, betas, alpha)
     parts = R.risk_contributions(held, returns, series)
