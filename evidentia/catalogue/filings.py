@@ -8,6 +8,7 @@ from evidentia.functions import text as X
 from evidentia.operators import facts as O
 from evidentia.operators import qa as Q
 from evidentia.session import stage
+from evidentia.sources import readers as R
 from evidentia.sources import tables as V
 
 
@@ -123,6 +124,23 @@ def recorded(spark, sf_dir):
     return Q.model_against_stubs(Q.grade(both), "recorded")
 
 
+def call_log(spark, sf_dir):
+    """Events as a call log: the type is the answerer, the value its latency."""
+    e = V.table(spark, sf_dir, "events")
+    return Q.call_log_summary(e.select(F.col("event_type").alias("answerer"), F.col("value").alias("latency"),
+                                       F.when(F.col("value") > 100, "timeout").alias("error")), 1.0)
+
+
+def filings_index(spark, sf_dir):
+    return R.parse_filings_index(V.filings_documents(V.company_facts(spark, sf_dir))).select(
+        "ticker", "cik", "filed", "accession", "url", "dest")
+
+
+def filings_short(spark, sf_dir):
+    d = stage(V.filings_documents(V.company_facts(spark, sf_dir)), "indexes")
+    return R.filings_shortfall(d, R.parse_filings_index(d))
+
+
 def number_sets(spark, sf_dir):
     """Numbers, refusals and citations of whole documents."""
     d = V.table(spark, sf_dir, "documents")
@@ -143,6 +161,7 @@ QUERIES = {
     "suite_audit": audit, "suite_prompts": prompts, "suite_figures": figures, "suite_terms": question_terms,
     "suite_lookup": looked_up, "suite_grades": grades, "suite_scores": scores, "suite_separation": separation,
     "suite_transcripts": transcripts, "suite_recorded": recorded,
+    "suite_call_log": call_log, "filings_index": filings_index, "filings_shortfall": filings_short,
     "text_numbers": number_sets, "text_sentences": document_sentences,
 }
 
@@ -296,6 +315,13 @@ SELECT (SELECT answerer FROM acc ORDER BY a DESC, o LIMIT 1) AS best, (SELECT an
   round(max(a) - min(a), 4) AS spread FROM acc""",
     "suite_transcripts": f"WITH {GRADED} SELECT answerer, ticker, CAST(ord AS INT) AS ord, text AS question, reply AS answer, category, ok, failure FROM final",
     "suite_figures": rf"""WITH {LOOKUP} SELECT ticker, doc_id, CASE WHEN right(low, 1) = '.' THEN low ELSE low || '.' END AS low, year, figure FROM figs WHERE figure <> ''""",
+    "suite_call_log": """SELECT event_type AS answerer, count(*) AS calls, count(*) FILTER (value > 100) AS failed,
+  list_sort(list(value))[count(*) // 2 + 1] AS median_latency FROM events GROUP BY 1""",
+    "filings_index": f"""WITH {FACTS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY filed DESC, accn DESC) AS r FROM facts WHERE form = '10-K')
+SELECT ticker, lpad(regexp_replace(ticker, '^C0*', ''), 10, '0') AS cik, CAST(filed AS VARCHAR) AS filed, accn || '-1' AS accession,
+  'https://www.sec.gov/Archives/edgar/data/' || regexp_replace(ticker, '^C0*', '') || '/' || accn || '1/' || accn || '.htm' AS url,
+  lower(ticker) || '/10-K-' || filed || '.htm' AS dest FROM k WHERE r <= 2""",
+    "filings_shortfall": f"""WITH {FACTS} SELECT ticker, count(*) FILTER (form = '10-K') AS found, 2 AS needed FROM facts GROUP BY 1 HAVING count(*) FILTER (form = '10-K') < 2""",
     "text_numbers": rf"""SELECT doc_id, array_to_string(list_sort({_nums('text')}), '|') AS numbers, {_refusal('text')} AS refusal,
   CAST(len(list_distinct(regexp_extract_all(text, '\[([A-Za-z0-9_\-]+)\]', 1))) AS INT) AS n_cites FROM documents""",
     "text_sentences": r"""WITH f AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\. ', '.' || chr(1), 'g'), chr(1)) AS s FROM documents)

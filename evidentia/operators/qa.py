@@ -256,20 +256,25 @@ def transcripts(graded: DataFrame) -> DataFrame:
     return graded.select("answerer", "ticker", "ord", F.col("text").alias("question"), "answer", "category", "ok", "failure")
 
 
-def call_log_summary(calls: DataFrame) -> DataFrame:
-    """Calls, failures and upper median latency of (answerer, latency, error).
+def call_log_summary(calls: DataFrame, width: float = 0.1) -> DataFrame:
+    """Calls, failures and exact upper median latency of (answerer, latency, error).
 
-    The exact upper median is the smallest latency whose rank reaches half the
-    calls: latencies are counted by value first, so equal ones shrink before
-    the window.
+    Latencies are counted in bands first; the running count over the bands
+    names the one holding the median, and only its values are ranked. An
+    answerer with very many calls is thus never sorted as a whole.
     """
-    values = calls.groupBy("answerer", "latency").agg(F.count(F.lit(1)).alias("k"), F.count("error").alias("bad"))
+    band = F.floor(F.col("latency") / width).alias("band")
+    bands = calls.groupBy("answerer", band).agg(F.count(F.lit(1)).alias("k"), F.count("error").alias("bad"))
     w = Window.partitionBy("answerer")
-    seen = F.sum("k").over(w.orderBy("latency").rowsBetween(Window.unboundedPreceding, 0))
-    v = values.withColumn("seen", seen).withColumn("n", F.sum("k").over(w))
-    return v.groupBy("answerer").agg(
-        F.max("n").alias("calls"), F.sum("bad").alias("failed"),
-        F.min(F.when(F.col("seen") > F.floor(F.col("n") / 2), F.col("latency"))).alias("median_latency"))
+    below = F.coalesce(F.sum("k").over(w.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = bands.withColumn("below", below).withColumn("n", F.sum("k").over(w)).withColumn("failed", F.sum("bad").over(w))
+    rank = F.floor(F.col("n") / 2)
+    target = placed.filter((F.col("below") <= rank) & (rank < F.col("below") + F.col("k"))).select("answerer", "band", "below", "n", "failed")
+    inside = calls.select("answerer", "latency", band).join(target, ["answerer", "band"]).groupBy(
+        "answerer", "latency").agg(F.count(F.lit(1)).alias("k"), F.max("below").alias("below"), F.max("n").alias("n"), F.max("failed").alias("failed"))
+    seen = F.col("below") + F.sum("k").over(w.orderBy("latency").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("seen", seen).filter(F.col("seen") > F.floor(F.col("n") / 2)).groupBy("answerer").agg(
+        F.max("n").alias("calls"), F.max("failed").alias("failed"), F.min("latency").alias("median_latency"))
 
 
 def model_against_stubs(graded: DataFrame, model: str) -> DataFrame:

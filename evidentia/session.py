@@ -22,6 +22,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "evid
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "localhost")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
         .getOrCreate()
     )
 

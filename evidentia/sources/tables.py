@@ -242,3 +242,16 @@ def reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     far = c.select("conv_id", (F.col("turn") - 3).alias("turn"), F.when(F.col("role") == "assistant", F.col("text")).alias("rejected"))
     return c.filter("role = 'user'").join(nxt, ["conv_id", "turn"], "left").join(far, ["conv_id", "turn"], "left").select(
         F.format_string("%d-%d", "conv_id", "turn").alias("pair_id"), F.col("text").alias("prompt"), "chosen", "rejected")
+
+
+def filings_documents(facts: DataFrame) -> DataFrame:
+    """(ticker, text): filing indexes with parallel arrays, newest first, from a company's reported facts.
+
+    A company's facts are bounded by its tags, fiscal years and forms.
+    """
+    listed = facts.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("filed", "accn", "form")), asc=False).alias("f"))
+    quoted = lambda fn: F.concat(F.lit("["), F.array_join(F.transform("f", lambda x: F.concat(F.lit('"'), fn(x), F.lit('"'))), ","), F.lit("]"))
+    return listed.select("ticker", F.concat(
+        F.lit('{"cik":"'), F.regexp_replace("ticker", "^C0*", ""), F.lit('","filings":{"recent":{"form":'), quoted(lambda x: x["form"]),
+        F.lit(',"filingDate":'), quoted(lambda x: x["filed"].cast("string")), F.lit(',"accessionNumber":'), quoted(lambda x: F.concat_ws("-", x["accn"], F.lit("1"))),
+        F.lit(',"primaryDocument":'), quoted(lambda x: F.concat(x["accn"], F.lit(".htm"))), F.lit("}}}")).alias("text"))
