@@ -20,8 +20,17 @@ def _plain(df):
     return df.select(*[F.col(n).cast("double").alias(n) if t.startswith("decimal") else F.col(n) for n, t in df.dtypes])
 
 
-def _over(fn, *args, **kw):
-    return lambda spark, sf_dir: _plain(fn(_entries(spark, sf_dir), *args, **kw))
+def _typed(spark, sf_dir):
+    """Entries without a category, for what does not ask for one."""
+    return L.entry_type_amount(V.ledger_entries(spark, sf_dir))
+
+
+def _over(fn, *args):
+    return lambda spark, sf_dir: _plain(fn(_entries(spark, sf_dir), *args))
+
+
+def _over_typed(fn, *args):
+    return lambda spark, sf_dir: _plain(fn(_typed(spark, sf_dir), *args))
 
 
 def types(spark, sf_dir):
@@ -65,7 +74,7 @@ def anomalies_top(spark, sf_dir):
 
 
 def insights(spark, sf_dir):
-    return _plain(L.spending_insights(_entries(spark, sf_dir)).withColumn(
+    return _plain(L.spending_insights(_typed(spark, sf_dir)).withColumn(
         "avg_daily_expense", F.round("avg_daily_expense", 4)))
 
 
@@ -74,7 +83,7 @@ def top_categories(spark, sf_dir):
 
 
 def trends(spark, sf_dir):
-    return _plain(L.trend_stats(_entries(spark, sf_dir)).withColumn("mean", F.round("mean", 4)))
+    return _plain(L.trend_stats(_typed(spark, sf_dir)).withColumn("mean", F.round("mean", 4)))
 
 
 def running(spark, sf_dir):
@@ -88,26 +97,26 @@ QUERIES = {
     "ledger_validate": validated,
     "ledger_recategorise": recategorised,
     "ledger_category_summary": _over(L.category_summary),
-    "ledger_time_buckets": _over(L.time_buckets),
-    "ledger_account_summary": _over(L.account_summary),
-    "ledger_merchant_top": _over(L.merchant_top),
-    "ledger_balance": _over(L.balance),
+    "ledger_time_buckets": _over_typed(L.time_buckets),
+    "ledger_account_summary": _over_typed(L.account_summary),
+    "ledger_merchant_top": _over_typed(L.merchant_top),
+    "ledger_balance": _over_typed(L.balance),
     "ledger_insights": insights,
     "ledger_top_categories": top_categories,
     "ledger_anomalies": anomalies,
     "ledger_anomalies_top": anomalies_top,
-    "ledger_by_month": _over(L.income_expense_by_period, "yyyy-MM"),
-    "ledger_by_day": _over(L.income_expense_by_period, "yyyy-MM-dd"),
+    "ledger_by_month": _over_typed(L.income_expense_by_period, "yyyy-MM"),
+    "ledger_by_day": _over_typed(L.income_expense_by_period, "yyyy-MM-dd"),
     "ledger_share_category": _over(L.share_by_type, "category", "Uncategorized"),
-    "ledger_share_account": _over(L.share_by_type, "account", "Other"),
+    "ledger_share_account": _over_typed(L.share_by_type, "account", "Other"),
     "ledger_category_rollup": rollup,
     "ledger_summary_cards": lambda s, d: _plain(L.summary_cards(L.category_summary(_entries(s, d)))),
     "ledger_distinct_descriptions": lambda s, d: L.distinct_by_category(V.ledger_entries(s, d), RULES),
     "ledger_running_total": running,
-    "ledger_daily_running_total": _over(L.daily_running_total),
+    "ledger_daily_running_total": _over_typed(L.daily_running_total),
     "ledger_trend_stats": trends,
-    "ledger_last_days": _over(L.last_n_periods),
-    "ledger_date_extent": _over(L.date_extent),
+    "ledger_last_days": _over_typed(L.last_n_periods),
+    "ledger_date_extent": _over_typed(L.date_extent),
 }
 
 

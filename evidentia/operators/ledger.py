@@ -56,13 +56,21 @@ def classify(entries: DataFrame, rules: dict[str, list[str]] = CATEGORY_KEYWORDS
     the rules run once per distinct description; that table is staged, and its
     measured size decides how it is joined back.
     """
-    kinds = entries.select("description").distinct().withColumn("category", keyword_category(F.col("description"), rules))
+    kinds = description_categories(entries, rules)
     if labels is not None:
-        known = labels.groupBy("description").agg(F.min("category").alias("_label"))
-        kinds = kinds.join(known, "description", "left").select(
-            "description", F.coalesce("_label", "category").alias("category"))
-    kinds = broadcast_if_small(stage(kinds.withColumnRenamed("description", "_text"), "descriptions"))
-    return entries.join(kinds, F.col("description").eqNullSafe(F.col("_text")), "left").drop("_text")
+        known = labels.groupBy(F.col("description").alias("_text")).agg(F.min("category").alias("_label"))
+        kinds = kinds.join(known, "_text", "left").select("_text", F.coalesce("_label", "_category").alias("_category"))
+    return _with_kinds(entries, kinds).withColumnRenamed("_category", "category")
+
+
+def description_categories(entries: DataFrame, rules: dict[str, list[str]] = CATEGORY_KEYWORDS) -> DataFrame:
+    """(_text, _category): the keyword rules' answer per distinct description, staged."""
+    kinds = entries.select(F.col("description").alias("_text")).distinct()
+    return stage(kinds.withColumn("_category", keyword_category(F.col("_text"), rules)), "descriptions")
+
+
+def _with_kinds(entries: DataFrame, kinds: DataFrame) -> DataFrame:
+    return entries.join(broadcast_if_small(kinds), F.col("description").eqNullSafe(F.col("_text")), "left").drop("_text")
 
 
 def entry_type_amount(entries: DataFrame) -> DataFrame:
@@ -89,10 +97,10 @@ def validate_entries(entries: DataFrame) -> DataFrame:
 def recategorise(entries: DataFrame, rules: dict[str, list[str]] = CATEGORY_KEYWORDS) -> DataFrame:
     """Fill missing categories where a rule matches; ``updated`` marks the rows changed."""
     bare = F.col("category").isNull() | (F.col("category") == UNCATEGORIZED)
-    found = keyword_category(F.col("description"), rules)
-    changed = bare & (found != UNCATEGORIZED)
-    return entries.withColumn("updated", changed).withColumn(
-        "category", F.when(F.col("updated"), found).otherwise(F.col("category")))
+    e = _with_kinds(entries, description_categories(entries, rules))
+    changed = bare & (F.col("_category") != UNCATEGORIZED)
+    return e.withColumn("updated", changed).withColumn(
+        "category", F.when(F.col("updated"), F.col("_category")).otherwise(F.col("category"))).drop("_category")
 
 
 def category_summary(entries: DataFrame) -> DataFrame:
