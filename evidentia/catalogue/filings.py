@@ -18,7 +18,7 @@ def _by_year(spark, sf_dir):
 
 def _cells(spark, sf_dir):
     """Cells of every company, staged: suite and documents are both built from them."""
-    return stage(O.metric_cells(O.label_tags(_by_year(spark, sf_dir))), "cells")
+    return stage(O.metric_cells(O.label_tags(_by_year(spark, sf_dir))), "cells", "ticker")
 
 
 def original(spark, sf_dir):

@@ -19,7 +19,7 @@ BEFORE, FIGURE = r"\s", r"[0-9][0-9,]*(?:\.[0-9]+)?"
 
 def _concepts(spark, sf_dir):
     """Concept documents, staged: facts and spans are both read from them."""
-    return stage(V.concept_documents(V.company_facts(spark, sf_dir)), "concepts")
+    return stage(V.concept_documents(V.company_facts(spark, sf_dir)), "concepts", "ticker")
 
 
 def _metrics(spark, sf_dir):
@@ -49,7 +49,7 @@ def spans(spark, sf_dir):
 
 def cards(spark, sf_dir):
     m, docs = _metrics(spark, sf_dir)
-    return K.metric_card(stage(m, "metrics"), docs, ["ticker", "metric"])
+    return K.metric_card(stage(m, "metrics", "ticker"), docs, ["ticker", "metric"])
 
 
 def evidence(spark, sf_dir):
@@ -58,7 +58,7 @@ def evidence(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    row = stage(C.company_row(C.located_fields(_concepts(spark, sf_dir))), "companies")
+    row = stage(C.company_row(C.located_fields(_concepts(spark, sf_dir))), "companies", "ticker")
     return K.derivation_graph(row, ["ticker"], C.metric_definitions()["gross_margin"])
 
 

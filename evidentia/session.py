@@ -44,8 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back.
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back, clustered ``by`` a column if one is given.
 
     For aggregates that several branches of one plan read: the big scan behind
     them runs once, the lineage is cut at durable files, and the files' size
@@ -54,7 +54,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/evidentia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    return staged.repartition(task_count(staged), by) if by else staged
 
 
 def task_count(df: DataFrame) -> int:
