@@ -42,7 +42,8 @@ def in_range(spark, sf_dir):
 
 
 def factor(spark, sf_dir):
-    out = T.join_factor(stage(V.asset_returns(spark, sf_dir), "returns"), V.market_returns(spark, sf_dir), lookback=1500)
+    sums = stage(V.discount_sums(spark, sf_dir), "sums")
+    out = T.join_factor(V.returns_of(sums), V.market_of(sums), lookback=1500)
     return out.groupBy("ticker", "benchmark").agg(F.count("r").alias("n"), F.min("d").alias("first"), F.max("d").alias("last"),
                                                   F.round(F.avg(F.col("r") - F.col("b")), 9).alias("mean_excess"))
 

@@ -17,13 +17,19 @@ from evidentia.sources import tables as V
 Z95, Z05 = z_value(0.95), z_value(1 - 0.95)
 
 
-def panel(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFrame:
-    """Asset returns on common dates.
+def panel_and_market(spark: SparkSession, sf_dir: str, grain: str = "day") -> tuple[DataFrame, DataFrame]:
+    """Asset returns on common dates, and the benchmark.
 
-    The fact table is read once; its small aggregate is staged before and after
-    the alignment, so that Spark knows its size when it plans the joins.
+    The fact table is read once for both; its small aggregate is staged, and
+    the panel again after the alignment, so that Spark knows its size when it
+    plans the joins.
     """
-    return stage(T.align(stage(V.asset_returns(spark, sf_dir, grain), "returns"), name="ticker", value="r"), "panel")
+    sums = stage(V.discount_sums(spark, sf_dir, grain), "sums")
+    return stage(T.align(V.returns_of(sums), name="ticker", value="r"), "panel"), V.market_of(sums)
+
+
+def panel(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFrame:
+    return panel_and_market(spark, sf_dir, grain)[0]
 
 
 def _positions(spark, sf_dir, by="supplier"):
@@ -46,8 +52,8 @@ def rejected(spark, sf_dir):
 
 
 def aligned_positions(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    bt = R.betas(p, V.market_returns(spark, sf_dir))
+    p, market = panel_and_market(spark, sf_dir)
+    bt = R.betas(p, market)
     requests = R.positions_of(R.validate_portfolios(V.portfolio_requests(spark, sf_dir)))
     out = R.align_portfolios(requests, p, bt)
     return out.select("portfolio_id", "ticker", F.round("weight", 9).alias("weight"), F.round("beta", 6).alias("beta"))
@@ -92,8 +98,8 @@ def covariance(spark, sf_dir):
 
 
 def beta_table(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    against = R.betas(p, V.market_returns(spark, sf_dir)).select("ticker", F.round("beta", 6).alias("beta_market"))
+    p, market = panel_and_market(spark, sf_dir)
+    against = R.betas(p, market).select("ticker", F.round("beta", 6).alias("beta_market"))
     proxy = R.betas(p).select("ticker", F.round("beta", 6).alias("beta_mean"))
     return against.join(proxy, "ticker")
 
@@ -103,21 +109,21 @@ def concentration(spark, sf_dir):
 
 
 def stress(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    held = R.align_portfolios(_positions(spark, sf_dir), p, R.betas(p, V.market_returns(spark, sf_dir)))
+    p, market = panel_and_market(spark, sf_dir)
+    held = R.align_portfolios(_positions(spark, sf_dir), p, R.betas(p, market))
     return R.stress(held)
 
 
 def tilt(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    bt = R.betas(p, V.market_returns(spark, sf_dir))
+    p, market = panel_and_market(spark, sf_dir)
+    bt = R.betas(p, market)
     both = R.high_beta_tilt(bt).unionByName(R.high_beta_tilt(bt, 0.18, "HIDDEN-RISK"))
     return both.select("portfolio_id", "ticker", F.round("weight", 6).alias("weight"))
 
 
 def report(spark, sf_dir, grain="day"):
-    p = panel(spark, sf_dir, grain)
-    bt = R.betas(p, V.market_returns(spark, sf_dir))
+    p, market = panel_and_market(spark, sf_dir, grain)
+    bt = R.betas(p, market)
     out = P.risk_report(_positions(spark, sf_dir), p, bt)
     return out.select(
         "portfolio_id", "n_positions", "observations", "annualised_volatility", "var_historical", "var_gaussian",
@@ -126,8 +132,8 @@ def report(spark, sf_dir, grain="day"):
 
 
 def checks(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    bt = R.betas(p, V.market_returns(spark, sf_dir))
+    p, market = panel_and_market(spark, sf_dir)
+    bt = R.betas(p, market)
     pos = (V.supplier_positions(spark, sf_dir, "nation")
            .unionByName(R.high_beta_tilt(bt)).unionByName(R.high_beta_tilt(bt, 0.7, "CONCENTRATED")))
     pos = stage(pos, "positions")

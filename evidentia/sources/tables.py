@@ -34,11 +34,8 @@ def mapped(col: str, values: dict[str, str]) -> Column:
     return out
 
 
-def asset_returns(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFrame:
-    """(ticker, d, r): mean discount per flag and status, less its centre of 5 %.
-
-    The sum is taken in decimals, so the result does not depend on row order.
-    """
+def discount_sums(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFrame:
+    """(ticker, d, s, n): exact sums and counts of the discount, from which asset and market returns both follow."""
     return (
         table(spark, sf_dir, "lineitem")
         .select(
@@ -47,18 +44,26 @@ def asset_returns(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataF
             F.col("l_discount").cast("decimal(4,2)").alias("x"),
         )
         .groupBy("ticker", "d")
-        .agg((F.sum("x").cast("double") / F.count("x") - 0.05).alias("r"))
+        .agg(F.sum("x").alias("s"), F.count("x").alias("n"))
     )
 
 
-def market_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def returns_of(sums: DataFrame) -> DataFrame:
+    """(ticker, d, r): mean discount per flag and status, less its centre of 5 %."""
+    return sums.select("ticker", "d", (F.col("s").cast("double") / F.col("n") - 0.05).alias("r"))
+
+
+def market_of(sums: DataFrame) -> DataFrame:
     """(d, b): the benchmark series, over all rows of a day."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select(F.to_date("l_shipdate").alias("d"), F.col("l_discount").cast("decimal(4,2)").alias("x"))
-        .groupBy("d")
-        .agg((F.sum("x").cast("double") / F.count("x") - 0.05).alias("b"))
-    )
+    return sums.groupBy("d").agg((F.sum("s").cast("double") / F.sum("n") - 0.05).alias("b"))
+
+
+def asset_returns(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFrame:
+    return returns_of(discount_sums(spark, sf_dir, grain))
+
+
+def market_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market_of(discount_sums(spark, sf_dir))
 
 
 def asset_prices(returns: DataFrame) -> DataFrame:
