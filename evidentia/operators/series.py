@@ -15,11 +15,17 @@ def _w(by: list[str], t: str):
 
 
 def date_range(df: DataFrame, start: str | None = None, end: str | None = None, date: str = "d") -> DataFrame:
-    """Rows between two dates, both included; either side may be open."""
+    """Rows between two dates, both included; either side may be open.
+
+    The bounds are literals of the column's own type, so they reach the file
+    scan; on a timestamp column the last day counts in full.
+    """
+    kind = dict(df.dtypes)[date]
     if start is not None:
-        df = df.filter(F.col(date) >= F.lit(start).cast("date"))
+        df = df.filter(F.col(date) >= F.lit(start).cast("date").cast(kind))
     if end is not None:
-        df = df.filter(F.col(date) <= F.lit(end).cast("date"))
+        day = F.lit(end).cast("date")
+        df = df.filter(F.col(date) <= day if kind == "date" else F.col(date) < F.date_add(day, 1).cast(kind))
     return df
 
 

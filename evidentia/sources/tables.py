@@ -35,9 +35,13 @@ def mapped(col: str, values: dict[str, str]) -> Column:
 
 
 def discount_sums(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFrame:
+    return discount_sums_of(table(spark, sf_dir, "lineitem"), grain)
+
+
+def discount_sums_of(lines: DataFrame, grain: str = "day") -> DataFrame:
     """(ticker, d, s, n): exact sums and counts of the discount, from which asset and market returns both follow."""
     return (
-        table(spark, sf_dir, "lineitem")
+        lines
         .select(
             F.concat("l_returnflag", "l_linestatus").alias("ticker"),
             F.to_date(F.date_trunc(grain, "l_shipdate")).alias("d"),
