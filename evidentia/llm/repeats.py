@@ -34,7 +34,7 @@ CHARS_PER_WORD = 6
 
 ASKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("place", pa.binary()), ("hashes", pa.binary()),
                    ("doc_id", pa.int64()), ("gone", pa.binary())])
-GONE = pa.schema([("doc_id", pa.int64()), ("gone", pa.binary())])
+GONE = pa.schema([("doc_id", pa.int64()), ("gone", pa.int64())])
 SPAN = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -139,36 +139,37 @@ def asked(window: int, buckets: int):
 
 
 def answered(group: pa.Table) -> pa.Table:
-    """Bucket: windows that a smaller document of another chunk holds, by document."""
+    """Bucket: a row per document and window that a smaller document holds."""
     asks = group.filter(pa.compute.is_valid(group["hashes"]))
-    told = group.filter(pa.compute.is_valid(group["gone"])).select(["doc_id", "gone"]).cast(GONE)
-    if not asks.num_rows:
-        return told
-    hashes, docs = [], []
-    for packed, place, h in zip(*(asks[c].to_pylist() for c in ("docs", "place", "hashes"))):
-        table = np.cumsum(np.frombuffer(zlib.decompress(packed), np.int64))
-        docs.append(table[np.frombuffer(place, np.uint16)])
-        hashes.append(unpack_sorted(h))
-    docs, hashes = np.concatenate(docs), np.concatenate(hashes)
-    _, again = settle(docs, hashes)
-    rows = list(by_doc(docs[again], hashes[again]))
-    found = pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(GONE.types)], schema=GONE)
-    return pa.concat_tables([told, found])
-
-
-def covered(words: list[bytes], gone: list[bytes] | None, memo: WordHashes, window: int) -> np.ndarray:
+    told = group.filter(pa.compute.is_valid(group["gone"]))
+    gone = [np.frombuffer(b, np.int64) for b in told["gone"].to_pylist()]
+    of_doc = [np.repeat(np.array(told["doc_id"].to_pylist(), np.int64), [len(g) for g in gone])]
+    if asks.num_rows:
+        hashes, docs = [], []
+        for packed, place, h in zip(*(asks[c].to_pylist() for c in ("docs", "place", "hashes"))):
+            table = np.cumsum(np.frombuffer(zlib.decompress(packed), np.int64))
+            docs.append(table[np.frombuffer(place, np.uint16)])
+            hashes.append(unpack_sorted(h))
+        docs, hashes = np.concatenate(docs), np.concatenate(hashes)
+        _, again = settle(docs, hashes)
+        of_doc.append(docs[again])
+        gone.append(hashes[again].view(np.int64))
+    return pa.table([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (of_doc, gone)], schema=GONE)
+
+
+def covered(words: list[bytes], gone: np.ndarray | None, memo: WordHashes, window: int) -> np.ndarray:
     """Whether each word lies in a window that goes."""
     out = np.zeros(len(words) + 1, np.int64)
-    if gone:
+    if gone is not None:
         h = window_hashes(words, memo, window)
-        hit = np.flatnonzero(np.isin(h, np.frombuffer(b"".join(gone), np.uint64)))
+        hit = np.flatnonzero(np.isin(h, gone))
         np.add.at(out, hit, 1)
         np.add.at(out, hit + window, -1)
     return np.cumsum(out)[:-1] > 0
 
 
 def gone_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and a list of packed window hashes to remove, for documents that lose any.
+    """doc_id and gone, the hashes of the windows to remove, for documents that lose any.
 
     Documents without an id neither cause removals nor lose words; rows with the
     same id count as one document. Hashes have 64 bits: two different windows
@@ -180,10 +181,14 @@ def gone_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(chars / CHARS_PER_WORD / BUCKET_WINDOWS))
     asks = docs.mapInArrow(asked(window, buckets), "bucket int, docs binary, place binary, hashes binary, doc_id long, gone binary")
-    told = asks.groupBy("bucket").applyInArrow(answered, "doc_id long, gone binary")
+    told = asks.groupBy("bucket").applyInArrow(answered, "doc_id long, gone long")
     return told.groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
 
 
+def hash_lists(column: pa.Array) -> list[np.ndarray | None]:
+    return [x.values.to_numpy().view(np.uint64) if x.is_valid else None for x in column]
+
+
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; null and empty texts have no words and the digest of nothing."""
 
@@ -191,10 +196,10 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         memo = WordHashes()
         for batch in batches:
             rows = []
-            for raw, gone in zip(raw_texts(batch.column("text")), batch.column("gone").to_pylist()):
+            for raw, gone in zip(raw_texts(batch.column("text")), hash_lists(batch.column("gone"))):
                 w = raw.split()
                 lost = covered(w, gone, memo, window)
-                kept = [x for x, out in zip(w, lost.tolist()) if not out] if gone else w
+                kept = [x for x, out in zip(w, lost.tolist()) if not out] if gone is not None else w
                 rows.append((len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             n, r, s = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -214,7 +219,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     names = docs.columns
     taken = f"gone_{'_'.join(names)}"
 
-    def cut(raw: bytes, gone: list[bytes], memo: WordHashes) -> bytes:
+    def cut(raw: bytes, gone: np.ndarray, memo: WordHashes) -> bytes:
         spans = [m.span() for m in SPAN.finditer(raw)]
         lost = covered([raw[a:b] for a, b in spans], gone, memo, window)
         edge = np.flatnonzero(np.diff(np.r_[True, lost, True].astype(np.int8)))
@@ -224,8 +229,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         memo = WordHashes()
         for batch in batches:
             text = batch.column("text")
-            new = [None if not ok else cut(raw, gone, memo) if gone else raw
-                   for ok, raw, gone in zip(text.is_valid().to_pylist(), raw_texts(text), batch.column(taken).to_pylist())]
+            new = [None if not ok else cut(raw, gone, memo) if gone is not None else raw
+                   for ok, raw, gone in zip(text.is_valid().to_pylist(), raw_texts(text), hash_lists(batch.column(taken)))]
             new = pa.array(new, pa.binary()).cast(pa.string())
             cols = {name: batch.column(name) for name in names} | {"text": new}
             if "n_chars" in cols:
