@@ -290,10 +290,8 @@ FROM kept GROUP BY conv_id""",
 UNION ALL SELECT conv_id, CAST(sum(length(text) + 3) + 3 AS BIGINT), 'gpt-4' FROM conversations GROUP BY 1
 UNION ALL SELECT conv_id, CAST(sum(length(text)) AS BIGINT), 'plain' FROM conversations GROUP BY 1""",
     "page_paragraphs": f"SELECT page_id, {_PTEXT} AS paragraphs FROM {_PARA}",
-    "page_research": f"""WITH p AS (SELECT *, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM {_PARA}),
-k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM p)
-SELECT host, string_agg(chr(10) || '标题: ' || title || chr(10) || {_PTEXT} || chr(10) || chr(10) || repeat('=', 80) || chr(10), '' ORDER BY r) AS research,
-  count(*) AS n_pages FROM k WHERE r <= 10 GROUP BY host""",
+    "page_research": f"""WITH p AS (SELECT *, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM {_PARA})
+SELECT host, page_id, chr(10) || '标题: ' || title || chr(10) || {_PTEXT} || chr(10) || chr(10) || repeat('=', 80) || chr(10) AS block FROM p""",
     "citation_apa": f"WITH {_PAPERS} SELECT paper_id, apa FROM ref",
     "citation_references": f"""WITH {_PAPERS}, n AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY paper_id) AS i FROM who)
 SELECT topic, CAST(i AS INT) AS "index", '[' || i || '] ' || apa AS reference, '(' || w || ', ' || year || ')[' || i || ']' AS citation FROM n WHERE i <= 25""",

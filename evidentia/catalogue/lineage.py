@@ -37,7 +37,7 @@ def extracted_pattern(spark, sf_dir):
 
 
 def concepts(spark, sf_dir):
-    return R.parse_concepts(_concepts(spark, sf_dir)).select("ticker", "tag", "unit", "val", "start", "end", "fy", "form", "filed", "accn")
+    return R.parse_concepts(_concepts(spark, sf_dir)).select("ticker", "tag", "unit", F.col("val").cast("double").alias("val"), "start", "end", "fy", "form", "filed", "accn")
 
 
 def spans(spark, sf_dir):
@@ -92,6 +92,15 @@ def verified_elsewhere(spark, sf_dir):
         "ticker", "metric", "n_spans", "n_checked", "n_problems", "first_issue", "ok")
 
 
+def problems(spark, sf_dir):
+    """The spans behind ``verified_elsewhere``'s verdicts, one row each."""
+    m, docs = _metrics(spark, sf_dir)
+    cost = F.col("tag").isin(*O.FIELD_TAGS["cost"])
+    now = docs.filter(~F.col("tag").isin("Revenues")).withColumn("text", F.when(cost, F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
+    out = K.span_problems(C.headline(m), now, ["ticker", "metric"])
+    return out.select("ticker", "metric", F.col("span_no").cast("int").alias("span_no"), "doc_id", "issue", "recorded_sha", "current_sha", "actual")
+
+
 def tampered(spark, sf_dir):
     m, docs = _metrics(spark, sf_dir)
     return K.tamper_probe(C.headline(m), docs, ["ticker", "metric"]).select("ticker", "metric", "n_spans", "n_problems", "ok")
@@ -134,7 +143,7 @@ QUERIES = {
     "lineage_extract": extracted, "lineage_extract_pattern": extracted_pattern, "lineage_concepts": concepts,
     "lineage_spans": spans, "lineage_metric_cards": cards, "lineage_evidence": evidence, "lineage_graph_stats": graph_stats,
     "lineage_explain": explained, "lineage_dot": dot, "lineage_verify": verified, "lineage_verify_changed": verified_elsewhere,
-    "lineage_tamper": tampered, "manifest_verify": manifest_verify, "manifest_refresh": manifest_refresh,
+    "lineage_tamper": tampered, "lineage_problems": problems, "manifest_verify": manifest_verify, "manifest_refresh": manifest_refresh,
     "manifest_require": manifest_require, "manifest_upsert": manifest_upsert,
 }
 
@@ -166,14 +175,14 @@ head AS (SELECT * FROM metric WHERE metric = 'gross_margin' UNION ALL
 _FILES = """d AS (SELECT lang || '/' || doc_id || '.txt' AS dest, lang, sha256(text) AS sha, sha256(CASE WHEN lang = 'fr' THEN lower(text) ELSE text END) AS now,
   substr(sha256('{"body": null, "url": "https://example.com/' || doc_id || '"}'), 1, 16) AS fp FROM documents)"""
 
-_ISSUES = """spans AS (SELECT ticker, metric, unnest(ds) AS doc_id FROM head),
+_ISSUES = """spans AS (SELECT ticker, metric, i, ds[i + 1] AS doc_id FROM head, range(0, 2) AS r(i) WHERE i < len(ds)),
 seen AS (SELECT *, CASE WHEN doc_id LIKE '%:Revenues' THEN 'source not supplied'
   WHEN doc_id LIKE '%:Cost%' THEN 'document has changed' END AS issue FROM spans)"""
 
 ORACLE = {
     "lineage_extract": _EXTRACT,
     "lineage_extract_pattern": f"SELECT doc_id, raw, start, \"end\" FROM ({_EXTRACT})",
-    "lineage_concepts": f"""WITH {FACTS} SELECT ticker, tag, 'USD' AS unit, val, fy || '-01-01' AS start, fy || '-12-31' AS "end", fy, form,
+    "lineage_concepts": f"""WITH {FACTS} SELECT ticker, tag, 'USD' AS unit, CAST(val AS DOUBLE) AS val, fy || '-01-01' AS start, fy || '-12-31' AS "end", fy, form,
   CAST(filed AS VARCHAR) AS filed, accn FROM facts""",
     "lineage_spans": f"""WITH {DOCS} SELECT ticker, field, tag, CAST(val AS DOUBLE) AS value, CAST(at0 AS INT) AS start,
   CAST(at0 + length(CAST(val AS VARCHAR)) AS INT) AS "end", substr(sha256(text), 1, 16) AS doc_sha, note FROM located""",
@@ -190,8 +199,13 @@ UNION ALL SELECT ticker, '0.1', 2, 'extract', k, cn, 1 FROM c UNION ALL SELECT t
     "lineage_dot": f"WITH {DOCS} SELECT ticker, 12 AS lines FROM metric WHERE metric = 'gross_margin'",
     "lineage_verify": f"""WITH {DOCS} SELECT ticker, metric, len(ds) AS n_spans, len(ds) AS n_checked, 0 AS n_problems, true AS ok FROM head""",
     "lineage_verify_changed": f"""WITH {DOCS}, {_ISSUES} SELECT ticker, metric, count(*) AS n_spans,
-  count(*) FILTER (issue IS NULL OR issue <> 'source not supplied') AS n_checked, count(issue) AS n_problems, min(issue) AS first_issue,
+  count(*) FILTER (issue IS NULL OR issue <> 'source not supplied') AS n_checked, count(issue) AS n_problems, arg_min(issue, i) FILTER (issue IS NOT NULL) AS first_issue,
   count(issue) = 0 AS ok FROM seen GROUP BY 1, 2""",
+    "lineage_problems": f"""WITH {DOCS}, s AS (SELECT ticker, metric, i, ds[i + 1] AS doc_id, CAST(vs[i + 1] AS VARCHAR) AS digits FROM head, range(0, 2) AS r(i) WHERE i < len(ds))
+SELECT ticker, metric, CAST(i AS INT) AS span_no, doc_id, CASE WHEN doc_id LIKE '%:Revenues' THEN 'source not supplied' ELSE 'document has changed' END AS issue,
+  substr(sha256(text), 1, 16) AS recorded_sha, CASE WHEN doc_id LIKE '%:Cost%' THEN substr(sha256(text || chr(10)), 1, 16) END AS current_sha,
+  CASE WHEN doc_id LIKE '%:Cost%' THEN digits END AS actual
+FROM s JOIN (SELECT doc_id, text FROM concept) USING (doc_id) WHERE doc_id LIKE '%:Revenues' OR doc_id LIKE '%:Cost%'""",
     "lineage_tamper": f"WITH {DOCS} SELECT ticker, metric, len(ds) AS n_spans, 1 AS n_problems, false AS ok FROM head",
     "manifest_verify": f"""WITH {_FILES} SELECT dest, CASE WHEN lang = 'de' THEN 'recorded in manifest but missing on disk'
   ELSE 'on-disk bytes do not match recorded sha256' END AS issue FROM d WHERE lang = 'de' OR sha <> now""",

@@ -73,12 +73,12 @@ def window_features(spark, sf_dir):
 
 
 def wide_panel(spark, sf_dir):
-    wide = T.long_to_panel(panel(spark, sf_dir), ["AF", "AO", "NF", "NO", "RF", "RO"])
+    wide = T.long_to_panel(panel(spark, sf_dir))
     return wide.select("d", *[F.round(c, 9).alias(c) for c in wide.columns if c != "d"])
 
 
 def back_to_long(spark, sf_dir):
-    wide = T.long_to_panel(V.asset_returns(spark, sf_dir), ["AF", "AO", "NF", "NO", "RF", "RO"])
+    wide = T.long_to_panel(V.asset_returns(spark, sf_dir))
     return T.panel_to_long(wide).groupBy("ticker").agg(F.count("r").alias("n"), F.round(F.sum("r"), 6).alias("total"))
 
 
@@ -313,7 +313,7 @@ FROM y JOIN whole USING (ticker) {_W}""",
     "series_require_history": f"""WITH {S.PANEL} SELECT count(DISTINCT d) AS n_days, 500 AS required, count(DISTINCT d) >= 500 AS ok,
 CASE WHEN count(DISTINCT d) < 500 THEN 'only ' || count(DISTINCT d) || ' overlapping days; need 500' END AS reason FROM panel""",
     "series_status": """WITH m AS (SELECT l_partkey AS name, count(DISTINCT date_trunc('month', l_shipdate)) AS k FROM lineitem GROUP BY 1)
-SELECT CASE WHEN coalesce(k, 0) = 0 THEN 'unusable: no data' WHEN k < 20 THEN 'unusable: fewer than two values' ELSE 'ok' END AS status,
+SELECT CASE WHEN coalesce(k, 0) = 0 THEN 'unusable: no data' WHEN k < 20 THEN 'unusable: fewer than 20 values' ELSE 'ok' END AS status,
   count(*) AS n, CAST(sum(coalesce(k, 0)) AS BIGINT) AS points FROM part LEFT JOIN m ON p_partkey = name GROUP BY 1""",
     "sharpe_ratios": f"""WITH {S.PANEL}, m AS {S.moment_table('panel', 'ticker')},
 z AS (SELECT *, {_PSR_ARG.format(b='0')} AS z, mean / sd AS sr FROM m)

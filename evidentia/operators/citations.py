@@ -32,13 +32,16 @@ def page_paragraphs(html: Column, min_len: int = 50, k: int = 5) -> Column:
     return F.when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise(NO_TEXT)
 
 
-def combine_research(pages: DataFrame, topic: str, rank: str, title: str, html: str, k: int = 10) -> DataFrame:
-    """The first k results per topic joined to one text; the rank filter runs before anything is gathered."""
-    top = pages.withColumn("_r", F.row_number().over(Window.partitionBy(topic).orderBy(rank))).filter(F.col("_r") <= k)
+def combine_research(pages: DataFrame, topic: str, rank: str, title: str, html: str, k: int | None = None) -> DataFrame:
+    """(topic, rank, block): the text block of every result, or of those with the first ``k`` ranks of a topic.
+
+    A topic's text is its blocks in rank order; they stay rows, so a topic of any size is spread over tasks.
+    """
+    top = pages
+    if k is not None:
+        top = pages.withColumn("_r", F.row_number().over(Window.partitionBy(topic).orderBy(rank))).filter(F.col("_r") <= k)
     block = F.concat(F.lit("\n标题: "), F.coalesce(title, F.lit("无标题")), F.lit("\n"), page_paragraphs(F.col(html)), F.lit("\n\n" + "=" * 80 + "\n"))
-    return top.withColumn("_block", block).groupBy(topic).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_block"))), lambda x: x["_block"]), "").alias("research"),
-        F.count(F.lit(1)).alias("n_pages"))
+    return top.select(topic, rank, block.alias("block"))
 
 
 def apa_authors(authors: Column) -> Column:

@@ -64,11 +64,11 @@ def tag_table(spark: SparkSession, fields: dict[str, list[str]] = FIELD_TAGS) ->
 
 
 def tag_fallback(facts: DataFrame, fields: dict[str, list[str]] = FIELD_TAGS) -> DataFrame:
-    """Per company and field the fact under the first preferred tag that has one."""
+    """Per company and field all facts under the first preferred tag that has any; whether one is annual is decided afterwards."""
     prefs = F.broadcast(tag_table(facts.sparkSession, fields))
-    rest = [c for c in facts.columns if c != "ticker"]
-    return facts.join(prefs, "tag").groupBy("ticker", "field").agg(
-        F.min_by(F.struct(*rest), "priority").alias("f")).select("ticker", "field", "f.*")
+    named = facts.join(prefs, "tag")
+    chosen = named.groupBy("ticker", "field").agg(F.min("priority").alias("priority"))
+    return named.join(chosen, ["ticker", "field", "priority"]).drop("priority")
 
 
 def label_column(tag: str = "tag") -> Column:

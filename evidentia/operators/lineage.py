@@ -8,13 +8,15 @@ derived from, so the derivation graph can be written out as node and edge rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import sha16, text_slice
+from evidentia.session import stage
 
 SPAN_TYPE = "struct<doc_id:string,start:int,end:int,doc_sha:string>"
 TRACKED_TYPE = f"struct<value:double,spans:array<{SPAN_TYPE}>,op:string,note:string>"
@@ -74,7 +76,8 @@ class Tracked:
     __rmul__ = __mul__
 
     def __truediv__(self, other):
-        return self._derive(self.value / self._plain(other), "div", other)
+        """Null, and so no tracked value, where the divisor is zero."""
+        return self._derive(F.try_divide(self.value, F.lit(self._plain(other))), "div", other)
 
     def __neg__(self):
         return self._derive(-self.value, "neg")
@@ -104,13 +107,10 @@ class Tracked:
         visit(self)
         return out
 
-    def node_id(self) -> Column:
-        """Identity: hash of the operation, the spans and the ids of the inputs."""
-        if self.inputs:
-            return sha16(F.concat_ws("|", F.lit(self.op), *[i.node_id() for i in self.inputs]))
-        return sha16(F.concat_ws("|", F.lit(self.op), F.array_join(
-            F.transform(self.spans, lambda s: F.concat_ws(":", s["doc_id"], s["start"].cast("string"), s["end"].cast("string"))), ","),
-            self.value.cast("string")))
+    def node_id(self, number: int) -> Column:
+        """Identity of the value that has this number in its derivation: two derived values are never one node, equal as they may be."""
+        places = F.transform(self.spans, lambda s: F.concat_ws(":", s["doc_id"], s["start"].cast("string"), s["end"].cast("string")))
+        return sha16(F.concat_ws("|", F.lit(self.op), F.lit(str(number)), F.array_join(places, ","), self.value.cast("string")))
 
 
 def untrack(col: str) -> Column:
@@ -121,28 +121,44 @@ def derivation_graph(df: DataFrame, key: list[str], root: Tracked) -> tuple[Data
     """(nodes, edges, roots) rows of one derived value per key; rows where it is null are left out."""
     held = df.filter(root.value.isNotNull())
     members = root.walk()
+    ids = {id(n): n.node_id(i) for i, n in enumerate(members)}
     nodes = held.select(*key, F.explode(F.array(*[F.struct(
-        n.node_id().alias("node_id"), F.lit(n.op).alias("op"), n.value.cast("double").alias("value"), n.note.alias("note"),
-        n.spans.alias("spans")) for n in members])).alias("n")).select(*key, "n.*").dropDuplicates([*key, "node_id"])
-    uses = [F.struct(i.node_id().alias("src"), n.node_id().alias("dst"), F.lit(k).alias("pos"))
+        ids[id(n)].alias("node_id"), F.lit(n.op).alias("op"), n.value.cast("double").alias("value"), n.note.alias("note"),
+        n.spans.alias("spans")) for n in members])).alias("n")).select(*key, "n.*")
+    uses = [F.struct(ids[id(i)].alias("src"), ids[id(n)].alias("dst"), F.lit(k).alias("pos"))
             for n in members for k, i in enumerate(n.inputs)]
-    edges = held.select(*key, F.explode(F.array(*uses)).alias("e")).select(*key, "e.*") if uses else None
-    roots = held.select(*key, root.node_id().alias("node_id"))
+    none = F.array().cast("array<struct<src:string,dst:string,pos:int>>")
+    edges = held.select(*key, F.explode(F.array(*uses) if uses else none).alias("e")).select(*key, "e.*")
+    roots = held.select(*key, ids[id(root)].alias("node_id"))
     return nodes, edges, roots
 
 
+def _levels(roots: DataFrame, edges: DataFrame, key: list[str], carry: list[Column], distinct: bool, most: int | None = None) -> Iterator[DataFrame]:
+    """The nodes at each depth, until a level is empty or ``most`` is reached; every level is staged, so none is computed twice.
+
+    Derivations have no cycles, so the levels end.
+    """
+    level, depth = roots, 0
+    while True:
+        yield level
+        if depth == most:
+            return
+        depth += 1
+        level = level.join(edges.withColumnRenamed("dst", "node_id"), [*key, "node_id"]).select(*key, F.col("src").alias("node_id"), *carry)
+        level = stage(level.distinct() if distinct else level, "level")
+        if level.isEmpty():
+            return
+
+
 def explain(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str], max_depth: int = 6) -> DataFrame:
     """Pre-order walk of every derivation: (key, path, depth, op, value, note, spans at leaves).
 
     One equi-join per level on (key, node); shared nodes appear once per path.
     ``path`` is the list of input positions, and sorting by it gives the order.
     """
-    level = roots.select(*key, "node_id", F.array().cast("array<int>").alias("path"))
-    walk = level
-    for _ in range(max_depth):
-        level = level.join(edges.withColumnRenamed("dst", "node_id"), [*key, "node_id"]).select(
-            *key, F.col("src").alias("node_id"), F.concat("path", F.array("pos")).alias("path"))
-        walk = walk.unionByName(level)
+    start = roots.select(*key, "node_id", F.array().cast("array<int>").alias("path"))
+    carry = [F.concat("path", F.array("pos")).alias("path")]
+    walk = reduce(DataFrame.unionByName, _levels(start, edges, key, carry, distinct=False, most=max_depth))
     leaf = F.col("_inner").isNull()
     inner = edges.select(*key, F.col("dst").alias("node_id")).distinct().withColumn("_inner", F.lit(1))
     return walk.join(nodes, [*key, "node_id"]).join(inner, [*key, "node_id"], "left").select(
@@ -150,17 +166,13 @@ def explain(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str]
         F.when(leaf, F.col("spans")).alias("leaf_spans"))
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str], max_depth: int = 6) -> DataFrame:
-    """Nodes, edges, depth (longest path), leaves and operations per derivation.
+def graph_stats(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str]) -> DataFrame:
+    """Nodes, edges, depth (longest path, of any length), leaves and operations per derivation.
 
     Depth walks levels of distinct nodes, so shared nodes do not multiply.
     """
-    level = roots.select(*key, "node_id")
-    depths = level.select(*key, F.lit(0).alias("depth"))
-    for k in range(1, max_depth + 1):
-        level = level.join(edges.withColumnRenamed("dst", "node_id"), [*key, "node_id"]).select(
-            *key, F.col("src").alias("node_id")).distinct()
-        depths = depths.unionByName(level.select(*key, F.lit(k).alias("depth")))
+    levels = _levels(roots.select(*key, "node_id"), edges, key, [], distinct=True)
+    depths = reduce(DataFrame.unionByName, (level.select(*key, F.lit(k).alias("depth")) for k, level in enumerate(levels)))
     d = depths.groupBy(*key).agg(F.max("depth").alias("depth"))
     inner = edges.select(*key, F.col("dst").alias("node_id")).distinct()
     n = nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n_nodes"), F.array_join(F.array_sort(F.collect_set("op")), ",").alias("ops"))
@@ -255,49 +267,56 @@ def evidence(values: DataFrame, sources: DataFrame, key: list[str], col: str = "
         *key, "span_no", "doc_id", "start", "end", text_slice(F.col("text"), F.col("start"), F.col("end")).alias("evidence"))
 
 
-def span_problems(spans: DataFrame, sources: DataFrame, on: list[str], expected: DataFrame | None = None) -> DataFrame:
-    """Add ``present`` and ``issue`` to spans: the first check that fails against their sources."""
-    src = sources.select(*on, F.col("text").alias("_text"), sha16(F.col("text")).alias("_sha"))
+def checked_spans(spans: DataFrame, sources: DataFrame, on: list[str], expected: DataFrame | None = None) -> DataFrame:
+    """Spans with ``present``, ``issue`` (the first check that fails), ``current_sha``, ``expected`` and ``actual`` text."""
+    src = sources.select(*on, F.col("text").alias("_text"), sha16(F.col("text")).alias("current_sha"))
     j = spans.join(src, on, "left")
     if expected is not None:
         j = j.join(expected.select("doc_id", "start", "end", "expected"), ["doc_id", "start", "end"], "left")
     else:
         j = j.withColumn("expected", F.lit(None).cast("string"))
-    n = F.length("_text")
-    bad_bounds = ~((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= n))
+    inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("_text"))
+    j = j.withColumn("actual", F.when(inside, text_slice(F.col("_text"), F.col("start"), F.col("end"))))
     issue = (
         F.when(F.col("_text").isNull(), "source not supplied")
-        .when((F.coalesce("doc_sha", F.lit("")) != "") & (F.col("doc_sha") != F.col("_sha")), "document has changed")
-        .when(bad_bounds, "span out of bounds")
-        .when(F.col("expected").isNotNull() & (text_slice(F.col("_text"), F.col("start"), F.col("end")) != F.col("expected")), "text mismatch"))
-    return j.withColumn("present", F.col("_text").isNotNull()).withColumn("issue", issue).drop("_text", "_sha", "expected")
+        .when((F.coalesce("doc_sha", F.lit("")) != "") & (F.col("doc_sha") != F.col("current_sha")), "document has changed")
+        .when(~inside, "span out of bounds")
+        .when(F.col("expected").isNotNull() & (F.col("actual") != F.col("expected")), "text mismatch"))
+    return j.withColumn("present", F.col("_text").isNotNull()).withColumn("issue", issue).drop("_text")
+
+
+def span_problems(values: DataFrame, sources: DataFrame, key: list[str], col: str = "tracked", on: list[str] | None = None,
+                  expected: DataFrame | None = None) -> DataFrame:
+    """One row per span that no longer describes its source: where it is, what is wrong, both hashes and both texts."""
+    p = checked_spans(value_spans(values, key, col), sources, on or ["doc_id"], expected).filter(F.col("issue").isNotNull())
+    return p.select(*key, "span_no", "doc_id", "start", "end", "issue", F.col("doc_sha").alias("recorded_sha"), "current_sha", "expected", "actual")
 
 
 def verify_against(values: DataFrame, sources: DataFrame, key: list[str], col: str = "tracked",
                    expected: DataFrame | None = None) -> DataFrame:
     """Per value: spans, spans checked, and whether all still describe their sources."""
-    p = span_problems(value_spans(values, key, col), sources, ["doc_id"], expected)
-    return _verdict(p, key)
+    return _verdict(checked_spans(value_spans(values, key, col), sources, ["doc_id"], expected), key)
 
 
 def _verdict(p: DataFrame, key: list[str]) -> DataFrame:
     return p.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("present").cast("int")).alias("n_checked"),
-        F.count("issue").alias("n_problems"), F.min("issue").alias("first_issue"), (F.count("issue") == 0).alias("ok"))
+        F.count("issue").alias("n_problems"), F.min_by("issue", F.when(F.col("issue").isNotNull(), F.col("span_no"))).alias("first_issue"), (F.count("issue") == 0).alias("ok"))
 
 
 def tamper_probe(values: DataFrame, sources: DataFrame, key: list[str], col: str = "tracked") -> DataFrame:
-    """Change the first digit of each value's first span, verify again; ``ok`` must come out false."""
-    s = value_spans(values, key, col).join(sources.select("doc_id", "text"), "doc_id")
-    first = F.col("span_no") == 0
-    doc0 = F.max(F.when(first, F.col("doc_id"))).over(Window.partitionBy(*key))
-    start0 = F.max(F.when(first, F.col("start"))).over(Window.partitionBy(*key))
-    s = s.withColumn("_d0", doc0).withColumn("_s0", start0)
-    other = F.when(F.substring("text", F.col("_s0") + 1, F.lit(1)) == "9", "8").otherwise("9")
-    broken = F.overlay(F.col("text"), other, F.col("_s0") + 1, F.lit(1))
-    now = F.when(F.col("doc_id") == F.col("_d0"), broken).otherwise(F.col("text"))
-    issue = F.when(F.col("doc_sha") != sha16(now), "document has changed")
-    return _verdict(s.withColumn("issue", issue).withColumn("present", F.lit(True)), key)
+    """Change the first digit of each value's first span and verify the value against that; ``ok`` must come out false.
+
+    Every value meets its own altered source, so sources are joined by value.
+    """
+    at = F.get(F.col(f"{col}.spans"), F.lit(0))
+    first = values.select(*key, at["doc_id"].alias("_doc"), at["start"].alias("_start"))
+    spans = value_spans(values, key, col)
+    wanted = spans.select(*key, "doc_id").distinct().join(sources.select("doc_id", "text"), "doc_id").join(first, key)
+    digit = F.substring("text", F.col("_start") + 1, F.lit(1))
+    broken = F.overlay(F.col("text"), F.when(digit == "9", "8").otherwise("9"), F.col("_start") + 1, F.lit(1))
+    altered = wanted.select(*key, "doc_id", F.when(F.col("doc_id") == F.col("_doc"), broken).otherwise(F.col("text")).alias("text"))
+    return _verdict(checked_spans(spans, altered, [*key, "doc_id"]), key)
 
 
 def metric_card(values: DataFrame, sources: DataFrame, key: list[str], col: str = "tracked") -> DataFrame:

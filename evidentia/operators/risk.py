@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import measures as M
 from evidentia.functions.normal import bernoulli_ll, chi2_sf
-from evidentia.session import broadcast_if_small, task_count
+from evidentia.session import task_count
 
 DEFAULT_ALPHA = 0.95
 
@@ -73,7 +73,7 @@ def portfolio_returns(positions: DataFrame, returns: DataFrame) -> DataFrame:
     """(portfolio_id, d, r): weighted sum of asset returns per date."""
     return (
         positions.select("portfolio_id", "ticker", "weight").repartition(task_count(positions), "portfolio_id")
-        .join(broadcast_if_small(returns.select("ticker", "d", F.col("r").alias("asset_r"))), "ticker")
+        .join(returns.select("ticker", "d", F.col("r").alias("asset_r")), "ticker")
         .groupBy("portfolio_id", "d")
         .agg(F.sum(F.col("weight") * F.col("asset_r")).alias("r"))
     )
@@ -140,20 +140,28 @@ def risk_contributions(positions: DataFrame, returns: DataFrame, series: DataFra
     """Euler split of portfolio volatility: w * cov(asset, portfolio) / sd(portfolio).
 
     Adds up to the volatility. Uses the covariance of each held asset with its
-    portfolio, so no asset-by-asset matrix is formed. Assets and portfolios
-    share their dates, so each path becomes one array bounded by the calendar;
-    a position's two paths meet in its row and are reduced to a covariance
-    before anything is shuffled per day.
+    portfolio, so no asset-by-asset matrix is formed. Each path becomes one
+    array bounded by the calendar; a position's two paths meet in its row and
+    are reduced to a covariance there, over the days that both have.
     """
     path = lambda df, key: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("d", "r"))).alias("p")).select(
-        key, F.col("p.r").alias(f"{key}_path"))
+        key, F.col("p.d").alias(f"{key}_days"), F.col("p.r").alias(f"{key}_path"))
     held = (
         positions.select("portfolio_id", "ticker", "weight").repartition(task_count(positions), "portfolio_id")
-        .join(path(series, "portfolio_id"), "portfolio_id").join(broadcast_if_small(path(returns, "ticker")), "ticker")
+        .join(path(series, "portfolio_id"), "portfolio_id").join(path(returns, "ticker"), "ticker")
     )
-    days = held.select("portfolio_id", "ticker", "weight", F.explode(F.arrays_zip("portfolio_id_path", "ticker_path")).alias("x"))
-    parts = days.groupBy("portfolio_id", "ticker").agg(
-        F.max("weight").alias("weight"), F.covar_samp("x.ticker_path", "x.portfolio_id_path").alias("cov"))
+    # where the calendars differ, both paths are cut to their common days first
+    common = F.map_from_arrays("ticker_days", "ticker_path")
+    same = F.col("ticker_days") == F.col("portfolio_id_days")
+    both = F.when(same, F.arrays_zip(F.col("portfolio_id_path").alias("a"), F.col("ticker_path").alias("b"))).otherwise(F.filter(
+        F.transform(F.arrays_zip(F.col("portfolio_id_days").alias("d"), F.col("portfolio_id_path").alias("a")),
+                    lambda x: F.struct(x["a"].alias("a"), F.try_element_at(common, x["d"]).alias("b"))), lambda x: x["b"].isNotNull()))
+    # one pass over the days: their number, both sums, and the sum of products
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "a", "b", "ab")])
+    sums = F.aggregate(both, start, lambda s, x: F.struct(
+        (s["n"] + 1).alias("n"), (s["a"] + x["a"]).alias("a"), (s["b"] + x["b"]).alias("b"), (s["ab"] + x["a"] * x["b"]).alias("ab")),
+        lambda s: F.try_divide(s["ab"] - F.try_divide(s["a"] * s["b"], s["n"]), s["n"] - 1))
+    parts = held.select("portfolio_id", "ticker", "weight", sums.alias("cov"))
     whole = Window.partitionBy("portfolio_id")
     total = F.sqrt(F.greatest(F.lit(1e-30), F.sum(F.col("weight") * F.col("cov")).over(whole)))
     raw = parts.withColumn("total", total).withColumn("c", F.col("weight") * F.col("cov") / F.col("total"))

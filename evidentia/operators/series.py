@@ -91,7 +91,7 @@ def series_status(requested: DataFrame, parsed: DataFrame, name: str = "name", v
     n = F.coalesce("n_points", F.lit(0))
     return joined.select(
         name, n.alias("n_points"), "first", "last",
-        F.when(n == 0, F.lit("unusable: no data")).when(n < min_points, F.lit("unusable: fewer than two values"))
+        F.when(n == 0, F.lit("unusable: no data")).when(n < min_points, F.lit(f"unusable: fewer than {'two' if min_points == 2 else min_points} values"))
         .otherwise(F.lit("ok")).alias("status"))
 
 
@@ -137,18 +137,18 @@ def realised_vol(value: str, width: int, by: list[str], t: str) -> Column:
 
 def roll(value: str, k: int, by: list[str], t: str) -> Column:
     """Circular shift by k periods; rows pushed off one end come in at the other."""
+    if k == 0:
+        return F.col(value)
     w = _w(by, t)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.count(F.lit(1)).over(whole)
-    i = F.row_number().over(w)
+    n, i = F.count(F.lit(1)).over(whole), F.row_number().over(w)
     shifted = F.lag(value, k).over(w) if k > 0 else F.lead(value, -k).over(w)
-    if abs(k) == 1:
-        wrapped = F.last(value).over(whole) if k > 0 else F.first(value).over(whole)
-    else:
-        all_values = F.collect_list(value).over(whole)
-        wrapped = F.element_at(all_values, (F.pmod(i - 1 - k, n) + 1).cast("int"))
+    # the |k| values that come in at the other end, counted from there: no row holds more of its series
+    far = Window.partitionBy(*by).orderBy(F.desc(t)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) if k > 0 else whole
+    ends = F.array(*[F.nth_value(value, j).over(far) for j in range(1, abs(k) + 1)])
+    place = F.pmod(F.lit(k) - i, n) if k > 0 else F.pmod(i - 1 - k, n)
     inside = (i > k) if k > 0 else (i <= n + k)
-    return F.when(inside, shifted).otherwise(wrapped)
+    return F.when(inside, shifted).otherwise(F.get(ends, place.cast("int")))
 
 
 def price_index(returns: DataFrame, value: str = "r", by: list[str] = ["ticker"], date: str = "d",
@@ -164,7 +164,15 @@ def panel_to_long(wide: DataFrame, date: str = "d", name: str = "ticker", value:
     return wide.unpivot([date], cols, name, value).filter(F.col(value).isNotNull())
 
 
-def long_to_panel(long: DataFrame, names: list[str], date: str = "d", name: str = "ticker",
+#: Columns that a panel may have; more names are an error, never left out.
+MOST_COLUMNS = 10_000
+
+
+def long_to_panel(long: DataFrame, names: list[str] | None = None, date: str = "d", name: str = "ticker",
                   value: str = "r") -> DataFrame:
-    """Rows pivoted to one column per name; the names are given, so nothing is collected."""
+    """Rows pivoted to one column per name, those in the data unless given; over MOST_COLUMNS of them raise ValueError."""
+    if names is None:
+        names = [r[0] for r in long.select(name).filter(F.col(name).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()]
+        if len(names) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} names for the columns of a panel")
     return long.groupBy(date).pivot(name, sorted(names)).agg(F.first(value))

@@ -17,7 +17,7 @@ def located_fields(documents: DataFrame) -> DataFrame:
     ``documents`` is (ticker, tag, doc_id, text). Figures whose digits cannot
     be found in their document are left out.
     """
-    facts = O.tag_fallback(O.original_filing(O.usable_fact(parse_concepts(documents))))
+    facts = O.original_filing(O.tag_fallback(O.usable_fact(parse_concepts(documents))), by=["ticker", "field"])
     j = facts.join(documents.select("ticker", "tag", "doc_id", "text"), ["ticker", "tag"])
     at = K.find_span(F.col("text"), F.col("val").cast("string"), F.col("accn"), F.col("end").cast("string"))
     j = j.withColumn("at", at).filter(F.col("at").isNotNull())

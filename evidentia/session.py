@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "evidentia") -> SparkSession:
@@ -66,15 +65,3 @@ def task_count(df: DataFrame) -> int:
     """
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast only while Spark's size for the data is under its own threshold.
-
-    Meant for staged tables, whose size is that of their files. Above the
-    threshold the frame comes back as it is and the join shuffles.
-    """
-    if not hasattr(df, "_jdf"):
-        return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    return F.broadcast(df) if size <= limit else df

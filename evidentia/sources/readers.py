@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FACT = ("struct<val:decimal(38,4),start:string,end:string,fy:int,fp:string,form:string,filed:string,accn:string,frame:string>")
+FACT = ("struct<val:decimal(38,10),start:string,end:string,fy:int,fp:string,form:string,filed:string,accn:string,frame:string>")
 
 
 def _stem(path: Column) -> Column:
@@ -133,7 +133,7 @@ def parse_concepts(documents: DataFrame) -> DataFrame:
     d = documents.select("ticker", "tag", "doc_id", units.alias("u"))
     unit = F.when(F.map_contains_key("u", F.lit("USD")), F.lit("USD")).otherwise(F.array_min(F.map_keys("u")))
     return d.withColumn("unit", unit).select("ticker", "tag", "unit", F.inline(F.try_element_at("u", F.col("unit")))).select(
-        "ticker", "tag", "unit", F.col("val").cast("bigint").alias("val"), "start", "end", "fy", "fp", "form", "filed", "accn")
+        "ticker", "tag", "unit", F.col("val"), "start", "end", "fy", "fp", "form", "filed", "accn")
 
 
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:

@@ -97,3 +97,42 @@ def test_company_lineage_picks_the_original_filing(spark):
     m = {r.metric: r.tracked for r in C.derive_metrics(C.company_row(fields)).collect()}
     assert m["gross_margin"].value == 0.25 and {x.doc_id for x in m["gross_margin"].spans} == {"X:Revenues", "X:CostOfRevenue"}
     assert "rnd_intensity" not in m
+
+
+def test_operands_and_depth_are_not_lost(row):
+    a = K.Tracked.leaf("sales")
+    s = K.graph_stats(*K.derivation_graph(row, ["k"], (a + 1) * (a + 2)), ["k"]).first()
+    assert (s.n_nodes, s.n_edges, s.depth, s.n_leaves) == (4, 4, 2, 1)
+    deep = a
+    for i in range(9):
+        deep = deep + i
+    s = K.graph_stats(*K.derivation_graph(row, ["k"], deep), ["k"]).first()
+    assert (s.n_nodes, s.depth) == (10, 9)
+    assert K.graph_stats(*K.derivation_graph(row, ["k"], a), ["k"]).first().n_edges == 0
+    assert row.select((a / (a - a)).column().alias("none")).first().none is None
+
+
+def test_first_problem_is_that_of_the_first_span(spark):
+    other = "Outlays came to 400."
+    both = figure(spark, "came to ", "sales").join(
+        K.extract(docs(spark, D2=other), "came to ", "[0-9,]+").select(F.lit("k").alias("k"), K.Tracked.at(
+            F.col("value"), F.col("doc_id"), F.col("start"), F.col("end"), F.col("doc_sha")).column().alias("outlays")), "k")
+    v = both.select("k", (K.Tracked.leaf("sales") - K.Tracked.leaf("outlays")).column().alias("tracked"))
+    changed = docs(spark, D1=TEXT + "!")
+    assert K.verify_against(v, changed, ["k"]).first().first_issue == "document has changed"
+    rows = K.span_problems(v, changed, ["k"]).orderBy("span_no").collect()
+    assert [(r.span_no, r.doc_id, r.issue, r.actual) for r in rows] == [
+        (0, "D1", "document has changed", "1,250"), (1, "D2", "source not supplied", None)]
+    assert rows[0].recorded_sha != rows[0].current_sha
+
+
+def test_fractions_survive_and_tag_comes_before_year(spark):
+    first = concept("RevenueFromContractWithCustomerExcludingAssessedTax", ("2024-07-01", "2024-09-30", 600, "a-4", 2024, "Q4", "10-Q", "2024-10-20"))
+    second = concept("Revenues", ("2023-10-01", "2024-09-30", 2000, "a-2", 2024, "FY", "10-K", "2024-11-01"))
+    cost = concept("CostOfRevenue", ("2023-10-01", "2024-09-30", "1.53", "c-2", 2024, "FY", "10-K", "2024-11-01"))
+    d = spark.createDataFrame([("X", t, f"X:{t}", x) for t, x in (("RevenueFromContractWithCustomerExcludingAssessedTax", first), ("Revenues", second),
+                                                                 ("CostOfRevenue", cost))], "ticker string, tag string, doc_id string, text string")
+    got = {r.field: r.tracked for r in C.located_fields(d).collect()}
+    assert "revenue" not in got  # the preferred tag has no annual figure
+    s = got["cost"].spans[0]
+    assert got["cost"].value == 1.53 and cost[s.start:s.end] == "1.53"

@@ -134,3 +134,21 @@ def test_concentration_and_tilt(spark):
     assert c.hhi == 0.25 and c.effective_positions == 4.0 and c.top3_share == 0.75
     t = {r.ticker: r.weight for r in R.high_beta_tilt(spark.createDataFrame([("a", 0.4), ("b", 2.0), ("c", 1.0)], "ticker string, beta double")).collect()}
     assert t["b"] == 0.40 and abs(sum(t.values()) - 1) < 1e-12
+
+
+def test_contributions_add_up_where_calendars_differ(spark):
+    """Days that only one side has are left out; paths are never matched by position."""
+    import datetime
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    day = lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(days=int(i))
+    path = {"A": {day(i): float(x) for i, x in enumerate(rng.normal(0, 0.01, 200))}, "B": {day(i + 50): float(x) for i, x in enumerate(rng.normal(0, 0.02, 200))}}
+    returns = spark.createDataFrame([(t, d, r) for t, p in path.items() for d, r in p.items()], "ticker string, d date, r double")
+    positions = spark.createDataFrame([("p", "A", 0.4), ("p", "B", 0.6)], "portfolio_id string, ticker string, weight double")
+    both = sorted(set(path["A"]) & set(path["B"]))
+    total = [0.4 * path["A"][d] + 0.6 * path["B"][d] for d in both]
+    series = spark.createDataFrame([("p", d, r) for d, r in zip(both, total)], "portfolio_id string, d date, r double")
+    got = {r["ticker"]: r["risk_contribution"] for r in R.risk_contributions(positions, returns, series).collect()}
+    assert abs(sum(got.values()) - np.std(total, ddof=1)) < 1e-7
