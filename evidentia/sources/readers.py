@@ -6,9 +6,11 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.sources import parsers as P
+
 FACT = ("struct<val:decimal(38,10),start:string,end:string,fy:int,fp:string,form:string,filed:string,accn:string,frame:string>")
 
 
@@ -18,106 +20,57 @@ def _stem(path: Column) -> Column:
 
 # --- prices and series -----------------------------------------------------
 
-def read_prices_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(name, d, close) from daily price files; rows without a close are dropped.
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, body) of each text file, named by its stem."""
+    return spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("name"), F.col("value").alias("body"))
 
-    Pages that are not prices ("No data", HTML) have no parsable date and so
-    give no rows; ``price_file_status`` names them.
-    """
-    raw = spark.read.option("header", True).option("enforceSchema", True).schema(
-        "Date string, Open string, High string, Low string, Close string, Volume string").csv(path)
-    return raw.select(_stem(F.col("_metadata.file_path")).alias("name"), F.col("Date").try_cast("date").alias("d"),
-                      F.col("Close").try_cast("double").alias("close")).filter("d IS NOT NULL AND close IS NOT NULL")
+
+def read_prices_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(name, d, close) from daily price files; ``price_file_status`` names those without any."""
+    return P.parse_prices(whole_files(spark, path))
 
 
 def price_file_status(spark: SparkSession, path: str, min_closes: int = 2) -> DataFrame:
     """One row per file: usable, or why not."""
-    text = spark.read.option("wholetext", True).text(path).select(
-        _stem(F.col("_metadata.file_path")).alias("name"), F.trim("value").alias("body"))
-    low = F.lower("body")
-    blocked = (low == "") | F.startswith(low, F.lit("no data")) | F.contains(F.substring(low, 1, 200), F.lit("<html"))
-    counts = read_prices_csv(spark, path).groupBy("name").agg(
-        F.count(F.lit(1)).alias("n_closes"), F.min("d").alias("first"), F.max("d").alias("last"))
-    j = text.select("name", blocked.alias("blocked"), sha_of("body").alias("sha256")).join(counts, "name", "left")
-    n = F.coalesce("n_closes", F.lit(0))
-    return j.select("name", n.alias("n_closes"), "first", "last", "sha256", F.when(F.col("blocked"), "unusable: no data for this symbol")
-                    .when(n < min_closes, "unusable: fewer than two usable closes").otherwise("ok").alias("status"))
-
+    return P.price_status(whole_files(spark, path), min_closes).withColumnRenamed("n_values", "n_closes")
 
-def sha_of(col: str) -> Column:
-    return F.substring(F.sha2(F.col(col), 256), 1, 16)
 
-
-def _unzipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of the first CSV in each archive; plain files are taken as they are."""
+def unzipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, body) of the first CSV in each archive; plain files are taken as they are, an archive without one is empty."""
 
     def unzip(batches):
         for pdf in batches:
-            rows = []
-            for name, content in zip(pdf["path"], pdf["content"]):
+            bodies = []
+            for content in pdf["content"]:
                 if zipfile.is_zipfile(io.BytesIO(content)):
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        content = z.read(next(n for n in z.namelist() if n.lower().endswith(".csv")))
-                lines = content.decode("utf-8", errors="replace").splitlines()
-                rows.extend((name, i, line) for i, line in enumerate(lines))
-            yield pd.DataFrame(rows, columns=["file", "line_no", "line"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(unzip, "file string, line_no int, line string")
-
-
-def _daily_block(lines: DataFrame, is_header: Column) -> DataFrame:
-    """(file, line_no, cells, header): rows after the first header up to the first line that is not a day."""
-    by_file = Window.partitionBy("file")
-    cells = F.transform(F.split("line", ","), lambda c: F.trim(c))
-    marked = lines.withColumn("cells", cells).withColumn("_h", is_header)
-    head_no = F.min(F.when(F.col("_h"), F.col("line_no"))).over(by_file)
-    header = F.min(F.when(F.col("_h"), F.struct("line_no", "cells"))).over(by_file)
-    marked = marked.withColumn("_start", head_no).withColumn("header", header["cells"])
-    day = F.rlike(F.get("cells", F.lit(0)), F.lit("^[0-9]{8}$"))
-    body = marked.filter(F.col("line_no") > F.col("_start")).withColumn("_day", day)
-    stop = F.min(F.when(~F.col("_day"), F.col("line_no"))).over(by_file)
-    return body.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("line_no") < F.col("_stop"))).select(
-        "file", "line_no", "cells", "header")
-
+                        first = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
+                        content = z.read(first) if first else b""
+                bodies.append(content.decode("utf-8", errors="replace"))
+            yield pd.DataFrame({"name": pdf["name"], "body": bodies})
 
-def _stack_block(block: DataFrame) -> DataFrame:
-    named = F.arrays_zip(F.slice("header", 2, F.size("header")).alias("name"), F.slice("cells", 2, F.size("cells")).alias("v"))
-    return block.select("file", F.to_date(F.get("cells", F.lit(0)), "yyyyMMdd").alias("d"), F.explode(named).alias("x")).select(
-        "file", F.col("x.name").alias("name"), "d", (F.col("x.v").try_cast("double") / 100).alias("value")
-    ).filter(F.col("value").isNotNull() & (F.coalesce("name", F.lit("")) != ""))
+    files = spark.read.format("binaryFile").load(path).select(_stem(F.col("path")).alias("name"), "content")
+    return files.mapInPandas(unzip, "name string, body string")
 
 
 def read_factor_file(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, d, value): the daily block of a research-factor file, percent turned to fractions."""
-    lines = _unzipped_lines(spark, path)
-    header = F.startswith(F.lower(F.trim("line")), F.lit("mkt-rf")) | (F.contains("line", F.lit("Mkt-RF")) & F.contains("line", F.lit("SMB")))
-    return _stack_block(_daily_block(lines, header))
+    """(file, name, d, value): the daily block of a research-factor file."""
+    return P.parse_factors(unzipped_files(spark, path)).toDF("file", "name", "d", "value")
 
 
 def read_industry_file(spark: SparkSession, path: str) -> DataFrame:
-    """As the factor file, first block only; a day with a missing-value mark in any column is dropped."""
-    lines = _unzipped_lines(spark, path)
-    c = F.transform(F.split("line", ","), lambda x: F.trim(x))
-    header = (F.get(c, F.lit(0)) == "") & F.startswith(F.lower(F.get(c, F.lit(1))), F.lit("nodur"))
-    block = _daily_block(lines, F.coalesce(header, F.lit(False)))
-    gone = F.exists(F.slice("cells", 2, F.size("cells")), lambda v: F.coalesce(v.try_cast("double") <= -99.0, F.lit(False)))
-    return _stack_block(block.filter(~gone))
+    """(file, name, d, value): the first block of an industry file."""
+    return P.parse_industries(unzipped_files(spark, path)).toDF("file", "name", "d", "value")
 
 
 def read_market_chart_json(spark: SparkSession, path: str) -> DataFrame:
-    """(name, d, value) from ``prices: [[ms, price], ...]`` documents."""
-    raw = spark.read.option("wholetext", True).text(path)
-    p = F.from_json("value", "prices array<array<double>>")["prices"]
-    return raw.select(_stem(F.col("_metadata.file_path")).alias("name"), F.explode(p).alias("x")).select(
-        "name", F.to_date(F.timestamp_millis(F.get("x", F.lit(0)).cast("bigint"))).alias("d"), F.get("x", F.lit(1)).alias("value"))
+    """(name, d, value) from chart documents."""
+    return P.parse_charts(whole_files(spark, path))
 
 
 def read_macro_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(name, d, value) from two-column files; a dot or an empty cell is a missing day."""
-    raw = spark.read.option("header", True).option("enforceSchema", True).schema("d string, v string").csv(path)
-    return raw.filter(~F.coalesce(F.trim("v"), F.lit("")).isin(".", "")).select(
-        _stem(F.col("_metadata.file_path")).alias("name"), F.trim("d").cast("date").alias("d"), F.col("v").cast("double").alias("value"))
+    """(name, d, value) from macro series."""
+    return P.parse_macro(whole_files(spark, path))
 
 
 def read_series_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -138,7 +91,7 @@ def parse_concepts(documents: DataFrame) -> DataFrame:
 
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:
     """(ticker, tag, doc_id, text) of concept files laid out as <ticker>/<tag>.json, text kept whole."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     f = F.col("_metadata.file_path")
     return raw.select(F.upper(F.regexp_extract(f, r"([^/]+)/[^/]+$", 1)).alias("ticker"), _stem(f).alias("tag"), F.col("value").alias("text")).withColumn(
         "doc_id", F.concat_ws(":", "ticker", "tag"))
@@ -174,7 +127,7 @@ def filings_shortfall(documents: DataFrame, filings: DataFrame, limit: int = 2)
 
 def read_ticker_map(spark: SparkSession, path: str) -> DataFrame:
     """(ticker, cik) from a JSON object keyed by row number; cik padded to ten digits."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     rows = F.map_values(F.from_json("value", "map<string,struct<cik_str:bigint,ticker:string>>"))
     return raw.select(F.inline(rows)).select(F.upper("ticker").alias("ticker"), F.lpad(F.col("cik_str").cast("string"), 10, "0").alias("cik"))
 
@@ -207,7 +160,7 @@ def read_wordlist(spark: SparkSession, path: str) -> DataFrame:
 
 def read_keyword_map(spark: SparkSession, path: str) -> DataFrame:
     """(keyword, reply) from ``{"keyword": {...}}``."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "keyword map<string,string>")["keyword"]).alias("keyword", "reply"))
 
 

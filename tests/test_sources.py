@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import manifest as M
 from evidentia.operators import preference as P
+from evidentia.sources import parsers as PA
 from evidentia.sources import readers as R
 from evidentia.sources import sinks as S
 
@@ -115,3 +116,29 @@ def test_sinks(spark, tmp_path):
     assert got.count(("morning coffee", "Food & Dining")) == 2 and ("coffee", "Gift") in got and ("zzz", "Uncategorized") in got
     S.write_results(runs, str(tmp_path / "res"), "r1", False, "filed")
     assert spark.read.json(str(tmp_path / "res")).first().is_synthetic is False
+
+
+def test_columns_go_by_name_and_bad_files_have_a_reason(spark, tmp_path):
+    write(tmp_path / "p/a.csv", "Date,Close,Open\n2024-01-02,10.5,1\n2024-01-03,11,2\n")
+    write(tmp_path / "p/b.csv", "Date,Open\n2024-01-02,1\n")
+    assert sorted((r.name, r.close) for r in R.read_prices_csv(spark, str(tmp_path / "p")).collect()) == [("a", 10.5), ("a", 11.0)]
+    assert {r.name: r.status for r in R.price_file_status(spark, str(tmp_path / "p")).collect()} == {"a": "ok", "b": "unusable: no column of closes"}
+    files = spark.createDataFrame([
+        ("bare", "x\nMkt-RF,SMB,HML\n20240102,1,2,3\n20240103,4,5,6\n"), ("empty", ",Mkt-RF,SMB\n\n20240102,1,2\n"), ("none", "nothing")], "name string, body string")
+    got = {(r.series, r.d.day): r.value for r in PA.parse_factors(files).collect()}
+    assert got == {("Mkt-RF", 2): 0.01, ("SMB", 2): 0.02, ("HML", 2): 0.03, ("Mkt-RF", 3): 0.04, ("SMB", 3): 0.05, ("HML", 3): 0.06}
+    assert {r.name: r.status for r in PA.block_status(files, "factor").collect()} == {
+        "bare": "ok", "empty": "unusable: no daily rows", "none": "unusable: no factor header"}
+    charts = spark.createDataFrame([("k", "{}"), ("one", '{"prices": [[0, 1.0]]}'), ("two", '{"prices": [[0, 1.0], [86400000, 2.0]]}')], "name string, body string")
+    assert {r.name: r.status for r in PA.chart_status(charts).collect()} == {
+        "k": "unusable: no prices in the document", "one": "unusable: fewer than two prices", "two": "ok"}
+    macro = spark.createDataFrame([("e", ""), ("n", "d,v\n2024-01-01,.\n"), ("y", "d,v\n2024-01-01,1\n")], "name string, body string")
+    assert {r.name: r.status for r in PA.macro_status(macro).collect()} == {"e": "unusable: empty file", "n": "unusable: no usable observations", "y": "ok"}
+
+
+def test_files_of_several_lines_are_read_whole(spark, tmp_path):
+    write(tmp_path / "acme/Revenues.json", '{"tag": "Revenues",\n "units": {"USD": [\n{"val": 1.53, "start": "2023-01-01", "end": "2023-12-31", "fy": 2023, "form": "10-K"}]}}\n')
+    (fact,) = R.parse_concepts(R.read_concepts(spark, str(tmp_path / "*"))).collect()
+    assert float(fact.val) == 1.53
+    write(tmp_path / "t.json", '{"0":\n{"cik_str": 5, "ticker": "b"}}\n')
+    assert [(r.ticker, r.cik) for r in R.read_ticker_map(spark, str(tmp_path / "t.json")).collect()] == [("B", "0000000005")]
