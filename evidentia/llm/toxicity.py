@@ -5,9 +5,10 @@ small machines are composed over the words of a clause: negation arms for some
 words, a report holds to the end of its clause, a target marks what is near it.
 A matched insult or threat leaves the grammar as one of sixteen patterns by what
 was armed, and each pattern has a weight, so "you are an idiot", "not an idiot"
-and "they said idiot" score differently. The insult lexicon (stems that only
-documents labelled toxic hold) and the weights of the patterns are learned from
-labels; the grammar's own values are the prior where labels are silent.
+and "they said idiot" score differently. The insult lexicon (beginnings of words
+that documents labelled toxic hold far more often, each weighted by the log of
+how much more often) and the weights of the patterns are learned from labels; the
+grammar's own values are the prior where labels are silent.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ CUTOFF, FOLDS, HELD_OUT = 0.7, 3, 1
 #: Labelled documents of each class that the lexicon and the weights are fitted on at most, by a hash of the id.
 SAMPLE = 20_000
 #: Length of stems; documents that a stem needs at least, its lift, and the number of stems that may be found by chance.
-STEM, STEM_LONGEST, FEWEST, RATIO, RISK = 4, 9, 4, 20.0, 0.5
+STEM, STEM_LONGEST, FEWEST, RATIO, RISK = 4, 9, 4, 5.0, 0.5
+#: Weight of a word that the grammar knows and the labels say nothing of: as of a stem with e to this lift.
+KNOWN = 4.0
 COUNTER_KEYS = 300_000
 
 # Words that the grammar knows before it sees a label.
@@ -47,7 +50,7 @@ QUOTES = set("\"“”«»„")
 NEGATION_REACH, TARGET_REACH = 3, 3
 #: Prior weights: of a match by its kind, and what each armed machine adds.
 PRIOR = {"insult": 2.5, "threat": 1.0, "aimed": 1.0, "negated": -2.0, "reported": -1.5}
-BIAS, SPREAD = -4.0, 2.0
+BIAS, SPREAD, ENOUGH = -4.0, 3.0, 5.0
 PATTERNS = [(kind, aimed, negated, reported) for kind in ("insult", "threat") for aimed in (0, 1) for negated in (0, 1) for reported in (0, 1)]
 PLACE = {p: i for i, p in enumerate(PATTERNS)}
 
@@ -61,51 +64,48 @@ def prior() -> np.ndarray:
 class Grammar:
     """Recognises the patterns of a text; built once per task from the stems."""
 
-    def __init__(self, stems: list[str]):
+    def __init__(self, stems: dict[str, float]):
         self.trie = ahocorasick.Automaton()
-        for stem in stems:
-            self.trie.add_word(stem, (len(stem), "insult"))
-        for stem in THREATS:
-            if not self.trie.exists(stem):
-                self.trie.add_word(stem, (len(stem), "threat"))
+        for stem in {*stems, *THREATS}:
+            self.trie.add_word(stem, (len(stem), "insult" if stem in stems else "threat", stems.get(stem, KNOWN)))
         self.trie.make_automaton()
         self.classes = {w: c for c, known in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in known}
 
-    def clause(self, words: list[tuple[int, str]], hits: dict[int, str], counts: list[int]) -> None:
-        """Run the machines over one clause: (place, word) and the class of the words that matched, by place."""
+    def clause(self, words: list[tuple[int, str]], hits: dict[int, tuple[str, float]], sums: list[float]) -> None:
+        """Run the machines over one clause: (place, word), and class and weight of the words that matched, by place."""
         negation = target = reported = 0
-        waiting: list[tuple[int, str, int, int]] = []  # matches that a target may still follow
+        waiting: list[tuple[int, str, int, int, float]] = []  # matches that a target may still follow
         for place, word in words:
-            kind = hits.get(place)
-            if kind:
+            if place in hits:
+                kind, weight = hits[place]
                 if target:
-                    counts[PLACE[kind, 1, int(negation > 0), reported]] += 1
+                    sums[PLACE[kind, 1, int(negation > 0), reported]] += weight
                 else:
-                    waiting.append((TARGET_REACH, kind, int(negation > 0), reported))
+                    waiting.append((TARGET_REACH, kind, int(negation > 0), reported, weight))
                 continue
             known = "report" if word in QUOTES else self.classes.get(word)
             negation = NEGATION_REACH if known == "negation" else max(0, negation - 1)
             target = TARGET_REACH if known == "target" else max(0, target - 1)
             reported = 1 if known == "report" else reported
             later = []
-            for left, k, n, r in waiting:
+            for left, k, n, r, weight in waiting:
                 if known == "target" or left == 1:
-                    counts[PLACE[k, int(known == "target"), n, r]] += 1
+                    sums[PLACE[k, int(known == "target"), n, r]] += weight
                 else:
-                    later.append((left - 1, k, n, r))
+                    later.append((left - 1, k, n, r, weight))
             waiting = later
-        for _, k, n, r in waiting:
-            counts[PLACE[k, 0, n, r]] += 1
+        for _, k, n, r, weight in waiting:
+            sums[PLACE[k, 0, n, r]] += weight
 
-    def patterns(self, text: str) -> list[int]:
-        """How often each pattern occurs in the whole text; clauses without a matched word are not read."""
-        counts = [0] * len(PATTERNS)
+    def patterns(self, text: str) -> list[float]:
+        """The weight of all matches of each pattern in the whole text; clauses without a matched word are not read."""
+        sums = [0.0] * len(PATTERNS)
         low = text.lower()
-        hits: dict[int, str] = {}
-        for end, (size, kind) in self.trie.iter(low):
+        hits: dict[int, tuple[str, float]] = {}
+        for end, (size, kind, weight) in self.trie.iter(low):
             start = end - size + 1
             if start == 0 or not low[start - 1].isalnum():
-                hits.setdefault(start, kind)
+                hits[start] = max(hits.get(start, (kind, weight)), (kind, weight), key=lambda h: h[1])
         done = -1
         for start in sorted(hits):
             if start < done:
@@ -115,15 +115,16 @@ class Grammar:
                 a -= 1
             ends = CLAUSE_ENDS.search(low, start)
             b = ends.start() if ends else len(low)
-            self.clause([(m.start(), m.group()) for m in WORDS.finditer(low, a, b)], hits, counts)
+            self.clause([(m.start(), m.group()) for m in WORDS.finditer(low, a, b)], hits, sums)
             done = b
-        return counts
+        return sums
 
 
-def features(counts: np.ndarray) -> np.ndarray:
+def features(sums: np.ndarray) -> np.ndarray:
+    """Weights by kind, in steps of a known word up to ENOUGH of them, then of each pattern on a log scale, and a constant."""
     half = len(PATTERNS) // 2
-    by_kind = np.stack([counts[:, :half].sum(axis=1), counts[:, half:].sum(axis=1)], axis=1)
-    return np.hstack([np.log1p(by_kind), np.log1p(counts), np.ones((len(counts), 1))])
+    by_kind = np.stack([sums[:, :half].sum(axis=1), sums[:, half:].sum(axis=1)], axis=1)
+    return np.hstack([np.minimum(by_kind / KNOWN, ENOUGH), np.log1p(sums), np.ones((len(sums), 1))])
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -195,11 +196,17 @@ def tail(hits: int, n: int, p: float) -> float:
     return min(1.0, sum(at(k) for k in range(hits, min(n, hits + 60) + 1)))
 
 
-def learned_stems(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """Beginnings of words that toxic documents hold far more often than clean ones, each as long as it keeps nearly all its hits."""
+def learned_stems(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Beginnings of words that toxic documents hold far more often than clean ones, each as long as it keeps nearly all its hits, and the log of that lift.
+
+    With them the words that the grammar knows, where labels say anything of them.
+    """
     counts = stage(stem_counts(sample), "stems")
     lift = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    rows = counts.filter((F.col("toxic") >= FEWEST) & (lift >= RATIO)).collect()  # bounded by the sample
+    counts = counts.withColumn("lift", F.log(lift))
+    rows = counts.filter((F.col("toxic") >= FEWEST) & (F.col("lift") >= math.log(RATIO))).collect()  # bounded by the sample
+    known = counts.filter(F.col("stem").isin(INSULTS) & (F.col("toxic") + F.col("clean") >= FEWEST)).collect()
+    lifts = {r["stem"]: r["lift"] for r in rows}
     tried = max(1, counts.filter(F.col("toxic") + F.col("clean") >= FEWEST).count())  # rarer ones could not pass
     rate = lambda r: (r["clean"] + 1) / (n_clean + 2)
     hits = {r["stem"]: r["toxic"] for r in rows if tail(r["toxic"], n_toxic, rate(r)) <= RISK / tried}
@@ -207,15 +214,16 @@ def learned_stems(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     for stem, n in hits.items():
         longer[stem[:-1]] = max(longer.get(stem[:-1], 0), n)
     full = {s for s, n in hits.items() if longer.get(s, 0) < 0.95 * n}
-    return sorted(s for s in full if not any(s[:k] in full for k in range(STEM, len(s))))
+    found = {s: lifts[s] for s in full if not any(s[:k] in full for k in range(STEM, len(s)))}
+    return {r["stem"]: max(r["lift"], 0.0) for r in known} | found
 
 
-def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
     """Stems and pattern weights from the training fold; without labels the grammar's own."""
     sample = stage(labelled_sample(docs, labels, limit), "sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
-    stems = sorted(set(INSULTS) | set(learned_stems(sample, n_toxic, n_clean) if n_toxic and n_clean else ()))
+    stems = dict.fromkeys(INSULTS, KNOWN) | (learned_stems(sample, n_toxic, n_clean) if n_toxic and n_clean else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar, seen = Grammar(stems), Counter()
@@ -223,13 +231,13 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 seen[bool(toxic), tuple(grammar.patterns(text or ""))] += 1
         keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), pa.array([list(k[1]) for k in keys], pa.list_(pa.int64())),
-                                          pa.array([seen[k] for k in keys], pa.int64())], names=["toxic", "counts", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), pa.array([list(k[1]) for k in keys], pa.list_(pa.float64())),
+                                          pa.array([seen[k] for k in keys], pa.int64())], names=["toxic", "sums", "n"])
 
-    rows = sample.mapInArrow(run, "toxic boolean, counts array<long>, n long").collect()  # at most 2 * limit
+    rows = sample.mapInArrow(run, "toxic boolean, sums array<double>, n long").collect()  # at most 2 * limit
     if not rows:
         return stems, prior()
-    x = features(np.array([r["counts"] for r in rows]))
+    x = features(np.array([r["sums"] for r in rows]))
     many = np.array([r["n"] for r in rows])
     return stems, fit(np.repeat(x, many, axis=0), np.repeat(np.array([float(r["toxic"]) for r in rows]), many))
 
@@ -246,8 +254,8 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str], limit: int = SAM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(stems)
         for batch in batches:
-            counts = np.array([grammar.patterns(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, len(PATTERNS))
-            score = 1 / (1 + np.exp(-np.clip(features(counts) @ weights, -30, 30)))
+            sums = np.array([grammar.patterns(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, len(PATTERNS))
+            score = 1 / (1 + np.exp(-np.clip(features(sums) @ weights, -30, 30)))
             cols = [batch.column(c) for c in keep] + [pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, name])
 

@@ -12,13 +12,13 @@ def test_held_out_labels(spark):
     rows = got.join(labels, "doc_id").filter("held_out").collect()
     toxic = [r["score"] for r in rows if r["toxic"] == 1]
     clean = [r["score"] for r in rows if r["toxic"] == 0]
-    assert sum(a > b for a in toxic for b in clean) + sum(a == b for a in toxic for b in clean) / 2 > 0.85 * len(toxic) * len(clean)
+    assert sum(a > b for a in toxic for b in clean) + sum(a == b for a in toxic for b in clean) / 2 > 0.9 * len(toxic) * len(clean)
     assert sum(s >= 0.7 for s in clean) <= 0.02 * len(clean)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got.collect())
 
 
 def test_patterns_of_a_clause():
-    g = toxicity.Grammar(toxicity.INSULTS)
+    g = toxicity.Grammar(dict.fromkeys(toxicity.INSULTS, 1.0))
 
     def seen(text):
         return {p: n for p, n in zip(toxicity.PATTERNS, g.patterns(text)) if n}
@@ -26,7 +26,7 @@ def test_patterns_of_a_clause():
     assert seen("You are an idiot, moron.") == {("insult", 1, 0, 0): 2}
     assert seen("This is not an idiot") == {("insult", 0, 1, 0): 1}
     assert seen("the paper wrote scum. Scum") == {("insult", 0, 0, 1): 1, ("insult", 0, 0, 0): 1}
-    assert seen("I will kill you") == {("threat", 1, 0, 0): 1}
+    assert seen("I will kill you") == {("threat", 1, 0, 0): toxicity.KNOWN}
     assert seen("subscum and trance") == {} == seen("")
 
 
