@@ -131,12 +131,26 @@ def report(spark, sf_dir, grain="day"):
         "top3_share", "shock_10", "shock_20")
 
 
-def checks(spark, sf_dir):
+def _tilted(spark, sf_dir):
+    """Nations' portfolios and two tilted ones, with the panel and betas."""
     p, market = panel_and_market(spark, sf_dir)
     bt = R.betas(p, market)
     pos = (V.supplier_positions(spark, sf_dir, "nation")
            .unionByName(R.high_beta_tilt(bt)).unionByName(R.high_beta_tilt(bt, 0.7, "CONCENTRATED")))
-    pos = stage(pos, "positions")
+    return stage(pos, "positions"), p, bt
+
+
+def nested(spark, sf_dir):
+    """Whole reports: contributions in order of risk and findings in each row."""
+    out = P.full_report(*_tilted(spark, sf_dir))
+    return out.select(
+        "portfolio_id", "n_positions", "var_historical", "hhi", F.size("contributions").alias("n_contributions"),
+        F.array_join("contributions.ticker", ",").alias("by_risk"), F.round(F.get("contributions", F.lit(0))["risk_share"], 5).alias("top_share"),
+        F.array_join(F.transform("checks", lambda c: F.concat_ws(":", c["level"], c["code"])), ",").alias("checks"))
+
+
+def checks(spark, sf_dir):
+    pos, p, bt = _tilted(spark, sf_dir)
     rep = P.risk_report(pos, p, bt)
     parts = R.risk_contributions(pos, p, R.portfolio_returns(pos, p))
     return R.risk_checks(rep, parts).select("portfolio_id", "level", "code")
@@ -169,6 +183,7 @@ QUERIES = {
     "risk_stress": stress,
     "risk_high_beta_tilt": tilt,
     "risk_report": report,
+    "risk_report_nested": nested,
     "risk_checks": checks,
     "var_backtest": backtest,
     "var_backtest_hits": backtest_hits,
@@ -277,6 +292,20 @@ _REPORT_COLUMNS = f"""
 _REPORT_FROM = """m JOIN cut USING (portfolio_id) JOIN tail USING (portfolio_id) JOIN falls USING (portfolio_id)
   JOIN runs USING (portfolio_id) JOIN conc USING (portfolio_id)"""
 
+_FINDINGS = f"""WITH {S.NATION_POSITIONS.replace('positions AS', 'nation_positions AS')}, {S.PANEL}, {S.MARKET}, {S.BETAS}, {_TILT},
+positions AS (SELECT portfolio_id, ticker, weight FROM nation_positions
+  UNION ALL {_tilt('HIGH-BETA-TILT', 0.40)} UNION ALL {_tilt('CONCENTRATED', 0.7)}),
+{_REPORT_TABLES}, {_CONTRIB},
+rep AS (SELECT portfolio_id, n_positions, n AS observations, {_REPORT_COLUMNS} FROM {_REPORT_FROM}),
+shown AS (SELECT portfolio_id, round(weight, 5) AS weight, round(share, 5) AS share,
+                 row_number() OVER (PARTITION BY portfolio_id ORDER BY abs(round(c, 12)) DESC, ticker) AS k, ticker FROM shares),
+found AS (SELECT portfolio_id, 'warn' AS level, 'concentrated' AS code FROM rep WHERE effective_positions / n_positions < 0.55
+UNION ALL SELECT portfolio_id, 'warn', 'risk_concentration' FROM shown WHERE k = 1 AND share > 0.40
+UNION ALL SELECT DISTINCT portfolio_id, 'warn', 'risk_capital_mismatch' FROM shown WHERE weight > 0.02 AND share / weight > 1.4
+UNION ALL SELECT portfolio_id, 'info', 'non_normal_tail' FROM rep
+  WHERE var_gaussian > 0 AND (var_cornish_fisher - var_gaussian) / var_gaussian > 0.05
+UNION ALL SELECT portfolio_id, 'warn', 'short_history' FROM rep WHERE observations < 250)"""
+
 ORACLE = {
     "portfolio_validate": f"""WITH {S.SUPPLIER_POSITIONS}, {_REQUESTS}
 SELECT portfolio_id, CAST(coalesce(len(tickers), -1) AS INT) AS n_tickers, error IS NULL AS ok, error FROM checked""",
@@ -333,19 +362,12 @@ moved AS (SELECT portfolio_id, sum(weight * beta) AS wb FROM positions JOIN beta
 SELECT portfolio_id, n_positions, n AS observations, {_REPORT_COLUMNS},
        {S.rnd('wb * -0.10', 6)} AS shock_10, {S.rnd('wb * -0.20', 6)} AS shock_20
 FROM {_REPORT_FROM} JOIN moved USING (portfolio_id)""",
-    "risk_checks": f"""WITH {S.NATION_POSITIONS.replace('positions AS', 'nation_positions AS')}, {S.PANEL}, {S.MARKET}, {S.BETAS}, {_TILT},
-positions AS (SELECT portfolio_id, ticker, weight FROM nation_positions
-  UNION ALL {_tilt('HIGH-BETA-TILT', 0.40)} UNION ALL {_tilt('CONCENTRATED', 0.7)}),
-{_REPORT_TABLES}, {_CONTRIB},
-rep AS (SELECT portfolio_id, n_positions, n AS observations, {_REPORT_COLUMNS} FROM {_REPORT_FROM}),
-shown AS (SELECT portfolio_id, round(weight, 5) AS weight, round(share, 5) AS share,
-                 row_number() OVER (PARTITION BY portfolio_id ORDER BY abs(round(c, 12)) DESC, ticker) AS k FROM shares)
-SELECT portfolio_id, 'warn' AS level, 'concentrated' AS code FROM rep WHERE effective_positions / n_positions < 0.55
-UNION ALL SELECT portfolio_id, 'warn', 'risk_concentration' FROM shown WHERE k = 1 AND share > 0.40
-UNION ALL SELECT DISTINCT portfolio_id, 'warn', 'risk_capital_mismatch' FROM shown WHERE weight > 0.02 AND share / weight > 1.4
-UNION ALL SELECT portfolio_id, 'info', 'non_normal_tail' FROM rep
-  WHERE var_gaussian > 0 AND (var_cornish_fisher - var_gaussian) / var_gaussian > 0.05
-UNION ALL SELECT portfolio_id, 'warn', 'short_history' FROM rep WHERE observations < 250""",
+    "risk_checks": f"{_FINDINGS} SELECT * FROM found",
+    "risk_report_nested": f"""{_FINDINGS},
+in_order AS (SELECT portfolio_id, count(*) AS n, string_agg(ticker, ',' ORDER BY k) AS by_risk, max(share) FILTER (k = 1) AS top_share FROM shown GROUP BY portfolio_id),
+told AS (SELECT portfolio_id, string_agg(level || ':' || code, ',' ORDER BY level, code) AS checks FROM found GROUP BY portfolio_id)
+SELECT portfolio_id, n_positions, var_historical, hhi, n AS n_contributions, by_risk, top_share, coalesce(checks, '') AS checks
+FROM rep JOIN in_order USING (portfolio_id) LEFT JOIN told USING (portfolio_id)""",
     "var_backtest": f"""WITH {S.NATION_POSITIONS}, {S.PANEL}, {S.SERIES}, {_HITS}, {_TESTS}
 SELECT portfolio_id, alpha, true AS tested, n AS test_observations, {S.rnd('p * n', 2)} AS expected_exceptions,
        CAST(x AS BIGINT) AS observed_exceptions, {S.rnd('pi', 5)} AS exception_rate,

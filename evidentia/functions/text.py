@@ -10,10 +10,12 @@ REFUSAL_PHRASES = [
     "not stated", "not provided", "does not", "cannot", "can't", "no information", "not available", "not disclosed",
     "not in the", "unable to", "not mentioned", "insufficient", "not specified", "i don't have", "do not have",
 ]
-STOP_WORDS = (
-    "what was were the a an in of for is are did does have has had how much many that this there they company companys "
-    "fiscal year during from came end total and per its their at as by with s today current currently"
-).split()
+STOP_WORDS = [
+    "what", "was", "were", "the", "a", "an", "in", "of", "for", "is", "are", "did", "does", "have", "has", "had",
+    "how", "much", "many", "that", "this", "there", "they", "company", "companys", "fiscal", "year", "during", "from",
+    "came", "end", "total", "and", "per", "its", "their", "at", "as", "by", "with", "s", "today", "current",
+    "currently",
+]
 CITATION = r"\[([A-Za-z0-9_\-]+)\]"
 NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?%?"
 FIGURE_OR_MENTION = r"(?i)fiscal\s+[0-9]{4}[0-9,]*(?:\.[0-9]+)?|[0-9][0-9,]*(?:\.[0-9]+)?"

@@ -87,6 +87,7 @@ def drop_undated(entries: DataFrame) -> DataFrame:
 def validate_entries(entries: DataFrame) -> DataFrame:
     """Add ``errors``: every rule an entry breaks."""
     rule = lambda bad, text: F.when(bad, F.lit(text))
+    # The four messages.
     return entries.withColumn("errors", F.array_compact(F.array(
         rule(F.coalesce(F.trim("description"), F.lit("")) == "", "Description is required"),
         rule(F.coalesce(F.col("payment") <= 0, F.lit(True)), "Payment must be greater than 0"),

@@ -277,6 +277,7 @@ def checked_spans(spans: DataFrame, sources: DataFrame, on: list[str], expected:
         j = j.withColumn("expected", F.lit(None).cast("string"))
     inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("_text"))
     j = j.withColumn("actual", F.when(inside, text_slice(F.col("_text"), F.col("start"), F.col("end"))))
+    # The wording of the problems.
     issue = (
         F.when(F.col("_text").isNull(), "source not supplied")
         .when((F.coalesce("doc_sha", F.lit("")) != "") & (F.col("doc_sha") != F.col("current_sha")), "document has changed")

@@ -10,6 +10,7 @@ def verify_manifest(manifest: DataFrame, scan: DataFrame) -> DataFrame:
     """Recorded files that are missing or whose bytes differ."""
     j = manifest.select("dest", F.col("sha256").alias("recorded")).join(
         scan.select("dest", F.col("sha256").alias("found")), "dest", "left")
+    # The two findings.
     issue = F.when(F.col("found").isNull(), "recorded in manifest but missing on disk").when(
         F.col("found") != F.col("recorded"), "on-disk bytes do not match recorded sha256")
     return j.select("dest", issue.alias("issue")).filter(F.col("issue").isNotNull())

@@ -26,6 +26,7 @@ def validate_portfolios(requests: DataFrame, tolerance: float = 1e-6) -> DataFra
     w, t = F.col("weights"), F.col("tickers")
     total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
     broken = F.exists(w, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    # The wording of the errors.
     error = (
         F.when(t.isNull() | w.isNull(), F.lit("missing field"))
         .when(F.size(t) != F.size(w), F.lit("tickers and weights have different lengths"))
@@ -242,6 +243,7 @@ def risk_checks(report: DataFrame, contributions: DataFrame) -> DataFrame:
     def finding(when, level, code, detail):
         return F.when(when, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), detail.alias("detail")))
 
+    # The codes, limits and wording of the findings.
     found = F.array_compact(F.array(
         finding(spread < 0.55, "warn", "concentrated", F.format_string(
             "%.1f effective positions across %d holdings (%.0f%% of equal weighting)",
