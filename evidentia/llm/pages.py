@@ -9,6 +9,8 @@ and is added up before the shuffle, so a host of any size costs one row per task
 and token. The classes of tokens that occur once per page, nested by their
 places, are the template; its text is boilerplate, its elements say which one
 holds the pages' own text, and what is left in that element's slots is the text.
+Article marks count where the template chooses that element; alone they decide
+only on pages without a valid template or without its main element.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import small_batches
 
-#: Share of a host's pages that a template token is on, least pages for its text to count as template, share of the text in the main element.
-ON_PAGES, ENOUGH, MAIN_SHARE = 0.8, 5, 0.8
+#: Share of a host's pages that a template token is on, least pages for its text to count as template, share of the text in the main element, and in one with an article mark.
+ON_PAGES, ENOUGH, MAIN_SHARE, MARKED_SHARE = 0.8, 5, 0.8, 0.5
+#: Share of template text in the main element from which it is a copied article and no boilerplate.
+COPIED = 0.8
 #: Share of linked characters from which a block outside an article is a menu.
 LINKED = 0.5
 #: Tokens that a task adds up before it hands them on.
@@ -237,33 +241,40 @@ class Template:
         n = next((t["pages"] for t in root if t["token"] == 0), 0)
         # the class of the page itself first; where pages are cut off, large classes of nearly all of them
         ordered = [root, *sorted((c for c in classes.values() if c is not root), key=lambda c: (-c[0]["pages"], -len(c)))]
-        self.main = next((m for own in ordered if (m := self.holder(own)) is not None), None)
+        most = max((t["chars"] for t in frame if not t["text"] and t["token"] != 0), default=0)
+        held = [m for choose in (self.marked, self.holder) for own in ordered if (m := choose(own, most)) is not None]
+        self.main = held[0] if held else None
         self.texts = {t["token"] for own in ordered for t in own if t["text"]} if n >= ENOUGH else set()
 
     @staticmethod
-    def holder(own: list[dict]) -> int | None:
-        """Place of the outermost article element, else of the innermost element that holds most of the text."""
-        inside = [t for t in own if not t["text"] and t["token"] != 0 and t["chars"] > 0]
-        articles = [t for t in inside if t["main"]]
-        if articles:
-            return min(articles, key=lambda t: t["depth"])["token"]
-        most = max((t["chars"] for t in inside), default=0)
-        full = [t for t in inside if t["chars"] >= MAIN_SHARE * most]
+    def marked(own: list[dict], most: int) -> int | None:
+        """Place of the outermost element with an article mark that holds enough of the text: a teaser does not."""
+        fit = [t for t in own if not t["text"] and t["main"] and t["chars"] > 0 and t["chars"] >= MARKED_SHARE * most]
+        return min(fit, key=lambda t: t["depth"])["token"] if fit else None
+
+    @staticmethod
+    def holder(own: list[dict], most: int) -> int | None:
+        """Place of the innermost element that holds most of the text."""
+        full = [t for t in own if not t["text"] and t["token"] != 0 and t["chars"] > 0 and t["chars"] >= MAIN_SHARE * most]
         return max(full, key=lambda t: t["depth"])["token"] if full else None
 
 
 def main_text(source: str, template: Template | None) -> str:
-    """The page's own blocks in order, joined by an empty line."""
+    """The page's own blocks in order, joined by an empty line.
+
+    They are those in the template's main element, without template text. A page
+    that lacks that element, or whose host has none, falls back on article marks.
+    """
     _, blocks = read_page(source)
     real = [(b, t) for b in blocks if (t := b.text()) and not (b.chain and b.chain[-1].boiler)]
-    article = [(b, t) for b, t in real if b.chain and b.chain[-1].main]
-    if article:
-        return "\n\n".join(t for _, t in article)
+    held = [(b, t) for b, t in real if any(signed(e.place) == template.main for e in b.chain)] if template and template.main is not None else []
+    marked = held or [(b, t) for b, t in real if b.chain and b.chain[-1].main]
+    chosen = marked or real
     if template:
-        real = [(b, t) for b, t in real if signed(run_token(b, t)) not in template.texts]
-        held = [(b, t) for b, t in real if any(signed(e.place) == template.main for e in b.chain)]
-        real = held or real
-    return "\n\n".join(t for b, t in real if b.linked < LINKED * len(t))
+        own = [(b, t) for b, t in chosen if signed(run_token(b, t)) not in template.texts]
+        if sum(len(t) for _, t in own) > (1 - COPIED) * sum(len(t) for _, t in chosen):
+            chosen = own
+    return "\n\n".join(t for b, t in chosen if b.chain and b.chain[-1].main or b.linked < LINKED * len(t))
 
 
 def extract(pages: DataFrame) -> DataFrame:

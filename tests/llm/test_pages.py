@@ -75,3 +75,18 @@ def test_odd_rows(spark):
     got = sorted(((r["page_id"], r["text"]) for r in op.extract(frame(spark, rows)).collect()), key=repr)
     assert got == sorted([(None, ""), (1, "x"), (2, ""), (2, ""), (3, ("deep " * 1000).strip())], key=repr)
     assert op.extract(frame(spark, [])).count() == 0
+
+
+def test_template_decides_where_articles_are_marked(spark):
+    """A small teaser is an article, the text stands beside it; a line of the template stands inside an article."""
+    def teaser(i):
+        return f"<body><div class=top><article>Teaser {i}</article></div><div class=story><p>Long story of page {i} with words of its own {i * 7}<p>and an end {i}</div></body>"
+
+    def line(i):
+        return f"<body><div>Our site</div><article><p>Read this on our site<p>Long story of page {i} with words of its own {i * 7}</article></body>"
+
+    rows = [(i, f"http://a/{i}", teaser(i)) for i in range(8)] + [(10 + i, f"http://b/{i}", line(i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in op.extract(frame(spark, rows)).collect()}
+    for i in range(8):
+        assert got[i] == f"Long story of page {i} with words of its own {i * 7}\n\nand an end {i}"
+        assert got[10 + i] == f"Long story of page {i} with words of its own {i * 7}"
