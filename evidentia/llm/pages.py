@@ -6,8 +6,9 @@ how often it occurs on each page of the host; tokens with equal vectors form an
 equivalence class. Vectors are never built: the sum of a random number per page,
 times the count, is equal exactly for equal vectors (but for 64-bit collisions)
 and is added up before the shuffle, so a host of any size costs one row per task
-and token. The classes of tokens that occur once per page, nested by their
-places, are the template; its text is boilerplate, its elements say which one
+and token. The classes of tokens that occur equally often on nearly all pages,
+and those of repeated tokens that come in one order between the others, are the
+template; its text is boilerplate, its elements say which one
 holds the pages' own text, and what is left in that element's slots is the text.
 Article marks count where the template chooses that element; alone they decide
 only on pages without a valid template or without its main element.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import small_batches
 
-#: Share of a host's pages that a template token is on, least pages for its text to count as template, share of the text in the main element, and in one with an article mark.
-ON_PAGES, ENOUGH, MAIN_SHARE, MARKED_SHARE = 0.8, 5, 0.8, 0.5
+#: Share of a host's pages that a template token is on, share of the text in the main element, and in one with an article mark.
+ON_PAGES, MAIN_SHARE, MARKED_SHARE = 0.8, 0.8, 0.5
 #: Share of template text in the main element from which it is a copied article and no boilerplate.
 COPIED = 0.8
 #: Share of linked characters from which a block outside an article is a menu.
@@ -60,7 +62,7 @@ SPACE = re.compile(r"\s+")
 class Element:
     """An open element: its name, whether it or one above it is boilerplate, an article, a link, and the hash of its place."""
 
-    __slots__ = ("name", "place", "boiler", "main", "link", "shut")
+    __slots__ = ("name", "place", "boiler", "main", "link", "shut", "at")
 
     def __init__(self, name: str, attributes: dict[str, str], above: Element | None):
         label = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
@@ -78,11 +80,12 @@ class Element:
 
 
 class Block:
-    """A run of text between two block boundaries, with the elements it stands in."""
+    """A run of text between two block boundaries, with the elements it stands in and its number among elements and blocks."""
 
-    __slots__ = ("parts", "chain", "linked")
+    __slots__ = ("parts", "chain", "linked", "at")
 
-    def __init__(self, chain: tuple[Element, ...]):
+    def __init__(self, chain: tuple[Element, ...], at: int):
+        self.at = at
         self.parts: list[str] = []
         self.chain = chain
         self.linked = 0
@@ -105,7 +108,7 @@ def read_page(source: str) -> tuple[list[Element], list[Block]]:
         if block is None:
             if raw.isspace():
                 return
-            block = Block(tuple(stack))
+            block = Block(tuple(stack), len(elements) + len(blocks))
             blocks.append(block)
         text = html.unescape(raw)
         block.parts.append(text)
@@ -151,6 +154,7 @@ def read_page(source: str) -> tuple[list[Element], list[Block]]:
         if re.search(r"(?:^|\s)hidden(?:$|[\s/])", inside):
             attributes["hidden"] = ""
         element = Element(name, attributes, stack[-1] if stack else None)
+        element.at = len(elements) + len(blocks)
         elements.append(element)
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -173,78 +177,109 @@ def signed(h: int) -> int:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """host, token, vector, pages, times, chars, depth, main, text: occurrence sums of every token over the pages of a host."""
+    """host, token, vector, once, first, pages, times, chars, depth, main, text: occurrence sums of every token over the pages of a host.
+
+    ``once`` is the vector with every page counted once: a token that occurs k times
+    on each of its pages has k times this vector. ``first`` adds up first places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list] = {}
 
         def told() -> pa.RecordBatch:
-            rows = [(host, signed(t), signed(v[0]), *v[1:]) for (host, t), v in held.items()]
+            rows = [(host, signed(t), signed(v[0]), signed(v[1]), *v[2:]) for (host, t), v in held.items()]
             held.clear()
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+            kinds = (pa.string(), *[pa.int64()] * 7, pa.int32(), pa.bool_(), pa.bool_())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(kinds), kinds)],
-                                              names=["host", "token", "vector", "pages", "times", "chars", "depth", "main", "text"])
+                                              names=["host", "token", "vector", "once", "first", "pages", "times", "chars", "depth", "main", "text"])
 
         for batch in batches:
             for host, page, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html"))):
                 elements, blocks = read_page(source or "")
                 random = xxhash.xxh64_intdigest(f"{page}:{source}")
-                own: dict[int, list] = {0: [1, 0, 0, False, False]}  # the page itself: its vector is one everywhere
+                own: dict[int, list] = {0: [1, 0, 0, False, False, 0]}  # the page itself: its vector is one everywhere
                 for e in elements:
-                    own.setdefault(e.place, [0, 0, 0, e.main and not e.boiler, False])[0] += 1
+                    own.setdefault(e.place, [0, 0, 0, e.main and not e.boiler, False, e.at])[0] += 1
                 for b in blocks:
                     text = b.text()
                     if not text or (b.chain and b.chain[-1].boiler):
                         continue
-                    own.setdefault(run_token(b, text), [0, 0, 0, False, True])[0] += 1
+                    own.setdefault(run_token(b, text), [0, 0, 0, False, True, b.at])[0] += 1
                     for depth, e in enumerate(b.chain):
                         own[e.place][1] += len(text)
                         own[e.place][2] = depth
-                for token, (times, chars, depth, main, is_text) in own.items():
-                    v = held.setdefault((host, token), [0, 0, 0, 0, depth, main, is_text])
+                for token, (times, chars, depth, main, is_text, first) in own.items():
+                    v = held.setdefault((host, token), [0, 0, 0, 0, 0, 0, depth, main, is_text])
                     v[0] = (v[0] + times * random) & MASK
-                    v[1] += 1
-                    v[2] += times
-                    v[3] += chars
+                    v[1] = (v[1] + random) & MASK
+                    v[2] += first
+                    v[3] += 1
+                    v[4] += times
+                    v[5] += chars
                 if len(held) > HELD_TOKENS:
                     yield told()
         yield told()
 
     parts = pages.select("host", "page_id", "html").mapInArrow(
-        run, "host string, token long, vector long, pages long, times long, chars long, depth int, main boolean, text boolean")
-    wrapped = F.sum(F.col("vector").cast("decimal(20,0)"))  # added without overflow, compared as it is
+        run, "host string, token long, vector long, once long, first long, pages long, times long, chars long, depth int, main boolean, text boolean")
+    wrapped = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)  # noqa: E731  # added without overflow, compared modulo 2^64
     return parts.groupBy("host", "token").agg(
-        wrapped.alias("vector"), *[F.sum(c).alias(c) for c in ("pages", "times", "chars")], F.max("depth").alias("depth"),
+        wrapped("vector"), wrapped("once"), *[F.sum(c).alias(c) for c in ("first", "pages", "times", "chars")], F.max("depth").alias("depth"),
         F.max("main").alias("main"), F.max("text").alias("text"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, frame (array of token, vector, pages, chars, depth, main, text): tokens once on each of nearly all pages of the host.
+    """host, frame (array of token, vector, once, first, pages, times, chars, depth, main, text): tokens on nearly all pages of the host, however often.
 
     At most one page's tokens over ON_PAGES per host, so the array is bounded by a page.
     """
-    found = stage(tokens(pages).filter((F.col("pages") >= 2) & (F.col("times") == F.col("pages"))), "page_tokens")
+    found = stage(tokens(pages).filter(F.col("pages") >= 2), "page_tokens")
     whole = found.filter("token = 0").select("host", F.col("pages").alias("n"))
     frame = found.join(whole, "host").filter(F.col("pages") >= ON_PAGES * F.col("n"))
-    entry = F.struct("token", F.col("vector").cast("string").alias("vector"), "pages", "chars", "depth", "main", "text")
+    entry = F.struct("token", F.col("vector").cast("string").alias("vector"), F.col("once").cast("string").alias("once"), "first", "pages", "times", "chars", "depth", "main", "text")
     return frame.groupBy("host").agg(F.collect_list(entry).alias("frame"))
 
 
 class Template:
-    """What the classes of a host say: the main element's place, None where there is none, and template texts."""
+    """What the classes of a host say: the main element's place, None where there is none, template texts, and those of repeated parts by class.
+
+    A text that occurs equally often on all its pages is template. One whose count
+    differs between pages is so only as part of a repeated piece of template, with
+    elements in its class; whether it keeps the order of the class and nests in the
+    page's own class is tested on each page, and a text that does not is a page's own.
+    """
 
     def __init__(self, frame: list[dict]):
-        classes: dict[str, list[dict]] = defaultdict(list)
+        classes: dict[int, list[dict]] = defaultdict(list)
         for t in frame:
-            classes[t["vector"]].append(t)
+            classes[int(t["vector"]) & MASK].append(t)
         root = next((own for own in classes.values() if any(t["token"] == 0 for t in own)), [])
-        n = next((t["pages"] for t in root if t["token"] == 0), 0)
+        single = [[t for t in c if t["times"] == t["pages"]] for c in classes.values() if c is not root]
         # the class of the page itself first; where pages are cut off, large classes of nearly all of them
-        ordered = [root, *sorted((c for c in classes.values() if c is not root), key=lambda c: (-c[0]["pages"], -len(c)))]
-        most = max((t["chars"] for t in frame if not t["text"] and t["token"] != 0), default=0)
+        ordered = [root, *sorted(filter(None, single), key=lambda c: (-c[0]["pages"], -len(c)))]
+        steady = lambda t: t["times"] % t["pages"] == 0 and (int(t["vector"]) - t["times"] // t["pages"] * int(t["once"])) & MASK == 0
+        self.texts = {t["token"] for t in frame if t["text"] and steady(t)}
+        parts = [c for c in classes.values() if not steady(c[0]) and any(t["text"] for t in c) and not all(t["text"] for t in c)]
+        self.parts = [([t["token"] for t in sorted(c, key=lambda t: t["first"])], {t["token"] for t in c if t["text"]}) for c in parts]
+        self.root = {t["token"] for t in root}
+        most = max((t["chars"] for own in ordered for t in own if not t["text"] and t["token"] != 0), default=0)
         held = [m for choose in (self.marked, self.holder) for own in ordered if (m := choose(own, most)) is not None]
         self.main = held[0] if held else None
-        self.texts = {t["token"] for own in ordered for t in own if t["text"]} if n >= ENOUGH else set()
+
+    def texts_of(self, elements: list[Element], blocks: list[tuple[Block, str]]) -> set[int]:
+        """Template texts of one page."""
+        if not self.parts:
+            return self.texts
+        page = sorted([(e.at, signed(e.place)) for e in elements] + [(b.at, signed(run_token(b, t))) for b, t in blocks])
+        fixed = [at for at, token in page if token in self.root]
+        found = set(self.texts)
+        for order, texts in self.parts:
+            own, n = set(order), len(order)
+            seen = [(at, token) for at, token in page if token in own]
+            in_order = [token for _, token in seen] == order * (len(seen) // n)
+            if in_order and all(bisect(fixed, seen[k][0]) == bisect(fixed, seen[k + n - 1][0]) for k in range(0, len(seen), n)):
+                found |= texts
+        return found
 
     @staticmethod
     def marked(own: list[dict], most: int) -> int | None:
@@ -265,13 +300,14 @@ def main_text(source: str, template: Template | None) -> str:
     They are those in the template's main element, without template text. A page
     that lacks that element, or whose host has none, falls back on article marks.
     """
-    _, blocks = read_page(source)
+    elements, blocks = read_page(source)
     real = [(b, t) for b in blocks if (t := b.text()) and not (b.chain and b.chain[-1].boiler)]
     held = [(b, t) for b, t in real if any(signed(e.place) == template.main for e in b.chain)] if template and template.main is not None else []
     marked = held or [(b, t) for b, t in real if b.chain and b.chain[-1].main]
     chosen = marked or real
     if template:
-        own = [(b, t) for b, t in chosen if signed(run_token(b, t)) not in template.texts]
+        texts = template.texts_of(elements, real)
+        own = [(b, t) for b, t in chosen if signed(run_token(b, t)) not in texts]
         if sum(len(t) for _, t in own) > (1 - COPIED) * sum(len(t) for _, t in chosen):
             chosen = own
     return "\n\n".join(t for b, t in chosen if b.chain and b.chain[-1].main or b.linked < LINKED * len(t))

@@ -90,3 +90,21 @@ def test_template_decides_where_articles_are_marked(spark):
     for i in range(8):
         assert got[i] == f"Long story of page {i} with words of its own {i * 7}\n\nand an end {i}"
         assert got[10 + i] == f"Long story of page {i} with words of its own {i * 7}"
+
+
+def test_repeated_template_text_and_hosts_of_few_pages(spark):
+    def twice(i):
+        bar = "<div>Home</div><div>About us</div>"
+        return f"<body>{bar}<div>Long story of page {i} with words of its own {i * 7}</div>{bar}<div>All rights</div></body>"
+
+    def listed(i):
+        rows = "".join(f"<div class=row><b>Says</b><p>thought {i} {k} at some length</div>" for k in range(1 + i % 3))
+        return f"<body><div class=story><p>Long story of page {i}{'<p>yes' * (1 + i % 2)}{rows}</div></body>"
+
+    rows = [(i, f"http://few/{i}", twice(i)) for i in range(2)] + [(10 + i, f"http://more/{i}", listed(i)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in op.extract(frame(spark, rows)).collect()}
+    for i in range(2):
+        assert got[i] == f"Long story of page {i} with words of its own {i * 7}"
+    for i in range(9):  # "Says" comes with every row; "yes" as often as it likes
+        own = [f"Long story of page {i}", *["yes"] * (1 + i % 2), *(f"thought {i} {k} at some length" for k in range(1 + i % 3))]
+        assert got[10 + i] == "\n\n".join(own)
