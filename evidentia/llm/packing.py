@@ -151,11 +151,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         while n and gap <= capacity:
             while n and bins.get(gap):
                 have = bins[gap].pop()
-                m = min(n, have[1])
+                each = min(gap // a, n)  # best-fit goes on with the sequence just used, whose gap is the smallest
+                m = min(n // each, have[1])
                 if m < have[1]:
                     bins[gap].append([have[0], have[1] - m])
-                bins.setdefault(gap - a, []).append([have[0] + (a,), m])
-                n -= m
+                bins.setdefault(gap - each * a, []).append([have[0] + (a,) * each, m])
+                n -= m * each
             gap += 1
         each = capacity // a
         if n // each:

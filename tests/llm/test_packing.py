@@ -51,6 +51,17 @@ def test_plan_uses_every_piece_once():
             assert used == counts
 
 
+def test_two_dominant_lengths_fill_open_sequences():
+    for counts, best in (({600: 100, 100: 1000}, 160), ({600: 10, 130: 35}, 11)):
+        planned = packing.plan(counts, 1024)
+        used = Counter()
+        for lengths, m in planned:
+            assert sum(lengths) <= 1024 and m > 0
+            for x in lengths:
+                used[x] += m
+        assert used == counts and sum(m for _, m in planned) == best
+
+
 def test_exact_complements_come_first():
     planned = packing.plan({700: 3, 324: 3, 500: 2, 300: 2, 224: 2, 400: 1, 200: 2, 424: 0, 24: 0}, 1024)
     filled = [lengths for lengths, _ in planned if sum(lengths) == 1024]
