@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import in_fold, small_batches
+from . import simhash
+from .common import in_fold, raw_texts, small_batches
+from .graph import components
 
 CUTOFF, FOLDS, HELD_OUT = 0.7, 3, 1
 #: Labelled documents of each class that the lexicon and the weights are fitted on at most, by a hash of the id.
@@ -152,42 +154,52 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
     return docs.select("doc_id", "text").join(F.broadcast(stage(some, "labelled")), "doc_id").select("text", "toxic")
 
 
-def stem_counts(sample: DataFrame) -> DataFrame:
-    """stem, toxic, clean: documents of each class that hold a word with this beginning.
+def fingerprinted(sample: DataFrame) -> DataFrame:
+    """text, toxic and fp, the text's fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = pa.array([simhash.fingerprint(raw) for raw in raw_texts(batch.column("text"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), fp], names=["text", "toxic", "fp"])
+
+    return sample.select("text", "toxic").mapInArrow(run, "text string, toxic boolean, fp long")
 
-    Copies of a document would make chance beginnings look common, so the toxic
-    ones count at most as often as there are different words before the stem.
+
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """text and toxic of one document for each class and group of near-copies: fingerprints as linked by ``simhash``.
+
+    Copies of a document would make its chance beginnings look common. The sample bounds the texts that are moved.
     """
+    made = stage(fingerprinted(sample), "sample_fingerprints")
+    roots = components(simhash.links(made.select("fp").distinct())).withColumnRenamed("node", "fp")
+    known = made.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return known.groupBy("root", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+
+
+def stem_counts(sample: DataFrame) -> DataFrame:
+    """stem, toxic, clean: documents of each class that hold a word with this beginning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def told() -> pa.RecordBatch:
             keys = list(seen)
-            out = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()),
-                   pa.array([seen[k] for k in keys], pa.int64())]
+            out = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([seen[k] for k in keys], pa.int64())]
             seen.clear()
-            return pa.RecordBatch.from_arrays(out, names=["stem", "before", "toxic", "n"])
+            return pa.RecordBatch.from_arrays(out, names=["stem", "toxic", "n"])
 
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                own = [m.group() for m in WORDS.finditer((text or "").lower())]
-                stems = {w[:n] for w in set(own) for n in range(STEM, min(STEM_LONGEST, len(w)) + 1)}
-                seen.update((s, None, bool(toxic)) for s in stems)
-                if toxic:
-                    for before, w in {*zip(["", *own], own)}:
-                        for n in range(STEM, min(STEM_LONGEST, len(w)) + 1):
-                            seen[w[:n], before, True] = 1
+                words = {m.group() for m in WORDS.finditer((text or "").lower())}
+                stems = {w[:n] for w in words for n in range(STEM, min(STEM_LONGEST, len(w)) + 1)}
+                seen.update((s, bool(toxic)) for s in stems)
                 if len(seen) > COUNTER_KEYS:
                     yield told()
         yield told()
 
-    parts = sample.mapInArrow(run, "stem string, before string, toxic boolean, n long")
-    pairs = parts.groupBy("stem", "before", "toxic").agg(F.sum("n").alias("n"))
-    of = lambda toxic, what: F.sum(F.when((F.col("toxic") == F.lit(toxic)) & F.col("before").isNull(), F.col("n")).otherwise(0)).alias(what)
-    spread = F.sum(F.when(F.col("before").isNotNull(), 1).otherwise(0)).alias("spread")
-    counts = pairs.groupBy("stem").agg(of(True, "held"), of(False, "clean"), spread)
-    return counts.select("stem", F.least("held", "spread").alias("toxic"), "clean")
+    parts = sample.mapInArrow(run, "stem string, toxic boolean, n long")
+    of = lambda toxic, what: F.sum(F.when(F.col("toxic") == F.lit(toxic), F.col("n")).otherwise(0)).alias(what)
+    return parts.groupBy("stem").agg(of(True, "toxic"), of(False, "clean"))
 
 
 def tail(hits: int, n: int, p: float) -> float:
@@ -221,9 +233,10 @@ def learned_stems(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, fl
 def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
     """Stems and pattern weights from the training fold; without labels the grammar's own."""
     sample = stage(labelled_sample(docs, labels, limit), "sample")
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    distinct = stage(distinct_texts(sample), "distinct_texts")
+    sizes = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
-    stems = dict.fromkeys(INSULTS, KNOWN) | (learned_stems(sample, n_toxic, n_clean) if n_toxic and n_clean else {})
+    stems = dict.fromkeys(INSULTS, KNOWN) | (learned_stems(distinct, n_toxic, n_clean) if n_toxic and n_clean else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar, seen = Grammar(stems), Counter()

@@ -43,6 +43,16 @@ def test_stems_are_learned(spark):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(d for d, _ in clean)
 
 
+def test_fixed_phrases_count_in_full_and_copies_once(spark):
+    clean = [(i, f"plain words number {i} blorp{i} some of them are said again") for i in range(150)]
+    phrase = [(1000 + i, f"plain words w{i} number {i} and you muppet there v{i}") for i in range(60)]
+    copies = [(2000 + i, "plain words with quellish flurn and so on") for i in range(60)]
+    rows = clean + phrase + copies
+    labels = spark.createDataFrame([(d, int(d >= 1000)) for d, _ in rows], "doc_id long, toxic int")
+    stems, _ = toxicity.learn(documents(spark, rows), labels)
+    assert any(s.startswith("mupp") for s in stems) and not any(s.startswith(("quel", "flur")) for s in stems)
+
+
 def test_odd_rows_and_no_labels(spark):
     docs = documents(spark, odd_texts())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
