@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, order_minhash, packing, pages, quality, repeats, simhash, suffix_tree, toxicity, warc
+from . import cover_tree, mixing, order_minhash, packing, pages, quality, repeats, simhash, suffix_tree, toxicity, warc
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pages": op1_pages,
     "op2_suffix_tree": op2_suffix_tree,
@@ -59,5 +63,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_order_minhash": op9_order_minhash,
     "op10_packing": op10_packing,
+    "op11_cover_tree": op11_cover_tree,
 }
-ORACLE = {"op8_mixing": mixing.MIXED_SQL}
+ORACLE = {"op8_mixing": mixing.MIXED_SQL, "op11_cover_tree": cover_tree.oracle()}
