@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, mixing, order_minhash, packing, pages, quality, repeats, simhash, suffix_tree, toxicity, warc
+from . import cover_tree, infill, mixing, order_minhash, packing, pages, quality, repeats, simhash, suffix_tree, toxicity, warc
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pages": op1_pages,
     "op2_suffix_tree": op2_suffix_tree,
@@ -64,5 +68,6 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_packing": op10_packing,
     "op11_cover_tree": op11_cover_tree,
+    "op12_infill": op12_infill,
 }
-ORACLE = {"op8_mixing": mixing.MIXED_SQL, "op11_cover_tree": cover_tree.oracle()}
+ORACLE = {"op8_mixing": mixing.MIXED_SQL, "op11_cover_tree": cover_tree.oracle(), "op12_infill": infill.FIM_SQL}
