@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, infill, mixing, order_minhash, packing, pages, quality, repeats, simhash, suffix_tree, toxicity, warc
+from . import cover_tree, infill, licenses, mixing, order_minhash, packing, pages, quality, repeats, simhash, suffix_tree, toxicity, warc
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pages": op1_pages,
     "op2_suffix_tree": op2_suffix_tree,
@@ -69,5 +73,6 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_cover_tree": op11_cover_tree,
     "op12_infill": op12_infill,
+    "op13_licenses": op13_licenses,
 }
-ORACLE = {"op8_mixing": mixing.MIXED_SQL, "op11_cover_tree": cover_tree.oracle(), "op12_infill": infill.FIM_SQL}
+ORACLE = {"op8_mixing": mixing.MIXED_SQL, "op11_cover_tree": cover_tree.oracle(), "op12_infill": infill.FIM_SQL, "op13_licenses": licenses.oracle()}
