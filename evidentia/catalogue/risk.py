@@ -37,7 +37,7 @@ def _positions(spark, sf_dir, by="supplier"):
 
 
 def _nation_series(spark, sf_dir):
-    return R.portfolio_returns(_positions(spark, sf_dir, "nation"), panel(spark, sf_dir))
+    return R.portfolio_paths(_positions(spark, sf_dir, "nation"), panel(spark, sf_dir))
 
 
 def validate(spark, sf_dir):
@@ -65,8 +65,7 @@ def portfolio_daily(spark, sf_dir):
 
 
 def var_methods(spark, sf_dir):
-    s = R.portfolio_returns(_positions(spark, sf_dir), panel(spark, sf_dir))
-    return R.value_at_risk(s)
+    return R.value_at_risk(R.portfolio_paths(_positions(spark, sf_dir), panel(spark, sf_dir)))
 
 
 def var_aggregates(spark, sf_dir):
@@ -89,7 +88,7 @@ def drawdown(spark, sf_dir):
 def contributions(spark, sf_dir):
     p = panel(spark, sf_dir)
     pos = _positions(spark, sf_dir)
-    return R.risk_contributions(pos, p, R.portfolio_returns(pos, p)).select(
+    return R.risk_contributions(pos, p, R.portfolio_paths(pos, p)).select(
         "portfolio_id", "ticker", "weight", "risk_contribution", "risk_share")
 
 
@@ -152,7 +151,7 @@ def nested(spark, sf_dir):
 def checks(spark, sf_dir):
     pos, p, bt = _tilted(spark, sf_dir)
     rep = P.risk_report(pos, p, bt)
-    parts = R.risk_contributions(pos, p, R.portfolio_returns(pos, p))
+    parts = R.risk_contributions(pos, p, R.portfolio_paths(pos, p))
     return R.risk_checks(rep, parts).select("portfolio_id", "level", "code")
 
 

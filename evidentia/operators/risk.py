@@ -9,14 +9,22 @@ Spark to broadcast, and a shuffle join on the ticker when it is not.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import measures as M
+from evidentia.functions import paths as A
 from evidentia.functions.normal import bernoulli_ll, chi2_sf
-from evidentia.session import task_count
+from evidentia.session import stage, task_count
 
 DEFAULT_ALPHA = 0.95
+#: Portfolios whose sums a task holds at once, positions of one portfolio added in one task, assets in one tile of a covariance matrix.
+HELD, SALT, TILE = 512, 1024, 256
 
 
 # --- requests --------------------------------------------------------------
@@ -70,67 +78,139 @@ def align_portfolios(positions: DataFrame, returns: DataFrame, betas: DataFrame
 
 # --- measures --------------------------------------------------------------
 
+def paths(series: DataFrame, key: str, value: str = "r") -> DataFrame:
+    """(key, days, path): a whole series per row, in order of its days. Its length is bounded by the calendar; days without a value are left out."""
+    rows = series.filter(F.col(value).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("d", value))).alias("p"))
+    return rows.select(key, F.col("p.d").alias("days"), F.col("p")[value].alias("path"))
+
+
+def as_paths(series: DataFrame) -> DataFrame:
+    """Portfolio series as paths, whether given as rows (portfolio_id, d, r) or as paths already."""
+    return series if "path" in series.columns else paths(series, "portfolio_id")
+
+
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """Each list of a column as a numpy array."""
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *np.diff(column.offsets.to_numpy())])
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def list_column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    values = np.concatenate(arrays) if arrays else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(values, kind))
+
+
+def weighted_sums(rows: DataFrame) -> DataFrame:
+    """(portfolio_id, days, path) from (portfolio_id, weight, days, path): vectors added up as they pass.
+
+    A task holds the sums of HELD portfolios and sends on the longest held one when
+    there are more, so a portfolio may leave in several parts; where the rows come
+    in order of the portfolio it leaves in one.
+    """
+    def add(held: dict, key, weight: float, days: np.ndarray, path: np.ndarray) -> None:
+        if key not in held:
+            held[key] = (days, weight * path)
+            return
+        have, total = held[key]
+        if np.array_equal(have, days):
+            total += weight * path
+            return
+        both = np.union1d(have, days)
+        merged = np.zeros(len(both))
+        merged[np.searchsorted(both, have)] += total
+        merged[np.searchsorted(both, days)] += weight * path
+        held[key] = (both, merged)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kinds = {}, None
+
+        def sent(items: list) -> pa.RecordBatch:
+            keys, sums = zip(*items)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, kinds[0]), list_column([d for d, _ in sums], kinds[1]), list_column([x for _, x in sums], pa.float64())],
+                ["portfolio_id", "days", "path"])
+
+        for batch in batches:
+            kinds = kinds or (batch.column(0).type, batch.column(2).type.value_type)
+            for key, weight, days, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists(batch.column(2)), lists(batch.column(3))):
+                add(held, key, weight, days, path)
+            if len(held) > HELD:
+                old = list(held)[: len(held) - HELD]
+                yield sent([(k, held.pop(k)) for k in old])
+        if held:
+            yield sent(list(held.items()))
+
+    ordered = rows.select("portfolio_id", F.col("weight").cast("double").alias("weight"), "days", F.col("path").cast("array<double>").alias("path"))
+    kind = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
+    return ordered.mapInArrow(run, f"portfolio_id {kind['portfolio_id']}, days {kind['days']}, path array<double>")
+
+
+def portfolio_paths(positions: DataFrame, returns: DataFrame) -> DataFrame:
+    """(portfolio_id, days, path): the weighted sum of asset returns per date as one vector per portfolio.
+
+    Positions meet their asset's whole path in one row, and vectors are added:
+    first for up to about SALT positions of a portfolio, then those sums, so no row
+    per position and day is formed and a portfolio that holds most positions is
+    spread over tasks. A date counts where one asset has a return; positions
+    without a weight do not count.
+    """
+    own = positions.filter("weight IS NOT NULL").select("portfolio_id", "ticker", "weight")
+    parts = own.groupBy(F.col("portfolio_id").alias("_of")).agg(F.ceil(F.count("*") / SALT).alias("_parts"))
+    own = own.join(parts, F.col("portfolio_id").eqNullSafe(F.col("_of"))).repartition(
+        task_count(own), "portfolio_id", F.pmod(F.xxhash64("ticker"), F.col("_parts"))).sortWithinPartitions("portfolio_id")
+    held = own.join(stage(paths(returns, "ticker"), "asset-paths"), "ticker")
+    parts = weighted_sums(held).withColumn("weight", F.lit(1.0))
+    return weighted_sums(parts.repartition(task_count(parts), "portfolio_id").sortWithinPartitions("portfolio_id"))
+
+
 def portfolio_returns(positions: DataFrame, returns: DataFrame) -> DataFrame:
-    """(portfolio_id, d, r): weighted sum of asset returns per date."""
-    return (
-        positions.select("portfolio_id", "ticker", "weight").repartition(task_count(positions), "portfolio_id")
-        .join(returns.select("ticker", "d", F.col("r").alias("asset_r")), "ticker")
-        .groupBy("portfolio_id", "d")
-        .agg(F.sum(F.col("weight") * F.col("asset_r")).alias("r"))
-    )
+    """(portfolio_id, d, r): weighted sum of asset returns per date, one row each."""
+    rows = portfolio_paths(positions, returns).select("portfolio_id", F.explode(F.arrays_zip("days", "path")).alias("x"))
+    return rows.select("portfolio_id", F.col("x.days").alias("d"), F.col("x.path").alias("r"))
+
+
+FIGURES = {"n": "long", "mean": "double", "sd": "double", "skew": "double", "kurt": "double", "cut": "double", "shortfall": "double",
+           "fall": "double", "run_return": "double", "run_start": "long"}
+
+
+def path_figures(series: DataFrame, share: float, run: int) -> DataFrame:
+    """portfolio_id and the FIGURES of each path, which never leaves its row."""
+    own = as_paths(series).select("portfolio_id", "path")
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            figures = [A.path_figures(r, share, run) for r in lists(batch.column(1))]
+            columns = [pa.array([f[i] for f in figures], kinds[t]) for i, t in enumerate(FIGURES.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["portfolio_id", *FIGURES])
+
+    return own.mapInArrow(rows, f"portfolio_id {own.schema['portfolio_id'].dataType.simpleString()}, " + ", ".join(f"{k} {t}" for k, t in FIGURES.items()))
 
 
 def return_measures(series: DataFrame, alpha: float = DEFAULT_ALPHA, run: int = 20) -> DataFrame:
-    """Volatility, the three value-at-risk forms, shortfall, drawdown and worst run per portfolio.
+    """Volatility, the three value-at-risk forms, shortfall, drawdown and worst run per portfolio, from rows or paths.
 
-    Running peak starts at the first point of the curve, not at the initial 1.
+    Running peak starts at the first point of the curve, not at the initial 1. Of
+    equal worst runs the first counts.
     """
-    whole = Window.partitionBy("portfolio_id")
-    by_date = whole.orderBy("d")
-    so_far = by_date.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = by_date.rowsBetween(0, run - 1)
-    growth = 1 + F.col("r")
-    rows = (
-        series
-        .withColumn("cut", F.percentile("r", F.lit(1 - alpha)).over(whole))
-        .withColumn("curve", F.product(growth).over(so_far))
-        .withColumn("i", F.row_number().over(by_date) - 1)
-        .withColumn("run_return", F.when(F.lead("d", run - 1).over(by_date).isNotNull(), F.product(growth).over(ahead) - 1))
-        .withColumn("peak", F.max("curve").over(so_far))
-    )
-    worst = F.min(F.when(F.col("run_return").isNotNull(), F.struct("run_return", "i")))
-    m = rows.groupBy("portfolio_id").agg(
-        *M.moments("r"),
-        (-F.max("cut")).alias("var_historical"),
-        M.expected_shortfall("r", "cut").alias("expected_shortfall"),
-        F.max((F.col("peak") - F.col("curve")) / F.col("peak")).alias("max_drawdown"),
-        worst.alias("worst"),
-    )
     mean, sd = F.col("mean"), F.col("sd")
-    return m.select(
+    return path_figures(series, 1 - alpha, run).select(
         "portfolio_id", F.col("n").alias("observations"), "mean", "sd", "skew", "kurt",
         F.round(sd * (M.PERIODS ** 0.5), 6).alias("annualised_volatility"),
-        F.round("var_historical", 6).alias("var_historical"),
+        F.round(-F.col("cut"), 6).alias("var_historical"),
         F.round(-(mean - M.z_value(alpha) * sd), 6).alias("var_gaussian"),
         F.round(M.cornish_fisher_var_of(mean, sd, F.col("skew"), F.col("kurt"), alpha), 6).alias("var_cornish_fisher"),
-        F.round("expected_shortfall", 6).alias("expected_shortfall"),
-        F.round("max_drawdown", 6).alias("max_drawdown"),
-        F.round(F.coalesce(-F.col("worst.run_return"), F.lit(0.0)), 6).alias("worst_run_loss"),
-        F.coalesce(F.col("worst.i"), F.lit(0)).alias("worst_run_start"),
+        F.round("shortfall", 6).alias("expected_shortfall"),
+        F.round("fall", 6).alias("max_drawdown"),
+        F.round(F.coalesce(-F.col("run_return"), F.lit(0.0)), 6).alias("worst_run_loss"),
+        F.coalesce(F.col("run_start").cast("int"), F.lit(0)).alias("worst_run_start"),
     )
 
 
 def value_at_risk(series: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:
-    """The three value-at-risk forms and volatility per portfolio.
-
-    The exact quantile is taken over the window of a portfolio, which its
-    clustering already provides, rather than in an aggregate that would carry
-    every distinct return in its buffer.
-    """
-    cut = F.percentile("r", F.lit(1 - alpha)).over(Window.partitionBy("portfolio_id"))
-    m = series.withColumn("cut", cut).groupBy("portfolio_id").agg(*M.moments("r"), F.max("cut").alias("cut"))
+    """The three value-at-risk forms and volatility per portfolio, from rows or paths."""
     mean, sd = F.col("mean"), F.col("sd")
-    return m.select(
+    return path_figures(series, 1 - alpha, 1).select(
         "portfolio_id", F.round(-F.col("cut"), 6).alias("var_historical"),
         F.round(-(mean - M.z_value(alpha) * sd), 6).alias("var_gaussian"),
         F.round(M.cornish_fisher_var_of(mean, sd, F.col("skew"), F.col("kurt"), alpha), 6).alias("var_cornish_fisher"),
@@ -145,11 +225,10 @@ def risk_contributions(positions: DataFrame, returns: DataFrame, series: DataFra
     array bounded by the calendar; a position's two paths meet in its row and
     are reduced to a covariance there, over the days that both have.
     """
-    path = lambda df, key: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("d", "r"))).alias("p")).select(
-        key, F.col("p.d").alias(f"{key}_days"), F.col("p.r").alias(f"{key}_path"))
+    named = lambda df, key: df.select(key, F.col("days").alias(f"{key}_days"), F.col("path").alias(f"{key}_path"))
     held = (
         positions.select("portfolio_id", "ticker", "weight").repartition(task_count(positions), "portfolio_id")
-        .join(path(series, "portfolio_id"), "portfolio_id").join(path(returns, "ticker"), "ticker")
+        .join(named(as_paths(series), "portfolio_id"), "portfolio_id").join(named(paths(returns, "ticker"), "ticker"), "ticker")
     )
     # where the calendars differ, both paths are cut to their common days first
     common = F.map_from_arrays("ticker_days", "ticker_path")
@@ -172,12 +251,47 @@ def risk_contributions(positions: DataFrame, returns: DataFrame, series: DataFra
         F.round("c", 8).alias("risk_contribution"), F.round(F.col("c") / F.col("total"), 5).alias("risk_share"))
 
 
-def covariance_matrix(returns: DataFrame) -> DataFrame:
-    """Sample covariance of every pair of assets, upper triangle; the output is the pair table itself."""
-    a = returns.select("d", F.col("ticker").alias("ticker_a"), F.col("r").alias("ra"))
-    b = returns.select("d", F.col("ticker").alias("ticker_b"), F.col("r").alias("rb"))
-    return (a.join(b, "d").filter("ticker_a <= ticker_b").groupBy("ticker_a", "ticker_b")
-            .agg(F.covar_samp("ra", "rb").alias("cov")))
+def covariance_matrix(returns: DataFrame, tile: int = TILE) -> DataFrame:
+    """Sample covariance of every pair of assets with a common day, upper triangle; the output is the pair table itself.
+
+    Paths are dealt into tiles of about ``tile`` assets by a hash of the name. A
+    tile goes once to each tile it meets, as one row, and a pair of tiles is one
+    product of matrices, so neither a row per pair and day nor a join of all rows is
+    formed. Of a pair with one common day the covariance is null.
+    """
+    assets = stage(paths(returns, "ticker"), "asset-paths")
+    kind = assets.schema["ticker"].dataType.simpleString()
+    tiles = max(1, math.ceil(assets.count() / tile))
+    mine = F.pmod(F.xxhash64("ticker"), F.lit(tiles)).cast("int")
+    rows = assets.groupBy(mine.alias("tile")).agg(F.collect_list(F.struct("ticker", "days", "path")).alias("own"))
+    met = rows.select("tile", "own", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other"))
+    sides = met.groupBy(F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(
+        F.sort_array(F.collect_list(F.struct("tile", "own"))).alias("side"))
+
+    def matrix(side: pa.Array, calendar: np.ndarray) -> np.ndarray:
+        out = np.full((len(side), len(calendar)), np.nan)
+        for i, (days, path) in enumerate(zip(lists(side.field("days")), lists(side.field("path")))):
+            out[i, np.searchsorted(calendar, days)] = path
+        return out
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                both = batch.column(0).slice(i, 1).flatten().field("own")
+                own = [both.slice(k, 1).flatten() for k in range(len(both))]
+                if len(own) == 1 and batch.column(1)[i].as_py() != batch.column(2)[i].as_py():
+                    continue  # the other tile is empty
+                a, b = own[0], own[-1]
+                calendar = np.unique(np.concatenate([d for x in own for d in lists(x.field("days"))]))
+                n, cov = A.covariances(matrix(a, calendar), matrix(b, calendar))
+                names_a, names_b = a.field("ticker").to_pylist(), b.field("ticker").to_pylist()
+                found = [(names_a[j], names_b[k], None if np.isnan(cov[j, k]) else float(cov[j, k])) for j, k in zip(*np.nonzero(n))
+                         if len(own) == 2 or names_a[j] <= names_b[k]]
+                x, y, c = zip(*((min(p[:2]), max(p[:2]), p[2]) for p in found)) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(x, a.field("ticker").type), pa.array(y, a.field("ticker").type), pa.array(c, pa.float64())],
+                                                 ["ticker_a", "ticker_b", "cov"])
+
+    return sides.select("side", "low", "high").mapInArrow(pairs, f"ticker_a {kind}, ticker_b {kind}, cov double")
 
 
 def betas(returns: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
@@ -265,20 +379,33 @@ def risk_checks(report: DataFrame, contributions: DataFrame) -> DataFrame:
 
 # --- backtests -------------------------------------------------------------
 
-def rolling_var_hits(series: DataFrame, alphas: tuple[float, ...] = (0.95, 0.99), window: int = 250) -> DataFrame:
-    """(portfolio_id, alpha, d, hit): loss beyond the quantile of the previous ``window`` returns.
+def rolling_var(series: DataFrame, alphas: tuple[float, ...] = (0.95, 0.99), window: int = 250) -> DataFrame:
+    """(portfolio_id, alpha, d, r, var, hit): the quantile loss of the previous ``window`` returns, and whether the day's loss is beyond it.
 
-    One frame evaluates all confidence levels; the window keeps its exact size,
-    rows without a full one are left out.
+    The window keeps its exact size; days without a full one are left out. All
+    quantiles of a path are read off one structure of counts over ranks, whose cost
+    per day does not depend on the window.
     """
-    by_date = Window.partitionBy("portfolio_id").orderBy("d")
-    before = by_date.rowsBetween(-window, -1)
-    cuts = F.percentile("r", F.array(*[F.lit(1 - a) for a in alphas])).over(before)
-    rows = series.select("portfolio_id", "d", "r", F.row_number().over(by_date).alias("i"), cuts.alias("cuts"))
-    tests = F.array(*[F.struct(F.lit(a).alias("alpha"), (F.col("r") < F.col("cuts")[k]).cast("int").alias("hit"))
-                      for k, a in enumerate(alphas)])
-    return rows.filter(F.col("i") > window).select("portfolio_id", "d", F.explode(tests).alias("t")).select(
-        "portfolio_id", "t.alpha", "d", "t.hit")
+    own = as_paths(series).select("portfolio_id", "days", "path").filter(F.size("path") > window)
+    kind = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [A.rolling_quantiles(r, window, [1 - a for a in alphas]) for r in lists(batch.column(2))]
+            for k, alpha in enumerate(alphas):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([alpha] * batch.num_rows, pa.float64()), batch.column(1), batch.column(2),
+                     list_column([f[k] for f in found], pa.float64())], ["portfolio_id", "alpha", "days", "path", "cuts"])
+
+    cuts = own.mapInArrow(rows, f"portfolio_id {kind['portfolio_id']}, alpha double, days {kind['days']}, path array<double>, cuts array<double>")
+    later = lambda c: F.slice(c, window + 1, F.size(c))
+    each = cuts.select("portfolio_id", "alpha", F.explode(F.arrays_zip(later("days").alias("d"), later("path").alias("r"), F.col("cuts").alias("cut"))).alias("x"))
+    return each.select("portfolio_id", "alpha", "x.d", "x.r", (-F.col("x.cut")).alias("var"), (F.col("x.r") < F.col("x.cut")).cast("int").alias("hit"))
+
+
+def rolling_var_hits(series: DataFrame, alphas: tuple[float, ...] = (0.95, 0.99), window: int = 250) -> DataFrame:
+    """(portfolio_id, alpha, d, hit) of the days with a full window."""
+    return rolling_var(series, alphas, window).select("portfolio_id", "alpha", "d", "hit")
 
 
 def hit_counts(hits: DataFrame) -> DataFrame:
@@ -317,9 +444,10 @@ def coverage_tests(counts: DataFrame, window: int = 250) -> DataFrame:
 
 
 def var_backtest(series: DataFrame, alphas: tuple[float, ...] = (0.95, 0.99), window: int = 250) -> DataFrame:
-    """Coverage tests per portfolio and level; portfolios with too little history get ``tested`` = false."""
-    tested = coverage_tests(hit_counts(rolling_var_hits(series, alphas, window)), window).withColumn("tested", F.lit(True))
-    sizes = series.groupBy("portfolio_id").agg(F.count("r").alias("n_returns"))
+    """Coverage tests per portfolio and level, from rows or paths; portfolios with too little history get ``tested`` = false."""
+    own = stage(as_paths(series), "paths")
+    tested = coverage_tests(hit_counts(rolling_var_hits(own, alphas, window)), window).withColumn("tested", F.lit(True))
+    sizes = own.select("portfolio_id", F.size("path").cast("long").alias("n_returns"))
     wanted = sizes.select("portfolio_id", "n_returns", F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha"))
     enough = F.col("n_returns") > window + 1
     out = wanted.join(tested, ["portfolio_id", "alpha"], "left")

@@ -12,7 +12,7 @@ from evidentia.session import stage
 def risk_report(positions: DataFrame, returns: DataFrame, betas: DataFrame, alpha: float = 0.95) -> DataFrame:
     """One row per portfolio: measures, concentration and stress, rounded for presentation."""
     held = stage(R.align_portfolios(positions, returns, betas), "held")
-    return _report(held, R.portfolio_returns(held, returns), alpha)
+    return _report(held, R.portfolio_paths(held, returns), alpha)
 
 
 def _report(held: DataFrame, series: DataFrame, alpha: float) -> DataFrame:
@@ -33,7 +33,7 @@ def full_report(positions: DataFrame, returns: DataFrame, betas: DataFrame, alph
     five rules. Positions, daily returns and measures are made once.
     """
     held = stage(R.align_portfolios(positions, returns, betas), "held")
-    series = stage(R.portfolio_returns(held, returns), "daily")
+    series = stage(R.portfolio_paths(held, returns), "daily")
     report = stage(_report(held, series, alpha), "report")
     parts = stage(R.risk_contributions(held, returns, series), "contributions")
     checks = R.risk_checks(report, parts).groupBy("portfolio_id").agg(

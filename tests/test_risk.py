@@ -152,3 +152,67 @@ def test_contributions_add_up_where_calendars_differ(spark):
     series = spark.createDataFrame([("p", d, r) for d, r in zip(both, total)], "portfolio_id string, d date, r double")
     got = {r["ticker"]: r["risk_contribution"] for r in R.risk_contributions(positions, returns, series).collect()}
     assert abs(sum(got.values()) - np.std(total, ddof=1)) < 1e-7
+
+
+@pytest.mark.parametrize("held, salt", [(512, 1024), (1, 2)])
+def test_portfolio_vectors_against_a_plain_sum(spark, monkeypatch, held, salt):
+    """Unequal calendars, a portfolio of most positions, repeated assets, one without a name, weights and assets that are missing."""
+    monkeypatch.setattr(R, "HELD", held)
+    monkeypatch.setattr(R, "SALT", salt)
+    rng = np.random.default_rng(4)
+    days = {f"t{i}": range(i % 5, 40 - i % 3) for i in range(12)}
+    rows = [(t, D0 + datetime.timedelta(days=d), float(rng.normal())) for t, own in days.items() for d in own] + [("t0", D0 + datetime.timedelta(days=99), None)]
+    held_rows = [("big", f"t{i % 12}", float(rng.normal())) for i in range(40)] + [(f"p{i}", f"t{i % 12}", 1.0 + i) for i in range(9)]
+    held_rows += [(None, "t3", 2.0), ("p1", "t2", None), ("gone", "zz", 1.0)]
+    want = {}
+    for p, t, w in held_rows:
+        for name, d, r in rows:
+            if name == t and r is not None and w is not None:
+                want[p, d] = want.get((p, d), 0.0) + w * r
+    returns = spark.createDataFrame(rows, "ticker string, d date, r double")
+    positions = spark.createDataFrame(held_rows, "portfolio_id string, ticker string, weight double")
+    got = {(x.portfolio_id, x.d): x.r for x in R.portfolio_returns(positions.repartition(5), returns).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert R.portfolio_returns(positions.filter("false"), returns).count() == 0
+
+
+@pytest.mark.parametrize("tile", [256, 3, 1])
+def test_covariance_by_tiles(spark, tile):
+    rng = np.random.default_rng(6)
+    rows = [(f"t{i}", D0 + datetime.timedelta(days=d), float(rng.normal())) for i in range(8) for d in range(i, 30)]
+    rows += [("late", D0 + datetime.timedelta(days=29), 0.5), ("apart", D0 + datetime.timedelta(days=500), 0.1)]
+    by = {}
+    for t, d, r in rows:
+        by.setdefault(t, {})[d] = r
+    got = {(x.ticker_a, x.ticker_b): x["cov"] for x in R.covariance_matrix(spark.createDataFrame(rows, "ticker string, d date, r double"), tile).collect()}
+    want = {}
+    for a in by:
+        for b in by:
+            both = sorted(set(by[a]) & set(by[b]))
+            if a <= b and both:
+                want[a, b] = np.cov([by[a][d] for d in both], [by[b][d] for d in both])[0, 1] if len(both) > 1 else None
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if want[k] is None else abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+@pytest.mark.parametrize("window", [1, 5, 250])
+def test_rolling_quantiles_do_not_depend_on_how_they_are_found(spark, window):
+    rng = np.random.default_rng(window)
+    flat = {"ties": rng.choice([-0.02, 0.0, 0.01], 400), "wide": rng.standard_t(2, 400), "short": rng.normal(size=window)}
+    s = None
+    for k, v in flat.items():
+        s = series(spark, v, k) if s is None else s.union(series(spark, v, k))
+    got = {(r.portfolio_id, r.alpha, (r.d - D0).days): (r["var"], r.hit) for r in R.rolling_var(s.repartition(3), (0.95, 0.6), window).collect()}
+    assert len(got) == 2 * 2 * (400 - window)
+    for (k, a, i), (var, hit) in got.items():
+        cut = np.quantile(flat[k][i - window:i], 1 - a)
+        assert abs(var + cut) < 1e-12 and (hit == int(flat[k][i] < cut) or abs(flat[k][i] - cut) < 1e-12)
+
+
+def test_no_rows_per_position_and_day(spark):
+    """Positions and assets meet as vectors: nothing is exploded before the sums."""
+    p = panel(spark, {"a": [0.1, 0.2], "b": [0.0, 0.1]})
+    pos = spark.createDataFrame([("P", "a", 0.5), ("P", "b", 0.5)], "portfolio_id string, ticker string, weight double")
+    plan = R.portfolio_paths(pos, p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") == 2
+    assert "Window" not in R.rolling_var(series(spark, [0.1] * 300))._jdf.queryExecution().optimizedPlan().toString()
