@@ -16,6 +16,8 @@ RULES = C.RoutingRules(
 WORDS = ["tion", "ion", "the", "euxan", "que", "onth"]
 ROLES = ["assistant", "user", "system", "translator", "analyst", "engineer", "smallest gear", "old ring"]
 BUDGET = 1000
+#: Entries of the long word list.
+MANY = 10000
 
 
 def _messages(spark, sf_dir):
@@ -90,6 +92,32 @@ def banned_documents(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
+def frequent_words(spark, sf_dir, n: int = MANY) -> list[str]:
+    """The word list of the long-list queries: the ``n`` most frequent words of six letters or more; the list is a parameter of ``n`` entries."""
+    d = V.table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("w"))
+    top = d.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(n)
+    return [r["w"] for r in top.collect()]
+
+
+def banned_many(spark, sf_dir):
+    """Occurrences of ten thousand words in every message, by word."""
+    found = C.find_banned(_messages(spark, sf_dir), frequent_words(spark, sf_dir), ["msg_id"])
+    return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.count_distinct("msg_id").alias("messages"))
+
+
+def banned_many_mask(spark, sf_dir):
+    m = _messages(spark, sf_dir).select("msg_id", "content")
+    return C.mask_banned(m, frequent_words(spark, sf_dir)).select("msg_id", "masked")
+
+
+def banned_reply(spark, sf_dir):
+    """What assistants said, before it is sent: texts are filtered, other kinds pass."""
+    r = V.table(spark, sf_dir, "conversations").filter("role = 'assistant'").select(
+        F.format_string("%d-%d", "conv_id", "turn").alias("msg_id"), F.when(F.col("turn") % 4 == 3, "IMAGE_URL").otherwise("TEXT").alias("reply_type"), F.col("text").alias("reply"))
+    both = [C.banned_replies(r, WORDS, action).withColumn("action", F.lit(action)) for action in ("ignore", "replace")]
+    return both[0].unionByName(both[1])
+
+
 def banned_action(spark, sf_dir):
     m = _messages(spark, sf_dir)
     kept = C.banned_actions(m, WORDS, "ignore").select("msg_id", F.lit("ignore").alias("action"), "reply")
@@ -97,12 +125,10 @@ def banned_action(spark, sf_dir):
 
 
 def chunks(spark, sf_dir):
-    """Whole documents in pieces of at most 500 bytes, summed up again per document."""
+    """Whole documents in pieces of at most 500 bytes, and in at most four of 90 bytes and a rest."""
     d = V.table(spark, sf_dir, "documents")
-    c = C.chunk_utf8(d, ["doc_id"], "text", 500)
-    return c.groupBy("doc_id").agg(
-        F.sum(F.length("chunk")).alias("chars"), F.sum(F.octet_length("chunk")).alias("bytes"),
-        (F.max(F.octet_length("chunk")) <= 500).alias("within"), (F.count(F.lit(1)) >= F.ceil(F.sum(F.octet_length("chunk")) / 500)).alias("enough"))
+    cut = [C.chunk_utf8(d, ["doc_id"], "text", size, pieces).withColumn("max_split", F.lit(pieces)) for size, pieces in ((500, 0), (90, 4))]
+    return cut[0].unionByName(cut[1])
 
 
 def context(spark, sf_dir):
@@ -122,12 +148,7 @@ def dialog(spark, sf_dir):
 
 
 def tokens(spark, sf_dir):
-    t = _turns(spark, sf_dir)
-    out = None
-    for form in ("gpt-3.5", "gpt-4", "plain"):
-        part = C.session_tokens(t, F.length("text"), form).withColumn("form", F.lit(form))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return C.session_tokens_by_form(_turns(spark, sf_dir), F.length("text"), list(C.TOKEN_FORMS))
 
 
 def paragraphs(spark, sf_dir):
@@ -173,6 +194,7 @@ QUERIES = {
     "chat_route": routed, "chat_prefix": prefixes, "chat_mention": mentions, "chat_service_hours": hours, "chat_session_key": sessions,
     "chat_keyword_reply": keyword, "chat_app_lookup": app_lookup, "chat_closest_role": closest, "banned_find": banned,
     "banned_first": banned_first, "banned_mask": banned_mask, "banned_documents": banned_documents, "banned_actions": banned_action,
+    "banned_many": banned_many, "banned_many_mask": banned_many_mask, "banned_replies": banned_reply,
     "text_chunk_utf8": chunks, "context_fit": context, "context_pairs": context_pairs, "context_plain": context_plain,
     "context_dialog": dialog, "context_tokens": tokens, "page_paragraphs": paragraphs, "page_research": research,
     "citation_apa": apa, "citation_references": references, "citation_inserted": cited, "preference_fields": pairs,
@@ -194,6 +216,16 @@ hits AS (SELECT msg_id, content, w AS keyword, CAST(i - 1 AS INT) AS start, CAST
   FROM messages, words, range(1, 3000) AS r(i) WHERE i <= length(content) AND substr(content, i, length(w)) = w)"""
 _MASK = f"""{_HITS}, masked AS (SELECT m.msg_id, coalesce(string_agg(CASE WHEN EXISTS (SELECT 1 FROM hits h WHERE h.msg_id = m.msg_id AND i - 1 BETWEEN h.start AND h."end")
   THEN '*' ELSE substr(content, i, 1) END, '' ORDER BY i), '') AS masked FROM messages m, range(1, 3000) AS r(i) WHERE i <= length(content) GROUP BY m.msg_id)"""
+_MANY = f"""top AS (SELECT w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) AS w FROM documents) GROUP BY w ORDER BY count(*) DESC, w LIMIT {MANY}),
+spots AS (SELECT msg_id, i, n, substr(content, i, n) AS w FROM messages, (SELECT DISTINCT length(w) AS n FROM top), range(1, 3000) AS r(i)
+  WHERE i + n - 1 <= length(content)),
+many AS (SELECT msg_id, w AS keyword, i - 1 AS start, n FROM spots JOIN top USING (w))"""
+_CHUNKS = """RECURSIVE cut AS (
+  SELECT doc_id, m, size, 0 AS pos, text AS rest, '' AS chunk FROM documents, (VALUES (0, 500), (4, 90)) AS v(m, size)
+  UNION ALL
+  SELECT doc_id, m, size, pos + 1, substr(rest, k + 1), substr(rest, 1, k)
+  FROM (SELECT *, CASE WHEN m > 0 AND pos = m THEN length(rest)
+          ELSE list_max(list_filter(range(size // 4, size + 1), lambda j: strlen(substr(rest, 1, j)) <= size)) END AS k FROM cut WHERE rest <> ''))"""
 _ANY = "(" + " OR ".join(f"contains(content, '{w}')" for w in WORDS) + ")"
 
 _RENDER = """CASE role WHEN 'system' THEN text || '<|endoftext|>' || chr(10) || chr(10) || chr(10) WHEN 'user' THEN 'Q: ' || text || chr(10)
@@ -273,7 +305,18 @@ SELECT group_name, coalesce(app, (SELECT max(r_name) FROM region)) AS app, count
 FROM documents, (VALUES ('wingthth'), ('token'), ('http')) AS v(w) WHERE contains(text, w) GROUP BY 1""",
     "banned_actions": f"""WITH {_M}, {_MASK} SELECT msg_id, 'ignore' AS action, NULL AS reply FROM messages WHERE NOT {_ANY}
 UNION ALL SELECT msg_id, 'replace', CASE WHEN {_ANY} THEN '发言中包含敏感词，请重试: ' || chr(10) || masked END FROM messages JOIN masked USING (msg_id)""",
-    "text_chunk_utf8": """SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, true AS within, true AS enough FROM documents WHERE text <> ''""",
+    "text_chunk_utf8": f"WITH {_CHUNKS} SELECT doc_id, CAST(pos - 1 AS INT) AS pos, chunk, CAST(m AS INT) AS max_split FROM cut WHERE pos > 0",
+    "banned_many": f"""WITH {_M}, {_MANY}
+SELECT keyword, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, count(DISTINCT msg_id) AS messages FROM many GROUP BY 1""",
+    "banned_many_mask": f"""WITH {_M}, {_MANY}, covered AS (SELECT DISTINCT msg_id, unnest(range(start + 1, start + n + 1)) AS i FROM many)
+SELECT msg_id, coalesce(string_agg(CASE WHEN c.i IS NULL THEN substr(content, p.i, 1) ELSE '*' END, '' ORDER BY p.i), '') AS masked
+FROM (SELECT msg_id, content, unnest(range(1, length(content) + 1)) AS i FROM messages) p LEFT JOIN covered c USING (msg_id, i) GROUP BY msg_id
+UNION ALL SELECT msg_id, content FROM messages WHERE content = ''""",
+    "banned_replies": f"""WITH r AS (SELECT conv_id || '-' || turn AS msg_id, text AS content, CASE WHEN turn % 4 = 3 THEN 'IMAGE_URL' ELSE 'TEXT' END AS t FROM conversations WHERE role = 'assistant'),
+messages AS (SELECT * FROM r), {_MASK}
+SELECT msg_id, t AS reply_type, content AS reply, 'ignore' AS action FROM r WHERE t <> 'TEXT' OR NOT {_ANY}
+UNION ALL SELECT msg_id, CASE WHEN t = 'TEXT' AND {_ANY} THEN 'INFO' ELSE t END,
+  CASE WHEN t = 'TEXT' AND {_ANY} THEN '已替换回复中的敏感词: ' || chr(10) || masked ELSE content END, 'replace' FROM r JOIN masked USING (msg_id)""",
     "context_fit": f"""WITH t AS (SELECT *, sum(length(text) + 4) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS tail, max(turn) OVER (PARTITION BY conv_id) AS last
   FROM conversations WHERE role <> 'system'),
 s AS (SELECT conv_id, sum(length(text) + 4) AS sys FROM conversations WHERE role = 'system' GROUP BY 1)

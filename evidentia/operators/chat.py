@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators import words as W
+
 QUOTE_MARK = "」\n- - - - - - -"
 ALL_GROUP = "ALL_GROUP"
 RELOAD_COMMAND = "#更新配置"
@@ -142,34 +144,18 @@ def closest_role(names: DataFrame, roles: list[str], min_sim: float = 0.35, col:
 
 # --- word filters ----------------------------------------------------------
 
-def _occurrences(text: str, words: list[str]) -> list[tuple[int, int, int]]:
-    """(end, index, start) of every occurrence of every word, overlaps included."""
-    out = []
-    for k, w in enumerate(words):
-        i = text.find(w)
-        while i >= 0:
-            out.append((i + len(w) - 1, k, i))
-            i = text.find(w, i + 1)
-    return sorted(out)
+# The wording of answers that hold back banned words.
+MASKED_MESSAGE, MASKED_REPLY = "发言中包含敏感词，请重试: \n", "已替换回复中的敏感词: \n"
 
 
 def contains_banned(content: Column, words: list[str]) -> Column:
-    return check_contain(content, words)
+    """Whether a text holds a banned word, for lists of any length."""
+    return W.has_word(content, words)
 
 
 def find_banned(messages: DataFrame, words: list[str], key: list[str], text: str = "content") -> DataFrame:
-    """(key, keyword, start, end, index) of all occurrences; ends are inclusive.
-
-    A built-in filter keeps clean texts out of Python; the rest go through in
-    Arrow batches, whole.
-    """
-    @F.pandas_udf("array<struct<end:int,index:int,start:int>>")
-    def scan(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"end": e, "index": k, "start": s} for e, k, s in _occurrences(t, words)])
-
-    hits = messages.filter(contains_banned(F.col(text), words)).select(*key, F.explode(scan(text)).alias("h"))
-    return hits.select(*key, F.element_at(F.array(*[F.lit(w) for w in words]), F.col("h.index") + 1).alias("keyword"),
-                       "h.start", "h.end", "h.index")
+    """(key, keyword, start, end, index) of all occurrences of any number of words; ends are inclusive."""
+    return W.occurrences(messages, words, text, key)
 
 
 def first_banned(found: DataFrame, key: list[str]) -> DataFrame:
@@ -179,49 +165,51 @@ def first_banned(found: DataFrame, key: list[str]) -> DataFrame:
 
 def mask_banned(messages: DataFrame, words: list[str], text: str = "content", mark: str = "*") -> DataFrame:
     """Add ``masked``: every character of every occurrence replaced."""
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        def one(t):
-            chars = list(t)
-            for end, _, start in _occurrences(t, words):
-                chars[start:end + 1] = mark * (end + 1 - start)
-            return "".join(chars)
-        return texts.map(one)
-
-    hit = contains_banned(F.col(text), words)
-    dirty = messages.filter(hit).withColumn("masked", mask(text))
-    return dirty.unionByName(messages.filter(~hit).withColumn("masked", F.col(text)))
+    return messages.withColumn("masked", W.masked(F.col(text), words, mark))
 
 
 def banned_actions(messages: DataFrame, words: list[str], action: str = "ignore", text: str = "content") -> DataFrame:
     """Drop messages holding a banned word, or answer them with the masked text in ``reply``."""
+    held = contains_banned(F.col(text), words)
+    if action == "ignore":
+        return messages.filter(~held).withColumn("reply", F.lit(None).cast("string"))
+    return messages.withColumn("reply", F.when(held, F.concat(F.lit(MASKED_MESSAGE), W.masked(F.col(text), words))))
+
+
+def banned_replies(replies: DataFrame, words: list[str], action: str = "ignore", text: str = "reply", kind: str = "reply_type") -> DataFrame:
+    """Replies before they are sent: those of type TEXT that hold a banned word are dropped, or sent masked as INFO; others pass."""
+    held = F.col(kind).eqNullSafe("TEXT") & contains_banned(F.col(text), words)
     if action == "ignore":
-        return messages.filter(~contains_banned(F.col(text), words)).withColumn("reply", F.lit(None).cast("string"))
-    masked = mask_banned(messages, words, text)
-    return masked.withColumn("reply", F.when(contains_banned(F.col(text), words), F.concat(
-        F.lit("发言中包含敏感词，请重试: \n"), F.col("masked")))).drop("masked")
+        return replies.filter(~held)
+    sent = {text: F.when(held, F.concat(F.lit(MASKED_REPLY), W.masked(F.col(text), words))).otherwise(F.col(text)),
+            kind: F.when(held, F.lit("INFO")).otherwise(F.col(kind))}
+    return replies.select(*[sent[c].alias(c) if c in sent else F.col(c) for c in replies.columns])
 
 
 def chunk_utf8(df: DataFrame, key: list[str], text: str, max_bytes: int, max_split: int = 0) -> DataFrame:
-    """(key, pos, chunk): pieces of at most ``max_bytes``, never cut inside a character.
+    """(key, pos, chunk): pieces of at most ``max_bytes``, never cut inside a character; an empty or null text has none.
 
-    After ``max_split`` pieces the rest stays one piece.
+    After ``max_split`` pieces the rest stays one piece. A piece ends where the
+    limit falls, or up to three bytes before it if these continue a character.
     """
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        def one(t):
-            raw, out, a = t.encode("utf-8"), [], 0
-            while a < len(raw):
-                if 0 < max_split <= len(out):
-                    out.append(raw[a:].decode("utf-8"))
-                    break
-                piece = raw[a:a + max_bytes].decode("utf-8", errors="ignore")
-                out.append(piece)
-                a += len(piece.encode("utf-8"))
-            return out
-        return texts.map(one)
-
-    return df.select(*key, F.posexplode(cut(text)).alias("pos", "chunk"))
+    if max_bytes < 4:
+        raise ValueError("a character may take four bytes")
+    own = df.select(*key, F.col(text).cast("binary").alias("_raw")).withColumn("_size", F.coalesce(F.octet_length("_raw"), F.lit(0)))
+    size = F.col("_size")
+
+    def whole(at: Column) -> Column:
+        inside = lambda p: F.hex(F.substring(F.col("_raw"), p + 1, F.lit(1))).between("80", "BF")
+        return F.when(at >= size, size).when(~inside(at), at).when(~inside(at - 1), at - 1).when(~inside(at - 2), at - 2).otherwise(at - 3)
+
+    def step(at: Column, i: Column) -> tuple[Column, Column]:
+        to = whole(at + max_bytes)
+        return (F.when(i > max_split, size).otherwise(to) if max_split > 0 else to), at
+
+    steps = F.greatest(F.ceil(size / (max_bytes - 3)).cast("int"), F.lit(1))
+    steps = F.least(steps, F.lit(max_split + 1)) if max_split > 0 else steps
+    starts = F.filter(W.gathered(F.sequence(F.lit(1), steps), F.lit(0), step), lambda s: s < size)
+    piece = lambda own: F.transform(own, lambda s, i: F.substring(F.col("_raw"), s + 1, F.coalesce(F.get(own, i + 1), size) - s).cast("string"))
+    return own.select(*key, F.posexplode_outer(W.let(starts, piece)).alias("pos", "chunk")).filter("pos IS NOT NULL")
 
 
 # --- context windows -------------------------------------------------------
@@ -292,7 +280,18 @@ def render_dialog(kept: DataFrame, key: str = "conv_id", order: str = "turn") ->
     return g.select(key, F.concat(F.array_join(F.col("t.line"), ""), tail).alias("dialog"))
 
 
+#: Tokens added per message and per session.
+TOKEN_FORMS = {"gpt-3.5": (4, 3), "gpt-4": (3, 3), "plain": (0, 0)}
+
+
 def session_tokens(turns: DataFrame, tokens: Column, form: str = "gpt-3.5", key: str = "conv_id") -> DataFrame:
     """Token count of each session in one of three forms; the last is the plain character count."""
-    extra, priming = {"gpt-3.5": (4, 3), "gpt-4": (3, 3), "plain": (0, 0)}[form]
-    return turns.groupBy(key).agg((F.sum(tokens + extra) + priming).alias("tokens"))
+    return session_tokens_by_form(turns, tokens, [form], key).drop("form")
+
+
+def session_tokens_by_form(turns: DataFrame, tokens: Column, forms: list[str], key: str = "conv_id") -> DataFrame:
+    """(key, form, tokens) in several forms from one sum: a form adds so much per message and per session."""
+    sums = turns.groupBy(key).agg(F.sum(tokens).alias("_t"), F.count(tokens).alias("_n"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), (F.col("_t") + F.col("_n") * TOKEN_FORMS[f][0] + TOKEN_FORMS[f][1]).alias("tokens"))
+                               for f in forms])).alias("x")
+    return sums.select(key, each).select(key, "x.form", "x.tokens")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import chat as C
 from evidentia.operators import citations as R
+from evidentia.operators import words as W
 
 
 def messages(spark, rows):
@@ -53,6 +54,70 @@ def test_banned_words_overlap(spark):
     assert {r.k: r.masked for r in C.mask_banned(m, ["abc", "bc", "cab", "bcd"]).collect()} == {"1": "******", "2": "clean", "3": "x***x"}
 
 
+def plain_hits(text, words):
+    out = []
+    for k, w in enumerate(words):
+        i = (text or "").find(w) if w else -1
+        while i >= 0:
+            out.append((i, i + len(w) - 1, k))
+            i = text.find(w, i + 1)
+    return sorted(out, key=lambda x: (x[1], x[2]))
+
+
+@pytest.mark.parametrize("n, gathered", [(5, 1024), (5, 3), (90, 7), (2500, 1024)])
+def test_words_against_plain_search(spark, monkeypatch, n, gathered):
+    """Short and long lists, repeated and empty words, code points beyond 16 bits, null and empty texts."""
+    monkeypatch.setattr(W, "GATHERED", gathered)
+    rng = random.Random(n)
+    words = ["".join(rng.choice("abc字🎈.\\") for _ in range(rng.randrange(1 if n < 9 else 3, 9))) for _ in range(n)] + ["", "abc", "abc", "*", "abcabcabcabc"]
+    texts = ["".join(rng.choice("abcd字🎈 \n*.\\") for _ in range(rng.choice([0, 1, 6, 60, 900]))) for _ in range(40)] + [None, "", "abc" * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, content string").repartition(3)
+    hits = {}
+    for r in C.find_banned(df, words, ["k"]).collect():
+        assert r.keyword == words[r["index"]]
+        hits.setdefault(r.k, []).append((r.start, r.end, r["index"]))
+    masks = {r.k: (r.masked, r.found) for r in C.mask_banned(df, words, mark="#").withColumn("found", C.contains_banned(F.col("content"), words)).collect()}
+    for k, text in enumerate(texts):
+        want, chars = plain_hits(text, words), list(text or "")
+        for a, b, _ in want:
+            chars[a:b + 1] = "#" * (b + 1 - a)
+        assert sorted(hits.get(k, []), key=lambda x: (x[1], x[2])) == want
+        assert masks[k] == (None if text is None else "".join(chars), bool(want))
+    assert C.find_banned(df, [], ["k"]).count() == C.find_banned(df, [""], ["k"]).count() == 0
+
+
+def test_long_lists_stay_out_of_python(spark):
+    m = spark.createDataFrame([("1", "text")], "k string, content string")
+    words = [f"word{i}" for i in range(500)]
+    for df in (C.find_banned(m, words, ["k"]), C.mask_banned(m, words), C.banned_actions(m, words), C.chunk_utf8(m, ["k"], "content", 9)):
+        plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "Python" not in plan and "Arrow" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("many", [0, 200])
+def test_banned_replies(spark, many):
+    words = ["bad", "worse"] + [f"zzz{i}" for i in range(many)]
+    rows = [("1", "TEXT", "a bad day"), ("2", "TEXT", "fine"), ("3", "IMAGE_URL", "https://bad"), ("4", None, "bad"), ("5", "TEXT", None)]
+    df = spark.createDataFrame(rows, "k string, reply_type string, reply string")
+    assert {r.k for r in C.banned_replies(df, words).collect()} == {"2", "3", "4", "5"}
+    got = {r.k: (r.reply_type, r.reply) for r in C.banned_replies(df, words, "replace").collect()}
+    assert got == {"1": ("INFO", C.MASKED_REPLY + "a *** day"), "2": ("TEXT", "fine"), "3": ("IMAGE_URL", "https://bad"), "4": (None, "bad"), "5": ("TEXT", None)}
+
+
+def test_chunks_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(W, "GATHERED", 7)
+    texts = ["é🎈a字" * 500, "", None, "x" * 1000]
+    got = {}
+    for r in C.chunk_utf8(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), ["k"], "t", 6).collect():
+        got.setdefault(r.k, []).append((r.pos, r.chunk))
+    assert got.keys() == {0, 3}
+    for k, pieces in got.items():
+        assert [p for p, _ in sorted(pieces)] == list(range(len(pieces))) and "".join(c for _, c in sorted(pieces)) == texts[k]
+        assert all(len(c.encode()) <= 6 for _, c in pieces) and all(len((a + b[0]).encode()) > 6 for (_, a), (_, b) in zip(sorted(pieces), sorted(pieces)[1:]))
+    with pytest.raises(ValueError):
+        C.chunk_utf8(spark.createDataFrame([(1, "a")], "k int, t string"), ["k"], "t", 3)
+
+
 @pytest.mark.parametrize("limit,pieces", [(4, 0), (5, 2), (100, 0)])
 def test_chunks_rebuild_the_text(spark, limit, pieces):
     text = "aé漢🎈bc漢字"
