@@ -36,8 +36,9 @@ def sessions(spark, sf_dir):
 
 
 def sessions_live(spark, sf_dir):
+    """Sessions that the watermark has closed: each leaves once, and its state with it."""
     e = S.read_stream(spark, sf_dir, "events", "ts")
-    return _ntz(S.run_available(S.sessions(e, "user_id", "ts", "2 hours", "10 minutes"), "sessions", "complete"), "start", "end")
+    return _ntz(S.run_available(S.sessions(e, "user_id", "ts", "2 hours", "10 minutes"), "sessions"), "start", "end")
 
 
 def rate(spark, sf_dir):
@@ -45,14 +46,15 @@ def rate(spark, sf_dir):
 
 
 def rate_live(spark, sf_dir):
+    """Windows that the watermark has closed."""
     e = S.read_stream(spark, sf_dir, "events", "ts")
-    return _ntz(S.run_available(S.rate_audit(e, ["event_type"], 3, "ts", "10 minutes", "10 minutes"), "rate", "complete"), "start")
+    return _ntz(S.run_available(S.rate_audit(e, ["event_type"], 3, "ts", "10 minutes", "10 minutes"), "rate"), "start")
 
 
 def dedup_live(spark, sf_dir):
-    """Message ids of the stream; the file holds no id twice, so every row passes once."""
+    """The same rule as in ``dedup``, on the stream: repeats inside the pause are dropped, and each sighting restarts it."""
     e = S.read_stream(spark, sf_dir, "events", "ts")
-    return S.run_available(S.dedup_stream(e, ["event_id"], "ts"), "dedup").select("event_id")
+    return S.run_available(S.dedup_restarting(e, ["user_id", "event_type"], "ts", "6 hours"), "dedup").select("event_id")
 
 
 def _live_messages(spark, sf_dir):
@@ -66,17 +68,27 @@ def route_live(spark, sf_dir):
 
 
 def state_live(spark, sf_dir):
-    """Context of each conversation after its last message."""
+    """Context of each conversation after each message that the watermark has passed."""
     m = _live_messages(spark, sf_dir).select(
         F.col("conv_id").cast("string").alias("session_id"), "msg_id", "turn", "role", "content", "create_time",
         F.lit(None).cast("string").alias("system_prompt"))
     return S.run_available(S.session_state(m), "state").select("session_id", "msg_id", "n_kept", "tokens")
 
 
+def resets_live(spark, sf_dir):
+    """Users' sessions over all their conversations: a new prompt every six turns, a clear command now and then, silence between conversations."""
+    m = _live_messages(spark, sf_dir).select(
+        F.col("other_user_id").alias("session_id"), "msg_id", "role", "create_time",
+        F.when(F.col("turn") % 11 == 7, S.CLEAR_COMMAND).otherwise(F.col("content")).alias("content"),
+        F.concat(F.lit("prompt "), F.floor(F.col("turn") / 6).cast("string")).alias("system_prompt"))
+    return S.run_available(S.session_state(m), "resets").select("session_id", "msg_id", "n_kept", "tokens")
+
+
 QUERIES = {
     "stream_dedup": dedup, "stream_late": late, "stream_sessions": sessions, "stream_sessions_live": sessions_live,
     "stream_rate_audit": rate, "stream_rate_audit_live": rate_live, "stream_dedup_live": dedup_live,
     "stream_route_live": route_live, "stream_session_state_live": state_live,
+    "stream_session_resets_live": resets_live,
 }
 
 _SESSIONS = """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
@@ -84,14 +96,16 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k"""
 _RATE = """SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n, count(*) - 3 AS over
 FROM events GROUP BY 1, 2 HAVING count(*) > 3"""
+_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 ORACLE = {
     "stream_dedup": """SELECT event_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events)
 WHERE gap IS NULL OR gap > INTERVAL 6 HOUR""",
     "stream_late": "SELECT event_id FROM events WHERE value <= 60",
-    "stream_sessions": _SESSIONS, "stream_sessions_live": _SESSIONS,
-    "stream_rate_audit": _RATE, "stream_rate_audit_live": _RATE,
-    "stream_dedup_live": "SELECT event_id FROM events",
+    "stream_sessions": _SESSIONS, "stream_sessions_live": f"SELECT * FROM ({_SESSIONS}) WHERE \"end\" <= {_CLOSED}",
+    "stream_rate_audit": _RATE, "stream_rate_audit_live": f"SELECT * FROM ({_RATE}) WHERE start + INTERVAL 10 MINUTE <= {_CLOSED}",
+    "stream_dedup_live": """SELECT event_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events)
+WHERE gap IS NULL OR gap > INTERVAL 6 HOUR""",
     "stream_route_live": K.ORACLE["chat_route"],
     "stream_session_state_live": f"""WITH {K._M},
 m AS (SELECT *, length(content) + 4 AS cost, count(*) OVER w AS n, sum(length(content) + 4) OVER w AS run FROM messages
@@ -100,5 +114,19 @@ fit AS (SELECT b.msg_id, b.conv_id, b.role, b.cost, count(*) FILTER (b.run - a.r
   coalesce(max(b.run - a.run + a.cost) FILTER (b.run - a.run + a.cost + 7 <= 1000), 0) AS t
   FROM m b JOIN m a ON a.conv_id = b.conv_id AND a.n <= b.n GROUP BY 1, 2, 3, 4)
 SELECT CAST(conv_id AS VARCHAR) AS session_id, msg_id, CAST(CASE WHEN k = 0 AND role <> 'assistant' THEN 1 ELSE k END AS INT) AS n_kept,
-  CAST(CASE WHEN k = 0 AND role <> 'assistant' THEN cost ELSE t END + 7 AS INT) AS tokens FROM fit""",
+  CAST(CASE WHEN k = 0 AND role <> 'assistant' THEN cost ELSE t END + 7 AS INT) AS tokens FROM fit
+JOIN (SELECT msg_id FROM messages WHERE create_time < (SELECT max(create_time) FROM messages) - INTERVAL 10 MINUTE) USING (msg_id)""",
+    "stream_session_resets_live": f"""WITH {K._M},
+marked AS (SELECT *, turn % 11 = 7 AS cleared, 'prompt ' || (turn // 6) AS prompt FROM messages),
+cut AS (SELECT *, CASE WHEN cleared OR lag(cleared) OVER w OR prompt <> lag(prompt) OVER w OR create_time - lag(create_time) OVER w > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS c
+  FROM marked WINDOW w AS (PARTITION BY other_user_id ORDER BY create_time)),
+part AS (SELECT *, sum(c) OVER (PARTITION BY other_user_id ORDER BY create_time) AS part FROM cut),
+m AS (SELECT *, length(content) + 4 AS cost, count(*) OVER w AS n, sum(length(content) + 4) OVER w AS run FROM part
+  WINDOW w AS (PARTITION BY other_user_id, part ORDER BY create_time)),
+fit AS (SELECT b.msg_id, b.role, b.cost, length(b.prompt) + 7 AS base, count(*) FILTER (b.run - a.run + a.cost + length(b.prompt) + 7 <= 1000) AS k,
+  coalesce(max(b.run - a.run + a.cost) FILTER (b.run - a.run + a.cost + length(b.prompt) + 7 <= 1000), 0) AS t
+  FROM m b JOIN m a ON a.other_user_id = b.other_user_id AND a.part = b.part AND a.n <= b.n WHERE NOT b.cleared GROUP BY ALL)
+SELECT other_user_id AS session_id, msg_id, CAST(CASE WHEN cleared THEN 0 WHEN k = 0 AND f.role <> 'assistant' THEN 1 ELSE k END AS INT) AS n_kept,
+  CAST(CASE WHEN cleared THEN 7 WHEN k = 0 AND f.role <> 'assistant' THEN f.cost + base ELSE t + base END AS INT) AS tokens
+FROM m LEFT JOIN fit f USING (msg_id) WHERE create_time < (SELECT max(create_time) FROM messages) - INTERVAL 10 MINUTE""",
 }

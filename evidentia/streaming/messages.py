@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from evidentia.session import shared_folder
 
@@ -46,6 +47,57 @@ def dedup_stream(messages: DataFrame, keys: list[str], ts: str = "create_time",
     return messages.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
 
 
+def keyed_state(spark: SparkSession) -> None:
+    """State processors need a store that can hold several states and timers per key."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def micros(moment) -> int:
+    """A row's timestamp in microseconds since 1970."""
+    return round(moment.timestamp() * 1_000_000)
+
+
+class Sightings(StatefulProcessor):
+    """Passes a row whose key was not sighted within ``ttl`` microseconds; every sighting restarts the clock."""
+
+    def __init__(self, ts: str, ttl: int):
+        self.ts, self.ttl = ts, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = self.last.get()[0] if self.last.exists() else None
+        if last is not None:
+            self.handle.deleteTimer((last + self.ttl) // 1000 + 1)
+        for row in sorted(rows, key=lambda r: r[self.ts]):
+            now = micros(row[self.ts])
+            if last is None or now - last > self.ttl:
+                yield row
+            last = now if last is None else max(now, last)
+        self.last.update((last,))
+        self.handle.registerTimer((last + self.ttl) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def dedup_restarting(messages: DataFrame, keys: list[str], ts: str = "create_time", ttl: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Drop repeats of a message id within ``ttl`` of its last sighting, dropped ones included: the live twin of ``dedup_batch``.
+
+    One number per id is kept, until the watermark is past its time to live. A
+    trigger's rows of one id are put in order, so an id's share of one trigger has
+    to fit a task; the source's rate limits bound it.
+    """
+    keyed_state(messages.sparkSession)
+    wide = pd.Timedelta(ttl) // pd.Timedelta("1us")
+    return messages.withWatermark(ts, delay).groupBy(*keys).transformWithState(Sightings(ts, wide), messages.schema, "append", "eventtime")
+
+
 def dedup_batch(messages: DataFrame, keys: list[str], ts: str = "create_time", ttl_seconds: int = 3600) -> DataFrame:
     """Keep a message unless its id was sighted within the time to live; each sighting restarts the clock.
 
@@ -91,9 +143,76 @@ def rate_audit(messages: DataFrame, key: list[str], capacity: int, ts: str = "cr
 
 # --- session state ---------------------------------------------------------
 
-STATE_SCHEMA = "prompt string, roles array<string>, texts array<string>"
 STATE_OUTPUT = "session_id string, msg_id string, n_kept int, tokens int, first_kept string"
 CLEAR_COMMAND = "#清除记忆"
+#: Messages of one millisecond, as lists side by side.
+WAITING = "us array<bigint>, msg_id array<string>, role array<string>, content array<string>, system_prompt array<string>"
+
+
+class Contexts(StatefulProcessor):
+    """A session's context, one message at a time in order of event time.
+
+    A message waits under its millisecond until the watermark has passed it; a
+    timer then hands over what waits there. What is kept is the prompt and a list of
+    turns that the budget bounds; a second kind of timer forgets a silent session.
+    """
+
+    def __init__(self, budget: int, per_message: int, priming: int, expires: int):
+        self.budget, self.per_message, self.priming, self.expires = budget, per_message, priming, expires
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", WAITING)
+        self.prompt = handle.getValueState("prompt", "prompt string, us long")
+        self.turns = handle.getListState("turns", "role string, content string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for r in rows:
+            at = micros(r["create_time"])
+            ms = at // 1000 + 1
+            held = [list(x) for x in self.waiting.getValue((ms,))] if self.waiting.containsKey((ms,)) else [[], [], [], [], []]
+            if not held[0]:
+                self.handle.registerTimer(ms)
+            for column, value in zip(held, (at, r["msg_id"], r["role"], r["content"], r["system_prompt"])):
+                column.append(value)
+            self.waiting.updateValue((ms,), tuple(held))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        if self.waiting.containsKey((ms,)):
+            due = sorted(zip(*self.waiting.getValue((ms,))), key=lambda m: m[:2])
+            self.waiting.removeKey((ms,))
+            for m in due:
+                yield self.taken(key[0], *m)
+        elif self.prompt.exists() and (self.prompt.get()[1] + self.expires) // 1000 < ms:
+            self.forget()
+
+    def forget(self) -> None:
+        self.prompt.clear()
+        self.turns.clear()
+
+    def taken(self, session: str, at: int, msg_id: str, role: str, content: str, system_prompt: str | None) -> Row:
+        prompt, last = tuple(self.prompt.get()) if self.prompt.exists() else ("", None)
+        turns = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
+        if last is not None:
+            self.handle.deleteTimer((last + self.expires) // 1000 + 1)
+        if content == CLEAR_COMMAND or (last is not None and at - last > self.expires):
+            prompt, turns = "", []
+        size = lambda: sum(len(t) + self.per_message for _, t in turns) + len(prompt) + self.per_message + self.priming
+        if content != CLEAR_COMMAND:
+            if system_prompt is not None and system_prompt != prompt:
+                prompt, turns = system_prompt, []
+            turns.append((role, content or ""))
+            while size() > self.budget and (len(turns) > 1 or turns[:1] and turns[0][0] == "assistant"):
+                turns.pop(0)
+        self.prompt.update((prompt, at))
+        self.turns.clear() if not turns else self.turns.put(turns)
+        self.handle.registerTimer((at + self.expires) // 1000 + 1)
+        return Row(session_id=session, msg_id=msg_id, n_kept=len(turns), tokens=size(), first_kept=turns[0][1] if turns else None)
+
+    def close(self) -> None:
+        pass
 
 
 def session_state(messages: DataFrame, budget: int = 1000, per_message: int = 4, priming: int = 3,
@@ -101,36 +220,12 @@ def session_state(messages: DataFrame, budget: int = 1000, per_message: int = 4,
     """Running session context of a stream of (session_id, msg_id, role, content, system_prompt, create_time).
 
     Each message is appended and the oldest turns are dropped until the budget
-    holds; a new system prompt starts over, the clear command forgets the
-    session, silence expires it. What is kept per session is bounded by the
-    budget, so state does not grow with the stream.
+    holds; a new system prompt starts over, the clear command forgets the session,
+    as does silence. A message is answered once the watermark is past it, in order
+    of time whatever the order of arrival; messages of one instant go by their id.
     """
-    ttl_ms = int(pd.Timedelta(expires).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        prompt, roles, texts = state.get if state.exists else ("", [], [])
-        roles, texts = list(roles), list(texts)
-        rows = pd.concat(list(batches)).sort_values(["create_time", "msg_id"])
-        size = lambda ts: sum(len(t) + per_message for t in ts) + len(prompt) + per_message + priming
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.content == CLEAR_COMMAND:
-                prompt, roles, texts = "", [], []
-            else:
-                if r.system_prompt is not None and r.system_prompt != prompt:
-                    prompt, roles, texts = r.system_prompt, [], []
-                roles.append(r.role)
-                texts.append(r.content)
-                while size(texts) > budget and (len(texts) > 1 or (texts and roles[0] == "assistant")):
-                    roles.pop(0)
-                    texts.pop(0)
-            out.append((key[0], r.msg_id, len(texts), size(texts), texts[0] if texts else None))
-        state.update((prompt, roles, texts))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["create_time"].max().timestamp() * 1000)) + ttl_ms)
-        yield pd.DataFrame(out, columns=["session_id", "msg_id", "n_kept", "tokens", "first_kept"])
-
-    return messages.withWatermark("create_time", delay).groupBy("session_id").applyInPandasWithState(
-        step, STATE_OUTPUT, STATE_SCHEMA, "append", "EventTimeTimeout")
+    keyed_state(messages.sparkSession)
+    wide = pd.Timedelta(expires) // pd.Timedelta("1us")
+    own = messages.select("session_id", "msg_id", "role", "content", "system_prompt", "create_time")
+    return own.withWatermark("create_time", delay).groupBy("session_id").transformWithState(
+        Contexts(budget, per_message, priming, wide), STATE_OUTPUT, "append", "eventtime")

@@ -46,14 +46,34 @@ def test_rate(spark):
     assert len(r) == 1 and r[0].n == 3 and r[0].over == 1
 
 
+def test_live_clock_restarts(spark, tmp_path):
+    rows = [(i, k, t) for i, (k, t) in enumerate([("a", m) for m in at(0, 50, 100, 161, 230)] + [("b", m) for m in at(0, 0.5)] + [(None, m) for m in at(1, 2)])]
+    df = spark.createDataFrame(rows, "n int, msg_id string, create_time timestamp").repartition(3)
+    live = S.run_available(S.dedup_restarting(stream_of(spark, tmp_path, df), ["msg_id"]), "again")
+    assert live.columns == df.columns and {r.n for r in live.collect()} == {0, 3, 4, 5, 7}
+
+
+def test_live_clock_over_several_triggers(spark, tmp_path):
+    """The clock is kept between triggers, one file each."""
+    for i, minute in enumerate((0, 40, 80, 120, 200)):
+        spark.createDataFrame([("a", at(minute)[0])], "msg_id string, create_time timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("msg_id string, create_time timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted(r.create_time for r in S.run_available(S.dedup_restarting(live, ["msg_id"]), "again").collect())
+    assert got == at(0, 200)
+
+
 def test_session_state(spark, tmp_path):
+    """Order of arrival does not count; prompt change, clear command and silence start over; the last delay is not answered yet."""
     rows = [("s", "1", "user", "x" * 30, None), ("s", "2", "assistant", "y" * 30, None), ("s", "3", "user", "z" * 30, None),
-            ("s", "4", "user", "new", "other prompt"), ("s", "5", "user", S.CLEAR_COMMAND, None), ("s", "6", "user", "w" * 500, None)]
-    df = spark.createDataFrame([(*r, t) for r, t in zip(rows, at(0, 1, 2, 3, 4, 5))],
+            ("s", "4", "user", "new", "other prompt"), ("s", "5", "user", S.CLEAR_COMMAND, None), ("s", "6", "user", "w" * 500, None),
+            ("s", "7", "user", "later", None), ("t", "8", "assistant", "v" * 500, None), ("t", "9", "user", None, None), ("s", "10", "user", "same time", None),
+            ("z", "end", "user", "", None)]
+    df = spark.createDataFrame([(*r, t) for r, t in zip(rows, at(0, 1, 2, 3, 4, 5, 70, 0, 1, 70, 90))],
                                "session_id string, msg_id string, role string, content string, system_prompt string, create_time timestamp")
-    live = S.run_available(S.session_state(stream_of(spark, tmp_path, df), budget=90), "st")
+    live = S.run_available(S.session_state(stream_of(spark, tmp_path, df.orderBy(F.desc("create_time"))), budget=90), "st")
     got = {r.msg_id: (r.n_kept, (r.first_kept or "")[:3]) for r in live.collect()}
-    assert got == {"1": (1, "xxx"), "2": (2, "xxx"), "3": (2, "yyy"), "4": (1, "new"), "5": (0, ""), "6": (1, "www")}
+    assert got == {"1": (1, "xxx"), "2": (2, "xxx"), "3": (2, "yyy"), "4": (1, "new"), "5": (0, ""), "6": (1, "www"), "10": (1, "sam"), "7": (2, "sam"),
+                   "8": (0, ""), "9": (1, "")}
 
 
 def test_ledger_rules(spark):
