@@ -48,8 +48,11 @@ def spans(spark, sf_dir):
 
 
 def cards(spark, sf_dir):
-    m, docs = _metrics(spark, sf_dir)
-    return K.metric_card(stage(m, "metrics", "ticker"), docs, ["ticker", "metric"])
+    """Cards of the metrics, each with the depth of its derivation."""
+    docs, key = _concepts(spark, sf_dir), ["ticker", "metric"]
+    row = stage(C.company_row(C.located_fields(docs)), "companies", "ticker")
+    graphs = K.derivation_graphs(row, ["ticker"], C.metric_definitions())
+    return K.metric_card(stage(C.derive_metrics(row), "metrics", "ticker"), docs, key, stats=K.graph_stats(*graphs, key))
 
 
 def evidence(spark, sf_dir):
@@ -57,24 +60,43 @@ def evidence(spark, sf_dir):
     return K.evidence(m, docs, ["ticker", "metric"]).select("ticker", "metric", F.col("span_no").cast("int").alias("span_no"), "doc_id", "evidence")
 
 
-def _graph(spark, sf_dir):
-    row = stage(C.company_row(C.located_fields(_concepts(spark, sf_dir))), "companies", "ticker")
-    return K.derivation_graph(row, ["ticker"], C.metric_definitions()["gross_margin"])
+def _companies(spark, sf_dir):
+    return stage(C.company_row(C.located_fields(_concepts(spark, sf_dir))), "companies", "ticker")
+
+
+def shapes() -> dict[str, K.Tracked]:
+    """The metrics, and one derivation for each of the other operations."""
+    revenue, cost = K.Tracked.leaf("revenue"), K.Tracked.leaf("cost")
+    return {**C.metric_definitions(), "total": revenue + cost, "twice": revenue + revenue, "scaled": 1.5 * revenue, "loss": -(revenue - cost),
+            "root": revenue.apply(F.sqrt, "root")}
+
+
+def _graphs(spark, sf_dir):
+    return K.derivation_graphs(_companies(spark, sf_dir), ["ticker"], shapes())
+
+
+def arithmetic(spark, sf_dir):
+    """Value, operation and sources of every shape."""
+    made = F.array(*[F.struct(F.lit(n).alias("metric"), t.column().alias("t")) for n, t in shapes().items()])
+    rows = _companies(spark, sf_dir).select("ticker", F.explode(made).alias("m")).filter("m.t IS NOT NULL")
+    return rows.select("ticker", "m.metric", F.round("m.t.value", 4).alias("value"), F.col("m.t.op").alias("op"), F.size("m.t.spans").alias("n_spans"))
 
 
 def graph_stats(spark, sf_dir):
-    return K.graph_stats(*_graph(spark, sf_dir), ["ticker"])
+    return K.graph_stats(*_graphs(spark, sf_dir), ["ticker", "metric"])
 
 
 def explained(spark, sf_dir):
-    e = K.explain(*_graph(spark, sf_dir), ["ticker"])
-    return e.select("ticker", F.array_join(F.transform("path", lambda p: p.cast("string")), ".").alias("path"), "depth", "op",
+    e = K.explain(*_graphs(spark, sf_dir), ["ticker", "metric"])
+    return e.select("ticker", "metric", F.array_join(F.transform("path", lambda p: p.cast("string")), ".").alias("path"), "depth", "op",
                     F.round("value", 6).alias("value"), "note", F.coalesce(F.size("leaf_spans"), F.lit(-1)).alias("leaf_spans"))
 
 
 def dot(spark, sf_dir):
-    nodes, edges, _ = _graph(spark, sf_dir)
-    return K.to_dot(nodes, edges, ["ticker"]).groupBy("ticker").agg(F.count(F.lit(1)).alias("lines"))
+    """Digraph text of the gross margin, its lines in order."""
+    nodes, edges, _ = K.derivation_graph(_companies(spark, sf_dir), ["ticker"], C.metric_definitions()["gross_margin"])
+    lines = K.to_dot(nodes, edges, ["ticker"]).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("section", "place", "line"))).alias("l"))
+    return lines.select("ticker", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("dot"))
 
 
 def verified(spark, sf_dir):
@@ -142,7 +164,7 @@ def manifest_upsert(spark, sf_dir):
 QUERIES = {
     "lineage_extract": extracted, "lineage_extract_pattern": extracted_pattern, "lineage_concepts": concepts,
     "lineage_spans": spans, "lineage_metric_cards": cards, "lineage_evidence": evidence, "lineage_graph_stats": graph_stats,
-    "lineage_explain": explained, "lineage_dot": dot, "lineage_verify": verified, "lineage_verify_changed": verified_elsewhere,
+    "lineage_explain": explained, "lineage_arithmetic": arithmetic, "lineage_dot": dot, "lineage_verify": verified, "lineage_verify_changed": verified_elsewhere,
     "lineage_tamper": tampered, "lineage_problems": problems, "manifest_verify": manifest_verify, "manifest_refresh": manifest_refresh,
     "manifest_require": manifest_require, "manifest_upsert": manifest_upsert,
 }
@@ -179,6 +201,33 @@ _ISSUES = """spans AS (SELECT ticker, metric, i, ds[i + 1] AS doc_id FROM head,
 seen AS (SELECT *, CASE WHEN doc_id LIKE '%:Revenues' THEN 'source not supplied'
   WHEN doc_id LIKE '%:Cost%' THEN 'document has changed' END AS issue FROM spans)"""
 
+# Derivations as lists: a node's operation, value and note by number, 0 the derived value; its inputs by place.
+_NODES = """c AS (SELECT *, CAST(revenue AS DOUBLE) AS r, CAST(cost AS DOUBLE) AS k, CAST(rnd AS DOUBLE) AS d, (SELECT max(note) FROM located l WHERE l.ticker = company.ticker AND field = 'rnd') AS dn
+  FROM company),
+n AS (SELECT ticker, unnest([
+    {'metric': 'revenue', 'node': 0, 'op': 'extract', 'value': r, 'note': rn, 'doc': rd}, {'metric': 'gross_profit', 'node': 0, 'op': 'sub', 'value': r - k, 'note': '', 'doc': ''},
+    {'metric': 'gross_profit', 'node': 1, 'op': 'extract', 'value': r, 'note': rn, 'doc': rd}, {'metric': 'gross_profit', 'node': 2, 'op': 'extract', 'value': k, 'note': cn, 'doc': cd},
+    {'metric': 'gross_margin', 'node': 0, 'op': 'div', 'value': (r - k) / r, 'note': '', 'doc': ''}, {'metric': 'gross_margin', 'node': 1, 'op': 'sub', 'value': r - k, 'note': '', 'doc': ''},
+    {'metric': 'gross_margin', 'node': 2, 'op': 'extract', 'value': r, 'note': rn, 'doc': rd}, {'metric': 'gross_margin', 'node': 3, 'op': 'extract', 'value': k, 'note': cn, 'doc': cd},
+    {'metric': 'rnd_intensity', 'node': 0, 'op': 'div', 'value': d / r, 'note': '', 'doc': ''}, {'metric': 'rnd_intensity', 'node': 1, 'op': 'extract', 'value': d, 'note': dn, 'doc': nd},
+    {'metric': 'rnd_intensity', 'node': 2, 'op': 'extract', 'value': r, 'note': rn, 'doc': rd}, {'metric': 'total', 'node': 0, 'op': 'add', 'value': r + k, 'note': '', 'doc': ''},
+    {'metric': 'total', 'node': 1, 'op': 'extract', 'value': r, 'note': rn, 'doc': rd}, {'metric': 'total', 'node': 2, 'op': 'extract', 'value': k, 'note': cn, 'doc': cd},
+    {'metric': 'twice', 'node': 0, 'op': 'add', 'value': r + r, 'note': '', 'doc': ''}, {'metric': 'twice', 'node': 1, 'op': 'extract', 'value': r, 'note': rn, 'doc': rd},
+    {'metric': 'scaled', 'node': 0, 'op': 'mul', 'value': r * 1.5, 'note': '', 'doc': ''}, {'metric': 'scaled', 'node': 1, 'op': 'extract', 'value': r, 'note': rn, 'doc': rd},
+    {'metric': 'loss', 'node': 0, 'op': 'neg', 'value': k - r, 'note': '', 'doc': ''}, {'metric': 'loss', 'node': 1, 'op': 'sub', 'value': r - k, 'note': '', 'doc': ''},
+    {'metric': 'loss', 'node': 2, 'op': 'extract', 'value': r, 'note': rn, 'doc': rd}, {'metric': 'loss', 'node': 3, 'op': 'extract', 'value': k, 'note': cn, 'doc': cd},
+    {'metric': 'root', 'node': 0, 'op': 'root', 'value': sqrt(r), 'note': '', 'doc': ''}, {'metric': 'root', 'node': 1, 'op': 'extract', 'value': r, 'note': rn, 'doc': rd}], recursive := true) FROM c),
+whole AS (SELECT ticker, metric FROM n WHERE node = 0 AND value IS NOT NULL),
+e(metric, dst, src, pos) AS (VALUES ('gross_profit', 0, 1, 0), ('gross_profit', 0, 2, 1), ('gross_margin', 0, 1, 0), ('gross_margin', 0, 2, 1), ('gross_margin', 1, 2, 0), ('gross_margin', 1, 3, 1),
+  ('rnd_intensity', 0, 1, 0), ('rnd_intensity', 0, 2, 1), ('total', 0, 1, 0), ('total', 0, 2, 1), ('twice', 0, 1, 0), ('twice', 0, 1, 1), ('scaled', 0, 1, 0),
+  ('loss', 0, 1, 0), ('loss', 1, 2, 0), ('loss', 1, 3, 1), ('root', 0, 1, 0)),
+walk AS (SELECT metric, 0 AS node, 0 AS depth, '' AS path FROM (SELECT DISTINCT metric FROM n)
+  UNION ALL SELECT w.metric, e.src, depth + 1, CASE WHEN path = '' THEN '' ELSE path || '.' END || e.pos FROM walk w JOIN e ON e.metric = w.metric AND e.dst = w.node)"""
+# As a digraph: node names hash operation, number, place of the digits and value as Spark writes a double.
+_DOT = """leafs AS (SELECT ticker, field, doc_id || ':' || at0 || ':' || (at0 + length(CAST(val AS VARCHAR))) AS place FROM located),
+g AS (SELECT ticker, r, k, rp.place AS p, kp.place AS q FROM c JOIN leafs rp USING (ticker) JOIN leafs kp USING (ticker)
+  WHERE rp.field = 'revenue' AND kp.field = 'cost')"""
+
 ORACLE = {
     "lineage_extract": _EXTRACT,
     "lineage_extract_pattern": f"SELECT doc_id, raw, start, \"end\" FROM ({_EXTRACT})",
@@ -187,16 +236,28 @@ ORACLE = {
     "lineage_spans": f"""WITH {DOCS} SELECT ticker, field, tag, CAST(val AS DOUBLE) AS value, CAST(at0 AS INT) AS start,
   CAST(at0 + length(CAST(val AS VARCHAR)) AS INT) AS "end", substr(sha256(text), 1, 16) AS doc_sha, note FROM located""",
     "lineage_metric_cards": f"""WITH {DOCS} SELECT ticker, metric, round(value, 6) + 0.0 AS value, op, len(ds) AS n_spans,
-  array_to_string(list_sort(ds), ',') AS documents, array_to_string(vs, ',') AS evidence FROM metric""",
+  array_to_string(list_sort(ds), ',') AS documents, array_to_string(vs, ',') AS evidence,
+  CASE op WHEN 'extract' THEN 0 WHEN 'sub' THEN 1 ELSE CASE metric WHEN 'gross_margin' THEN 2 ELSE 1 END END AS depth FROM metric""",
     "lineage_evidence": f"""WITH {DOCS} SELECT ticker, metric, CAST(i AS INT) AS span_no, ds[i + 1] AS doc_id, CAST(vs[i + 1] AS VARCHAR) AS evidence
 FROM metric, range(0, 2) AS r(i) WHERE i < len(ds)""",
-    "lineage_graph_stats": f"""WITH {DOCS} SELECT ticker, 4 AS n_nodes, 4 AS n_edges, 2 AS depth, 2 AS n_leaves, 'div,extract,sub' AS ops
-FROM metric WHERE metric = 'gross_margin'""",
-    "lineage_explain": f"""WITH {DOCS}, c AS (SELECT *, CAST(revenue AS DOUBLE) AS r, CAST(cost AS DOUBLE) AS k FROM company WHERE revenue IS NOT NULL AND cost IS NOT NULL)
-SELECT ticker, '' AS path, 0 AS depth, 'div' AS op, round((r - k) / r, 6) + 0.0 AS value, '' AS note, -1 AS leaf_spans FROM c
-UNION ALL SELECT ticker, '0', 1, 'sub', r - k, '', -1 FROM c UNION ALL SELECT ticker, '0.0', 2, 'extract', r, rn, 1 FROM c
-UNION ALL SELECT ticker, '0.1', 2, 'extract', k, cn, 1 FROM c UNION ALL SELECT ticker, '1', 1, 'extract', r, rn, 1 FROM c""",
-    "lineage_dot": f"WITH {DOCS} SELECT ticker, 12 AS lines FROM metric WHERE metric = 'gross_margin'",
+    "lineage_graph_stats": f"""WITH RECURSIVE {DOCS}, {_NODES},
+d AS (SELECT metric, max(depth) AS depth FROM walk GROUP BY 1),
+counts AS (SELECT n.ticker, n.metric, count(*) AS n_nodes, count(*) FILTER (NOT EXISTS (SELECT 1 FROM e WHERE e.metric = n.metric AND e.dst = n.node)) AS n_leaves,
+  string_agg(DISTINCT op, ',' ORDER BY op) AS ops FROM n JOIN whole USING (ticker, metric) GROUP BY 1, 2)
+SELECT ticker, metric, n_nodes, (SELECT count(*) FROM e WHERE e.metric = counts.metric) AS n_edges, CAST(depth AS INT) AS depth, n_leaves, ops FROM counts JOIN d USING (metric)""",
+    "lineage_explain": f"""WITH RECURSIVE {DOCS}, {_NODES}
+SELECT ticker, metric, path, CAST(depth AS INT) AS depth, op, round(value, 6) + 0.0 AS value, note, CASE WHEN op = 'extract' THEN 1 ELSE -1 END AS leaf_spans
+FROM walk JOIN n USING (metric, node) JOIN whole USING (ticker, metric)""",
+    "lineage_arithmetic": f"""WITH RECURSIVE {DOCS}, {_NODES}
+SELECT ticker, metric, round(value, 4) + 0.0 AS value, op,
+  CAST((SELECT count(DISTINCT m.doc) FROM n m WHERE m.ticker = n.ticker AND m.metric = n.metric AND m.doc <> '') AS INT) AS n_spans FROM n JOIN whole USING (ticker, metric) WHERE node = 0""",
+    "lineage_dot": f"""WITH RECURSIVE {DOCS}, {_NODES}, {_DOT}, ids AS (SELECT *,
+    substr(sha256('div|0|' || p || ',' || q || '|' || printf('%.6f', (r - k) / r)), 1, 16) AS n0, substr(sha256('sub|1|' || p || ',' || q || '|' || printf('%.6f', r - k)), 1, 16) AS n1,
+    substr(sha256('extract|2|' || p || '|' || printf('%.6f', r)), 1, 16) AS n2, substr(sha256('extract|3|' || q || '|' || printf('%.6f', k)), 1, 16) AS n3 FROM g WHERE r IS NOT NULL AND k IS NOT NULL)
+SELECT ticker, array_to_string(['digraph lineage {{', '  rankdir=BT;', '  node [shape=box];',
+  '  n' || n0 || ' [label="div\\n' || printf('%.6f', (r - k) / r) || '"];', '  n' || n1 || ' [label="sub\\n' || printf('%.6f', r - k) || '"];',
+  '  n' || n2 || ' [label="extract\\n' || printf('%.6f', r) || '"];', '  n' || n3 || ' [label="extract\\n' || printf('%.6f', k) || '"];',
+  '  n' || n1 || ' -> n' || n0 || ';', '  n' || n2 || ' -> n' || n0 || ';', '  n' || n2 || ' -> n' || n1 || ';', '  n' || n3 || ' -> n' || n1 || ';', '}}'], chr(10)) AS dot FROM ids""",
     "lineage_verify": f"""WITH {DOCS} SELECT ticker, metric, len(ds) AS n_spans, len(ds) AS n_checked, 0 AS n_problems, true AS ok FROM head""",
     "lineage_verify_changed": f"""WITH {DOCS}, {_ISSUES} SELECT ticker, metric, count(*) AS n_spans,
   count(*) FILTER (issue IS NULL OR issue <> 'source not supplied') AS n_checked, count(issue) AS n_problems, arg_min(issue, i) FILTER (issue IS NOT NULL) AS first_issue,
@@ -206,7 +267,11 @@ SELECT ticker, metric, CAST(i AS INT) AS span_no, doc_id, CASE WHEN doc_id LIKE
   substr(sha256(text), 1, 16) AS recorded_sha, CASE WHEN doc_id LIKE '%:Cost%' THEN substr(sha256(text || chr(10)), 1, 16) END AS current_sha,
   CASE WHEN doc_id LIKE '%:Cost%' THEN digits END AS actual
 FROM s JOIN (SELECT doc_id, text FROM concept) USING (doc_id) WHERE doc_id LIKE '%:Revenues' OR doc_id LIKE '%:Cost%'""",
-    "lineage_tamper": f"WITH {DOCS} SELECT ticker, metric, len(ds) AS n_spans, 1 AS n_problems, false AS ok FROM head",
+    "lineage_tamper": f"""WITH {DOCS}, first AS (SELECT h.ticker, metric, ds, l.doc_id AS hit, text,
+    substr(text, 1, at0) || CASE WHEN substr(text, at0 + 1, 1) = '9' THEN '8' ELSE '9' END || substr(text, at0 + 2) AS altered
+  FROM head h JOIN located l ON l.doc_id = h.ds[1] AND l.ticker = h.ticker)
+SELECT ticker, metric, len(ds) AS n_spans, CASE WHEN sha256(text) <> sha256(altered) THEN len(list_filter(ds, lambda x: x = hit)) ELSE 0 END AS n_problems,
+  sha256(text) = sha256(altered) AS ok FROM first""",
     "manifest_verify": f"""WITH {_FILES} SELECT dest, CASE WHEN lang = 'de' THEN 'recorded in manifest but missing on disk'
   ELSE 'on-disk bytes do not match recorded sha256' END AS issue FROM d WHERE lang = 'de' OR sha <> now""",
     "manifest_refresh": f"WITH {_FILES} SELECT dest, lang IN ('de', 'es') OR sha <> now AS needs_fetch FROM d",

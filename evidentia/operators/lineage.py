@@ -8,16 +8,17 @@ derived from, so the derivation graph can be written out as node and edge rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import sha16, text_slice
-from evidentia.session import stage
+from evidentia.functions.text import sha16
 
+#: Characters in a block of a source's text.
+BLOCK = 4096
 SPAN_TYPE = "struct<doc_id:string,start:int,end:int,doc_sha:string>"
 TRACKED_TYPE = f"struct<value:double,spans:array<{SPAN_TYPE}>,op:string,note:string>"
 
@@ -110,7 +111,7 @@ class Tracked:
     def node_id(self, number: int) -> Column:
         """Identity of the value that has this number in its derivation: two derived values are never one node, equal as they may be."""
         places = F.transform(self.spans, lambda s: F.concat_ws(":", s["doc_id"], s["start"].cast("string"), s["end"].cast("string")))
-        return sha16(F.concat_ws("|", F.lit(self.op), F.lit(str(number)), F.array_join(places, ","), self.value.cast("string")))
+        return sha16(F.concat_ws("|", F.lit(self.op), F.lit(str(number)), F.array_join(places, ","), F.format_string("%.6f", self.value.cast("double"))))
 
 
 def untrack(col: str) -> Column:
@@ -123,76 +124,91 @@ def derivation_graph(df: DataFrame, key: list[str], root: Tracked) -> tuple[Data
     members = root.walk()
     ids = {id(n): n.node_id(i) for i, n in enumerate(members)}
     nodes = held.select(*key, F.explode(F.array(*[F.struct(
-        ids[id(n)].alias("node_id"), F.lit(n.op).alias("op"), n.value.cast("double").alias("value"), n.note.alias("note"),
-        n.spans.alias("spans")) for n in members])).alias("n")).select(*key, "n.*")
-    uses = [F.struct(ids[id(i)].alias("src"), ids[id(n)].alias("dst"), F.lit(k).alias("pos"))
-            for n in members for k, i in enumerate(n.inputs)]
-    none = F.array().cast("array<struct<src:string,dst:string,pos:int>>")
+        ids[id(n)].alias("node_id"), F.lit(i).alias("number"), F.lit(n.op).alias("op"), n.value.cast("double").alias("value"), n.note.alias("note"),
+        n.spans.alias("spans")) for i, n in enumerate(members)])).alias("n")).select(*key, "n.*")
+    uses = [F.struct(ids[id(i)].alias("src"), ids[id(n)].alias("dst"), F.lit(k).alias("pos"),
+                     F.lit(m).alias("number")) for m, n in enumerate(members) for k, i in enumerate(n.inputs)]
+    none = F.array().cast("array<struct<src:string,dst:string,pos:int,number:int>>")
     edges = held.select(*key, F.explode(F.array(*uses) if uses else none).alias("e")).select(*key, "e.*")
     roots = held.select(*key, ids[id(root)].alias("node_id"))
     return nodes, edges, roots
 
 
-def _levels(roots: DataFrame, edges: DataFrame, key: list[str], carry: list[Column], distinct: bool, most: int | None = None) -> Iterator[DataFrame]:
-    """The nodes at each depth, until a level is empty or ``most`` is reached; every level is staged, so none is computed twice.
-
-    Derivations have no cycles, so the levels end.
-    """
-    level, depth = roots, 0
-    while True:
-        yield level
-        if depth == most:
-            return
-        depth += 1
-        level = level.join(edges.withColumnRenamed("dst", "node_id"), [*key, "node_id"]).select(*key, F.col("src").alias("node_id"), *carry)
-        level = stage(level.distinct() if distinct else level, "level")
-        if level.isEmpty():
-            return
+def derivation_graphs(df: DataFrame, key: list[str], derived: dict[str, Tracked], name: str = "metric") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, roots) of several derived values per key, told apart by ``name``; each table reads the rows once."""
+    parts = [derivation_graph(df.withColumn(name, F.lit(n)), [*key, name], root) for n, root in derived.items()]
+    return tuple(reduce(DataFrame.unionByName, (p[i] for p in parts)) for i in range(3))
 
 
 def explain(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str], max_depth: int = 6) -> DataFrame:
     """Pre-order walk of every derivation: (key, path, depth, op, value, note, spans at leaves).
 
-    One equi-join per level on (key, node); shared nodes appear once per path.
-    ``path`` is the list of input positions, and sorting by it gives the order.
+    One recursive query: its depth is that of the derivations, and planning runs no
+    job. Shared nodes appear once per path; ``path`` is the list of input positions,
+    and sorting by it gives the order.
     """
-    start = roots.select(*key, "node_id", F.array().cast("array<int>").alias("path"))
-    carry = [F.concat("path", F.array("pos")).alias("path")]
-    walk = reduce(DataFrame.unionByName, _levels(start, edges, key, carry, distinct=False, most=max_depth))
-    leaf = F.col("_inner").isNull()
+    spark = nodes.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(max_depth + 2, int(spark.conf.get("spark.sql.cteRecursionLevelLimit", "100")))))
+    names, same = ", ".join(key), " AND ".join(f"w.{k} <=> e.{k}" for k in key)
+    walk = spark.sql(
+        f"""WITH RECURSIVE walk({names}, node_id, path) AS (
+          SELECT {names}, node_id, CAST(array() AS array<int>) FROM {{roots}}
+          UNION ALL
+          SELECT {', '.join(f'w.{k}' for k in key)}, e.src, concat(w.path, array(e.pos))
+          FROM walk w JOIN {{edges}} e ON {same} AND w.node_id = e.dst WHERE size(w.path) < {int(max_depth)})
+        SELECT {names}, node_id, path FROM walk""", roots=roots, edges=edges)
     inner = edges.select(*key, F.col("dst").alias("node_id")).distinct().withColumn("_inner", F.lit(1))
-    return walk.join(nodes, [*key, "node_id"]).join(inner, [*key, "node_id"], "left").select(
-        *key, "path", F.size("path").alias("depth"), "op", "value", "note",
-        F.when(leaf, F.col("spans")).alias("leaf_spans"))
+    told = nodes.join(inner, [*key, "node_id"], "left").withColumn("_leaf", F.col("_inner").isNull())
+    return walk.join(told, [*key, "node_id"]).select(
+        *key, "path", F.size("path").alias("depth"), "op", "value", "note", F.when(F.col("_leaf"), F.col("spans")).alias("leaf_spans"))
+
+
+def longest_path(root: Column, uses: Column) -> Column:
+    """Steps on the longest way from ``root`` along ``uses`` (src, dst) of a derivation, which has no cycles.
+
+    Each round moves every node below all that use it; as many rounds as nodes are
+    enough. Nodes shared by many ways cost no more than others.
+    """
+    none = F.map_from_arrays(F.array(root), F.array(F.lit(0)))
+    depth = lambda d, n: F.coalesce(F.try_element_at(d, n), F.lit(-1))
+
+    def round_(d: Column, _: Column) -> Column:
+        below = F.transform(F.filter(uses, lambda u: depth(d, u["dst"]) >= 0), lambda u: F.struct(u["src"].alias("k"), (depth(d, u["dst"]) + 1).alias("v")))
+        names = F.array_distinct(F.concat(F.map_keys(d), F.transform(below, lambda x: x["k"])))
+        deepest = lambda n: F.greatest(depth(d, n), F.coalesce(F.array_max(F.transform(F.filter(below, lambda x: x["k"] == n), lambda x: x["v"])), F.lit(-1)))
+        return F.map_from_arrays(names, F.transform(names, deepest))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(F.array_distinct(F.transform(uses, lambda u: u["dst"]))) + 1), none, round_,
+                       lambda d: F.array_max(F.map_values(d)))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str]) -> DataFrame:
-    """Nodes, edges, depth (longest path, of any length), leaves and operations per derivation.
+    """Nodes, edges, depth (longest path), leaves and operations per derivation, in one plan.
 
-    Depth walks levels of distinct nodes, so shared nodes do not multiply.
+    A derivation's uses are one row: it has as many as its expression has operands.
     """
-    levels = _levels(roots.select(*key, "node_id"), edges, key, [], distinct=True)
-    depths = reduce(DataFrame.unionByName, (level.select(*key, F.lit(k).alias("depth")) for k, level in enumerate(levels)))
-    d = depths.groupBy(*key).agg(F.max("depth").alias("depth"))
-    inner = edges.select(*key, F.col("dst").alias("node_id")).distinct()
-    n = nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n_nodes"), F.array_join(F.array_sort(F.collect_set("op")), ",").alias("ops"))
-    e = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n_edges"))
-    leaves = nodes.join(inner, [*key, "node_id"], "left_anti").groupBy(*key).agg(F.count(F.lit(1)).alias("n_leaves"))
-    return n.join(e, key, "left").join(d, key).join(leaves, key).select(
-        *key, "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "depth", "n_leaves", "ops")
+    uses = edges.groupBy(*key).agg(F.collect_list(F.struct("src", "dst")).alias("_uses"))
+    inner = edges.select(*key, F.col("dst").alias("node_id")).distinct().withColumn("_inner", F.lit(1))
+    n = nodes.join(inner, [*key, "node_id"], "left").groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.sum(F.col("_inner").isNull().cast("long")).alias("n_leaves"),
+        F.array_join(F.array_sort(F.collect_set("op")), ",").alias("ops"))
+    own = n.join(roots.select(*key, F.col("node_id").alias("_root")), key).join(uses, key, "left")
+    own = own.withColumn("_uses", F.coalesce("_uses", F.array().cast("array<struct<src:string,dst:string>>")))
+    return own.select(*key, "n_nodes", F.size("_uses").cast("long").alias("n_edges"), longest_path(F.col("_root"), F.col("_uses")).alias("depth"), "n_leaves", "ops")
 
 
 def to_dot(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """Digraph lines per derivation: (key, section, line); no derivation is gathered into one string."""
+    """Digraph lines per derivation: (key, section, place, line), in this order; nodes and then edges go by their number in the derivation."""
     quote = F.lit('"')
-    n = nodes.select(*key, F.lit(1).alias("section"), F.concat(
-        F.lit("  n"), "node_id", F.lit(" [label="), quote, "op", F.lit("\\n"), F.col("value").cast("string"), quote, F.lit("];")).alias("line"))
-    e = edges.select(*key, F.lit(2).alias("section"), F.concat(F.lit("  n"), "src", F.lit(" -> n"), "dst", F.lit(";")).alias("line"))
-    frame = nodes.select(*key).distinct().select(*key, F.explode(F.array(
-        F.struct(F.lit(0).alias("section"), F.lit("digraph lineage {").alias("line")),
-        F.struct(F.lit(0).alias("section"), F.lit("  rankdir=BT;").alias("line")),
-        F.struct(F.lit(0).alias("section"), F.lit("  node [shape=box];").alias("line")),
-        F.struct(F.lit(3).alias("section"), F.lit("}").alias("line")))).alias("f")).select(*key, "f.*")
+    n = nodes.select(*key, F.lit(1).alias("section"), F.struct("number", F.lit(0).alias("pos")).alias("place"), F.concat(
+        F.lit("  n"), "node_id", F.lit(" [label="), quote, "op", F.lit("\\n"), F.format_string("%.6f", "value"), quote, F.lit("];")).alias("line"))
+    e = edges.select(*key, F.lit(2).alias("section"), F.struct("number", "pos").alias("place"),
+                     F.concat(F.lit("  n"), "src", F.lit(" -> n"), "dst", F.lit(";")).alias("line"))
+    text = ["digraph lineage {", "  rankdir=BT;", "  node [shape=box];", "}"]
+    frame = nodes.select(*key).distinct().select(*key, F.explode(F.array(*[F.struct(
+        F.lit(3 if t == "}" else 0).alias("section"), F.struct(F.lit(i).alias("number"), F.lit(0).alias("pos")).alias("place"), F.lit(t).alias("line"))
+        for i, t in enumerate(text)])).alias("f")).select(*key, "f.*")
     return frame.unionByName(n).unionByName(e)
 
 
@@ -260,43 +276,78 @@ def value_spans(values: DataFrame, key: list[str], col: str = "tracked") -> Data
     return values.select(*key, F.posexplode(F.col(col)["spans"]).alias("span_no", "s")).select(*key, "span_no", "s.*")
 
 
+def text_index(sources: DataFrame, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sources cut into blocks: heads (doc_id, current_sha, n_chars, block_shas) and blocks (doc_id, block, piece).
+
+    Heads are narrow; a span joins the blocks that it touches, so no whole text is
+    sent for one.
+    """
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{block or BLOCK}}}"), F.lit(0))
+    heads = sources.filter("text IS NOT NULL").select(
+        "doc_id", sha16(F.col("text")).alias("current_sha"), F.length("text").alias("n_chars"), F.transform(pieces, sha16).alias("block_shas"))
+    return heads, sources.select("doc_id", F.posexplode(pieces).alias("block", "piece"))
+
+
+def span_texts(spans: DataFrame, blocks: DataFrame, key: list[str], block: int | None = None) -> DataFrame:
+    """(key, span_no, found): the characters of every span as far as there are any.
+
+    Spans (with their key, span_no, doc_id, start, end) go to the blocks that they
+    touch; pieces of one span, seldom more than one, are put together by its number.
+    """
+    size = F.lit(block or BLOCK)
+    low, high = F.greatest(F.col("start"), F.lit(0)), F.col("end")
+    of = lambda at: F.floor(at / size).cast("int")
+    touched = spans.filter((high > low) & F.col("start").isNotNull()).select(
+        *key, "span_no", "doc_id", low.alias("start"), "end", F.explode(F.sequence(of(low), of(high - 1))).alias("block"))
+    met = touched.join(blocks, ["doc_id", "block"])
+    first = F.greatest(F.col("start") - F.col("block") * size, F.lit(0))
+    part = F.substr("piece", first + 1, F.least(F.col("end") - F.col("block") * size, size) - first)
+    return met.groupBy(*key, "span_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", part.alias("part")))), lambda x: x["part"]), "").alias("found"))
+
+
 def evidence(values: DataFrame, sources: DataFrame, key: list[str], col: str = "tracked") -> DataFrame:
     """The characters behind every span; null where the source is not supplied."""
     s = value_spans(values, key, col)
-    return s.join(sources.select("doc_id", "text"), "doc_id", "left").select(
-        *key, "span_no", "doc_id", "start", "end", text_slice(F.col("text"), F.col("start"), F.col("end")).alias("evidence"))
+    heads, blocks = text_index(sources)
+    there = s.join(heads.select("doc_id", F.lit(True).alias("_there")), "doc_id", "left")
+    return there.join(span_texts(s, blocks, key), [*key, "span_no"], "left").select(
+        *key, "span_no", "doc_id", "start", "end", F.when(F.col("_there"), F.coalesce("found", F.lit(""))).alias("evidence"))
 
 
-def checked_spans(spans: DataFrame, sources: DataFrame, on: list[str], expected: DataFrame | None = None) -> DataFrame:
+def checked_spans(spans: DataFrame, sources: DataFrame, key: list[str], expected: DataFrame | None = None) -> DataFrame:
     """Spans with ``present``, ``issue`` (the first check that fails), ``current_sha``, ``expected`` and ``actual`` text."""
-    src = sources.select(*on, F.col("text").alias("_text"), sha16(F.col("text")).alias("current_sha"))
-    j = spans.join(src, on, "left")
+    heads, blocks = text_index(sources)
+    j = spans.join(heads.select("doc_id", "current_sha", "n_chars"), "doc_id", "left").join(span_texts(spans, blocks, key), [*key, "span_no"], "left")
     if expected is not None:
         j = j.join(expected.select("doc_id", "start", "end", "expected"), ["doc_id", "start", "end"], "left")
     else:
         j = j.withColumn("expected", F.lit(None).cast("string"))
-    inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("_text"))
-    j = j.withColumn("actual", F.when(inside, text_slice(F.col("_text"), F.col("start"), F.col("end"))))
+    inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n_chars"))
+    return with_issue(j.withColumn("actual", F.when(inside, F.col("found"))), inside).drop("found", "n_chars")
+
+
+def with_issue(spans: DataFrame, inside: Column) -> DataFrame:
+    """Add ``present`` and ``issue`` from ``current_sha`` (null without a source), ``doc_sha``, ``expected`` and ``actual``."""
     # The wording of the problems.
     issue = (
-        F.when(F.col("_text").isNull(), "source not supplied")
+        F.when(F.col("current_sha").isNull(), "source not supplied")
         .when((F.coalesce("doc_sha", F.lit("")) != "") & (F.col("doc_sha") != F.col("current_sha")), "document has changed")
         .when(~inside, "span out of bounds")
         .when(F.col("expected").isNotNull() & (F.col("actual") != F.col("expected")), "text mismatch"))
-    return j.withColumn("present", F.col("_text").isNotNull()).withColumn("issue", issue).drop("_text")
+    return spans.withColumn("present", F.col("current_sha").isNotNull()).withColumn("issue", issue)
 
 
-def span_problems(values: DataFrame, sources: DataFrame, key: list[str], col: str = "tracked", on: list[str] | None = None,
+def span_problems(values: DataFrame, sources: DataFrame, key: list[str], col: str = "tracked",
                   expected: DataFrame | None = None) -> DataFrame:
     """One row per span that no longer describes its source: where it is, what is wrong, both hashes and both texts."""
-    p = checked_spans(value_spans(values, key, col), sources, on or ["doc_id"], expected).filter(F.col("issue").isNotNull())
+    p = checked_spans(value_spans(values, key, col), sources, key, expected).filter(F.col("issue").isNotNull())
     return p.select(*key, "span_no", "doc_id", "start", "end", "issue", F.col("doc_sha").alias("recorded_sha"), "current_sha", "expected", "actual")
 
 
 def verify_against(values: DataFrame, sources: DataFrame, key: list[str], col: str = "tracked",
                    expected: DataFrame | None = None) -> DataFrame:
     """Per value: spans, spans checked, and whether all still describe their sources."""
-    return _verdict(checked_spans(value_spans(values, key, col), sources, ["doc_id"], expected), key)
+    return _verdict(checked_spans(value_spans(values, key, col), sources, key, expected), key)
 
 
 def _verdict(p: DataFrame, key: list[str]) -> DataFrame:
@@ -308,21 +359,31 @@ def _verdict(p: DataFrame, key: list[str]) -> DataFrame:
 def tamper_probe(values: DataFrame, sources: DataFrame, key: list[str], col: str = "tracked") -> DataFrame:
     """Change the first digit of each value's first span and verify the value against that; ``ok`` must come out false.
 
-    Every value meets its own altered source, so sources are joined by value.
+    Only the block that holds the digit is fetched and hashed anew. A source is as
+    recorded while all of its block hashes are; with one changed, its hash is that of
+    the changed list, and every span of the value in that source meets it.
     """
+    heads, blocks = text_index(sources)
     at = F.get(F.col(f"{col}.spans"), F.lit(0))
-    first = values.select(*key, at["doc_id"].alias("_doc"), at["start"].alias("_start"))
+    size = F.lit(BLOCK)
+    first = values.select(*key, at["doc_id"].alias("doc_id"), F.floor(at["start"] / size).cast("int").alias("block"), (at["start"] % size + 1).alias("_at"))
+    digit = F.substr("piece", F.col("_at"), F.lit(1))
+    broken = F.overlay(F.col("piece"), F.when(digit == "9", "8").otherwise("9"), F.col("_at"), F.lit(1))
+    hit = first.join(blocks, ["doc_id", "block"]).select(*key, "doc_id", "block", sha16(broken).alias("_sha"))
     spans = value_spans(values, key, col)
-    wanted = spans.select(*key, "doc_id").distinct().join(sources.select("doc_id", "text"), "doc_id").join(first, key)
-    digit = F.substring("text", F.col("_start") + 1, F.lit(1))
-    broken = F.overlay(F.col("text"), F.when(digit == "9", "8").otherwise("9"), F.col("_start") + 1, F.lit(1))
-    altered = wanted.select(*key, "doc_id", F.when(F.col("doc_id") == F.col("_doc"), broken).otherwise(F.col("text")).alias("text"))
-    return _verdict(checked_spans(spans, altered, [*key, "doc_id"]), key)
+    j = spans.join(heads, "doc_id", "left").join(hit, [*key, "doc_id"], "left")
+    now = F.transform("block_shas", lambda x, i: F.when(i == F.col("block"), F.col("_sha")).otherwise(x))
+    changed = F.col("_sha").isNotNull() & (now != F.col("block_shas"))
+    j = j.withColumn("current_sha", F.when(changed, sha16(F.array_join(now, ","))).otherwise(F.col("current_sha")))
+    none = F.lit(None).cast("string")
+    inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n_chars"))
+    return _verdict(with_issue(j.withColumn("expected", none).withColumn("actual", none), inside), key)
 
 
-def metric_card(values: DataFrame, sources: DataFrame, key: list[str], col: str = "tracked") -> DataFrame:
-    """Rounded value, operation, documents and the evidence characters of each value."""
+def metric_card(values: DataFrame, sources: DataFrame, key: list[str], col: str = "tracked", stats: DataFrame | None = None) -> DataFrame:
+    """Rounded value, operation, documents, the evidence characters and, with ``stats`` of its derivation, the depth of each value."""
     ev = evidence(values, sources, key, col).groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_spans"), F.array_join(F.array_sort(F.collect_set("doc_id")), ",").alias("documents"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("span_no", "evidence"))), lambda x: x["evidence"]), ",").alias("evidence"))
-    return values.select(*key, F.round(F.col(col)["value"], 6).alias("value"), F.col(col)["op"].alias("op")).join(ev, key)
+    card = values.select(*key, F.round(F.col(col)["value"], 6).alias("value"), F.col(col)["op"].alias("op")).join(ev, key)
+    return card if stats is None else card.join(stats.select(*key, "depth"), key, "left")

@@ -21,7 +21,8 @@ def figure(spark, before, name, text=TEXT):
 
 @pytest.fixture
 def row(spark):
-    return figure(spark, "came to ", "sales").join(figure(spark, "outlays to ", "outlays"), "k")
+    made = figure(spark, "came to ", "sales").join(figure(spark, "outlays to ", "outlays"), "k")
+    return spark.createDataFrame(made.collect(), made.schema)
 
 
 def test_span_holds_the_digits(spark):
@@ -136,3 +137,56 @@ def test_fractions_survive_and_tag_comes_before_year(spark):
     assert "revenue" not in got  # the preferred tag has no annual figure
     s = got["cost"].spans[0]
     assert got["cost"].value == 1.53 and cost[s.start:s.end] == "1.53"
+
+
+def test_shared_nodes_do_not_multiply(spark):
+    """Twenty doublings have a million paths and twenty-one nodes."""
+    nodes = spark.createDataFrame([("k", f"n{i}", "add" if i else "extract", 1.0, "", []) for i in range(21)],
+                                  f"k string, node_id string, op string, value double, note string, spans array<{K.SPAN_TYPE}>")
+    edges = spark.createDataFrame([("k", f"n{i}", f"n{i + 1}", p) for i in range(20) for p in (0, 1)], "k string, src string, dst string, pos int")
+    roots = spark.createDataFrame([("k", "n20")], "k string, node_id string")
+    s = K.graph_stats(nodes, edges, roots, ["k"]).first()
+    assert (s.n_nodes, s.n_edges, s.depth, s.n_leaves) == (21, 40, 20, 1)
+    assert K.explain(nodes, edges, roots, ["k"], max_depth=3).count() == 15
+
+
+def test_planning_a_walk_runs_no_job(spark, row):
+    a, b = K.Tracked.leaf("sales"), K.Tracked.leaf("outlays")
+    g = K.derivation_graphs(row, ["k"], {"m": (a - b) / a, "s": a + b, "leaf": a})
+    spark.sparkContext.setJobGroup("planning", "planning")
+    walk, stats = K.explain(*g, ["k", "metric"]), K.graph_stats(*g, ["k", "metric"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("after", "after")
+    assert {r.metric: (r.n_nodes, r.n_edges, r.depth) for r in stats.collect()} == {"m": (4, 4, 2), "s": (3, 2, 1), "leaf": (1, 0, 0)}
+    assert walk.count() == 5 + 3 + 1
+
+
+@pytest.mark.parametrize("block", [1, 4096])
+def test_spans_join_the_blocks_they_touch(spark, monkeypatch, block):
+    monkeypatch.setattr(K, "BLOCK", block)
+    text = "é🎈 one 字\n two three four five"
+    places = [(0, 1), (0, len(text)), (5, 13), (3, 3), (len(text) - 1, len(text)), (2, len(text) + 5), (-2, 3)]
+    span = lambda d, a, b, sha="": {"doc_id": d, "start": a, "end": b, "doc_sha": sha}
+    whole = hashlib.sha256(text.encode()).hexdigest()[:16]
+    rows = [("a", {"value": 1.0, "spans": [span("D", a, b, whole) for a, b in places], "op": "x", "note": ""}),
+            ("b", {"value": 1.0, "spans": [span("none", 0, 3)], "op": "x", "note": ""}), ("c", {"value": 1.0, "spans": [span("empty", 0, 1), span("D", 1, 2, "old")], "op": "x", "note": ""})]
+    values = spark.createDataFrame(rows, f"k string, tracked {K.TRACKED_TYPE}")
+    sources = docs(spark, D=text, empty="", null=None)
+    got = {(r.k, r.span_no): r.evidence for r in K.evidence(values, sources, ["k"]).collect()}
+    want = {("a", i): text[max(a, 0):b] for i, (a, b) in enumerate(places)} | {("b", 0): None, ("c", 0): "", ("c", 1): text[1:2]}
+    assert got == want
+    issues = {(r.k, r.span_no): r.issue for r in K.span_problems(values, sources, ["k"]).collect()}
+    bad = "span out of bounds"
+    assert issues == {("a", 3): bad, ("a", 5): bad, ("a", 6): bad, ("b", 0): "source not supplied", ("c", 0): bad, ("c", 1): "document has changed"}
+    probe = {r.k: (r.n_spans, r.n_problems, r.ok) for r in K.tamper_probe(values.filter("k = 'a'"), sources, ["k"]).collect()}
+    assert probe == {"a": (7, 7, False)}
+
+
+def test_no_whole_text_is_sent(spark, row):
+    """Below a shuffle there are blocks and hashes, never the column of whole texts."""
+    values = row.select("k", F.col("sales").alias("tracked"))
+    plan = K.tamper_probe(values, docs(spark, D1=TEXT), ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan
+    for line in plan.splitlines():
+        if "Join" in line:
+            assert "text#" not in line
