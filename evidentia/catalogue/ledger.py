@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidentia.operators import ledger as L
+from evidentia.session import shared_folder
 from evidentia.sources import tables as V
+from evidentia.sources.ledger_pages import read_ledger, write_ledger
+from evidentia.sources.sinks import ledger_stream, read_batches
+from evidentia.streaming.messages import read_stream
 
 # Keyword rules of this catalogue: the built-in ones, then some for part names.
 RULES = {**L.CATEGORY_KEYWORDS, "Kitchen": ["plate"], "Hardware": ["bolt", "gear", "rod"], "Jewellery": ["ring"]}
@@ -91,7 +97,27 @@ def running(spark, sf_dir):
     return _plain(out.select("entry_id", "account", "date", "payment", "cumulative"))
 
 
+def paged(spark, sf_dir):
+    """The ledger as pages, read back for four months: pages outside them are not opened."""
+    path = f"{shared_folder(spark)}/evidentia/ledger-{uuid.uuid4().hex}"
+    write_ledger(V.ledger_entries(spark, sf_dir), path)
+    out = read_ledger(spark, path).filter(F.col("date").between(F.lit("1995-03-01").cast("date"), F.lit("1995-06-30").cast("date")))
+    return _plain(out.withColumn("entry_id", F.col("entry_id").cast("bigint")))
+
+
+def replayed(spark, sf_dir):
+    """Entries streamed into a ledger and streamed again after the checkpoint was lost, by category."""
+    base = f"{shared_folder(spark)}/evidentia/replay-{uuid.uuid4().hex}"
+    entries = V.ledger_entries_of(read_stream(spark, sf_dir, "lineitem"), V.table(spark, sf_dir, "part"))
+    for attempt in ("first", "second"):
+        ledger_stream(entries, f"{base}/ledger", f"{base}/{attempt}")
+    out = read_batches(spark, f"{base}/ledger")
+    return _plain(out.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("payment").alias("payment")))
+
+
 QUERIES = {
+    "ledger_paged": paged,
+    "ledger_replayed": replayed,
     "ledger_types": types,
     "ledger_labelled": labelled,
     "ledger_validate": validated,
@@ -165,6 +191,9 @@ def _share(dim: str, blank: str) -> str:
 
 
 ORACLE = {
+    "ledger_replayed": f"""WITH {_BASE} SELECT {_case(L.CATEGORY_KEYWORDS)} AS category, count(*) AS n, {_d('sum(payment)', 'payment')} FROM raw GROUP BY 1""",
+    "ledger_paged": f"""WITH {_BASE} SELECT entry_id, date, description, {_d('payment', 'payment')}, {_d('deposit', 'deposit')}, account FROM raw
+WHERE date BETWEEN DATE '1995-03-01' AND DATE '1995-06-30'""",
     "ledger_types": f"{_E} SELECT category, type, count(*) AS n, {_d('sum(amount)', 'amount')} FROM e GROUP BY 1, 2",
     "ledger_labelled": f"""WITH {_BASE}, labels AS (SELECT p_type || ' ' || p_name AS description, min(p_brand) AS label
   FROM part WHERE p_size > 45 GROUP BY 1)

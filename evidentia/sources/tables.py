@@ -173,12 +173,17 @@ def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     Returned lines are deposits, with their tax as a payment beside it; rows at
     the highest discount carry no date; closed lines name no account.
     """
-    li = table(spark, sf_dir, "lineitem").select(
+    return ledger_entries_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+def ledger_entries_of(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    """The same from given rows; the lines may be a stream."""
+    li = lines.select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate",
         F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
         F.col("l_tax").cast("decimal(4,2)").alias("tax"),
         F.col("l_discount").cast("decimal(4,2)").alias("disc"))
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    part = parts.select("p_partkey", "p_name", "p_type", "p_brand")
     back = F.col("l_returnflag") == "R"
     zero = F.lit(0).cast("decimal(18,2)")
     return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import manifest as M
 from evidentia.operators import preference as P
+from evidentia.sources import ledger_pages as LP
 from evidentia.sources import parsers as PA
 from evidentia.sources import readers as R
 from evidentia.sources import sinks as S
@@ -142,3 +143,58 @@ def test_files_of_several_lines_are_read_whole(spark, tmp_path):
     assert float(fact.val) == 1.53
     write(tmp_path / "t.json", '{"0":\n{"cik_str": 5, "ticker": "b"}}\n')
     assert [(r.ticker, r.cik) for r in R.read_ticker_map(spark, str(tmp_path / "t.json")).collect()] == [("B", "0000000005")]
+
+
+def test_paged_ledger(spark, tmp_path):
+    """Dates reach the pages: those outside are neither tasks nor opened, and the plan has no filter left for them."""
+    import datetime
+    from decimal import Decimal
+
+    day = lambda i: datetime.date(2024, 1, 1) + datetime.timedelta(days=i)
+    rows = [(str(i), day(i // 4) if i % 9 else None, "" if i % 5 == 0 else f"text {i} \u00e9", Decimal(i), Decimal("0.50"), "" if i % 2 else "cash") for i in range(400)]
+    entries = spark.createDataFrame(rows, LP.SCHEMA)
+    path = str(tmp_path / "ledger")
+    LP.write_ledger(entries, path, page=40)
+    whole = LP.read_ledger(spark, path)
+    assert sorted(tuple(r) for r in whole.collect()) == sorted(rows) and whole.rdd.getNumPartitions() == 10
+    low, high = F.lit(day(30)), F.lit(day(40))
+    some = LP.read_ledger(spark, path).filter(F.col("date").between(low, high) & (F.col("account") == "cash"))
+    assert sorted(r.entry_id for r in some.collect()) == sorted(r[0] for r in rows if r[1] and day(30) <= r[1] <= day(40) and r[5] == "cash")
+    plan = spark._jvm.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
+    pushed = plan.split("PushedFilters")[1].splitlines()[0]
+    assert "GreaterThanOrEqual(date" in pushed and "LessThanOrEqual(date" in pushed and "(date" not in plan.split("Condition")[1] and some.rdd.getNumPartitions() <= 3
+    assert LP.read_ledger(spark, path).filter(F.col("date") == F.lit(day(33))).count() == sum(r[1] == day(33) for r in rows)
+    assert LP.read_ledger(spark, path).filter("date IS NULL").count() == sum(r[1] is None for r in rows)
+    assert LP.read_ledger(spark, path).filter(F.col("date") > F.lit(day(98))).count() == sum(bool(r[1]) and r[1] > day(98) for r in rows)
+
+
+def test_pages_with_missing_parts():
+    assert LP.flat({"id": "a", "properties": {}})[1:] == (None, "", 0, 0, "")
+    nested = {"id": "b", "properties": {"Date": {"date": {"start": "2024-05-06T10:00"}}, "Description": {"title": []}, "Payment": {"number": None}, "Account": {"select": None}}}
+    assert str(LP.flat(nested)[1]) == "2024-05-06" and LP.flat(nested)[2:] == ("", 0, 0, "")
+
+
+def test_replayed_batches_leave_the_same_ledger(spark, tmp_path):
+    e = lambda *texts: spark.createDataFrame([(t, None) for t in texts], "description string, category string")
+    path = str(tmp_path / "ledger")
+    assert S.read_batches(spark, path) is None
+    S.append_batch(e("coffee", "zzz"), path, 0)
+    S.append_batch(e("coffee", "zzz"), path, 0)
+    S.append_batch(e("uber"), path, 1)
+    e("half").withColumn("category", F.lit("x")).write.parquet(f"{path}/entries/batch=2")
+    assert sorted((r.description, r.category) for r in S.read_batches(spark, path).collect()) == [
+        ("coffee", "Food & Dining"), ("uber", "Transportation"), ("zzz", "Uncategorized")]
+    S.append_batch(e("whole"), path, 2)
+    assert sorted(r.description for r in S.read_batches(spark, path).collect()) == ["coffee", "uber", "whole", "zzz"]
+
+
+def test_manifest_versions_switch_whole(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "dest string, sha256 string")
+    path = str(tmp_path / "manifest")
+    S.switch_manifest(rows(("a", "1"), ("b", "1")), path, 0)
+    S.switch_manifest(rows(("b", "2"), ("c", "2")), path, 1)
+    S.switch_manifest(rows(("b", "2"), ("c", "2")), path, 1)
+    rows(("z", "9")).write.parquet(f"{path}/entries/batch=2")
+    assert sorted(tuple(r) for r in S.current_manifest(spark, path).collect()) == [("a", "1"), ("b", "2"), ("c", "2")]
+    S.switch_manifest(rows(("a", "3")), path, 2)
+    assert sorted(tuple(r) for r in S.current_manifest(spark, path).collect()) == [("a", "3"), ("b", "2"), ("c", "2")]
