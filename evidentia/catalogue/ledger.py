@@ -17,10 +17,6 @@ from evidentia.streaming.messages import read_stream
 RULES = {**L.CATEGORY_KEYWORDS, "Kitchen": ["plate"], "Hardware": ["bolt", "gear", "rod"], "Jewellery": ["ring"]}
 
 
-def _entries(spark, sf_dir):
-    return L.entry_type_amount(L.classify(V.ledger_entries(spark, sf_dir), RULES))
-
-
 def _plain(df):
     """Money as doubles for output."""
     return df.select(*[F.col(n).cast("double").alias(n) if t.startswith("decimal") else F.col(n) for n, t in df.dtypes])
@@ -31,8 +27,12 @@ def _typed(spark, sf_dir):
     return L.entry_type_amount(V.ledger_entries(spark, sf_dir))
 
 
+def _cells(spark, sf_dir):
+    return L.category_cells(V.ledger_entries(spark, sf_dir), RULES)
+
+
 def _over(fn, *args):
-    return lambda spark, sf_dir: _plain(fn(_entries(spark, sf_dir), *args))
+    return lambda spark, sf_dir: _plain(fn(_cells(spark, sf_dir), *args))
 
 
 def _over_typed(fn, *args):
@@ -40,8 +40,7 @@ def _over_typed(fn, *args):
 
 
 def types(spark, sf_dir):
-    return _plain(_entries(spark, sf_dir).groupBy("category", "type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")))
+    return _plain(_cells(spark, sf_dir).groupBy("category", "type").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount")))
 
 
 def labelled(spark, sf_dir):
@@ -65,17 +64,17 @@ def recategorised(spark, sf_dir):
 
 
 def rollup(spark, sf_dir):
-    out = L.type_first_sort(L.category_rollup(_entries(spark, sf_dir)))
+    out = L.type_first_sort(L.category_rollup(_cells(spark, sf_dir)))
     return _plain(out.withColumn("accounts", F.array_join("accounts", ", ")))
 
 
 def anomalies(spark, sf_dir):
-    out = L.anomalies(_entries(spark, sf_dir), 2.0)
+    out = L.anomalies(V.ledger_entries(spark, sf_dir), 2.0, RULES)
     return _plain(out.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")))
 
 
 def anomalies_top(spark, sf_dir):
-    out = L.anomalies(_entries(spark, sf_dir), 2.0)
+    out = L.anomalies(V.ledger_entries(spark, sf_dir), 2.0, RULES)
     return _plain(out.select("entry_id", "category", "amount").orderBy(F.desc("amount"), "entry_id").limit(10))
 
 
@@ -85,7 +84,7 @@ def insights(spark, sf_dir):
 
 
 def top_categories(spark, sf_dir):
-    return _plain(L.top_categories(_entries(spark, sf_dir)).withColumn("avg", F.round("avg", 4)))
+    return _plain(L.top_categories(_cells(spark, sf_dir)).withColumn("avg", F.round("avg", 4)))
 
 
 def trends(spark, sf_dir):
@@ -118,6 +117,7 @@ def replayed(spark, sf_dir):
 QUERIES = {
     "ledger_paged": paged,
     "ledger_replayed": replayed,
+    "ledger_dashboard": lambda s, d: _plain(L.dashboard(V.ledger_entries(s, d), RULES)),
     "ledger_types": types,
     "ledger_labelled": labelled,
     "ledger_validate": validated,
@@ -136,7 +136,7 @@ QUERIES = {
     "ledger_share_category": _over(L.share_by_type, "category", "Uncategorized"),
     "ledger_share_account": _over_typed(L.share_by_type, "account", "Other"),
     "ledger_category_rollup": rollup,
-    "ledger_summary_cards": lambda s, d: _plain(L.summary_cards(L.category_summary(_entries(s, d)))),
+    "ledger_summary_cards": lambda s, d: _plain(L.summary_cards(L.category_summary(_cells(s, d)))),
     "ledger_distinct_descriptions": lambda s, d: L.distinct_by_category(V.ledger_entries(s, d), RULES),
     "ledger_running_total": running,
     "ledger_daily_running_total": _over_typed(L.daily_running_total),
@@ -190,7 +190,13 @@ def _share(dim: str, blank: str) -> str:
   FROM (SELECT type, coalesce(nullif({dim}, ''), '{blank}') AS name, sum(amount) AS total, count(*) AS count FROM e GROUP BY 1, 2)"""
 
 
+_CARD = "coalesce(sum(amount) FILTER (type = 'Income'), 0)::DOUBLE AS income, coalesce(sum(amount) FILTER (type = 'Expense'), 0)::DOUBLE AS expense, count(*) AS count FROM e"
+
 ORACLE = {
+    "ledger_dashboard": f"""{_E}
+SELECT 'category' AS card, category AS name, {_CARD} GROUP BY 2 UNION ALL SELECT 'account', coalesce(nullif(account, ''), 'Other'), {_CARD} GROUP BY 2
+UNION ALL SELECT 'month', strftime(date, '%Y-%m'), {_CARD} WHERE date IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'weekday', CAST(dayofweek(date) + 1 AS VARCHAR), {_CARD} WHERE date IS NOT NULL GROUP BY 2 UNION ALL SELECT 'all', 'balance', {_CARD}""",
     "ledger_replayed": f"""WITH {_BASE} SELECT {_case(L.CATEGORY_KEYWORDS)} AS category, count(*) AS n, {_d('sum(payment)', 'payment')} FROM raw GROUP BY 1""",
     "ledger_paged": f"""WITH {_BASE} SELECT entry_id, date, description, {_d('payment', 'payment')}, {_d('deposit', 'deposit')}, account FROM raw
 WHERE date BETWEEN DATE '1995-03-01' AND DATE '1995-06-30'""",

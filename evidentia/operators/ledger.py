@@ -104,11 +104,33 @@ def recategorise(entries: DataFrame, rules: dict[str, list[str]] = CATEGORY_KEYW
         "category", F.when(F.col("updated"), F.col("_category")).otherwise(F.col("category"))).drop("_category")
 
 
+# --- cells -----------------------------------------------------------------
+
+def category_cells(entries: DataFrame, rules: dict[str, list[str]] = CATEGORY_KEYWORDS, labels: DataFrame | None = None) -> DataFrame:
+    """(category, description, account, type, amount, deposit, payment, n): sums of the entries that agree in what cards ask for, staged.
+
+    Entries are added up by description before they have a category, so they are
+    read once and never sent by category; the rules run once per distinct
+    description of the cells. Every function below that groups by category takes
+    cells as it takes entries. ``payment`` adds the positive ones.
+    """
+    zero = F.lit(0).cast("decimal(18,2)")
+    cells = entry_type_amount(entries).groupBy("description", "account", "type").agg(
+        F.sum("amount").alias("amount"), F.sum("deposit").alias("deposit"), F.sum(F.when(F.col("payment") > 0, F.col("payment")).otherwise(zero)).alias("payment"),
+        F.count(F.lit(1)).alias("n"))
+    return classify(stage(cells, "cells"), rules, labels)
+
+
+def rows_in(df: DataFrame) -> Column:
+    """Entries behind a row: its ``n`` for cells, else the row itself."""
+    return F.sum("n") if "n" in df.columns else F.count(F.lit(1))
+
+
 def category_summary(entries: DataFrame) -> DataFrame:
     income = F.col("type") == "Income"
     zero = F.lit(0).cast("decimal(18,2)")
     return entries.groupBy("category").agg(
-        F.sum("amount").alias("total"), F.count(F.lit(1)).alias("count"),
+        F.sum("amount").alias("total"), rows_in(entries).alias("count"),
         F.sum(F.when(income, F.col("deposit")).otherwise(zero)).alias("income"),
         F.sum(F.when(~income & (F.col("payment") > 0), F.col("payment")).otherwise(zero)).alias("expense"))
 
@@ -153,8 +175,8 @@ def balance(entries: DataFrame) -> DataFrame:
 
 def expense_stats(entries: DataFrame) -> DataFrame:
     return entries.filter(F.col("type") == "Expense").groupBy("category").agg(
-        F.sum("amount").alias("total"), F.count(F.lit(1)).alias("count"),
-        (F.sum("amount").cast("double") / F.count(F.lit(1))).alias("avg"))
+        F.sum("amount").alias("total"), rows_in(entries).alias("count"),
+        (F.sum("amount").cast("double") / rows_in(entries)).alias("avg"))
 
 
 def spending_insights(entries: DataFrame) -> DataFrame:
@@ -172,15 +194,18 @@ def top_categories(entries: DataFrame, k: int = 5) -> DataFrame:
     return expense_stats(entries).orderBy(F.desc("total"), "category").limit(k)
 
 
-def anomalies(entries: DataFrame, factor: float = 3.0) -> DataFrame:
-    """Expenses above ``factor`` times their category's mean.
+def anomalies(entries: DataFrame, factor: float = 3.0, rules: dict[str, list[str]] = CATEGORY_KEYWORDS) -> DataFrame:
+    """Expenses above ``factor`` times their category's mean; entries need no category yet.
 
-    The category means are one row per category and are joined back, so no
-    category's rows are gathered in one place.
+    Means come from cells. Their limits go back to the descriptions, one row each,
+    and entries meet that table by description, as a broadcast where its measured
+    size allows one; no entry is sent by category.
     """
-    stats = expense_stats(entries).select("category", "avg")
-    return entries.filter(F.col("type") == "Expense").join(stats, "category").filter(
-        F.col("amount").cast("double") > F.col("avg") * factor)
+    cells = category_cells(entries, rules)
+    limits = cells.select("description", "category").distinct().join(expense_stats(cells).select("category", "avg"), "category")
+    limits = stage(limits.select(F.col("description").alias("_text"), "category", "avg"), "limits")
+    spent = entry_type_amount(entries.drop("category")).filter(F.col("type") == "Expense")
+    return spent.join(limits, F.col("description").eqNullSafe(F.col("_text"))).drop("_text").filter(F.col("amount").cast("double") > F.col("avg") * factor)
 
 
 def income_expense_by_period(entries: DataFrame, fmt: str = "yyyy-MM") -> DataFrame:
@@ -192,7 +217,7 @@ def income_expense_by_period(entries: DataFrame, fmt: str = "yyyy-MM") -> DataFr
 def share_by_type(entries: DataFrame, dim: str, blank: str) -> DataFrame:
     """Totals, counts and share of a dimension within Income and within Expense."""
     name = F.coalesce(F.nullif(F.col(dim), F.lit("")), F.lit(blank)).alias("name")
-    g = entries.groupBy("type", name).agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("count"))
+    g = entries.groupBy("type", name).agg(F.sum("amount").alias("total"), rows_in(entries).alias("count"))
     whole = F.sum("total").over(Window.partitionBy("type"))
     return g.withColumn("share", F.round(F.try_divide(F.col("total").cast("double"), whole.cast("double")), 4))
 
@@ -203,10 +228,11 @@ def category_rollup(entries: DataFrame) -> DataFrame:
     Accounts are reduced to distinct values before they are listed.
     """
     part = lambda k, v: F.sum(F.when(F.col("type") == k, v).otherwise(0))
+    each = F.col("n") if "n" in entries.columns else F.lit(1)
     cells = entries.groupBy("category", "account").agg(
         F.sum("amount").alias("total"), part("Income", F.col("amount")).alias("income"),
-        part("Expense", F.col("amount")).alias("expense"), part("Income", F.lit(1)).alias("n_income"),
-        part("Expense", F.lit(1)).alias("n_expense"))
+        part("Expense", F.col("amount")).alias("expense"), part("Income", each).alias("n_income"),
+        part("Expense", each).alias("n_expense"))
     r = cells.groupBy("category").agg(
         F.sum("total").alias("total"), F.sum("income").alias("income"), F.sum("expense").alias("expense"),
         F.sum("n_income").alias("income_count"), F.sum("n_expense").alias("expense_count"),
@@ -229,6 +255,34 @@ def summary_cards(summary: DataFrame) -> DataFrame:
                        F.count(F.lit(1)).alias("categories"), best.alias("top_category"))
 
 
+def dashboard(entries: DataFrame, rules: dict[str, list[str]] = CATEGORY_KEYWORDS) -> DataFrame:
+    """(card, name, income, expense, count) of all cards from one scan: categories, accounts, months, weekdays and the balance.
+
+    One aggregate with two grouping sets adds entries up by description, account
+    and type, and by date and type; every card is made from its staged result.
+    """
+    typed = entry_type_amount(entries).withColumn("_when", F.coalesce(F.col("date").cast("string"), F.lit("none")))
+    sums = typed.groupingSets([["description", "account", "type"], ["_when", "type"]], "description", "account", "_when", "type").agg(
+        F.grouping("_when").cast("int").alias("by_text"), F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"))
+    sums = stage(sums, "dashboard")
+    by_text = classify(sums.filter("by_text = 1"), rules)
+    by_day = sums.filter("by_text = 0 AND _when <> 'none'").withColumn("d", F.col("_when").cast("date"))
+    zero = F.lit(0).cast("decimal(28,2)")
+
+    def card(rows: DataFrame, kind: str, name: Column) -> DataFrame:
+        part = lambda t: F.sum(F.when(F.col("type") == t, F.col("amount")).otherwise(zero))
+        return rows.groupBy(name.alias("name")).agg(part("Income").alias("income"), part("Expense").alias("expense"), F.sum("n").alias("count")).select(
+            F.lit(kind).alias("card"), "name", "income", "expense", "count")
+
+    account = F.coalesce(F.nullif("account", F.lit("")), F.lit("Other"))
+    cards = [card(by_text, "category", F.col("category")), card(by_text, "account", account), card(by_day, "month", F.date_format("d", "yyyy-MM")),
+             card(by_day, "weekday", F.dayofweek("d").cast("string")), card(by_text, "all", F.lit("balance"))]
+    out = cards[0]
+    for c in cards[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 def distinct_by_category(entries: DataFrame, rules: dict[str, list[str]] = CATEGORY_KEYWORDS) -> DataFrame:
     """Distinct non-empty descriptions with their category and the category's size."""
     d = entries.select("description").filter(F.col("description") != "").distinct()

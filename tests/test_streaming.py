@@ -95,3 +95,20 @@ def test_running_total_over_a_hot_account(spark):
                                   F.lit("a").alias("account"), F.lit(1).cast("decimal(18,2)").alias("payment"))
     got = L.running_total(df, ["account"], id_bucket=16)
     assert got.count() == 3000 and got.filter(F.col("cumulative") != (F.col("entry_id") % 3) * 1000 + F.floor(F.col("entry_id") / 3) + 1).count() == 0
+
+
+def test_cells_and_cards_equal_the_entries(spark):
+    rows = [(i, datetime.date(2024, 1, 1 + i % 28) if i % 7 else None, ["Morning coffee", "uber", "", None, "income3"][i % 5], float(i % 4), float(i % 3) if i % 4 == 0 else 0.0,
+             ["", "cash", None][i % 3]) for i in range(300)]
+    e = spark.createDataFrame(rows, "entry_id bigint, date date, description string, payment double, deposit double, account string")
+    e = e.withColumn("payment", F.col("payment").cast("decimal(18,2)")).withColumn("deposit", F.col("deposit").cast("decimal(18,2)"))
+    whole, cells = L.entry_type_amount(L.classify(e)), L.category_cells(e)
+    same = lambda f: sorted(map(str, f(whole).collect())) == sorted(map(str, f(cells).collect()))
+    assert same(L.category_summary) and same(L.expense_stats) and same(L.category_rollup) and same(lambda x: L.share_by_type(x, "category", "none"))
+    means = {r.category: r.avg for r in L.expense_stats(whole).collect()}
+    want = {r.entry_id for r in whole.collect() if r.type == "Expense" and float(r.amount) > 1.5 * means[r.category]}
+    assert {r.entry_id for r in L.anomalies(e, 1.5).collect()} == want and want
+    cards = {(r.card, r.name): (float(r.income), float(r.expense), r["count"]) for r in L.dashboard(e).collect()}
+    total = lambda t: sum(float(r.amount) for r in whole.collect() if r.type == t)
+    assert cards["all", "balance"] == (total("Income"), total("Expense"), 300)
+    assert sum(n for (c, _), (_, _, n) in cards.items() if c == "month") == sum(1 for r in rows if r[1]) and cards["account", "Other"][2] == 200
