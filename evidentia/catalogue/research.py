@@ -7,20 +7,23 @@ import math
 from pyspark.sql import functions as F
 
 from evidentia.catalogue import sqltext as S
+from evidentia.catalogue.lineage import DOCS
 from evidentia.catalogue.risk import panel
 from evidentia.functions import measures as M
 from evidentia.functions.normal import z_value
+from evidentia.operators import lineage as K
 from evidentia.operators import research as Q
 from evidentia.operators import series as T
+from evidentia.plans import company_lineage as C
 from evidentia.session import stage, task_count
 from evidentia.sources import tables as V
 
 BY = ["ticker"]
 
 
-def _series(spark, sf_dir):
+def _series(spark, sf_dir, p=None):
     """(ticker, t, y): the return panel, clustered by series."""
-    p = panel(spark, sf_dir)
+    p = p or panel(spark, sf_dir)
     return p.select("ticker", F.col("d").alias("t"), F.col("r").alias("y")).repartition(task_count(p), "ticker")
 
 
@@ -107,8 +110,8 @@ def deflated(spark, sf_dir):
     return Q.deflated_by_trials(m, BY)
 
 
-def _findings(spark, sf_dir):
-    made, names = Q.lookahead_cases(_series(spark, sf_dir), BY)
+def _findings(spark, sf_dir, p=None):
+    made, names = Q.lookahead_cases(_series(spark, sf_dir, p), BY)
     return Q.detect_lookahead(made, BY, names)
 
 
@@ -141,9 +144,10 @@ def purged(spark, sf_dir):
 
 
 def leakage(spark, sf_dir):
-    out = None
+    """Three schemes over one staged series."""
+    out, series = None, stage(_series(spark, sf_dir), "series")
     for label, span, emb in (("purged", 20, 0), ("embargoed", 20, 20), ("plain", 1, 0)):
-        part = Q.leakage_check(_folds(spark, sf_dir, label_span=span, embargo=emb), BY, 20).withColumn("scheme", F.lit(label))
+        part = Q.leakage_check(Q.purged_kfold(series, BY, label_span=span, embargo=emb), BY, 20).withColumn("scheme", F.lit(label))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -169,8 +173,18 @@ def sweep(spark, sf_dir):
 
 
 def verdict(spark, sf_dir):
-    m = panel(spark, sf_dir).groupBy("ticker").agg(*M.moments("r"))
-    return Q.audit_verdict(_findings(spark, sf_dir), Q.deflated_by_trials(m, BY, (200,)))
+    """The three checks over one panel and the companies' headline values, as recorded and with some sources changed."""
+    p = panel(spark, sf_dir)
+    findings = stage(_findings(spark, sf_dir, p), "findings")
+    deflated_ = Q.deflated_by_trials(p.groupBy("ticker").agg(*M.moments("r")), BY, (200,))
+    docs = stage(V.concept_documents(V.company_facts(spark, sf_dir)), "concepts", "ticker")
+    values = stage(C.headline(C.derive_metrics(C.company_row(C.located_fields(docs)))), "headline")
+    changed = docs.withColumn("text", F.when(F.col("tag") == "CostOfRevenue", F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    out = None
+    for sources, label in ((docs, "recorded"), (changed, "changed")):
+        part = Q.audit_verdict(findings, deflated_, K.verify_against(values, sources, ["ticker", "metric"])).withColumn("sources", F.lit(label))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 QUERIES = {
@@ -350,7 +364,8 @@ SELECT ticker, count(*) AS n FROM tr WHERE EXISTS (SELECT 1 FROM edges e WHERE e
 SELECT ticker, n_tried, fast, slow, n AS n_obs, sharpe AS best_sharpe, hi AS sharpe_max, round(mid, 4) AS sharpe_median, lo AS sharpe_min,
   round({S.phi('z0')}, 4) AS probabilistic_sharpe, round(noise, 4) AS expected_max_from_noise, round({S.phi('z1')}, 5) AS deflated_prob,
   {S.phi('z1')} > 0.95 AS survives FROM zz JOIN spread USING (ticker)""",
-    "audit_verdict": f"""{_FIND}, {_deflated_sql((200,))}
-SELECT any_contaminated, all_survive, NOT any_contaminated AND all_survive AS passed
-FROM (SELECT bool_or(contaminated) AS any_contaminated FROM found), (SELECT bool_and(survives) AS all_survive FROM deflated)""",
+    "audit_verdict": f"""{_FIND}, {_deflated_sql((200,))}, {DOCS},
+held AS (SELECT 'recorded' AS sources, 0 AS bad UNION ALL SELECT 'changed', count(*) FROM head WHERE len(list_filter(ds, lambda x: x LIKE '%:CostOfRevenue')) > 0)
+SELECT any_contaminated, all_survive, bad = 0 AS all_verified, bad AS n_failed, NOT any_contaminated AND all_survive AND bad = 0 AS passed, sources
+FROM (SELECT bool_or(contaminated) AS any_contaminated FROM found), (SELECT bool_and(survives) AS all_survive FROM deflated), held""",
 }

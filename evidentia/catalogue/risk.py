@@ -313,11 +313,9 @@ SELECT portfolio_id, string_agg(DISTINCT t, ',' ORDER BY t) AS missing
 FROM (SELECT portfolio_id, unnest(tickers) AS t FROM checked WHERE error IS NULL)
 WHERE t NOT IN (SELECT l_returnflag || l_linestatus FROM lineitem) GROUP BY portfolio_id""",
     "portfolio_aligned": f"""WITH {S.SUPPLIER_POSITIONS}, {_REQUESTS}, {S.PANEL}, {S.MARKET}, {S.BETAS},
-beta_of AS MATERIALIZED (SELECT DISTINCT ticker, beta FROM betas), known AS MATERIALIZED (SELECT DISTINCT ticker FROM panel),
-spread AS MATERIALIZED (SELECT portfolio_id, unnest(tickers) AS ticker, unnest(weights) AS weight FROM checked WHERE error IS NULL),
-gaps AS MATERIALIZED (SELECT DISTINCT portfolio_id FROM spread WHERE ticker NOT IN (SELECT ticker FROM known))
-SELECT portfolio_id, ticker, {S.rnd('weight', 9)} AS weight, {S.rnd('beta', 6)} AS beta
-FROM spread JOIN beta_of USING (ticker) WHERE portfolio_id NOT IN (SELECT portfolio_id FROM gaps)""",
+spread AS (SELECT portfolio_id, len(tickers) AS n, unnest(tickers) AS ticker, unnest(weights) AS weight FROM checked WHERE error IS NULL),
+priced AS (SELECT spread.*, beta, count(beta) OVER (PARTITION BY portfolio_id) AS k FROM spread LEFT JOIN betas ON betas.ticker = spread.ticker)
+SELECT portfolio_id, ticker, {S.rnd('weight', 9)} AS weight, {S.rnd('beta', 6)} AS beta FROM priced WHERE k = n""",
     "portfolio_returns": f"""WITH {S.SUPPLIER_POSITIONS}, {S.PANEL}, {S.SERIES}
 SELECT portfolio_id, d, {S.rnd('r', 9)} AS r FROM series""",
     "risk_var_methods": f"""WITH {S.SUPPLIER_POSITIONS}, {S.PANEL}, {S.SERIES}, {_CUT},

@@ -252,9 +252,17 @@ def deflated_by_trials(stats: DataFrame, by: list[str], trials: tuple[int, ...]
         F.coalesce(p > 0.95, F.lit(False)).alias("survives"))
 
 
-def audit_verdict(findings: DataFrame, deflated: DataFrame) -> DataFrame:
-    """One row: does any feature leak, does every series survive deflation."""
+def audit_verdict(findings: DataFrame, deflated: DataFrame, verified: DataFrame | None = None) -> DataFrame:
+    """One row: does any feature leak, does every series survive deflation and, with ``verified`` (ok), does every value still describe its sources.
+
+    Without any value to verify nothing has failed.
+    """
     leak = findings.agg(F.bool_or("contaminated").alias("any_contaminated"))
     lives = deflated.agg(F.bool_and("survives").alias("all_survive"))
-    return leak.join(F.broadcast(lives)).select(
-        "any_contaminated", "all_survive", (~F.col("any_contaminated") & F.col("all_survive")).alias("passed"))
+    out = leak.join(F.broadcast(lives))
+    passed = ~F.col("any_contaminated") & F.col("all_survive")
+    if verified is None:
+        return out.select("any_contaminated", "all_survive", passed.alias("passed"))
+    held = verified.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("all_verified"), F.count_if(~F.col("ok")).alias("n_failed"))
+    return out.join(F.broadcast(held)).select(
+        "any_contaminated", "all_survive", "all_verified", "n_failed", (passed & F.col("all_verified")).alias("passed"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.session import task_count
+from evidentia.session import stage, task_count
 
 # The metric names a filing may report, in order of preference.
 METRICS = ["total revenue", "cost of revenue", "operating income",
@@ -123,18 +123,14 @@ def portfolio_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """((name, d, r) per month, (name, alive)): a part is alive if it shipped in the last 180 days."""
+    """((name, d, r) per month, (name, alive)): a part is alive if it shipped in the last 180 days. The lines are read once."""
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("name"), F.to_date("l_shipdate").alias("ship"),
         F.col("l_discount").cast("decimal(4,2)").alias("x"))
-    returns = li.groupBy("name", F.trunc("ship", "month").alias("d")).agg(
-        (F.sum("x").cast("double") / F.count("x") - 0.05).alias("r"))
-    last = li.agg(F.max("ship").alias("end"))
-    alive = (
-        li.groupBy("name").agg(F.max("ship").alias("last"))
-        .join(F.broadcast(last))
-        .select("name", (F.datediff("end", "last") <= 180).alias("alive"))
-    )
+    cells = stage(li.groupBy("name", F.trunc("ship", "month").alias("d")).agg(F.sum("x").alias("s"), F.count("x").alias("n"), F.max("ship").alias("last")), "cells")
+    returns = cells.select("name", "d", (F.col("s").cast("double") / F.col("n") - 0.05).alias("r"))
+    end = cells.agg(F.max("last").alias("end"))
+    alive = cells.groupBy("name").agg(F.max("last").alias("last")).join(F.broadcast(end)).select("name", (F.datediff("end", "last") <= 180).alias("alive"))
     return returns, alive
 
 
