@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["files", "risk", "research", "ledger", "filings", "lineage", "chat", "streams"]
+PARTS = ["files", "stored", "risk", "research", "ledger", "filings", "lineage", "chat", "streams"]
 
 
 def load() -> tuple[dict, dict]:
