@@ -4,6 +4,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import documents, odd_texts, words
 
 from evidentia.llm import mixing
@@ -56,3 +57,28 @@ def test_odd_rows_and_copies(spark):
 
 def test_empty_table(spark):
     assert mixing.mixed(documents(spark, [])).count() == 0 and mixing.drawn(documents(spark, [])).count() == 0
+
+
+def test_the_rank_decides(spark, monkeypatch):
+    """With the random number in place of the Pareto rank other documents are drawn; sums still come near the targets."""
+    rows = [(i, "w " * (20 if i % 3 == 0 else 300 if i % 3 == 1 else 1500), "ab"[i % 2]) for i in range(900)]
+    df = documents(spark, rows)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mixed(df).collect()}
+    monkeypatch.setattr(mixing, "pareto_rank", lambda u, odds: F.when(odds > 0, u))
+    other = {r["doc_id"]: r["taken"] for r in mixing.mixed(df).collect()}
+    assert sum(taken[i] != other[i] for i in taken) > 30
+
+
+def test_draws_follow_the_weights(spark):
+    """Expected copies of a length class are its weight times the source's level; drawn shares come near them, and none passes MOST."""
+    rows = [(i, "w " * (50 if i % 4 < 2 else 500 if i % 4 == 2 else 2000), "abc"[i % 3]) for i in range(6000)]
+    got = mixing.mixed(documents(spark, rows)).collect()
+    where = {r["mix_source"]: r for r in mixing.cuts(documents(spark, rows)).collect()}
+    source = {i: s for i, _, s in rows}
+    for s in "abc":
+        for kind, size in enumerate((50, 500, 2000)):
+            own = [r for r in got if source[r["doc_id"]] == s and r["size"] == size]
+            mean = sum(r["taken"] / r["size"] for r in own) / len(own)
+            assert abs(mean - where[s]["expected"][kind]) < 0.12 and max(r["taken"] for r in own) <= 2 * size
+        words = sum(r["taken"] for r in got if source[r["doc_id"]] == s)
+        assert abs(words - where[s]["target"]) <= 2000
