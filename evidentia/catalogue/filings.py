@@ -124,6 +124,13 @@ def recorded(spark, sf_dir):
     return Q.model_against_stubs(Q.grade(both), "recorded")
 
 
+def replies(spark, sf_dir):
+    """Recorded replies attached to their questions: each company has one, for its first question; the others are answered by nothing."""
+    s = Q.build_suite(_cells(spark, sf_dir))
+    first = s.filter(F.col("category") == "answerable").groupBy("ticker").agg(F.min("ord").alias("ord"), F.min_by("answer", "ord").alias("reply"))
+    return Q.attach_replies(s.select("ticker", "ord", "category"), first, "recorded").select("ticker", "ord", "category", "answer", "answerer")
+
+
 def call_log(spark, sf_dir):
     """Events as a call log: the type is the answerer, the value its latency."""
     e = V.table(spark, sf_dir, "events")
@@ -160,7 +167,7 @@ QUERIES = {
     "suite_documents": documents, "suite_build": suite, "suite_numbered": numbered, "suite_stats": stats,
     "suite_audit": audit, "suite_prompts": prompts, "suite_figures": figures, "suite_terms": question_terms,
     "suite_lookup": looked_up, "suite_grades": grades, "suite_scores": scores, "suite_separation": separation,
-    "suite_transcripts": transcripts, "suite_recorded": recorded,
+    "suite_transcripts": transcripts, "suite_recorded": recorded, "suite_replies": replies,
     "suite_call_log": call_log, "filings_index": filings_index, "filings_shortfall": filings_short,
     "text_numbers": number_sets, "text_sentences": document_sentences,
 }
@@ -327,3 +334,5 @@ SELECT ticker, lpad(regexp_replace(ticker, '^C0*', ''), 10, '0') AS cik, CAST(fi
     "text_sentences": r"""WITH f AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\. ', '.' || chr(1), 'g'), chr(1)) AS s FROM documents)
 SELECT doc_id, CAST(len(list_filter(s, lambda x: x <> '')) AS INT) AS n, CAST(length(array_to_string(s, '')) AS INT) AS n_chars FROM f""",
 }
+ORACLE["suite_replies"] = f"""SELECT ticker, ord, category, CASE WHEN ord = min(ord) FILTER (category = 'answerable') OVER (PARTITION BY ticker) THEN answer ELSE '' END AS answer,
+  'recorded' AS answerer FROM ({ORACLE['suite_build']})"""

@@ -131,35 +131,43 @@ def document_figures(documents: DataFrame) -> DataFrame:
     return f.select("ticker", "doc_order", "doc_id", "sent_no", "low", "f.year", F.rtrim(F.col("f.figure"), F.lit(",")).alias("figure"))
 
 
-def document_profile(documents: DataFrame) -> DataFrame:
-    """Per company: all numbers shown, the latest year mentioned, the first long run of digits and its document."""
+def company_reading(documents: DataFrame) -> DataFrame:
+    """Per company, in one row: all numbers shown, the latest year mentioned, the first long run of digits and its document, all dated figures.
+
+    A company shows two documents, which bounds the lists.
+    """
     mention = F.regexp_extract_all("text", F.lit(r"(?i)fiscal\s+([0-9]{4})"), F.lit(1))
     run = F.nullif(F.regexp_extract("text", "([0-9,]{4,})", 1), F.lit(""))
+    stated = F.transform(X.sentences(F.col("text")), lambda s, i: F.transform(X.figures_by_year(s), lambda f: F.struct(
+        F.col("doc_order").alias("doc_order"), i.alias("sent_no"), F.lower(s).alias("low"), f["year"].alias("year"),
+        F.rtrim(f["figure"], F.lit(",")).alias("v"), F.col("doc_id").alias("d"))))
     return documents.groupBy("ticker").agg(
         F.array_distinct(F.flatten(F.collect_list(X.numbers(F.col("text"))))).alias("source_numbers"),
         F.max(F.array_max(F.transform(mention, lambda y: y.cast("int")))).alias("latest"),
         F.min_by(F.when(run.isNotNull(), F.struct(run.alias("v"), F.col("doc_id").alias("d"))),
-                 F.when(run.isNotNull(), F.col("doc_order"))).alias("first_number"))
+                 F.when(run.isNotNull(), F.col("doc_order"))).alias("first_number"),
+        F.flatten(F.collect_list(F.flatten(stated))).alias("figures"))
 
 
 def lookup(suite: DataFrame, documents: DataFrame) -> DataFrame:
     """Suite rows with ``asked`` and ``blind``: the figure the documents state for the asked and for the latest year.
 
     A sentence must hold the last term; among those the one sharing most terms
-    wins, then the earlier document and sentence.
+    wins, then the earlier document, sentence and figure. A question meets all
+    figures of its company in one row, so the suite is joined once.
     """
-    q = (suite.withColumnRenamed("answer", "answer_key").withColumn("terms", X.terms(F.col("text"))).withColumn("year", X.year_of(F.col("text")))
-         .join(document_profile(documents), "ticker"))
-    figs = document_figures(documents).withColumnRenamed("year", "fig_year")
-    wanted = F.contains(F.col("low"), F.element_at("terms", -1))
-    j = q.filter(F.size("terms") > 0).select("ticker", "ord", "terms", "year", "latest").join(figs, "ticker").filter(wanted)
-    overlap = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    key = F.struct(overlap, -F.col("doc_order"), -F.col("sent_no"))
-    hit = F.struct(F.col("figure").alias("v"), F.col("doc_id").alias("d"))
-    pick = lambda c: F.max_by(F.when(c, hit), F.when(c, key))
-    best = j.groupBy("ticker", "ord").agg(
-        pick(F.col("fig_year") == F.col("year")).alias("asked"), pick(F.col("fig_year") == F.col("latest")).alias("blind"))
-    return q.join(best, ["ticker", "ord"], "left")
+    q = suite.withColumnRenamed("answer", "answer_key").withColumn("terms", X.terms(F.col("text"))).withColumn("year", X.year_of(F.col("text")))
+    j = q.join(company_reading(documents), "ticker")
+    last = F.try_element_at("terms", F.lit(-1))
+
+    def stated(year: Column) -> Column:
+        fits = F.filter("figures", lambda f: F.contains(f["low"], last) & (f["year"] == year))
+        shared = lambda f: F.size(F.filter("terms", lambda t: F.contains(f["low"], t)))
+        ranked = F.transform(fits, lambda f, i: F.struct(shared(f), -f["doc_order"], -f["sent_no"], -i, f["v"].alias("v"), f["d"].alias("d")))
+        best = F.array_max(ranked)
+        return F.when((F.size("terms") > 0) & best.isNotNull(), F.struct(best["v"].alias("v"), best["d"].alias("d")))
+
+    return j.withColumn("asked", stated(F.col("year"))).withColumn("blind", stated(F.col("latest"))).drop("figures")
 
 
 # --- answerers -------------------------------------------------------------
