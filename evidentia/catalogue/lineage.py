@@ -82,6 +82,16 @@ def arithmetic(spark, sf_dir):
     return rows.select("ticker", "m.metric", F.round("m.t.value", 4).alias("value"), F.col("m.t.op").alias("op"), F.size("m.t.spans").alias("n_spans"))
 
 
+def lifted(spark, sf_dir):
+    """A function of one's own, in Arrow batches, lifted over tracked values: their spans stay."""
+    import numpy as np
+
+    log = F.pandas_udf(lambda x: np.log10(x), "double")
+    t = K.Tracked.leaf("revenue").apply(log, "log10").column()
+    rows = _companies(spark, sf_dir).select("ticker", t.alias("t")).filter("t IS NOT NULL")
+    return rows.select("ticker", F.round("t.value", 6).alias("value"), F.col("t.op").alias("op"), F.size("t.spans").alias("n_spans"))
+
+
 def graph_stats(spark, sf_dir):
     return K.graph_stats(*_graphs(spark, sf_dir), ["ticker", "metric"])
 
@@ -164,7 +174,7 @@ def manifest_upsert(spark, sf_dir):
 QUERIES = {
     "lineage_extract": extracted, "lineage_extract_pattern": extracted_pattern, "lineage_concepts": concepts,
     "lineage_spans": spans, "lineage_metric_cards": cards, "lineage_evidence": evidence, "lineage_graph_stats": graph_stats,
-    "lineage_explain": explained, "lineage_arithmetic": arithmetic, "lineage_dot": dot, "lineage_verify": verified, "lineage_verify_changed": verified_elsewhere,
+    "lineage_explain": explained, "lineage_arithmetic": arithmetic, "lineage_lifted": lifted, "lineage_dot": dot, "lineage_verify": verified, "lineage_verify_changed": verified_elsewhere,
     "lineage_tamper": tampered, "lineage_problems": problems, "manifest_verify": manifest_verify, "manifest_refresh": manifest_refresh,
     "manifest_require": manifest_require, "manifest_upsert": manifest_upsert,
 }
@@ -251,6 +261,7 @@ FROM walk JOIN n USING (metric, node) JOIN whole USING (ticker, metric)""",
     "lineage_arithmetic": f"""WITH RECURSIVE {DOCS}, {_NODES}
 SELECT ticker, metric, round(value, 4) + 0.0 AS value, op,
   CAST((SELECT count(DISTINCT m.doc) FROM n m WHERE m.ticker = n.ticker AND m.metric = n.metric AND m.doc <> '') AS INT) AS n_spans FROM n JOIN whole USING (ticker, metric) WHERE node = 0""",
+    "lineage_lifted": f"WITH {DOCS} SELECT ticker, round(log10(revenue), 6) + 0.0 AS value, 'log10' AS op, 1 AS n_spans FROM company WHERE revenue IS NOT NULL",
     "lineage_dot": f"""WITH RECURSIVE {DOCS}, {_NODES}, {_DOT}, ids AS (SELECT *,
     substr(sha256('div|0|' || p || ',' || q || '|' || printf('%.6f', (r - k) / r)), 1, 16) AS n0, substr(sha256('sub|1|' || p || ',' || q || '|' || printf('%.6f', r - k)), 1, 16) AS n1,
     substr(sha256('extract|2|' || p || '|' || printf('%.6f', r)), 1, 16) AS n2, substr(sha256('extract|3|' || q || '|' || printf('%.6f', k)), 1, 16) AS n3 FROM g WHERE r IS NOT NULL AND k IS NOT NULL)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.catalogue.chat import _PAIRS
 from evidentia.session import shared_folder
 from evidentia.sources import readers as R
 from evidentia.sources import sinks as W
@@ -98,10 +99,26 @@ def transcripts(spark, sf_dir):
     return spark.read.parquet(path).groupBy("answerer").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-QUERIES = {"stored_ticker_map": ticker_map, "stored_series_csv": series_csv, "stored_word_list": word_list, "stored_keyword_map": keyword_map,
+def preference_pairs(spark, sf_dir):
+    """Pairs as JSON arrays, a file per tenth of the conversations; records that lack a field come back as rejected."""
+    p = V.reply_pairs(spark, sf_dir)
+    name = F.pmod(F.split("pair_id", "-")[0].cast("bigint"), F.lit(10)).alias("name")
+    listed = p.groupBy(name).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("prompt", "chosen", "rejected"))), ","), F.lit("]")).alias("body"))
+    path = folder(spark, "pairs")
+    one_file_each(listed, path)
+    whole, rejected = R.read_preference_pairs(spark, f"{path}/*")
+    chars = lambda *c: sum((F.coalesce(F.length(x), F.lit(0)) for x in c), F.lit(0))
+    return whole.select(F.lit(True).alias("ok"), chars("prompt", "chosen", "rejected").alias("n")).unionByName(
+        rejected.select(F.lit(False).alias("ok"), chars("prompt", "chosen", "rejected").alias("n"))).groupBy("ok").agg(
+        F.count(F.lit(1)).alias("pairs"), F.sum("n").cast("bigint").alias("chars"))
+
+
+QUERIES = {"stored_preference_pairs": preference_pairs, "stored_ticker_map": ticker_map, "stored_series_csv": series_csv, "stored_word_list": word_list, "stored_keyword_map": keyword_map,
            "stored_raw_files": raw_files, "stored_results": results, "stored_runs": runs, "stored_transcripts": transcripts}
 
 ORACLE = {
+    "stored_preference_pairs": f"""WITH {_PAIRS} SELECT chosen IS NOT NULL AND rejected IS NOT NULL AS ok, count(*) AS pairs,
+  CAST(sum(length(prompt) + coalesce(length(chosen), 0) + coalesce(length(rejected), 0)) AS BIGINT) AS chars FROM pairs GROUP BY 1""",
     "stored_ticker_map": "SELECT 'C' || c_custkey AS ticker, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik FROM customer",
     "stored_series_csv": """SELECT count(*) AS n, count(*) FILTER (o_orderkey % 7 > 1) AS prices, CAST(sum(o_orderkey) AS DOUBLE) AS keys,
   round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderkey % 7 > 1) AS DOUBLE), 2) AS total FROM orders""",
