@@ -144,15 +144,20 @@ def copies(docs: DataFrame, **settings) -> DataFrame:
     where = where.select(*[F.col(c).alias(n) for c, n in names.items()])
     seed = settings.get("seed", SEED)
     of = {c: F.col(n) for c, n in names.items()}
-    u = chance(F.col("doc_id"), seed)
-    expected = F.get(of["expected"], length_class(size_of(F.col("text"))))
-    certain = F.floor(expected).cast("int")
-    rank = pareto_rank(u, expected - F.floor(expected))
-    bucket = rank_bucket(rank)
-    before = of["last"].isNull() | (bucket < of["last"])
-    on_edge = (bucket == of["last"]) & F.coalesce(F.struct(rank.alias("rank"), F.col("doc_id")) <= of["edge"], F.lit(False))
-    taken = F.when(rank.isNotNull(), (before | on_edge).cast("int")).otherwise(0)
-    mix = F.struct(of["source_size"].alias("source_size"), of["target"].alias("target"), (certain + taken).alias("copies"))
+
+    def mix_of(own: Column) -> Column:
+        """The mix of a document from its size and random number."""
+        expected = F.get(of["expected"], length_class(own["size"]))
+        rank = pareto_rank(own["u"], expected - F.floor(expected))
+        bucket = rank_bucket(rank)
+        before = of["last"].isNull() | (bucket < of["last"])
+        on_edge = (bucket == of["last"]) & F.coalesce(F.struct(rank.alias("rank"), own["doc_id"].alias("doc_id")) <= of["edge"], F.lit(False))
+        taken = F.when(rank.isNotNull(), (before | on_edge).cast("int")).otherwise(0)
+        return F.struct(of["source_size"].alias("source_size"), of["target"].alias("target"), (F.floor(expected).cast("int") + taken).alias("copies"))
+
+    # as one list entry, so that a text is counted once however often the result is used
+    own = F.struct(size_of(F.col("text")).alias("size"), chance(F.col("doc_id"), seed).alias("u"), F.col("doc_id").alias("doc_id"))
+    mix = F.transform(F.array(own), mix_of)[0]
     name = f"mix_{'_'.join(docs.columns)}" if "mix" in docs.columns else "mix"
     joined = docs.join(where, F.col("source").eqNullSafe(of["mix_source"]))
     return joined.select(*[docs[c] for c in docs.columns], mix.alias(name))
