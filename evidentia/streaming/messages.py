@@ -17,9 +17,13 @@ from evidentia.session import shared_folder
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, ts: str | None = None) -> DataFrame:
-    """A table file followed as a stream; timestamps get the session's zone so that watermarks accept them."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table, one file or a folder of files, followed as a stream; timestamps get the session's zone so that watermarks accept them."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    # A stream follows folders: that of a table's files, or for a table of one file the folder it lies in.
+    alone = all(f.split("/")[-2:] == path.split("/")[-2:] for f in table.inputFiles())
+    s = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if alone else reader.parquet(path)
     return s.withColumn(ts, F.col(ts).cast("timestamp")) if ts else s
 
 

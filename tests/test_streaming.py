@@ -1,4 +1,5 @@
 import datetime
+import os
 
 from pyspark.sql import functions as F
 
@@ -13,6 +14,20 @@ def stream_of(spark, tmp_path, df):
     return spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
 
 
+def test_tables_of_one_file_and_of_several_are_followed(spark, tmp_path):
+    """A stream over a folder of part files once saw none of them."""
+    from evidentia.catalogue import streams as Q
+
+    c = spark.createDataFrame([(k, t, "assistant" if t % 2 else "user", f"word {k} {t}") for k in range(6) for t in range(8)], "conv_id long, turn long, role string, text string")
+    c.coalesce(1).write.parquet(str(tmp_path / "one"))
+    os.makedirs(tmp_path / "file")
+    os.rename(next((tmp_path / "one").glob("part-*")), tmp_path / "file" / "conversations.parquet")
+    c.repartition(3).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    for query in (Q.route_live, Q.state_live, Q.resets_live):
+        rows = [sorted(query(spark, str(tmp_path / at)).collect()) for at in ("file", "folder")]
+        assert rows[0] == rows[1] and rows[0]
+
+
 def at(*minutes):
     return [T0 + datetime.timedelta(minutes=m) for m in minutes]
 
