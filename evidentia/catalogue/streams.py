@@ -36,9 +36,10 @@ def sessions(spark, sf_dir):
 
 
 def sessions_live(spark, sf_dir):
-    """Sessions that the watermark has closed: each leaves once, and its state with it."""
+    """All sessions: those that the watermark has closed leave once, and their state with them; those still open follow from the state."""
     e = S.read_stream(spark, sf_dir, "events", "ts")
-    return _ntz(S.run_available(S.sessions(e, "user_id", "ts", "2 hours", "10 minutes"), "sessions"), "start", "end")
+    live = S.sessions(e, "user_id", "ts", "2 hours", "10 minutes")
+    return _ntz(S.run_available(live, "sessions", held=lambda state: S.open_sessions(state, "user_id")), "start", "end")
 
 
 def rate(spark, sf_dir):
@@ -102,7 +103,7 @@ ORACLE = {
     "stream_dedup": """SELECT event_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events)
 WHERE gap IS NULL OR gap > INTERVAL 6 HOUR""",
     "stream_late": "SELECT event_id FROM events WHERE value <= 60",
-    "stream_sessions": _SESSIONS, "stream_sessions_live": f"SELECT * FROM ({_SESSIONS}) WHERE \"end\" <= {_CLOSED}",
+    "stream_sessions": _SESSIONS, "stream_sessions_live": _SESSIONS,
     "stream_rate_audit": _RATE, "stream_rate_audit_live": f"SELECT * FROM ({_RATE}) WHERE start + INTERVAL 10 MINUTE <= {_CLOSED}",
     "stream_dedup_live": """SELECT event_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events)
 WHERE gap IS NULL OR gap > INTERVAL 6 HOUR""",

@@ -6,7 +6,7 @@ different plan, a batch twin over the same columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -27,8 +27,12 @@ def read_stream(spark: SparkSession, folder: str, name: str, ts: str | None = No
     return s.withColumn(ts, F.col(ts).cast("timestamp")) if ts else s
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is there, into files of the shared folder, and read those back."""
+def run_available(stream: DataFrame, name: str, mode: str = "append", held: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Process what is there, into files of the shared folder, and read those back.
+
+    With ``held``, rows that the stream still keeps follow, read by that function
+    from its state store (key, value, partition_id).
+    """
     import uuid
 
     spark = stream.sparkSession
@@ -41,7 +45,8 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     query = (stream.writeStream.outputMode(mode).foreachBatch(put)
              .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
+    out = spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
+    return out.unionByName(held(spark.read.format("statestore").load(f"{base}/checkpoint"))) if held else out
 
 
 # --- duplicates and late rows ---------------------------------------------
@@ -137,6 +142,12 @@ def sessions(messages: DataFrame, key: str, ts: str = "create_time", gap: str =
     return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def open_sessions(state: DataFrame, key: str) -> DataFrame:
+    """(key, start, end, n) of the sessions in the state of ``sessions`` over a stream: those that its watermark has not closed."""
+    w = F.col("value.session_window")
+    return state.select(F.col("key")[key].alias(key), w["start"].alias("start"), w["end"].alias("end"), F.col("value.count").alias("n"))
+
+
 def rate_audit(messages: DataFrame, key: list[str], capacity: int, ts: str = "create_time", width: str = "1 minute",
                delay: str | None = None) -> DataFrame:
     """Tumbling windows in which a key made more requests than its capacity."""

@@ -50,6 +50,15 @@ def test_live_sessions_equal_the_batch(spark, tmp_path):
     assert sorted(live.collect()) == sorted(S.sessions(df, "user").collect()) and live.count() == 4
 
 
+def test_live_sessions_hold_the_open_ones_too(spark, tmp_path):
+    from evidentia.catalogue import streams as Q
+
+    e = spark.createDataFrame([(u, t) for u in (1, 2, None) for t in at(0, 10, 300, 700)] + [(3, at(695)[0]), (4, None)], "user_id long, ts timestamp_ntz")
+    e.repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    rows = sorted(map(tuple, Q.sessions_live(spark, str(tmp_path)).collect()), key=str)
+    assert rows == sorted(map(tuple, Q.sessions(spark, str(tmp_path)).collect()), key=str) and len(rows) == 10
+
+
 def test_late_rows(spark):
     df = spark.createDataFrame([(t,) for t in at(0, 9, 9.5)], "create_time timestamp")
     assert S.drop_late(df, F.lit(at(10)[0])).count() == 2
