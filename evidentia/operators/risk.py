@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import measures as M
 from evidentia.functions import paths as A
 from evidentia.functions.normal import bernoulli_ll, chi2_sf
-from evidentia.session import stage, task_count
+from evidentia.session import path_batches, stage, task_count
 
 DEFAULT_ALPHA = 0.95
 #: Portfolios whose sums a task holds at once, positions of one portfolio added in one task, assets in one tile of a covariance matrix.
@@ -140,6 +140,7 @@ def weighted_sums(rows: DataFrame) -> DataFrame:
         if held:
             yield sent(list(held.items()))
 
+    path_batches(rows.sparkSession)
     ordered = rows.select("portfolio_id", F.col("weight").cast("double").alias("weight"), "days", F.col("path").cast("array<double>").alias("path"))
     kind = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
     return ordered.mapInArrow(run, f"portfolio_id {kind['portfolio_id']}, days {kind['days']}, path array<double>")
@@ -175,6 +176,7 @@ FIGURES = {"n": "long", "mean": "double", "sd": "double", "skew": "double", "kur
 
 def path_figures(series: DataFrame, share: float, run: int) -> DataFrame:
     """portfolio_id and the FIGURES of each path, which never leaves its row."""
+    path_batches(series.sparkSession)
     own = as_paths(series).select("portfolio_id", "path")
     kinds = {"long": pa.int64(), "double": pa.float64()}
 

@@ -65,3 +65,10 @@ def task_count(df: DataFrame) -> int:
     """
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+
+def path_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Send at most ``rows`` rows at a time to Python workers, for rows that hold whole series, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

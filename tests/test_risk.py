@@ -216,3 +216,16 @@ def test_no_rows_per_position_and_day(spark):
     plan = R.portfolio_paths(pos, p)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("MapInArrow") == 2
     assert "Window" not in R.rolling_var(series(spark, [0.1] * 300))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_paths_go_to_python_a_few_at_a_time(spark):
+    """Batches of 10,000 paths once filled the workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    rows = spark.range(3).select(F.col("id").alias("portfolio_id"), F.array(*[F.lit(x) for x in (0.1, -0.2, 0.3)]).alias("path"))
+    try:
+        for asked, got in (("10000", 256), ("0", 256), ("7", 7)):
+            spark.conf.set(key, asked)
+            assert R.value_at_risk(rows).count() == 3 and int(spark.conf.get(key)) == got
+    finally:
+        spark.conf.set(key, before)
