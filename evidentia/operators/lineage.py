@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import sha16
+from evidentia.session import stage
 
 #: Characters in a block of a source's text.
 BLOCK = 4096
@@ -135,9 +136,28 @@ def derivation_graph(df: DataFrame, key: list[str], root: Tracked) -> tuple[Data
 
 
 def derivation_graphs(df: DataFrame, key: list[str], derived: dict[str, Tracked], name: str = "metric") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, roots) of several derived values per key, told apart by ``name``; each table reads the rows once."""
-    parts = [derivation_graph(df.withColumn(name, F.lit(n)), [*key, name], root) for n, root in derived.items()]
-    return tuple(reduce(DataFrame.unionByName, (p[i] for p in parts)) for i in range(3))
+    """(nodes, edges, roots) of several derived values per key, told apart by ``name``.
+
+    The rows are read once and every node is made once: derivations are staged
+    as one row each, and so are their edges, which a walk reads once per step.
+    """
+    made, uses = [], F.lit(None).cast("array<struct<src:string,dst:string,pos:int,number:int>>")
+    for n, root in derived.items():
+        members = root.walk()
+        place = {id(m): i for i, m in enumerate(members)}
+        nodes = F.array(*[F.struct(
+            m.node_id(i).alias("node_id"), F.lit(i).alias("number"), F.lit(m.op).alias("op"), m.value.cast("double").alias("value"), m.note.alias("note"),
+            m.spans.alias("spans")) for i, m in enumerate(members)])
+        made.append(F.when(root.value.isNotNull(), F.struct(F.lit(n).alias(name), nodes.alias("nodes"))))
+        at = lambda i: F.get("nodes", F.lit(i))["node_id"]
+        own = [F.struct(at(place[id(i)]).alias("src"), at(m).alias("dst"), F.lit(k).alias("pos"), F.lit(m).alias("number"))
+               for m, x in enumerate(members) for k, i in enumerate(x.inputs)]
+        uses = F.when(F.col(name) == n, F.array(*own)).otherwise(uses) if own else uses
+    graphs = df.select(*key, F.explode(F.array_compact(F.array(*made))).alias("g")).select(*key, f"g.{name}", "g.nodes")
+    graphs = stage(graphs, "derivations")
+    nodes = graphs.select(*key, name, F.explode("nodes").alias("n")).select(*key, name, "n.*")
+    edges = stage(graphs.select(*key, name, F.explode(uses).alias("e")).select(*key, name, "e.*"), "uses")
+    return nodes, edges, graphs.select(*key, name, F.get("nodes", F.lit(0))["node_id"].alias("node_id"))
 
 
 def explain(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str], max_depth: int = 6) -> DataFrame:
@@ -184,18 +204,26 @@ def longest_path(root: Column, uses: Column) -> Column:
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str]) -> DataFrame:
-    """Nodes, edges, depth (longest path), leaves and operations per derivation, in one plan.
+    """Nodes, edges, depth (longest path), leaves and operations per derivation.
 
-    A derivation's uses are one row: it has as many as its expression has operands.
+    A derivation's nodes and uses are one row: it has as many as its expression has
+    operands. Derivations whose uses are equal once nodes are numbered have one
+    shape, and the depth is worked out once per shape.
     """
-    uses = edges.groupBy(*key).agg(F.collect_list(F.struct("src", "dst")).alias("_uses"))
-    inner = edges.select(*key, F.col("dst").alias("node_id")).distinct().withColumn("_inner", F.lit(1))
-    n = nodes.join(inner, [*key, "node_id"], "left").groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_nodes"), F.sum(F.col("_inner").isNull().cast("long")).alias("n_leaves"),
-        F.array_join(F.array_sort(F.collect_set("op")), ",").alias("ops"))
+    order = [c for c in ("number", "pos") if c in edges.columns]
+    uses = edges.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, "src", "dst"))).alias("_uses"))
+    n = nodes.groupBy(*key).agg(F.collect_list("node_id").alias("_ids"), F.array_join(F.array_sort(F.collect_set("op")), ",").alias("ops"))
     own = n.join(roots.select(*key, F.col("node_id").alias("_root")), key).join(uses, key, "left")
-    own = own.withColumn("_uses", F.coalesce("_uses", F.array().cast("array<struct<src:string,dst:string>>")))
-    return own.select(*key, "n_nodes", F.size("_uses").cast("long").alias("n_edges"), longest_path(F.col("_root"), F.col("_uses")).alias("depth"), "n_leaves", "ops")
+    src, dst = (F.coalesce(F.col("_uses")[c], F.array().cast("array<string>")) for c in ("src", "dst"))
+    own = own.select(*key, "_ids", "ops", dst.alias("_dst"), F.arrays_zip(src.alias("src"), dst.alias("dst")).alias("_uses"),
+                     F.array_distinct(F.concat(F.array("_root"), src, dst)).alias("_names"))
+    number = lambda x: F.array_position("_names", x).cast("int")
+    counted = stage(own.select(
+        *key, F.size("_ids").cast("long").alias("n_nodes"), F.size("_uses").cast("long").alias("n_edges"),
+        F.transform("_uses", lambda u: F.struct(number(u["src"]).alias("src"), number(u["dst"]).alias("dst"))).alias("_shape"),
+        F.size(F.filter("_ids", lambda x: ~F.array_contains("_dst", x))).cast("long").alias("n_leaves"), "ops"), "shapes")
+    shapes = counted.select("_shape").distinct().withColumn("depth", longest_path(F.lit(1), F.col("_shape")))
+    return counted.join(shapes, "_shape").select(*key, "n_nodes", "n_edges", "depth", "n_leaves", "ops")
 
 
 def to_dot(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:

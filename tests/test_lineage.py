@@ -190,3 +190,20 @@ def test_no_whole_text_is_sent(spark, row):
     for line in plan.splitlines():
         if "Join" in line:
             assert "text#" not in line
+
+
+def test_several_derivations_read_the_rows_once(spark):
+    """Each value's nodes and edges are those of its own derivation; one scan, whatever the number of values."""
+    span = "array<struct<doc_id:string,start:int,end:int,doc_sha:string>>"
+    row = spark.createDataFrame([("A", (4.0, [("d", 0, 1, "s")], "extract", "n"), (1.0, [("e", 2, 3, "t")], "extract", "")), ("B", (4.0, [("d", 0, 1, "s")], "extract", "n"), None)],
+                                f"ticker string, a struct<value:double,spans:{span},op:string,note:string>, b struct<value:double,spans:{span},op:string,note:string>")
+    a, b = K.Tracked.leaf("a"), K.Tracked.leaf("b")
+    derived = {"a": a, "gap": a - b, "share": (a - b) / a, "twice": a + a}
+    many = K.derivation_graphs(row, ["ticker"], derived)
+    for i, got in enumerate(many):
+        want = [(r["ticker"], n, *r[1:]) for n, root in derived.items() for r in K.derivation_graph(row, ["ticker"], root)[i].collect()]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and want
+        assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    stats = {(r.ticker, r.metric): (r.n_nodes, r.n_edges, r.depth, r.n_leaves, r.ops) for r in K.graph_stats(*many, ["ticker", "metric"]).collect()}
+    assert stats == {("A", "a"): (1, 0, 0, 1, "extract"), ("B", "a"): (1, 0, 0, 1, "extract"), ("A", "gap"): (3, 2, 1, 2, "extract,sub"),
+                     ("A", "share"): (4, 4, 2, 2, "div,extract,sub"), ("A", "twice"): (2, 2, 1, 1, "add,extract"), ("B", "twice"): (2, 2, 1, 1, "add,extract")}
