@@ -19,7 +19,8 @@ FEW, BRANCHES, GATHERED = 64, 4, 1024
 
 
 def letter(c: str) -> str:
-    return f"\\x{{{ord(c):x}}}"
+    """A letter as the pattern spells it, in one character where it can be: a plan holds the pattern as often as it is printed or sent."""
+    return c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}"
 
 
 @lru_cache(maxsize=64)

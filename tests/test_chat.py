@@ -204,3 +204,12 @@ def test_inserted_citations_are_stable_and_skip_headings(spark):
     a, b = (R.insert_citations(d, "k").first().cited_text for _ in range(2))
     assert a == b and a.startswith("# Head") and "(c1)" in a
     assert a.replace(" (c1)", "").replace(" (c2)", "").replace(" ", "") == "#Head.One.Two!Three?Four."
+
+
+def test_long_word_lists_stay_short_as_patterns():
+    """The pattern stands in the plan, so the driver holds it several times."""
+    from evidentia.operators.words import word_pattern
+
+    words = ["".join(chr(97 + (i * k + 7 * k) % 26) for k in (1, 3, 5, 7, 11, 17)) + str(i) for i in range(10000)]
+    assert len(word_pattern(tuple(words))) < 3 * sum(map(len, words))
+    assert word_pattern(("a.b", "é")) == r"(?:a\x{2e}b|\x{e9})"
