@@ -1,12 +1,13 @@
 """A ledger kept as pages, read as a table: one task per page, date limits applied to the list of pages and inside them.
 
-A folder holds ``pages`` (JSON lines, one nested entry each, newest first over all
+A folder holds ``pages`` (JSON lines, gzipped by ``write_ledger``, one nested entry each, newest first over all
 pages) and ``index`` (file, first and last date, number of entries of each page).
 """
 
 from __future__ import annotations
 
 import datetime
+import gzip
 import json
 from collections.abc import Iterator
 from decimal import Decimal
@@ -100,7 +101,8 @@ class PageReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES.types)], schema=TYPES)
 
         with opened(partition.file) as lines:
-            for line in lines.read().splitlines():
+            body = lines.read()
+            for line in (gzip.decompress(body) if partition.file.endswith(".gz") else body).splitlines():
                 row = flat(json.loads(line))
                 if not self.dated or row[1] is not None and self.low <= row[1] <= self.high:
                     rows.append(row)
@@ -134,17 +136,19 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def write_ledger(entries: DataFrame, path: str, page: int = PAGE) -> None:
     """Entries (entry_id, date, description, payment, deposit, account) as pages of about ``page``, newest first, and their index."""
     text = lambda c: F.when(F.col(c) != "", F.col(c))
-    nested = entries.select("date", F.struct(
+    nested = F.struct(
         F.col("entry_id").cast("string").alias("id"), F.struct(
             F.struct(F.when(F.col("date").isNotNull(), F.struct(F.col("date").cast("string").alias("start"))).alias("date")).alias("Date"),
             F.struct(F.when(text("description").isNotNull(), F.array(F.struct(F.col("description").alias("plain_text")))).otherwise(
                 F.array().cast("array<struct<plain_text:string>>")).alias("title")).alias("Description"),
             F.struct(F.col("payment").cast("string").alias("number")).alias("Payment"), F.struct(F.col("deposit").cast("string").alias("number")).alias("Deposit"),
-            F.struct(F.when(text("account").isNotNull(), F.struct(F.col("account").alias("name"))).alias("select")).alias("Account")).alias("properties")).alias("e"))
-    nested = stage(nested, "entries")
-    pages = max(1, -(-nested.count() // page))
-    order = [F.desc_nulls_last("date"), F.xxhash64("e.id")]
-    nested.repartitionByRange(pages, *order).sortWithinPartitions(*order).select(F.to_json("e").alias("value")).write.text(f"{path}/pages")
+            F.struct(F.when(text("account").isNotNull(), F.struct(F.col("account").alias("name"))).alias("select")).alias("Account")).alias("properties"))
+    # Plain columns are staged and shuffled; an entry gets its nested form in the page, whose names repeat and so pack well.
+    plain = stage(entries.select("entry_id", "date", "description", "payment", "deposit", "account"), "entries")
+    pages = max(1, -(-plain.count() // page))
+    order = [F.desc_nulls_last("date"), F.xxhash64(F.col("entry_id").cast("string"))]
+    plain.repartitionByRange(pages, *order).sortWithinPartitions(*order).select(F.to_json(nested).alias("value")).write.option(
+        "compression", "gzip").text(f"{path}/pages")
     spark = entries.sparkSession
     dates = spark.read.text(f"{path}/pages").select(
         F.input_file_name().alias("file"), F.get_json_object("value", "$.properties.Date.date.start").alias("day"))

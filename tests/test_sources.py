@@ -198,3 +198,13 @@ def test_manifest_versions_switch_whole(spark, tmp_path):
     assert sorted(tuple(r) for r in S.current_manifest(spark, path).collect()) == [("a", "1"), ("b", "2"), ("c", "2")]
     S.switch_manifest(rows(("a", "3")), path, 2)
     assert sorted(tuple(r) for r in S.current_manifest(spark, path).collect()) == [("a", "3"), ("b", "2"), ("c", "2")]
+
+
+def test_pages_take_less_room_than_their_text(spark, tmp_path):
+    """Every entry names all its fields again, which plain text would write out."""
+    e = spark.range(2000).selectExpr("id AS entry_id", "date_add(date '2024-01-01', cast(id % 300 AS int)) AS date", "concat('thing ', id) AS description",
+                                     "cast(id AS decimal(18,2)) AS payment", "cast(0 AS decimal(18,2)) AS deposit", "'bank' AS account")
+    LP.write_ledger(e, str(tmp_path / "ledger"), page=500)
+    text = sum(len(r.value) for r in spark.read.text(str(tmp_path / "ledger" / "pages")).collect())
+    assert sum(f.stat().st_size for f in (tmp_path / "ledger" / "pages").glob("part-*")) < 0.3 * text
+    assert sorted(map(tuple, LP.read_ledger(spark, str(tmp_path / "ledger")).selectExpr("cast(entry_id AS long) AS entry_id", "date", "description", "payment", "deposit", "account").collect())) == sorted(map(tuple, e.collect()))
