@@ -218,10 +218,10 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[
     own = own.select(*key, "_ids", "ops", dst.alias("_dst"), F.arrays_zip(src.alias("src"), dst.alias("dst")).alias("_uses"),
                      F.array_distinct(F.concat(F.array("_root"), src, dst)).alias("_names"))
     number = lambda x: F.array_position("_names", x).cast("int")
-    counted = stage(own.select(
+    counted = own.select(
         *key, F.size("_ids").cast("long").alias("n_nodes"), F.size("_uses").cast("long").alias("n_edges"),
         F.transform("_uses", lambda u: F.struct(number(u["src"]).alias("src"), number(u["dst"]).alias("dst"))).alias("_shape"),
-        F.size(F.filter("_ids", lambda x: ~F.array_contains("_dst", x))).cast("long").alias("n_leaves"), "ops"), "shapes")
+        F.size(F.filter("_ids", lambda x: ~F.array_contains("_dst", x))).cast("long").alias("n_leaves"), "ops")
     shapes = counted.select("_shape").distinct().withColumn("depth", longest_path(F.lit(1), F.col("_shape")))
     return counted.join(shapes, "_shape").select(*key, "n_nodes", "n_edges", "depth", "n_leaves", "ops")
 
