@@ -3,29 +3,30 @@
 A text is a sequence of words closed by an end. Words that make up at least
 ``SYMBOL`` of all training tokens are symbols of the tree, at most 1 / SYMBOL of
 them; the other words, new ones included, share one symbol, in which a word has
-its discounted share and new words together have the mass of the discounts. A
-context of up to ``DEPTH`` symbols is a candidate if it, too, makes up SYMBOL of all
-tokens, and is kept where its next-symbol distribution diverges from that of its
-suffix by more than its own cost. Distributions are smoothed into the suffix's,
-and each symbol is scored in the state of the longest kept suffix before it.
-
-Counts cover all training documents; shares, not numbers, bound what the driver
-and the tasks hold. Each depth is counted in a pass over the coded texts, whose
-candidates the edges of the depth before name. Words frequent enough to be held
-by every task are at most 1 / FREQUENT; occurrences of others meet their word in a
-join, in which none is hot for just that reason.
+its discounted share and new words together have the mass of the discounts. Every
+context of up to ``DEPTH`` symbols is a candidate, and is kept where its next-symbol
+distribution diverges from that of its suffix by more than its own cost.
+Distributions are smoothed into the suffix's, and each symbol is scored in the
+state of the longest kept suffix before it.
+
+Counts cover all training documents and all contexts, seen once or often. The tree
+is a table per depth that grows with the texts; each occurrence meets its
+probability in a join. Words frequent enough to be held by every task are at most
+1 / FREQUENT; occurrences of others meet their word in a join, in which none is hot
+for just that reason.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -33,11 +34,11 @@ from .common import POLY, in_fold, mixed, raw_texts, small_batches
 
 FOLDS, HELD_OUT = 5, 1
 DEPTH, SEED = 3, 42
-#: Least share of all tokens of a symbol and of a context; of an edge; of a word that every task holds. Least count of an edge.
-SYMBOL, EDGE_SHARE, FREQUENT, EDGE_LEAST = 1e-4, 5e-7, 5e-7, 2
+#: Least share of all tokens of a symbol; of a word that every task holds.
+SYMBOL, FREQUENT = 1e-4, 5e-7
 DISCOUNT = 0.75
 START, END, RARE, FIRST = 0, 1, 2, 3
-CONTEXT = -1
+BITS = 16
 COUNTER_KEYS, SYMBOLS_AT_ONCE = 400_000, 2_000_000
 
 
@@ -109,46 +110,133 @@ def longer(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return context * POLY + mixed(symbol.astype(np.uint64) + POLY)
 
 
-def level_counts(coded: DataFrame, k: int, candidates: np.ndarray) -> DataFrame:
-    """k, context, oldest, symbol, n of the candidate contexts of one depth; symbol CONTEXT counts the context itself."""
+def packed(coded: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol after a start: the up to ``depth`` symbols before it and itself as one long, 16 bits each, and its text.
+
+    Places before the start are 0 like the start itself, which nothing precedes.
+    """
+    p = Positions(coded, 0)
+    key = p.symbol.astype(np.uint64)
+    for k in range(1, depth + 1):
+        real = p.back >= k
+        key[real] |= p.code[p.at[real] - k].astype(np.uint64) << np.uint64(BITS * k)
+    return key.view(np.int64), p.text
+
+
+def chunks_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """ids, row and held_out of texts of about SYMBOLS_AT_ONCE symbols."""
+    held, row, out, size = [], [], [], 0
+    for batch in batches:
+        held += (ids := batch.column("ids").to_pylist())
+        row += batch.column("row").to_pylist()
+        out += batch.column("held_out").to_pylist()
+        size += sum(map(len, ids)) // 2
+        if size >= SYMBOLS_AT_ONCE:
+            yield held, np.array(row, np.int64), np.array(out, bool)
+            held, row, out, size = [], [], [], 0
+    if held:
+        yield held, np.array(row, np.int64), np.array(out, bool)
+
+
+def gram_counts(coded: DataFrame, depth: int) -> DataFrame:
+    """key and n: every context with its symbol that any text holds, and how often training texts do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-            p = Positions(texts, k)
-            _, here, context, oldest = list(p.contexts())[k]
-            if k:
-                real = np.isin(context, candidates)
-                here, context, oldest = here[real], context[real], oldest[real]
-            for symbol in (p.symbol[here], np.full(len(here), CONTEXT)):
-                key = mixed(context + symbol.astype(np.uint64) * POLY)
-                _, one, n = np.unique(key, return_index=True, return_counts=True)
-                cols = [np.full(len(n), k), context[one].view(np.int64), oldest[one], symbol[one], n]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))],
-                                                 names=["k", "context", "oldest", "symbol", "n"])
-
-        held, size = [], 0
-        for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                held.append(ids)
-                size += len(ids) // 2
-            if size >= SYMBOLS_AT_ONCE:
-                yield from told(held)
-                held, size = [], 0
-        if held:
-            yield from told(held)
+        for ids, _, held_out in chunks_of_texts(batches):
+            key, text = packed(ids, depth)
+            kinds, at = np.unique(key, return_inverse=True)
+            n = np.bincount(at, ~held_out[text], len(kinds)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], names=["key", "n"])
+
+    return coded.select("ids", "row", "held_out").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def grams(coded: DataFrame, depth: int) -> DataFrame:
+    """row, key, times: how often each text holds a context with its symbol."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, row, _ in chunks_of_texts(batches):
+            key, text = packed(ids, depth)
+            order = np.lexsort((key, text))
+            key, text = key[order], text[order]
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])]) if len(key) else np.empty(0, np.int64)
+            times = np.diff(np.r_[first, len(key)])
+            yield pa.RecordBatch.from_arrays([pa.array(row[text[first]]), pa.array(key[first]), pa.array(times.astype(np.int64))], names=["row", "key", "times"])
+
+    return coded.select("ids", "row", "held_out").mapInArrow(run, "row long, key long, times long")
+
+
+def low(key: Column, symbols: int) -> Column:
+    """The last ``symbols`` symbols of a key."""
+    return key.bitwiseAND(F.lit((1 << BITS * symbols) - 1))
 
-    parts = coded.select("ids").mapInArrow(run, "k int, context long, oldest int, symbol int, n long")
-    return parts.groupBy("k", "context", "oldest", "symbol").agg(F.sum("n").alias("n"))
+
+def smoothed(k: int, counts: DataFrame, above: DataFrame | None, alphabet: int) -> DataFrame:
+    """key, n, keep, rest, p of one depth: whether the context is kept, what it leaves to its suffix, and the symbol's probability after it.
+
+    ``above`` is the depth before. A context has at most as many rows as the
+    alphabet has symbols, so no window is larger.
+    """
+    e = counts.withColumn("below", F.lit(1.0 / alphabet))
+    if k:
+        e = counts.withColumn("low", low(F.col("key"), k)).join(above.select(F.col("key").alias("low"), F.col("p").alias("below")), "low")
+    seen = F.col("n") > 0
+    w = Window.partitionBy(F.shiftright("key", BITS))
+    gain = F.when(seen, F.col("n") * F.log(F.col("n") / F.col("below"))).otherwise(0.0)
+    e = e.select("key", "n", "below", F.sum("n").over(w).alias("total"), F.sum(seen.cast("long")).over(w).alias("size"), F.sum(gain).over(w).alias("gain"))
+    keep = F.col("total") > 0
+    if k:
+        keep = keep & (F.col("gain") - F.col("total") * F.log("total") > 0.5 * F.col("size") * F.log(F.col("total") + 1.0))
+    if k > 1:  # behind the start there is no longer context
+        keep = keep & (F.shiftrightunsigned("key", BITS * (k - 1)) != 0)
+    keep = F.coalesce(keep, F.lit(False))
+    rest = F.when(keep, DISCOUNT * F.col("size") / F.col("total")).otherwise(1.0)
+    own = F.when(keep & seen, (F.col("n") - DISCOUNT) / F.col("total")).otherwise(0.0)
+    return e.select("key", "n", keep.alias("keep"), rest.alias("rest"), (own + rest * F.col("below")).alias("p"))
 
 
 class Tree:
-    """Kept contexts as states with their edges, in sorted arrays. State 0 is the empty context."""
+    """The tree as a table per depth. ``p`` of the last depth is the probability of a symbol in the state of the longest kept suffix.
 
-    def __init__(self, alphabet: int, depth: int = DEPTH):
-        self.alphabet, self.depth = alphabet, depth
-        self.back_off, self.up = np.array([1.0]), np.array([0])
-        self.edges, self.p = np.empty(0, np.uint64), np.empty(0)  # by hash of state and symbol
-        self.known: list[tuple[np.ndarray, np.ndarray]] = []  # by depth: hashes of kept contexts, their states
+    The look-ups below hold the whole tree as sorted arrays, for small trees;
+    scoring joins the tables. State 0 is the empty context.
+    """
+
+    def __init__(self, levels: list[DataFrame], alphabet: int):
+        self.levels, self.alphabet = levels, alphabet
+
+    @cached_property
+    def held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Back-off and suffix by state, edges by hash of state and symbol with their probabilities, and by depth the hashes of kept contexts and their states."""
+        places, back_off, up, edges, p, known = {(): 0}, [1.0], [0], [np.empty(0, np.uint64)], [np.empty(0)], []
+        for k, level in enumerate(self.levels):
+            rows = level.filter("keep AND n > 0").toPandas()
+            key = rows["key"].to_numpy(np.int64)
+            own = []
+            for c, rest in dict(zip((key >> BITS).tolist(), rows["rest"])).items():
+                own.append(name := tuple(c >> BITS * i & (1 << BITS) - 1 for i in reversed(range(k))))
+                if not k:
+                    back_off[0] = rest
+                    continue
+                places[name] = len(back_off)
+                back_off.append(rest)
+                up.append(next(places[name[i:]] for i in range(1, k + 1) if name[i:] in places))
+            state = np.array([places[tuple(c >> BITS * i & (1 << BITS) - 1 for i in reversed(range(k)))] for c in (key >> BITS).tolist()], np.int64)
+            edges.append(self.key(state, key & (1 << BITS) - 1))
+            p.append(rows["p"].to_numpy(float))
+            hashes = np.zeros(len(own), np.uint64)
+            for i in range(k):
+                hashes = longer(hashes, np.array([name[i] for name in own], np.uint64))
+            order = np.argsort(hashes)
+            known.append((hashes[order], np.array([places[name] for name in own], np.int64)[order]))
+        order = np.argsort(all_edges := np.concatenate(edges))
+        return np.array(back_off), np.array(up), all_edges[order], np.concatenate(p)[order], known
+
+    back_off = property(lambda self: self.held[0])
+    up = property(lambda self: self.held[1])
+    edges = property(lambda self: self.held[2])
+    p = property(lambda self: self.held[3])
+    known = property(lambda self: self.held[4])
 
     @staticmethod
     def key(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -180,49 +268,6 @@ class Tree:
         p[left] = factor[left] / self.alphabet
         return p
 
-    def grow(self, k: int, rows: pd.DataFrame) -> None:
-        """Keep the contexts of depth ``k`` whose distribution diverges from their suffix's."""
-        own = rows[rows["symbol"] == CONTEXT]
-        context = own["context"].to_numpy().view(np.uint64)
-        order = np.argsort(context)
-        context, total, oldest = context[order], own["n"].to_numpy()[order], own["oldest"].to_numpy()[order]
-        up = np.zeros(len(context), np.int64)
-        if k:
-            near = parent(context, oldest, k)
-            up = self.suffix(k - 1, near, self.ancestry)
-        edge = rows[rows["symbol"] != CONTEXT]
-        at = np.searchsorted(context, edge["context"].to_numpy().view(np.uint64))
-        at_safe = np.minimum(at, max(0, len(context) - 1))
-        real = (at < len(context)) & (context[at_safe] == edge["context"].to_numpy().view(np.uint64)) if len(context) else np.zeros(len(edge), bool)
-        at, n, symbol = at_safe[real], edge["n"].to_numpy()[real], edge["symbol"].to_numpy()[real]
-        share = (n - DISCOUNT) / total[at]
-        below = self.chance(up[at], symbol) if k else np.full(len(at), 1.0 / self.alphabet)
-        gain = np.bincount(at, n * np.log(n / total[at] / below), len(context))
-        size = np.bincount(at, minlength=len(context))
-        keep = (gain > 0.5 * size * np.log(total + 1.0)) & (size > 0) if k else np.ones(len(context), bool)
-        rest = 1 - np.bincount(at, share, len(context))
-        state = np.full(len(context), -1)
-        state[keep] = np.arange(keep.sum()) + (len(self.back_off) if k else 0)
-        if k:
-            self.back_off, self.up = np.r_[self.back_off, rest[keep]], np.r_[self.up, up[keep]]
-        else:
-            self.back_off = rest if len(rest) else self.back_off
-        kept = keep[at]
-        edges = np.r_[self.edges, self.key(state[at[kept]], symbol[kept])]
-        p = np.r_[self.p, share[kept] + rest[at[kept]] * below[kept]]
-        order = np.argsort(edges)
-        self.edges, self.p = edges[order], p[order]
-        self.known.append((context[keep], state[keep]))
-        self.ancestry = (context, np.where(keep, state, up))  # state of every counted context of this depth
-
-    @staticmethod
-    def suffix(k: int, context: np.ndarray, ancestry: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        known, state = ancestry
-        if not len(known):
-            return np.zeros(len(context), np.int64)
-        i = np.minimum(np.searchsorted(known, context), len(known) - 1)
-        return np.where(known[i] == context, state[i], 0)
-
     def log_p(self, coded: list[bytes]) -> np.ndarray:
         """log10 probability of each text's symbols."""
         p = Positions(coded, len(self.known) - 1)
@@ -234,20 +279,23 @@ class Tree:
 
 
 def grown_tree(coded: DataFrame, alphabet: int, tokens: int, depth: int = DEPTH) -> Tree:
-    """The tree of coded training texts, depth by depth; edges under the least share do not leave the executors."""
-    tree = Tree(alphabet, depth)
-    candidates = np.empty(0, np.uint64)
-    for k in range(depth + 1):
-        counts = level_counts(coded, k, candidates).filter(F.col("n") >= max(EDGE_LEAST, EDGE_SHARE * tokens)).toArrow().to_pandas()
-        tree.grow(k, counts)
-        edge = counts[(counts["symbol"] != CONTEXT) & (counts["symbol"] != END) & (counts["n"] >= SYMBOL * tokens)]
-        candidates = np.unique(longer(edge["context"].to_numpy().view(np.uint64), edge["symbol"].to_numpy()))
-        if k == 0:
-            start = np.zeros(1, np.int64) + START
-            candidates = np.unique(np.r_[candidates, longer(np.zeros(1, np.uint64), start)])
-        if not len(candidates):
-            break
-    return tree
+    """The tree of coded texts, all of them training ones unless ``held_out`` says otherwise.
+
+    Every context and every edge is counted, tested and kept in tables. What only
+    held-out texts hold is counted 0, so that it, too, finds its probability there.
+    """
+    if not 0 <= depth <= 3:
+        raise ValueError("a context and its symbol are one long, so a context has three symbols at most")
+    for name, value in (("row", F.lit(0).cast("long")), ("held_out", F.lit(False))):
+        coded = coded if name in coded.columns else coded.withColumn(name, value)
+    counts = [stage(gram_counts(coded, depth), "grams")]
+    for k in range(depth, 0, -1):
+        fewer = counts[0].groupBy(low(F.col("key"), k).alias("key")).agg(F.sum("n").alias("n"))
+        counts.insert(0, stage(fewer, "grams"))
+    levels: list[DataFrame] = []
+    for k, n in enumerate(counts):
+        levels.append(smoothed(k, n, levels[-1] if k else None, alphabet))
+    return Tree(levels, alphabet)
 
 
 class Shares:
@@ -329,12 +377,12 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     held = words.filter(F.col("n") >= min(FREQUENT, SYMBOL) * shares.tokens).orderBy(F.desc("n"), "word").toArrow().to_pandas()  # at most 1 / FREQUENT
     symbols = int((held["n"] >= SYMBOL * shares.tokens).sum())  # at most 1 / SYMBOL
     texts = stage(coded(docs, held, shares, symbols), "coded")
-    tree = grown_tree(texts.filter("not held_out"), FIRST + symbols, shares.tokens, depth)
+    tree = grown_tree(texts, FIRST + symbols, shares.tokens, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            total = np.array(batch.column("score").to_pylist(), float) + (tree.log_p(batch.column("ids").to_pylist()) if n else 0)
+            total = np.array(batch.column("score").to_pylist(), float)
             keys = [np.frombuffer(b, np.int64) for b in batch.column("keys").to_pylist()]
             times = [np.frombuffer(b, "<u4") for b in batch.column("times").to_pylist()]
             more = np.repeat(np.arange(n), [len(k) for k in keys])
@@ -347,7 +395,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                  pa.array(first("n_tokens")), pa.array(first("n_known")), pa.array(np.r_[batch.column("base").to_numpy(), zero]), pa.array(np.r_[total, zero])],
                 names=["row", "doc_id", "key", "n", "n_tokens", "n_known", "base", "score"])
 
-    rows = texts.drop("held_out").mapInArrow(run, "row long, doc_id long, key long, n long, n_tokens long, n_known long, base double, score double")
+    rows = texts.drop("held_out", "ids").mapInArrow(run, "row long, doc_id long, key long, n long, n_tokens long, n_known long, base double, score double")
     others = words.filter(F.col("n") < min(FREQUENT, SYMBOL) * shares.tokens).select(F.xxhash64("word").alias("key"), F.col("n").alias("seen"))
     tokens = shares.tokens
     seen = F.coalesce("seen", F.lit(0))
@@ -361,6 +409,10 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         (F.col("n_known") + F.when(part & (seen > 0), F.col("n")).otherwise(0)).alias("n_known"),
         (F.col("base") + F.when(part, F.col("n") * base).otherwise(0.0)).alias("base"),
         (F.col("score") + F.when(part, F.col("n") * rare).otherwise(0.0)).alias("score"))
+    none = F.lit(0).cast("long")
+    met = met.unionByName(grams(texts, depth).join(tree.levels[-1].select("key", "p"), "key").select(
+        "row", F.lit(None).cast("long").alias("doc_id"), none.alias("many"), none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"),
+        (F.col("times") * log10("p")).alias("score")))
     sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("many", "n_tokens", "n_known", "base", "score")])
     each = lambda c: (F.col(c) / F.col("many"))
     return sums.select(

@@ -93,3 +93,33 @@ def test_empty_tables(spark):
     only_held_out = [(d, "some text") for d in range(50) if zlib.crc32(str(d).encode()) % 5 == 1]
     got = suffix_tree.score(documents(spark, only_held_out)).collect()
     assert len(got) == len(only_held_out) and all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_every_context_and_edge_counts(spark):
+    """Scores equal those of a tree grown in plain Python from all contexts, those seen once among them; held-out texts meet unseen ones."""
+    rng = random.Random(9)
+    rows = [(d, " ".join(rng.choice("abcde") for _ in range(rng.randrange(9)))) for d in range(60)]
+    out = lambda doc: zlib.crc32(str(doc).encode()) % 5 == 1
+    texts = {d: ["<", *t.split(), ">"] for d, t in rows}
+    seen = {}
+    for d, t in texts.items():
+        for i in range(1, len(t)):
+            for k in range(min(i, 3) + 1):
+                seen.setdefault(tuple(t[i - k:i]), Counter())[t[i]] += not out(d)
+    alphabet = suffix_tree.FIRST + 5
+
+    def chance(context, symbol):
+        counts = +seen.get(context, Counter())
+        if not context:
+            n = sum(counts.values())
+            return max(counts[symbol] - 0.75, 0) / n + 0.75 * len(counts) / n / alphabet
+        below, n = chance(context[1:], symbol), sum(counts.values())
+        gain = sum(c * math.log(c / n / chance(context[1:], s)) for s, c in counts.items())
+        if not n or gain <= 0.5 * len(counts) * math.log(n + 1):
+            return below
+        return max(counts[symbol] - 0.75, 0) / n + 0.75 * len(counts) / n * below
+
+    want = {d: sum(math.log10(chance(tuple(t[max(0, i - 3):i]), t[i])) for i in range(1, len(t))) for d, t in texts.items()}
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(documents(spark, rows).repartition(3)).collect()}
+    assert any(out(d) for d in got) and got.keys() == want.keys()
+    assert all(abs(got[d] - want[d]) < 1e-9 for d in want)
