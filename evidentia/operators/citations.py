@@ -92,7 +92,8 @@ def insert_citations(df: DataFrame, key: str, text: str = "text", citations: str
     """
     marks = F.regexp_extract_all(F.col(text), F.lit("[.!?]"), F.lit(0))
     bits = F.split(F.col(text), "[.!?]")
-    d = df.withColumn("_p", F.flatten(F.transform(bits, lambda b, i: F.array_compact(F.array(b, F.get(marks, i))))))
+    both = F.arrays_zip(bits.alias("bit"), marks.alias("mark"))  # pieces meet their marks side by side: an expression of the text within the lambda would read it once per piece
+    d = df.withColumn("_p", F.flatten(F.transform(both, lambda x: F.array_compact(F.array(x["bit"], x["mark"])))))
     d = d.withColumn("_k", F.least(F.floor(F.size("_p") / 3), F.size(citations)).cast("int"))
     ranked = F.array_sort(F.transform("_p", lambda p, i: F.struct(
         F.md5(F.concat_ws(":", F.col(key).cast("string"), i.cast("string"))).alias("h"), i.alias("i"))))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,6 +207,15 @@ def test_inserted_citations_are_stable_and_skip_headings(spark):
     assert a.replace(" (c1)", "").replace(" (c2)", "").replace(" ", "") == "#Head.One.Two!Three?Four."
 
 
+def test_citations_in_a_long_text_take_time_in_proportion(spark):
+    """Marks are read once per text; read once per piece, this text would take many minutes."""
+    d = spark.range(1).select(F.col("id").alias("k"), F.repeat(F.lit("a. b? "), 60000).alias("text"), F.array(F.lit("(c1)")).alias("citations"))
+    began = time.monotonic()
+    got = R.insert_citations(d, "k").first().cited_text
+    assert time.monotonic() - began < 60
+    assert got.count("(c1)") == 1 and got.replace(" ", "").replace("(c1)", "") == "a.b?" * 60000
+
+
 def test_long_word_lists_stay_short_as_patterns():
     """The pattern stands in the plan, so the driver holds it several times."""
     from evidentia.operators.words import word_pattern
