@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.session import stage
 from evidentia.sources import parsers as P
 from evidentia.sources import tables as V
 
@@ -23,6 +24,11 @@ def _daily(spark, sf_dir) -> DataFrame:
         F.count("*").alias("n"), F.sum("l_linenumber").alias("total"))
 
 
+def _days(spark, sf_dir) -> DataFrame:
+    """The daily rows, staged by name: files of several kinds are written from one scan, a file with no further shuffle."""
+    return stage(_daily(spark, sf_dir), "daily", "name")
+
+
 def _bodies(rows: DataFrame, line, head, tail="") -> DataFrame:
     """One body per name: a head, the lines by date, a tail. A file holds a year at most."""
     lines = F.sort_array(F.collect_list(F.struct("d", line.alias("line"))))
@@ -30,65 +36,66 @@ def _bodies(rows: DataFrame, line, head, tail="") -> DataFrame:
     return held.select("name", F.concat(head, F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit(tail)).alias("body"))
 
 
-def _price_files(spark, sf_dir):
+def _price_files(daily):
     """Closes missing on some days; columns in another order for some names, no closes for one, an error page for another."""
     other = F.col("name") < "M"
     n, total = F.col("n").cast("string"), F.col("total").cast("string")
     close = F.when(F.dayofmonth("d") == 13, "").when(F.dayofmonth("d") == 14, "N/A").otherwise(total)
     line = F.when(other, F.concat_ws(",", F.col("d").cast("string"), close, n)).otherwise(F.concat_ws(",", F.col("d").cast("string"), n, n, n, close, n))
     head = F.when(F.startswith("name", F.lit("RAIL")), "Date,Open\n").when(other, "Date,Close,Open\n").otherwise("Date,Open,High,Low,Close,Volume\n")
-    files = _bodies(_daily(spark, sf_dir), line, head, "\n")
+    files = _bodies(daily, line, head, "\n")
     return files.withColumn("body", F.when(F.startswith("name", F.lit("SHIP")), "<html>none</html>").otherwise(F.col("body")))
 
 
-def _block_files(spark, sf_dir, first, second, missing):
+def _block_files(daily, first, second, missing):
     """Two columns in percent, an annual block behind; one name with a header there only. Some days hold the mark of a missing value."""
     text = F.when((F.dayofmonth("d") == 13) & F.lit(missing), "-99.99").otherwise(F.col("n").cast("string"))
     line = F.concat_ws(",", F.date_format("d", "yyyyMMdd"), text, F.col("total").cast("string"))
     bare = F.startswith("name", F.lit("AIR")) & F.lit(first == "Mkt-RF")
     head = F.when(F.startswith("name", F.lit("RAIL")), "notes\n\n").when(bare, f"notes\n\n{first},{second}\n").otherwise(f"notes\n\n,{first},{second}\n")
-    return _bodies(_daily(spark, sf_dir), line, head, f"\n\n Annual\n,{first},{second}\n1995,5,5\n")
+    return _bodies(daily, line, head, f"\n\n Annual\n,{first},{second}\n1995,5,5\n")
 
 
-def _charts(spark, sf_dir):
+def _charts(daily):
     line = F.concat(F.lit("["), (F.unix_date("d").cast("bigint") * 86_400_000).cast("string"), F.lit(", "), F.col("total").cast("string"), F.lit("]"))
-    files = _bodies(_daily(spark, sf_dir), F.concat(line, F.lit(",")), F.lit('{"prices": ['))
+    files = _bodies(daily, F.concat(line, F.lit(",")), F.lit('{"prices": ['))
     key = F.when(F.startswith("name", F.lit("RAIL")), "values").otherwise("prices")
     return files.withColumn("body", F.concat(F.replace(F.regexp_replace("body", ",$", ""), F.lit("prices"), key), F.lit("]}")))
 
 
-def _macro(spark, sf_dir):
+def _macro(daily):
     value = F.when(F.dayofmonth("d") == 13, ".").when(F.dayofmonth("d") == 14, "").when(F.startswith("name", F.lit("RAIL")), ".").otherwise(F.col("total").cast("string"))
-    return _bodies(_daily(spark, sf_dir), F.concat_ws(",", F.col("d").cast("string"), value), F.lit("DATE,VALUE\n"), "\n")
+    return _bodies(daily, F.concat_ws(",", F.col("d").cast("string"), value), F.lit("DATE,VALUE\n"), "\n")
 
 
 def prices(spark, sf_dir):
-    return P.parse_prices(_price_files(spark, sf_dir))
+    return P.parse_prices(_price_files(_daily(spark, sf_dir)))
 
 
 def factors(spark, sf_dir):
-    out = P.parse_factors(_block_files(spark, sf_dir, "Mkt-RF", "SMB", False))
+    out = P.parse_factors(_block_files(_daily(spark, sf_dir), "Mkt-RF", "SMB", False))
     return out.select("name", "series", "d", F.round("value", 6).alias("value"))
 
 
 def industries(spark, sf_dir):
-    out = P.parse_industries(_block_files(spark, sf_dir, "NoDur", "Durbl", True))
+    out = P.parse_industries(_block_files(_daily(spark, sf_dir), "NoDur", "Durbl", True))
     return out.select("name", "series", "d", F.round("value", 6).alias("value"))
 
 
 def charts(spark, sf_dir):
-    return P.parse_charts(_charts(spark, sf_dir))
+    return P.parse_charts(_charts(_daily(spark, sf_dir)))
 
 
 def macro(spark, sf_dir):
-    return P.parse_macro(_macro(spark, sf_dir))
+    return P.parse_macro(_macro(_daily(spark, sf_dir)))
 
 
 def statuses(spark, sf_dir):
     """Every file of every kind: usable, or why not."""
-    found = {"price": P.price_status(_price_files(spark, sf_dir)), "factor": P.block_status(_block_files(spark, sf_dir, "Mkt-RF", "SMB", False), "factor"),
-             "industry": P.block_status(_block_files(spark, sf_dir, "NoDur", "Durbl", True), "industry"), "chart": P.chart_status(_charts(spark, sf_dir)),
-             "macro": P.macro_status(_macro(spark, sf_dir))}
+    daily = _days(spark, sf_dir)
+    found = {"price": P.price_status(_price_files(daily)), "factor": P.block_status(_block_files(daily, "Mkt-RF", "SMB", False), "factor"),
+             "industry": P.block_status(_block_files(daily, "NoDur", "Durbl", True), "industry"), "chart": P.chart_status(_charts(daily)),
+             "macro": P.macro_status(_macro(daily))}
     return reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("kind"), "name", "n_values", "first", "last", "status") for k, df in found.items()))
 
 

@@ -45,10 +45,11 @@ def _count(rows: DataFrame, d: str = "d") -> DataFrame:
 def parse_prices(files: DataFrame) -> DataFrame:
     """(name, d, close): columns by the header's names; rows without a date or a close are dropped."""
     head = _cells(F.get(F.col("lines"), F.lit(0)))
-    rows = files.select("name", _lines(F.trim("body")).alias("lines")).select(
-        "name", F.array_position(head, "Date").alias("d_at"), F.array_position(head, "Close").alias("c_at"), F.explode(_after(F.col("lines"), 1)).alias("line"))
+    found = files.select("name", _lines(F.trim("body")).alias("lines")).select(
+        "name", F.array_position(head, "Date").alias("d_at"), F.array_position(head, "Close").alias("c_at"), _after(F.col("lines"), 1).alias("rest"))
+    rows = found.filter("d_at > 0 AND c_at > 0").select("name", "d_at", "c_at", F.explode("rest").alias("line"))  # the header is read once per file
     cell = lambda at: F.get(_cells(F.col("line")), (F.col(at) - 1).cast("int"))
-    return rows.filter("d_at > 0 AND c_at > 0").select(
+    return rows.select(
         "name", cell("d_at").try_cast("date").alias("d"), cell("c_at").try_cast("double").alias("close")).filter("d IS NOT NULL AND close IS NOT NULL")
 
 

@@ -208,3 +208,15 @@ def test_pages_take_less_room_than_their_text(spark, tmp_path):
     text = sum(len(r.value) for r in spark.read.text(str(tmp_path / "ledger" / "pages")).collect())
     assert sum(f.stat().st_size for f in (tmp_path / "ledger" / "pages").glob("part-*")) < 0.3 * text
     assert sorted(map(tuple, LP.read_ledger(spark, str(tmp_path / "ledger")).selectExpr("cast(entry_id AS long) AS entry_id", "date", "description", "payment", "deposit", "account").collect())) == sorted(map(tuple, e.collect()))
+
+
+def test_statuses_of_all_kinds_come_from_one_scan(spark, tmp_path, monkeypatch):
+    from evidentia.catalogue import files
+
+    days = [f"({s}L, {n}, TIMESTAMP_NTZ'1995-0{m}-02')" for s in (7, 8) for m in (1, 2, 3) for n in (1, 2)]
+    spark.sql(f"SELECT * FROM VALUES {', '.join(days)} AS t(l_suppkey, l_linenumber, l_shipdate)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    scans, own = [], files._daily
+    monkeypatch.setattr(files, "_daily", lambda *a: scans.append(a) or own(*a))
+    got = {(r["kind"], r["name"]): (r["n_values"], str(r["first"]), str(r["last"]), r["status"]) for r in files.statuses(spark, str(tmp_path)).collect()}
+    assert len(scans) == 1
+    assert got == {(k, n): (3, "1995-01-02", "1995-03-02", "ok") for k in ("price", "factor", "industry", "chart", "macro") for n in ("AIR-7-1995", "FOB-8-1995")}
