@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it; a lambda's body repeats whatever stands in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sha16(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
@@ -89,19 +96,19 @@ def figures_by_year(sentence: Column) -> Column:
     the text between them give the positions. Earlier mentions win ties and the
     first figure of a year is kept. The arrays are per sentence.
     """
-    found = _all(sentence, FIGURE_OR_MENTION)
-    between = F.split(sentence, FIGURE_OR_MENTION)
+    found, between = _all(sentence, FIGURE_OR_MENTION), F.split(sentence, FIGURE_OR_MENTION)
     size = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
-    placed = F.transform(found, lambda m, i: F.struct(
-        (size(F.slice(between, 1, i + 1)) + size(F.slice(found, 1, i))).alias("at"), m.alias("m"),
+    placed = lambda s: F.transform(s["found"], lambda m, i: F.struct(
+        (size(F.slice(s["between"], 1, i + 1)) + size(F.slice(s["found"], 1, i))).alias("at"), m.alias("m"),
         F.nullif(F.regexp_extract(m, r"(?i)^fiscal\s+([0-9]{4})", 1), F.lit("")).cast("int").alias("y")))
-    mentions = F.filter(placed, lambda t: t["y"].isNotNull())
-    figures = F.filter(placed, lambda t: t["y"].isNull())
-    assigned = F.transform(figures, lambda f: F.struct(
-        F.array_min(F.transform(mentions, lambda t, i: F.struct(F.abs(f["at"] - t["at"]).alias("gap"), i.alias("i"), t["y"].alias("y"))))["y"].alias("year"),
+    split = lambda p: F.struct(
+        F.filter(p, lambda t: t["y"].isNotNull()).alias("mentions"), F.filter(p, lambda t: t["y"].isNull()).alias("figures"))
+    assigned = lambda p: F.transform(p["figures"], lambda f: F.struct(
+        F.array_min(F.transform(p["mentions"], lambda t, i: F.struct(F.abs(f["at"] - t["at"]).alias("gap"), i.alias("i"), t["y"].alias("y"))))["y"].alias("year"),
         f["m"].alias("figure")))
-    kept = F.filter(assigned, lambda x: x["year"].isNotNull())
-    return F.filter(kept, lambda x, i: ~F.exists(F.slice(kept, 1, i), lambda e: e["year"] == x["year"]))
+    first = lambda kept: F.filter(kept, lambda x, i: ~F.exists(F.slice(kept, 1, i), lambda e: e["year"] == x["year"]))
+    parts = bound(F.struct(found.alias("found"), between.alias("between")), placed)
+    return bound(F.filter(bound(bound(parts, split), assigned), lambda x: x["year"].isNotNull()), first)
 
 
 def fmt_millions(value: Column) -> Column:

@@ -79,11 +79,15 @@ def label_column(tag: str = "tag") -> Column:
 
 
 def label_tags(by_year: DataFrame) -> DataFrame:
-    """Give facts their label; of two tags with one label the one with more years stays, then the first by name."""
-    named = by_year.withColumn("label", label_column()).filter(F.col("label").isNotNull())
-    years = named.groupBy("ticker", "label", "tag").agg(F.count(F.lit(1)).alias("n_years"))
-    best = years.groupBy("ticker", "label").agg(F.min_by("tag", F.struct(-F.col("n_years"), F.col("tag"))).alias("tag"))
-    return named.join(best, ["ticker", "label", "tag"])
+    """Give facts their label; of two tags with one label the one with more years stays, then the first by name.
+
+    Facts are read once; the list of a company's tag is bounded by its fiscal years.
+    """
+    named = by_year.withColumn("label", label_column()).filter(F.col("label").isNotNull() & F.col("ticker").isNotNull())
+    rest = [c for c in named.columns if c not in ("ticker", "label", "tag")]
+    years = named.groupBy("ticker", "label", "tag").agg(F.count(F.lit(1)).alias("n_years"), F.collect_list(F.struct(*rest)).alias("facts"))
+    best = years.groupBy("ticker", "label").agg(F.min_by(F.struct("tag", "facts"), F.struct(-F.col("n_years"), F.col("tag"))).alias("b"))
+    return best.select("ticker", "label", "b.tag", F.explode("b.facts").alias("f")).select("ticker", "label", "tag", "f.*")
 
 
 def metric_cells(labelled: DataFrame) -> DataFrame:

@@ -164,8 +164,8 @@ def lookup(suite: DataFrame, documents: DataFrame) -> DataFrame:
         fits = F.filter("figures", lambda f: F.contains(f["low"], last) & (f["year"] == year))
         shared = lambda f: F.size(F.filter("terms", lambda t: F.contains(f["low"], t)))
         ranked = F.transform(fits, lambda f, i: F.struct(shared(f), -f["doc_order"], -f["sent_no"], -i, f["v"].alias("v"), f["d"].alias("d")))
-        best = F.array_max(ranked)
-        return F.when((F.size("terms") > 0) & best.isNotNull(), F.struct(best["v"].alias("v"), best["d"].alias("d")))
+        return X.bound(F.array_max(ranked), lambda best: F.when(
+            (F.size("terms") > 0) & best.isNotNull(), F.struct(best["v"].alias("v"), best["d"].alias("d"))))
 
     return j.withColumn("asked", stated(F.col("year"))).withColumn("blind", stated(F.col("latest"))).drop("figures")
 

@@ -89,3 +89,27 @@ def test_call_log_upper_median(spark):
     rows = [("m", x, None) for x in (0.4, 0.1, 0.9, 0.2)] + [("n", 5.0, "timeout")]
     got = {r.answerer: r for r in Q.call_log_summary(spark.createDataFrame(rows, "answerer string, latency double, error string")).collect()}
     assert got["m"].median_latency == 0.4 and got["m"].calls == 4 and got["n"].failed == 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_sentence_is_matched_once_for_all_its_figures(spark):
+    """The plan names each match of the sentence once, so a figure costs no further match (suite_recorded)."""
+    df = spark.createDataFrame([("Up 1 and 2 in fiscal 2024, 3 in fiscal 2023.",)], "s string").select(X.figures_by_year(F.col("s")).alias("f"))
+    assert plan(df).count("regexp_extract_all(") == 1 and plan(df).count("split(") == 1
+    assert [(x.year, x.figure) for x in df.first().f] == [(2024, "1"), (2023, "3")]
+
+
+def test_labels_read_the_facts_once(spark):
+    rows = [("A", t, fy, i) for i, (t, fy) in enumerate([
+        ("Revenues", 2020), ("RevenueFromContractWithCustomerExcludingAssessedTax", 2020), ("RevenueFromContractWithCustomerExcludingAssessedTax", 2021),
+        ("CostOfRevenue", 2020), ("CostOfGoodsAndServicesSold", 2021), ("Other", 2020), ("OperatingExpenses", 2020), ("OperatingExpenses", 2020)])]
+    facts = spark.createDataFrame([*rows, (None, "Revenues", 2020, 9)], "ticker string, tag string, fy int, val int")
+    got = O.label_tags(facts)
+    assert got.columns == ["ticker", "label", "tag", "fy", "val"]
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [
+        ("CostOfGoodsAndServicesSold", 2021, 4), ("OperatingExpenses", 2020, 6), ("OperatingExpenses", 2020, 7),
+        ("RevenueFromContractWithCustomerExcludingAssessedTax", 2020, 1), ("RevenueFromContractWithCustomerExcludingAssessedTax", 2021, 2)]
+    assert "Join" not in plan(got)
