@@ -10,8 +10,9 @@ Distributions are smoothed into the suffix's, and each symbol is scored in the
 state of the longest kept suffix before it.
 
 Counts cover all training documents and all contexts, seen once or often. The tree
-is a table per depth that grows with the texts; each occurrence meets its
-probability in a join. Words frequent enough to be held by every task are at most
+is a table per depth that grows with the texts. The last depth is grown in buckets
+of whole contexts: chunks of texts ask for their distinct edges and get their
+probabilities back. Words frequent enough to be held by every task are at most
 1 / FREQUENT; occurrences of others meet their word in a join, in which none is hot
 for just that reason.
 """
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import stage, task_count
 from .common import POLY, in_fold, mixed, raw_texts, small_batches
 
 FOLDS, HELD_OUT = 5, 1
@@ -39,7 +40,7 @@ SYMBOL, FREQUENT = 1e-4, 5e-7
 DISCOUNT = 0.75
 START, END, RARE, FIRST = 0, 1, 2, 3
 BITS = 16
-COUNTER_KEYS, SYMBOLS_AT_ONCE = 400_000, 2_000_000
+COUNTER_KEYS, SYMBOLS_AT_ONCE, BUCKET_TOKENS = 400_000, 4_000_000, 1_000_000
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
@@ -110,6 +111,20 @@ def longer(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return context * POLY + mixed(symbol.astype(np.uint64) + POLY)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Staged, in a denser format; shuffle files of this job go at its end, not when the driver next collects garbage."""
+    conf = df.sparkSession.conf
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    was = {key: conf.get(key, None) for key in own}
+    try:
+        for key, value in own.items():
+            conf.set(key, value)
+        return stage(df, name)
+    finally:
+        for key, value in was.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
 def packed(coded: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each symbol after a start: the up to ``depth`` symbols before it and itself as one long, 16 bits each, and its text.
 
@@ -123,47 +138,47 @@ def packed(coded: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), p.text
 
 
-def chunks_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """ids, row and held_out of texts of about SYMBOLS_AT_ONCE symbols."""
-    held, row, out, size = [], [], [], 0
-    for batch in batches:
-        held += (ids := batch.column("ids").to_pylist())
-        row += batch.column("row").to_pylist()
-        out += batch.column("held_out").to_pylist()
-        size += sum(map(len, ids)) // 2
-        if size >= SYMBOLS_AT_ONCE:
-            yield held, np.array(row, np.int64), np.array(out, bool)
-            held, row, out, size = [], [], [], 0
-    if held:
-        yield held, np.array(row, np.int64), np.array(out, bool)
+def in_chunks(coded: DataFrame) -> DataFrame:
+    """ids, rows, held_out: the texts dealt into rows of about SYMBOLS_AT_ONCE symbols, one after the other; each begins at its start."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            cells = [b"".join(held), np.array(row, np.int64).tobytes(), np.array(out, bool).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["ids", "rows", "held_out"])
 
-def gram_counts(coded: DataFrame, depth: int) -> DataFrame:
-    """key and n: every context with its symbol that any text holds, and how often training texts do."""
+        held, row, out, size = [], [], [], 0
+        for batch in batches:
+            held += (ids := batch.column("ids").to_pylist())
+            row += batch.column("row").to_pylist()
+            out += batch.column("held_out").to_pylist()
+            size += sum(map(len, ids)) // 2
+            if size >= SYMBOLS_AT_ONCE:
+                yield told()
+                held, row, out, size = [], [], [], 0
+        if held:
+            yield told()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, held_out in chunks_of_texts(batches):
-            key, text = packed(ids, depth)
-            kinds, at = np.unique(key, return_inverse=True)
-            n = np.bincount(at, ~held_out[text], len(kinds)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], names=["key", "n"])
+    return coded.select("ids", "row", "held_out").mapInArrow(run, "ids binary, rows binary, held_out binary")
 
-    return coded.select("ids", "row", "held_out").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
+def texts_of(ids: bytes) -> list[bytes]:
+    """The texts of a chunk."""
+    code = np.frombuffer(ids, "<u2")
+    return [t.tobytes() for t in np.split(code, np.flatnonzero(code == START)[1:])]
 
-def grams(coded: DataFrame, depth: int) -> DataFrame:
-    """row, key, times: how often each text holds a context with its symbol."""
+
+def gram_counts(chunks: DataFrame, depth: int) -> DataFrame:
+    """key and n: every context with its symbol that any text holds, and how often training texts do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, row, _ in chunks_of_texts(batches):
-            key, text = packed(ids, depth)
-            order = np.lexsort((key, text))
-            key, text = key[order], text[order]
-            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])]) if len(key) else np.empty(0, np.int64)
-            times = np.diff(np.r_[first, len(key)])
-            yield pa.RecordBatch.from_arrays([pa.array(row[text[first]]), pa.array(key[first]), pa.array(times.astype(np.int64))], names=["row", "key", "times"])
+        for batch in batches:
+            for ids, held_out in zip(batch.column("ids").to_pylist(), batch.column("held_out").to_pylist()):
+                key, text = packed(texts_of(ids), depth)
+                kinds, at = np.unique(key, return_inverse=True)
+                n = np.bincount(at, ~np.frombuffer(held_out, bool)[text], len(kinds)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], names=["key", "n"])
 
-    return coded.select("ids", "row", "held_out").mapInArrow(run, "row long, key long, times long")
+    return chunks.select("ids", "held_out").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def low(key: Column, symbols: int) -> Column:
@@ -199,7 +214,7 @@ class Tree:
     """The tree as a table per depth. ``p`` of the last depth is the probability of a symbol in the state of the longest kept suffix.
 
     The look-ups below hold the whole tree as sorted arrays, for small trees;
-    scoring joins the tables. State 0 is the empty context.
+    scoring asks the tables. State 0 is the empty context.
     """
 
     def __init__(self, levels: list[DataFrame], alphabet: int):
@@ -279,25 +294,177 @@ class Tree:
 
 
 def grown_tree(coded: DataFrame, alphabet: int, tokens: int, depth: int = DEPTH) -> Tree:
-    """The tree of coded texts, all of them training ones unless ``held_out`` says otherwise.
+    """The tree of coded texts or of chunks of them, all training ones unless ``held_out`` says otherwise.
 
     Every context and every edge is counted, tested and kept in tables. What only
     held-out texts hold is counted 0, so that it, too, finds its probability there.
     """
     if not 0 <= depth <= 3:
         raise ValueError("a context and its symbol are one long, so a context has three symbols at most")
-    for name, value in (("row", F.lit(0).cast("long")), ("held_out", F.lit(False))):
-        coded = coded if name in coded.columns else coded.withColumn(name, value)
-    counts = [stage(gram_counts(coded, depth), "grams")]
+    if "rows" not in coded.columns:
+        for name, value in (("row", F.lit(0).cast("long")), ("held_out", F.lit(False))):
+            coded = coded if name in coded.columns else coded.withColumn(name, value)
+        coded = in_chunks(coded)
+    counts = [kept(gram_counts(coded, depth), "grams")]
     for k in range(depth, 0, -1):
         fewer = counts[0].groupBy(low(F.col("key"), k).alias("key")).agg(F.sum("n").alias("n"))
-        counts.insert(0, stage(fewer, "grams"))
+        counts.insert(0, kept(fewer, "grams"))
     levels: list[DataFrame] = []
     for k, n in enumerate(counts):
         levels.append(smoothed(k, n, levels[-1] if k else None, alphabet))
     return Tree(levels, alphabet)
 
 
+class Dealing:
+    """Which bucket a context of ``depth`` symbols belongs to: that of its suffix; a frequent suffix has several, chosen by the oldest symbol.
+
+    So a bucket holds whole contexts, and the suffix's probabilities go to its few buckets.
+    """
+
+    def __init__(self, depth: int, buckets: int, hot: np.ndarray, deals: np.ndarray):
+        self.depth, self.buckets, self.hot, self.deals = depth, buckets, hot, deals
+
+    def split(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix and oldest symbol of the contexts of keys of the last depth."""
+        key = key.view(np.uint64)
+        suffix = (key >> np.uint64(BITS)) & np.uint64((1 << BITS * max(0, self.depth - 1)) - 1)
+        return suffix, key >> np.uint64(BITS * self.depth) if self.depth else np.zeros(len(key), np.uint64)
+
+    def times(self, suffix: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.ones(len(suffix), np.uint64)
+        i = np.minimum(np.searchsorted(self.hot, suffix), len(self.hot) - 1)
+        return np.where(self.hot[i] == suffix, self.deals[i], np.uint64(1))
+
+    def place(self, suffix: np.ndarray, deal: np.ndarray) -> np.ndarray:
+        return (mixed(suffix * POLY + deal) % np.uint64(self.buckets)).astype(np.int64)
+
+    def kinds(self, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a chunk: its distinct edges as suffix, oldest symbol and symbol in one long, sorted; their buckets and the order by bucket; the edge and the text of each place."""
+        key, text = packed(texts_of(ids), self.depth)
+        suffix, oldest = self.split(key)
+        edge = suffix << np.uint64(2 * BITS) | oldest << np.uint64(BITS) | key.view(np.uint64) & np.uint64((1 << BITS) - 1)
+        edge, at = np.unique(edge, return_inverse=True)
+        suffix, oldest = edge >> np.uint64(2 * BITS), edge >> np.uint64(BITS) & np.uint64((1 << BITS) - 1)
+        bucket = self.place(suffix, mixed(oldest + POLY) % self.times(suffix))
+        return edge, bucket, np.argsort(bucket, kind="stable"), at, text
+
+
+def asked(chunks: DataFrame, dealing: Dealing) -> DataFrame:
+    """bucket, chunk, edges, n: by bucket the distinct edges of a chunk and how often its training texts have them. Symbols lie together place by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, ids, held_out in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "held_out"))):
+                edge, bucket, order, at, text = dealing.kinds(ids)
+                n = np.bincount(at, ~np.frombuffer(held_out, bool)[text], len(edge)).astype("<u4")[order]
+                edge, bucket = edge[order], bucket[order]
+                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                rows = [(e.view("<u2").reshape(-1, 4).T.tobytes(), m.tobytes()) for e, m in zip(np.split(edge, first[1:]), np.split(n, first[1:]))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[first], pa.int64()), pa.array([chunk] * len(first), pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*rows))],
+                    names=["bucket", "chunk", "edges", "n"])
+
+    return chunks.select("chunk", "ids", "held_out").mapInArrow(run, "bucket long, chunk long, edges binary, n binary")
+
+
+def dealt(above: DataFrame, dealing: Dealing) -> DataFrame:
+    """bucket, keys, p: the probabilities of the depth before, in every bucket that holds contexts with that suffix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            key, p = np.concatenate(keys).view(np.uint64), np.concatenate(ps)
+            suffix = key >> np.uint64(BITS)
+            times = dealing.times(suffix).astype(np.int64)
+            row = np.repeat(np.arange(len(key)), times)
+            deal = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+            both = np.unique(dealing.place(suffix[row], deal) * len(key) + row)
+            bucket, row = both // len(key), both % len(key)
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            parts = [[x.tobytes() for x in np.split(c[row], first[1:])] for c in (key, p)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), *(pa.array(c, pa.binary()) for c in parts)], names=["bucket", "keys", "p"])
+
+        keys, ps, size = [], [], 0
+        for batch in batches:
+            if batch.num_rows:
+                keys.append(batch.column("key").to_numpy())
+                ps.append(batch.column("p").to_numpy())
+                size += batch.num_rows
+            if size >= SYMBOLS_AT_ONCE:
+                yield told()
+                keys, ps, size = [], [], 0
+        if keys:
+            yield told()
+
+    return above.select("key", "p").mapInArrow(run, "bucket long, keys binary, p binary")
+
+
+def answered(asked: DataFrame, above: DataFrame, dealing: Dealing, alphabet: int) -> DataFrame:
+    """chunk, bucket, log_p: log10 probability of each edge asked for, in the order of the question.
+
+    The contexts of a bucket are counted over all chunks, tested and smoothed as in ``smoothed``.
+    """
+    k = dealing.depth
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(e, "<u2").reshape(4, -1).T.copy().view("<u8").ravel() for e in left.column("edges").to_pylist()]
+        edge, at = np.unique(np.concatenate([np.empty(0, np.uint64), *lists]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([np.empty(0), *(np.frombuffer(b, "<u4") for b in left.column("n").to_pylist())]), len(edge))
+        below = np.full(len(edge), 1.0 / alphabet)
+        suffix = edge >> np.uint64(2 * BITS)
+        if k and len(edge):
+            key = np.frombuffer(b"".join(right.column("keys").to_pylist()), "<u8")
+            order = np.argsort(key)
+            place = np.searchsorted(key[order], suffix << np.uint64(BITS) | edge & np.uint64((1 << BITS) - 1))
+            below = np.frombuffer(b"".join(right.column("p").to_pylist()), "<f8")[order][place]
+        context = edge >> np.uint64(BITS)
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(edge) else np.empty(0, np.int64)
+        own = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(edge)]))
+        seen = n > 0
+        total, size = np.bincount(own, n, len(first)), np.bincount(own, seen, len(first))
+        gain = np.bincount(own, np.where(seen, n * np.log(np.maximum(n, 1) / below), 0.0), len(first))
+        some = np.maximum(total, 1)
+        keep = total > 0
+        if k:
+            keep &= gain - total * np.log(some) > 0.5 * size * np.log(total + 1.0)
+        if k > 1:  # behind the start there is no longer context
+            head = suffix[first] >> np.uint64(BITS * (k - 2))
+            keep &= (head != 0) | (context[first] & np.uint64((1 << BITS) - 1) != 0)
+        rest = np.where(keep, DISCOUNT * size / some, 1.0)
+        p = np.where(keep[own] & seen, (n - DISCOUNT) / some[own], 0.0) + rest[own] * below
+        parts = np.split(np.log10(p)[at], np.cumsum([len(x) for x in lists])[:-1]) if lists else []
+        return pa.table({"chunk": left.column("chunk"), "bucket": left.column("bucket"), "log_p": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    return asked.groupBy("bucket").cogroup(dealt(above, dealing).groupBy("bucket")).applyInArrow(run, "chunk long, bucket long, log_p binary")
+
+
+def text_scores(chunks: DataFrame, tree: Tree, tokens: int, depth: int) -> DataFrame:
+    """row and score: the sum of log10 probabilities of each text, after contexts of ``depth`` symbols above the depths of the tree.
+
+    A chunk asks every bucket once for each of its distinct edges and gets them back in order.
+    """
+    spark = chunks.sparkSession
+    buckets = max(2 * task_count(chunks), tokens // BUCKET_TOKENS)
+    above = kept(tree.levels[-1].select("key", "n", "p"), "level")
+    often = above.groupBy(F.shiftright("key", BITS).alias("suffix")).agg(F.sum("n").alias("n")).filter(F.col("n") * 4 * buckets > tokens)
+    hot = sorted((r["suffix"], -(-r["n"] * 4 * buckets // tokens)) for r in often.collect()) if depth else []
+    dealing = Dealing(depth, buckets, np.array([g for g, _ in hot], np.uint64), np.array([d for _, d in hot], np.uint64))
+    answers = answered(asked(chunks, dealing), above, dealing, tree.alphabet)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, scores = [np.empty(0, np.int64)], [np.empty(0)]
+        for ids, row in zip(left.column("ids").to_pylist(), left.column("rows").to_pylist()):
+            edge, _, order, at, text = dealing.kinds(ids)
+            by_bucket = sorted(zip(right.column("bucket").to_pylist(), right.column("log_p").to_pylist()))
+            log_p = np.empty(len(edge))
+            log_p[order] = np.frombuffer(b"".join(b for _, b in by_bucket), "<f8")
+            rows.append(np.frombuffer(row, np.int64))
+            scores.append(np.bincount(text, log_p[at], len(rows[-1])))
+        return pa.table({"row": np.concatenate(rows), "score": np.concatenate(scores)})
+
+    return chunks.select("chunk", "ids", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "row long, score double")
+
+
 class Shares:
     """Probabilities of words within the rare symbol, and of all words under the base."""
 
@@ -371,13 +538,14 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     ends = docs.filter(~in_fold(F.col("doc_id"), FOLDS, HELD_OUT)).count()
-    words = stage(lexicon(docs), "lexicon").filter("n > 0")
+    words = kept(lexicon(docs).filter("n > 0"), "lexicon")
     shares = Shares(words, ends)
     shares.ends = ends
     held = words.filter(F.col("n") >= min(FREQUENT, SYMBOL) * shares.tokens).orderBy(F.desc("n"), "word").toArrow().to_pandas()  # at most 1 / FREQUENT
     symbols = int((held["n"] >= SYMBOL * shares.tokens).sum())  # at most 1 / SYMBOL
-    texts = stage(coded(docs, held, shares, symbols), "coded")
-    tree = grown_tree(texts, FIRST + symbols, shares.tokens, depth)
+    texts = kept(coded(docs, held, shares, symbols), "coded")
+    chunks = kept(in_chunks(texts).withColumn("chunk", F.monotonically_increasing_id()), "symbols")
+    tree = grown_tree(chunks, FIRST + symbols, shares.tokens, max(0, depth - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,9 +578,8 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         (F.col("base") + F.when(part, F.col("n") * base).otherwise(0.0)).alias("base"),
         (F.col("score") + F.when(part, F.col("n") * rare).otherwise(0.0)).alias("score"))
     none = F.lit(0).cast("long")
-    met = met.unionByName(grams(texts, depth).join(tree.levels[-1].select("key", "p"), "key").select(
-        "row", F.lit(None).cast("long").alias("doc_id"), none.alias("many"), none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"),
-        (F.col("times") * log10("p")).alias("score")))
+    met = met.unionByName(text_scores(chunks, tree, shares.tokens, depth).select(
+        "row", F.lit(None).cast("long").alias("doc_id"), none.alias("many"), none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"), "score"))
     sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("many", "n_tokens", "n_known", "base", "score")])
     each = lambda c: (F.col(c) / F.col("many"))
     return sums.select(

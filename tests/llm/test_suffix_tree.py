@@ -123,3 +123,19 @@ def test_every_context_and_edge_counts(spark):
     got = {r["doc_id"]: r["score"] for r in suffix_tree.score(documents(spark, rows).repartition(3)).collect()}
     assert any(out(d) for d in got) and got.keys() == want.keys()
     assert all(abs(got[d] - want[d]) < 1e-9 for d in want)
+
+
+def test_a_chunk_asks_once_for_an_edge_and_any_dealing_gives_the_same_scores(spark, monkeypatch):
+    """Copies of a text in a chunk ask for no more than one; scores do not depend on chunks, buckets or how a frequent suffix is dealt."""
+    rng = random.Random(3)
+    rows = [(d, " ".join(rng.choice("aab") for _ in range(rng.randrange(12)))) for d in range(40)] + [(d, "a b a a") for d in range(100, 140)]
+    docs = documents(spark, rows).coalesce(1)
+    whole = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs).collect()}
+    monkeypatch.setattr(suffix_tree, "SYMBOLS_AT_ONCE", 30)
+    monkeypatch.setattr(suffix_tree, "BUCKET_TOKENS", 3)
+    dealt = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs).collect()}
+    assert dealt.keys() == whole.keys() and all(abs(dealt[d] - whole[d]) < 1e-9 for d in whole)
+    ids = np.array([suffix_tree.START, 3, 4, 3, 3, suffix_tree.END], "<u2").tobytes()
+    dealing = suffix_tree.Dealing(3, 7, np.array([4 << 16 | 3], np.uint64), np.array([5], np.uint64))
+    edge, bucket, order, at, text = dealing.kinds(ids * 9)
+    assert len(edge) == len(bucket) == len(order) == 5 and len(at) == 45 and text.max() == 8
