@@ -116,7 +116,8 @@ def occurrences(df: DataFrame, words: list[str], text: str, keep: list[str]) ->
 
     ``index`` is the word's place in the list; repeated words count once each. A
     place where a word starts is looked up in the list by each length that words
-    have; the list is a table whose size decides how it is joined.
+    have. The list is what is broadcast, as it came from the driver: a small file
+    of texts may hold many more places than words.
     """
     spark = df.sparkSession
     listed = [(w, i) for i, w in enumerate(words) if w]
@@ -131,7 +132,7 @@ def occurrences(df: DataFrame, words: list[str], text: str, keep: list[str]) ->
     found = df.select(*keep, F.explode_outer(let(pieces(F.col(text), words), places)).alias("p")).filter("p IS NOT NULL")
     tried = found.select(*keep, "p.start", "p.ahead", F.explode(F.array(*map(F.lit, sizes))).alias("size")).filter("length(ahead) >= size")
     tried = tried.withColumn("keyword", F.substr("ahead", F.lit(1), F.col("size")))
-    return tried.join(names, "keyword").select(*keep, "keyword", "start", (F.col("start") + F.col("size") - 1).alias("end"), "index")
+    return tried.join(F.broadcast(names), "keyword").select(*keep, "keyword", "start", (F.col("start") + F.col("size") - 1).alias("end"), "index")
 
 
 def masked(text: Column, words: list[str], mark: str = "*") -> Column:

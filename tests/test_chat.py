@@ -1,9 +1,13 @@
 import random
+import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
+from evidentia.catalogue import chat as Q
 from evidentia.operators import chat as C
 from evidentia.operators import citations as R
 from evidentia.operators import words as W
@@ -95,6 +99,30 @@ def test_long_lists_stay_out_of_python(spark):
         assert "Python" not in plan and "Arrow" not in plan and "Aggregate" not in plan
 
 
+@pytest.mark.parametrize("n", [3, 200])
+def test_words_are_broadcast_rather_than_places(spark, tmp_path, n):
+    """A file far below the broadcast threshold, whose texts hold many more places and lengths than there are words."""
+    texts, words = ["abcab " * 400 + str(i) for i in range(30)] + [None, ""], ["abc", "cab", "b"] + [f"word{i}" for i in range(n - 3)]
+    spark.createDataFrame(list(enumerate(texts)), "k int, content string").write.parquet(str(tmp_path / "m"))
+    found = C.find_banned(spark.read.parquet(str(tmp_path / "m")), words, ["k"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    assert {(r.keyword, r["index"]): r["count"] for r in found.groupBy("keyword", "index").count().collect()} == {
+        ("abc", 0): 30 * 400, ("cab", 1): 30 * 400, ("b", 2): 30 * 800}
+
+
+def test_frequent_words_are_cut_before_the_driver(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["short", "Letters", "letters", "banana", "zebras", "orange"]) + "x" * rng.randrange(9) for _ in range(50)) for _ in range(60)] + [None, ""]
+    spark.createDataFrame([(t,) for t in texts], "text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    plans, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), collect(df))[1])
+    count = Counter(w for t in texts if t for w in re.findall("[A-Za-z]{6,}", t))
+    for n in (7, 1000):
+        assert Q.frequent_words(spark, str(tmp_path), n) == sorted(count, key=lambda w: (-count[w], w))[:n]
+    assert len(plans) == 2 and not any(p.startswith("TakeOrdered") for p in plans)
+
+
 @pytest.mark.parametrize("many", [0, 200])
 def test_banned_replies(spark, many):
     words = ["bad", "worse"] + [f"zzz{i}" for i in range(many)]
